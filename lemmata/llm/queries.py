@@ -10,6 +10,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    from lemmata.llm.ngram_join import ngram_join
+
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WARC round trip of all pages."""
     from lemmata.llm.warc import read_records, write_archives
@@ -78,4 +85,4 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_chat, op4_packing, op5_media, op6_lines, op7_quality, op8_toxicity, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_chat, op4_packing, op5_media, op6_lines, op7_quality, op8_toxicity, op9_byte_bpe)}
