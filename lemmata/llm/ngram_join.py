@@ -99,12 +99,19 @@ def _sets(df: DataFrame, id_col: str, text_col: str, percent: int, width: int) -
 
 
 def _verified(requests: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the requests (node, block), at most one per query and component of the block's members."""
+    """Links (a, b) of the requests (node, block): per block a spanning forest of those found there."""
     asked = requests.join(sets.select("node", F.col("component").alias("own"), "body"), "node").select(*(F.col(c).alias(f"q_{c}") for c in ("block", "node", "own", "body")))
     held = sets.select(*(F.col(c).alias(f"m_{c}") for c in ("block", "node", "component", "body")))
 
     def verify(queries: pa.Table, members: pa.Table) -> pa.Table:
-        out_a, out_b = [], []
+        out_a, out_b, parent = [], [], {}
+
+        def top(x: bytes) -> bytes:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
         if queries.num_rows and members.num_rows:
             names, comps = members.column("m_node").to_pylist(), members.column("m_component").to_pylist()
             bodies = [np.frombuffer(b, np.uint64) for b in members.column("m_body").to_pylist()]
@@ -118,10 +125,10 @@ def _verified(requests: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 width = hi - lo
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
                 both = np.bincount(owner[at], minlength=len(bodies))
-                done = {own}
                 for m in np.flatnonzero(100 * both >= percent * (len(q) + sizes - both)).tolist():
-                    if comps[m] not in done:
-                        done.add(comps[m])
+                    x, y = top(own), top(comps[m])
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
                         out_a.append(node)
                         out_b.append(names[m])
         return pa.table([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
