@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lemmata.llm.queries import QUERIES
 from lemmata.llm.sql import ORACLES
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {**QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(ORACLES) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

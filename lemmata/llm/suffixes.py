@@ -159,9 +159,9 @@ def _cover(n: int, positions: np.ndarray, masks: np.ndarray, length: int, k: int
 
 
 def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, body, gone) of every row.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, body, gone, origin) of every row.
 
-    Rows that lose some but not all bytes also have their bytes and a bit per removed one; for others both are null.
+    Rows that lose bytes also have their bytes and a bit per removed one, or, if they equal an earlier text, the digest of that in ``origin``.
     """
     side = length - k
     docs, buckets = sharing.batched(df.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col)
@@ -275,7 +275,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for i in range(len(ids)):
             raw_ = data[off_list[i] : off_list[i + 1]]
             if is_copy[i]:
-                lines.append((2, batch, i, None, None, int(ids[i]), len(raw_), len(raw_), 1, hashlib.sha256(b"").hexdigest()))
+                lines.append((2, batch, i, hashlib.sha256(raw_).hexdigest().encode(), None, int(ids[i]), len(raw_), len(raw_), 1, hashlib.sha256(b"").hexdigest()))
             elif touched[i]:
                 lines.append((3, batch, i, raw_.tobytes(), None, int(ids[i]), len(raw_), None, None, None))
             else:
@@ -320,10 +320,44 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append((ids[i], len(data), lost, spans, hashlib.sha256(kept_).hexdigest(), bodies[i] if lost else None, np.packbits(gone).tobytes() if lost else None))
         return pa.table([pa.array(c, kd) for c, kd in zip(zip(*out) if out else [()] * 7, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "body", "gone"])
 
-    done = sides.groupBy("batch").applyInArrow(apply, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, body binary, gone binary")
-    plain = table.filter("kind = 2").select("doc", F.col("size").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("body"), F.lit(None).cast("binary").alias("gone"))
+    done = sides.groupBy("batch").applyInArrow(apply, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, body binary, gone binary").withColumn("origin", F.lit(None).cast("string"))
+    plain = table.filter("kind = 2").select("doc", F.col("size").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("body"), F.lit(None).cast("binary").alias("gone"), F.col("body").cast("string").alias("origin"))
     out = done.unionByName(plain)
-    return out.select(F.when(F.col("doc") != _LAST_ID, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "body", "gone")
+    return out.select(F.when(F.col("doc") != _LAST_ID, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "body", "gone", "origin")
+
+
+def drop_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with repeated bytes taken out of their texts; a character that loses a byte goes as a whole, and a null text stays null."""
+    edits = repeated_bytes(df, id_col, text_col).filter("n_removed > 0")
+    edits = edits.select(F.col(id_col).alias("_doc"), F.coalesce("origin", F.sha2("body", 256)).alias("_sha"), "gone").dropDuplicates(["_doc", "_sha"]).withColumn("_hit", F.lit(True))
+    sha = F.sha2(F.encode(F.col(text_col), "UTF-8"), 256)
+    joined = df.withColumn("_own", sha).join(edits, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_sha")), "left")
+    own = df.columns
+
+    def run(batches):
+        for batch in batches:
+            text = arrays.column(batch, text_col)
+            hit = arrays.column(batch, "_hit").fill_null(False).to_numpy(zero_copy_only=False)
+            if hit.any():
+                values, gone = text.to_pylist(), arrays.column(batch, "gone")
+                for i in np.flatnonzero(hit).tolist():
+                    values[i] = without(values[i], gone[i].as_py())
+                text = pa.array(values, text.type)
+            yield pa.RecordBatch.from_arrays([text if c == text_col else arrays.column(batch, c) for c in own], names=own)
+
+    return joined.select(*(df[c] for c in own), "_hit", "gone").mapInArrow(run, df.schema)
+
+
+def without(text: str, gone: bytes | None) -> str:
+    """A text without the characters that lose a byte; without all if ``gone`` is None."""
+    if gone is None:
+        return ""
+    data = np.frombuffer(text.encode(), np.uint8)
+    lost = np.unpackbits(np.frombuffer(gone, np.uint8), count=len(data)).astype(bool)
+    char = np.cumsum((data & 0xC0) != 0x80) - 1
+    drop = np.zeros(char[-1] + 1, bool)
+    drop[char[lost]] = True
+    return data[~drop[char]].tobytes().decode()
 
 
 _SCHEMA = "kind int, batch int, row int, body binary, docs binary, doc long, size long, removed long, spans long, sha string"
