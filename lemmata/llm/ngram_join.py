@@ -94,7 +94,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, percent: int, width: int) -
     doc_kind = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     empty = pa.table([pa.array([], k) for k in (doc_kind, pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.int64()), pa.binary())], names=names)
     answers = sharing.shared_classes(docs, keys_of, buckets)
-    out = docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sets, f"doc {kind}, n long, node binary, group binary, rank double, prefix array<long>, body binary")
+    out = docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sharing.lean(sets), f"doc {kind}, n long, node binary, group binary, rank double, prefix array<long>, body binary")
     return stored(out, "sets")
 
 
@@ -133,7 +133,7 @@ def _verified(requests: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         out_b.append(names[m])
         return pa.table([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
 
-    return asked.groupBy("q_block").cogroup(held.groupBy("m_block")).applyInArrow(verify, "a binary, b binary")
+    return asked.groupBy("q_block").cogroup(held.groupBy("m_block")).applyInArrow(sharing.lean(verify), "a binary, b binary")
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:

@@ -13,6 +13,9 @@ a key look shared or frequent, which costs work later and changes no result.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,13 +26,27 @@ from pyspark.sql import functions as F
 from lemmata.llm.storage import partitions
 
 #: Text bytes of a batch, and about how many text bytes a bucket's keys come from.
-BATCH_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
+BATCH_BYTES, BUCKET_BYTES = 3 << 20, 6 << 20
 
 
 def share_class(count: np.ndarray) -> np.ndarray:
     return np.where(count > 1, 1 + np.floor(4 * np.log2(np.maximum(count, 2))), 0).astype(np.uint8)
 
 
+def lean(f: Callable) -> Callable:
+    """f, after whose calls a worker gives freed memory back to the system, as it lives on beside the JVM between groups."""
+
+    def run(*args):
+        out = f(*args)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+        return out
+
+    run.__signature__ = inspect.signature(f)
+    return run
+
+
 def squeeze(data: bytes) -> bytes:
     import zstandard
 
@@ -58,7 +75,7 @@ def batched(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """(doc, text, batch) and the number of buckets (a power of two) that suit the size of the table."""
     n = partitions(df.sparkSession)
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    batches = max(4 * n, -(-total // BATCH_BYTES))
+    batches = max(2 * n, -(-total // BATCH_BYTES))
     buckets = 1 << max(4, (max(n, total // BUCKET_BYTES) - 1).bit_length())
     rows = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     return rows.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), buckets
@@ -110,7 +127,7 @@ def shared_classes(docs: DataFrame, keys_of: Callable[[pa.Table], np.ndarray], b
         keys, counts = np.unique(cut(keys_of(table), buckets), return_counts=True)
         return pa.Table.from_batches([batch_blocks(keys, counts, table.column("batch")[0].as_py(), buckets)])
 
-    return docs.groupBy("batch").applyInArrow(blocks, BLOCKS).groupBy("bucket").applyInArrow(_classes, CLASSES)
+    return docs.groupBy("batch").applyInArrow(lean(blocks), BLOCKS).groupBy("bucket").applyInArrow(lean(_classes), CLASSES)
 
 
 def class_of(keys: np.ndarray, answers: pa.Table, buckets: int) -> np.ndarray:

@@ -93,27 +93,28 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = GR
     return chosen, h[chosen]
 
 
-def refine(columns: np.ndarray) -> list[np.ndarray]:
-    """Blocks by interleave refinement.
+def refine(columns: np.ndarray, skip: int = 0) -> list[np.ndarray]:
+    """Blocks by interleave refinement, without those of the first ``skip`` rounds.
 
     ``columns[h]`` holds the symbol that round h prepends, per entry in shard
     order.  Gives after each round the block number of each entry; entries share
     a block if all their symbols so far agree.
     """
     n = columns.shape[1]
-    interleave = np.arange(n)
+    interleave = np.arange(n, dtype=np.int32)
     block = np.zeros(n, np.int32)
     out = []
-    for symbols in columns:
+    for h, symbols in enumerate(columns):
         placed = symbols[interleave]
         move = np.argsort(placed, kind="stable")
         placed, interleave, was = placed[move], interleave[move], block[move]
         edge = np.ones(n, bool)
         edge[1:] = (placed[1:] != placed[:-1]) | (was[1:] != was[:-1])
         block = np.cumsum(edge, dtype=np.int32) - 1
-        of_entry = np.empty(n, np.int32)
-        of_entry[interleave] = block
-        out.append(of_entry)
+        if h >= skip:
+            of_entry = np.empty(n, np.int32)
+            of_entry[interleave] = block
+            out.append(of_entry)
     return out
 
 
@@ -123,7 +124,7 @@ def covered_windows(around: np.ndarray, docs: np.ndarray, length: int = LENGTH,
     ``around`` has ``length - k`` bytes on both sides of an anchor of k bytes.
     """
     side = length - k
-    left = refine(np.ascontiguousarray(around[:, side + k - 1 :: -1].T))[k - 1 :]  # [j]: j bytes left of the anchor
+    left = refine(np.ascontiguousarray(around[:, side + k - 1 :: -1].T), k - 1)  # [j]: j bytes left of the anchor
     mirrored = np.ascontiguousarray(around[:, side + k :].T)
     right = [np.zeros(len(docs), np.int32), *refine(mirrored)]
     mask = np.zeros(len(docs), np.uint32)
@@ -284,7 +285,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     answers = sharing.shared_classes(docs, keys_of, buckets).withColumn("copies", F.lit(None).cast("array<long>"))
     answers = answers.unionByName(copies.select("batch", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("classes"), "copies"))
-    table = stored(docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(entries, _SCHEMA), "surroundings")
+    table = stored(docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sharing.lean(entries), _SCHEMA), "surroundings")
 
     def merge(group: pa.Table) -> pa.Table:
         """Masks of a bucket's entries, per batch in the batch's order."""
@@ -296,7 +297,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = [sharing.squeeze(mask[e - len(b) : e].tobytes()) for b, e in zip(blocks, ends)]
         return pa.table([pa.array(batches, pa.int32()), group.column("row"), pa.array(out, pa.binary())], names=["batch", "row", "body"])
 
-    masks = table.filter("kind = 0").select("batch", "row", "body", "docs").groupBy("row").applyInArrow(merge, "batch int, row int, body binary")
+    masks = table.filter("kind = 0").select("batch", "row", "body", "docs").groupBy("row").applyInArrow(sharing.lean(merge), "batch int, row int, body binary")
     sides = masks.select(F.lit(0).alias("kind"), "batch", "row", "body", F.lit(None).cast("long").alias("doc")).unionByName(table.filter("kind in (1, 3)").select("kind", "batch", "row", "body", "doc"))
 
     def apply(group: pa.Table) -> pa.Table:
@@ -320,7 +321,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append((ids[i], len(data), lost, spans, hashlib.sha256(kept_).hexdigest(), bodies[i] if lost else None, np.packbits(gone).tobytes() if lost else None))
         return pa.table([pa.array(c, kd) for c, kd in zip(zip(*out) if out else [()] * 7, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "body", "gone"])
 
-    done = sides.groupBy("batch").applyInArrow(apply, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, body binary, gone binary").withColumn("origin", F.lit(None).cast("string"))
+    done = sides.groupBy("batch").applyInArrow(sharing.lean(apply), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, body binary, gone binary").withColumn("origin", F.lit(None).cast("string"))
     plain = table.filter("kind = 2").select("doc", F.col("size").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("body"), F.lit(None).cast("binary").alias("gone"), F.col("body").cast("string").alias("origin"))
     out = done.unionByName(plain)
     return out.select(F.when(F.col("doc") != _LAST_ID, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "body", "gone", "origin")
