@@ -37,7 +37,7 @@ from lemmata.llm import arrays, sharing
 from lemmata.llm.storage import stored
 
 #: Bytes of a repeated string and of an anchor; documents beyond which an anchor is hot; text bytes of a slice.
-LENGTH, GRAM, HOT, SLICE = 50, 25, 20_000, 512 << 10
+LENGTH, GRAM, HOT, SLICE = 50, 32, 20_000, 512 << 10
 #: Stands for what lies beyond a document; no UTF-8 text holds it.
 BEYOND = 0xFF
 _LAST_ID = np.iinfo(np.int64).max
@@ -278,7 +278,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if is_copy[i]:
                 lines.append((2, batch, i, hashlib.sha256(raw_).hexdigest().encode(), None, int(ids[i]), len(raw_), len(raw_), 1, hashlib.sha256(b"").hexdigest()))
             elif touched[i]:
-                lines.append((3, batch, i, raw_.tobytes(), None, int(ids[i]), len(raw_), None, None, None))
+                lines.append((3, batch, i, sharing.squeeze(raw_.tobytes()), None, int(ids[i]), len(raw_), None, None, None))
             else:
                 lines.append((2, batch, i, None, None, int(ids[i]), len(raw_), 0, 0, hashlib.sha256(raw_).hexdigest()))
         return _rows([(*o, None, None, None, None, None) for o in out] + lines)
@@ -312,13 +312,13 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lo = np.searchsorted(owner[order], [r for r, _ in texts], "left").tolist()
         hi = np.searchsorted(owner[order], [r for r, _ in texts], "right").tolist()
         for (_, i), a, b in zip(texts, lo, hi):
-            data = np.frombuffer(bodies[i], np.uint8)
+            data = np.frombuffer(body := sharing.expand(bodies[i]), np.uint8)
             at = order[a:b]
             gone = _cover(len(data), place[at].astype(np.int64), own[at], length, k)
             kept_ = data[~gone].tobytes()
             spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
             lost = int(gone.sum())
-            out.append((ids[i], len(data), lost, spans, hashlib.sha256(kept_).hexdigest(), bodies[i] if lost else None, np.packbits(gone).tobytes() if lost else None))
+            out.append((ids[i], len(data), lost, spans, hashlib.sha256(kept_).hexdigest(), body if lost else None, np.packbits(gone).tobytes() if lost else None))
         return pa.table([pa.array(c, kd) for c, kd in zip(zip(*out) if out else [()] * 7, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "body", "gone"])
 
     done = sides.groupBy("batch").applyInArrow(sharing.lean(apply), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, body binary, gone binary").withColumn("origin", F.lit(None).cast("string"))

@@ -64,7 +64,7 @@ def test_edge_tables(spark):
 
 
 def test_anchors_are_shared_by_equal_strings():
-    from lemmata.llm.suffixes import anchors
+    from lemmata.llm.suffixes import GRAM, anchors
 
     rng = np.random.default_rng(0)
     data = rng.integers(97, 100, 4000).astype(np.uint8)
@@ -72,7 +72,7 @@ def test_anchors_are_shared_by_equal_strings():
     at, _ = anchors(data, off)
     for a, b in zip(off[:-1], off[1:]):
         for s in range(a, b - 49):
-            assert ((at >= s) & (at <= s + 25)).any()
+            assert ((at >= s) & (at <= s + 50 - GRAM)).any()
 
 
 def test_refine_blocks():
