@@ -53,7 +53,7 @@ def _digests(keys: np.ndarray, off: np.ndarray) -> list[bytes]:
 
 def _sets(df: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
     """A row per document: n; for those that may link also node (set digest), group, rank, prefix shingles, and once per batch and node the set."""
-    docs, buckets = sharing.batched(df, id_col, text_col)
+    _, docs, buckets = sharing.batched(df, id_col, text_col)
     kind = dict(docs.dtypes)["doc"]
 
     def keys_of(table: pa.Table) -> np.ndarray:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmata.llm import arrays
 from lemmata.llm.storage import partitions
 
 #: Text bytes of a batch, and about how many text bytes a bucket's keys come from.
@@ -71,14 +72,21 @@ def get_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(delta, dtype=np.uint32)
 
 
-def batched(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(doc, text, batch) and the number of buckets (a power of two) that suit the size of the table."""
+def batched(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(doc, text, batch), the same with compressed texts to be dealt out, and the number of buckets (a power of two) that suit the size of the table."""
     n = partitions(df.sparkSession)
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     batches = max(2 * n, -(-total // BATCH_BYTES))
     buckets = 1 << max(4, (max(n, total // BUCKET_BYTES) - 1).bit_length())
     rows = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return rows.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), buckets
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
+
+    def pack(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_:
+            body = [squeeze(t.encode()) if t is not None else None for t in arrays.column(b, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([arrays.column(b, "doc"), pa.array(body, pa.binary()), arrays.column(b, "batch")], names=["doc", "packed", "batch"])
+
+    return rows, rows.mapInArrow(pack, f"doc {dict(rows.dtypes)['doc']}, packed binary, batch int"), buckets
 
 
 def cut(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -140,8 +148,8 @@ def class_of(keys: np.ndarray, answers: pa.Table, buckets: int) -> np.ndarray:
 
 
 def parts(table: pa.Table, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch's rows."""
-    from lemmata.llm import arrays
-
-    for b in table.combine_chunks().to_batches():
-        yield from arrays.slices(b, "text", limit)
+    """Slices (doc, text) of a batch's rows."""
+    text = pa.array([expand(t).decode() if t is not None else None for t in table.column("packed").to_pylist()], pa.large_string())
+    docs = table.column("doc").combine_chunks()
+    docs = docs.chunk(0) if isinstance(docs, pa.ChunkedArray) else docs
+    yield from arrays.slices(pa.RecordBatch.from_arrays([docs, text], names=["doc", "text"]), "text", limit)

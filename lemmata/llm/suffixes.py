@@ -165,9 +165,9 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows that lose bytes also have their bytes and a bit per removed one, or, if they equal an earlier text, the digest of that in ``origin``.
     """
     side = length - k
-    docs, buckets = sharing.batched(df.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col)
+    rows, docs, buckets = sharing.batched(df.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col)
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    sums = docs.select("doc", "batch", F.octet_length("text").alias("n"), F.sha2(body, 256).alias("sha")).filter(F.col("n") >= length)
+    sums = rows.select("doc", "batch", F.octet_length("text").alias("n"), F.sha2(body, 256).alias("sha")).filter(F.col("n") >= length)
     lowest = sums.groupBy("sha").agg(F.min(F.coalesce("doc", F.lit(_LAST_ID))).alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("sha", "first")
     copies = sums.join(lowest, "sha").filter(F.coalesce("doc", F.lit(_LAST_ID)) > F.col("first")).groupBy("batch").agg(F.collect_set(F.coalesce("doc", F.lit(_LAST_ID))).alias("copies"))
 
