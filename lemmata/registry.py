@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lemmata.plans import kernel
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(kernel.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(kernel.ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Resolution of uses over the driver's tables."""
+    return kernel.QUERIES["resolve_status"](spark, sf_dir)
