@@ -7,6 +7,8 @@ number of rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +27,13 @@ _BYTE_CODES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
 SLICE_BYTES = 4 << 20
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; a Python worker lives on beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column as UTF-8 binary; null becomes empty."""
     col = batch.column(batch.schema.get_field_index(name))

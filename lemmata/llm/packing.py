@@ -17,6 +17,7 @@ id are packed one by one.  An empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +34,7 @@ from lemmata.llm.storage import partitions
 LENGTH, END_ID, BOUND_ROWS = 2048, 1, 20_000
 DIMS, DIM_BITS = 4, 10
 #: Distinct words a Python worker remembers; affects speed only.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 _MARK = "<|startoftext|>"
 
 
@@ -46,62 +47,75 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         self.mark = self.tool.token_to_id(_MARK)
-        self.cache: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Stems seen so far: a number each, and all their ids in a row."""
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = [], []
 
     def _encode(self, stems: list[str]) -> None:
-        if len(self.cache) + len(stems) > CACHE_ENTRIES:
-            self.cache.clear()
         plain = [s for s in stems if "<|" not in s]
         for s in stems:
             if "<|" in s:
-                self.cache[s] = np.array(self.tool.encode(s, add_special_tokens=False).ids, np.uint32)
+                self._add([s], [self.tool.encode(s, add_special_tokens=False).ids])
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for g, e in zip(groups, self.tool.encode_batch_fast([_MARK.join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            cut = np.flatnonzero(ids == self.mark)
-            if len(cut) != len(g) - 1:
-                raise ValueError("a stem holds the mark")
-            for s, a, b in zip(g, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]):
-                self.cache[s] = ids[a:b].copy()
-
-    def _lookup(self, values: list[str]) -> list[np.ndarray]:
-        missing = [v for v in values if v not in self.cache]
+        for a in range(0, len(groups), 64):
+            some = groups[a : a + 64]
+            for g, e in zip(some, self.tool.encode_batch_fast([_MARK.join(g) for g in some], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                cut = np.flatnonzero(ids == self.mark)
+                if len(cut) != len(g) - 1:
+                    raise ValueError("a stem holds the mark")
+                self._add(g, [ids[ids != self.mark]], np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+
+    def _add(self, stems: list[str], ids: list, sizes: np.ndarray | None = None) -> None:
+        n = len(self.known)
+        self.known.update(zip(stems, range(n, n + len(stems))))
+        self.ids.append(np.array(ids[0], np.uint32))
+        self.sizes.append(np.array([len(ids[0])]) if sizes is None else sizes)
+
+    def _numbers(self, stems: list[str]) -> np.ndarray:
+        missing = [s for s in stems if s not in self.known]
+        if missing and len(self.known) + len(missing) > CACHE_ENTRIES:
+            self._forget()
+            missing = stems
         if missing:
             self._encode(missing)
-            missing = [v for v in values if v not in self.cache]  # after the cache was cleared
-            if missing:
-                self._encode(missing)
-        if len(values) > CACHE_ENTRIES:
-            return [np.array(self.tool.encode(v, add_special_tokens=False).ids, np.uint32) for v in values]
-        return [self.cache[v] for v in values]
+            self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
+        return np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the offsets of rows, without end tokens."""
         lists = pc.ascii_split_whitespace(texts)
-        flat = lists.flatten()
-        coded = pc.ascii_lower(flat).dictionary_encode()
+        coded = pc.ascii_lower(lists.flatten()).dictionary_encode()
         unique = coded.dictionary
         if not len(unique):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         stem = pc.ascii_rtrim(unique, ".,;:!?")
-        splits = pc.match_substring_regex(stem, r"\p{L}$")
-        stem = pc.if_else(splits, stem, unique)
-        tail = pc.binary_replace_slice(unique.cast(pa.binary()), 0, 0, b"")  # a copy; tails are cut below
-        n = pc.binary_length(stem).to_numpy()
-        tails = [t[k:].decode() for t, k in zip(tail.to_pylist(), n.tolist())]
+        stem = pc.if_else(pc.match_substring_regex(stem, r"\p{L}$"), stem, unique)
+        data, off = arrays.raw(unique)
+        left = off[1:] - off[:-1] - pc.binary_length(stem).to_numpy()  # bytes of the closing punctuation
+        tail = np.where(left == 1, data[np.maximum(off[1:] - 1, 0)] if len(data) else 0, 0).astype(np.int64)
+        more: dict[bytes, int] = {}
+        for i in np.flatnonzero(left > 1).tolist():
+            tail[i] = 256 + more.setdefault(data[off[i + 1] - left[i] : off[i + 1]].tobytes(), len(more))
+        ends = [b"" if b not in b".,;:!?" else bytes([b]) for b in range(256)] + list(more)
+        ends = [self.tool.encode(t.decode(), add_special_tokens=False).ids if t else [] for t in ends]
         stems = stem.dictionary_encode()
-        kept = self._lookup(stems.dictionary.to_pylist())
-        ends = {t: (np.array(self.tool.encode(t, add_special_tokens=False).ids, np.uint32) if t else np.zeros(0, np.uint32)) for t in set(tails)}
-        pieces = [p for s, t in zip(stems.indices.to_pylist(), tails) for p in (kept[s], ends[t])]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)).reshape(-1, 2).sum(1)
-        table = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(pieces))
-        ids = table.take(coded.indices).flatten().to_numpy()
+        number = self._numbers(stems.dictionary.to_pylist())[stems.indices.to_numpy()]
+        sizes = np.concatenate([self.sizes[0], [len(e) for e in ends]]).astype(np.int64)
+        flat = np.concatenate([self.ids[0], np.array([x for e in ends for x in e], np.uint32)])
+        table = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), flat)
         codes = coded.indices.to_numpy()
-        total = np.concatenate([[0], np.cumsum(sizes[codes])])
+        index = np.stack([number[codes], len(self.sizes[0]) + tail[codes]], 1).reshape(-1)
+        ids = table.take(pa.array(index)).flatten().to_numpy()
+        total = np.concatenate([[0], np.cumsum(sizes[index].reshape(-1, 2).sum(1))])
         offsets = lists.offsets.to_numpy().astype(np.int64)
         return ids, total[offsets - offsets[0]]
 
@@ -191,6 +205,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = tokenizer(tokenizer_path)
         for batch in batches:
+            arrays.trim()
             for part in arrays.slices(batch, "text"):
                 texts = arrays.text_of(part, "text")
                 key = _keyed(texts, arrays.column(part, "salt").to_numpy())

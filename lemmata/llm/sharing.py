@@ -13,8 +13,6 @@ a key look shared or frequent, which costs work later and changes no result.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import inspect
 from collections.abc import Callable, Iterator
 
@@ -39,9 +37,7 @@ def lean(f: Callable) -> Callable:
 
     def run(*args):
         out = f(*args)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):
-            ctypes.CDLL(None).malloc_trim(0)
+        arrays.trim()
         return out
 
     run.__signature__ = inspect.signature(f)
