@@ -2,7 +2,7 @@
 
 Token weights are log-odds of the labelled classes under an informative
 Dirichlet prior, held in a table of fixed size (tokens are hashed into
-``2 ** BITS`` buckets).  A linear-time scan finds all maximal-scoring segments of
+``2 ** BITS`` buckets, and so are their beginnings; the strongest counts).  A linear-time scan finds all maximal-scoring segments of
 a text; the Karlin-Altschul scale, solved from the clean class, turns their
 scores into excesses over what chance gives in a text of that length, and their
 sum is calibrated to the label's frequency on the training rows.
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from lemmata.llm import arrays
 
 #: Size of the weight table, bound of the fitting sample, strength of the prior.
-BITS, FIT_ROWS, PRIOR = 18, 60_000, 2_000.0
+BITS, FIT_ROWS, PRIOR = 19, 60_000, 2_000.0
+#: Bytes of the beginnings of tokens that count as features of their own.
+STEMS = (4, 5, 6)
 #: Tokens with |z| below SURE count as neutral; neutral tokens cost DRIFT.
 SURE, DRIFT = 3.5, 0.05
 #: Bins of the calibration, and the largest excess told apart.
@@ -49,12 +51,18 @@ class Model:
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each token (runs of letters and digits, ASCII lower-cased) and the offsets of rows."""
+    """Buckets of each token (runs of letters and digits, ASCII lower-cased) and of its beginnings, and the offsets of rows.
+
+    The first row holds the whole tokens' buckets; the others those of their
+    first bytes, so that a stem is known under endings that were never seen.
+    """
     data, off = arrays.raw(texts)
     clean = _LETTERS[data]
     begin, end = arrays.words(clean, off)
-    buckets = (arrays.hash_spans(clean, begin, end) >> np.uint64(64 - BITS)).astype(np.int64)
-    return buckets, np.searchsorted(begin, off)
+    hashes = [arrays.hash_spans(clean, begin, end)]
+    for n in STEMS:
+        hashes.append(np.where(end - begin > n, arrays.mix(arrays.hash_spans(clean, begin, np.minimum(end, begin + n)) + np.uint64(n)), hashes[0]))
+    return (np.stack(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.searchsorted(begin, off)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -82,7 +90,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 def excess(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
     """Summed excess of each text's segments over chance, and the significant segments (token positions)."""
     buckets, first = tokens(texts)
-    scores = model.weights[buckets]
+    scores = model.weights[buckets].max(axis=0)
     out, spans = np.zeros(len(texts)), []
     for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
         keep = []
@@ -148,7 +156,7 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id",
                 buckets, first = tokens(arrays.text_of(part, text_col))
                 label = np.repeat(arrays.column(part, "_label").to_numpy(), np.diff(first))
                 for k in (0, 1):
-                    sums[k] += np.bincount(buckets[label == k], minlength=1 << BITS)
+                    sums[k] += np.bincount(buckets[:, label == k].reshape(-1), minlength=1 << BITS)
         used = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used]), pa.array(sums[1, used])], names=["bucket", "n0", "n1"])
 
