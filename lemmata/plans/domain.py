@@ -1,0 +1,50 @@
+"""Domain queries over inlined documents; their twins are literal golden results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lemmata.operators import definitions
+
+# (file, text); our own documents
+DOCS = [
+    ("a.md", "Let $z$ denote displacement. Inspect $z$."),
+    ("b.md", "Inspect $z$."),
+    ("c.tex", "\\begin{comment}\nLet $z$ denote displacement.\n\\end{comment}\nInspect $z$."),
+    ("d.md", "Use $q$ first. Let $q$ denote charge."),
+    ("e.md", "Let $k$ denote stiffness."),
+    ("f.md", "Let $m$ perhaps denote mass. Then $m$."),
+    ("g.md", "# One\nLet $x$ denote mass. Use $x$.\n# Two\nLet $x$ denote time. Use $x$."),
+    ("h.md", "🙂. Let $w$ be work. See $w$."),
+    ("i.md", "The symbol matters. $v$ does not denote velocity. Read $v$."),
+]
+
+
+def _docs(spark):
+    return spark.createDataFrame(DOCS, "file_id string, content string")
+
+
+def definition_lookup(spark, sf_dir):
+    """Where the symbol of each use is defined, or why it is not."""
+    return definitions.resolved_uses(_docs(spark))
+
+
+def definition_rows(spark, sf_dir):
+    """Asserted definitions with their descriptions."""
+    return definitions.definitions(_docs(spark)).select("file_id", "symbol", "anchor", "description", "construction", F.size("scope").alias("depth"))
+
+
+def hygiene_hints(spark, sf_dir):
+    """Definition hygiene: used before, or never used."""
+    return definitions.hygiene(_docs(spark))
+
+
+QUERIES = {f.__name__: f for f in (definition_lookup, definition_rows, hygiene_hints)}
+ORACLES = {
+    "definition_lookup": """select * from (values ('a.md', 5, 'z', 'established', 5), ('a.md', 38, 'z', 'established', 5), ('b.md', 9, 'z', 'unsupported', null), ('c.tex', 68, 'z', 'unsupported', null),
+        ('d.md', 5, 'q', 'unsupported', null), ('d.md', 20, 'q', 'established', 20), ('e.md', 5, 'k', 'established', 5), ('f.md', 5, 'm', 'unsupported', null), ('f.md', 35, 'm', 'unsupported', null),
+        ('g.md', 11, 'x', 'established', 11), ('g.md', 32, 'x', 'established', 11), ('g.md', 47, 'x', 'established', 47), ('g.md', 68, 'x', 'established', 47),
+        ('h.md', 9, 'w', 'established', 9), ('h.md', 26, 'w', 'established', 9), ('i.md', 21, 'v', 'unsupported', null), ('i.md', 56, 'v', 'unsupported', null)) v(file_id, use, symbol, status, definition)""",
+    "definition_rows": """select * from (values ('a.md', 'z', 5, 'displacement', 'let/denote', 0), ('d.md', 'q', 20, 'charge', 'let/denote', 0), ('e.md', 'k', 5, 'stiffness', 'let/denote', 0), ('g.md', 'x', 11, 'mass', 'let/denote', 1), ('g.md', 'x', 47, 'time', 'let/denote', 1), ('h.md', 'w', 9, 'work', 'let/be', 0)) v(file_id, symbol, anchor, description, construction, depth)""",
+    "hygiene_hints": """select * from (values ('d.md', 'used-before-explicit-definition', 'q', 5), ('e.md', 'defined-but-unused', 'k', 5)) v(file_id, code, symbol, "at")""",
+}

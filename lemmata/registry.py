@@ -6,19 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmata.plans import kernel
+from lemmata.plans import domain, kernel
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(kernel.QUERIES)
+    return kernel.QUERIES | domain.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(kernel.ORACLES)
+    return kernel.ORACLES | domain.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resolution of uses over the driver's tables."""
-    return kernel.QUERIES["resolve_status"](spark, sf_dir)
+    """Definition look-up end to end: front-end, definitions, scope-prefix join, resolution."""
+    return domain.definition_lookup(spark, sf_dir)
