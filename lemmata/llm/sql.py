@@ -2,4 +2,52 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from lemmata.llm.quality import LIMITS, LINE_LIMIT
+
+_SAID = "</s>[INST] ok [/INST]"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_OP2 = """
+with s as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as x, max(page_id) over (partition by coalesce(html, '')) as m from pages)
+select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(x, (1 + 5 * (i // 4))::int, 5))::bigint >> (15 - 5 * (i % 4))) & 31))::int, 1)), '') as payload_digest,
+  case when page_id = m then 'response' else 'revisit' end as record_type, case when page_id <> m then m end as refers_to from s"""
+
+_OP3 = rf"""
+with c as (select conv_id, turn, 0 as part, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select * from (values (-1, 0, 0, 'user', '{_SAID}'), (-1, 0, 1, 'assistant', '{_SAID}')) v(a, b, c, d, e))
+select conv_id::bigint as conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, part, role, text)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars, sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, part, role, text), '')) as loss_sha256,
+  sum(length(text) + len(regexp_extract_all(text, '\\|\[/?(?:INST|SYS|OUT|ROLE)|</s>')) + case role when 'user' then 15 when 'system' then 13 when 'assistant' then 11 end)::bigint as formatted_chars from c group by conv_id"""
+
+
+def _op7() -> str:
+    lengths = ", ".join(f"({n})" for n in (3, *LIMITS))
+    chars = {n: f"coalesce(sum(chars) filter (n = {n}), 0)::bigint" for n in LIMITS}
+    dup = ", ".join(f"{c} as dup_{n}gram_chars" for n, c in chars.items())
+    fits = " and ".join(f"100 * dup_{n}gram_chars <= {most} * word_chars" for n, most in LIMITS.items())
+    return rf"""
+with w as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
+u as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+l as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as k from w),
+la as (select doc_id, length(line) as n, row_number() over (partition by doc_id, line order by k) > 1 as again from l where regexp_matches(line, '{_WORD}')),
+ls as (select doc_id, count(*) filter (again) as n_dup_lines, coalesce(sum(n) filter (again), 0) as dup_line_chars, sum(n) as line_chars from la group by doc_id),
+g as (select doc_id, n, i, md5(array_to_string(ws[i:i + n - 1], ' ')) as gram from w, (values {lengths}) v(n), unnest(range(1, greatest(len(ws) - n + 2, 1))) r(i)),
+c as (select distinct doc_id, n, i + o as i from (select *, count(*) over (partition by doc_id, n, gram) as k from g) x, unnest(range(0, n)) r(o) where k > 1),
+x as (select doc_id, n, count(*) as words, sum(length(word)) as chars from c join u using (doc_id, i) group by all),
+y as (select doc_id, coalesce(sum(words) filter (n = 3), 0)::bigint as n_repeat_words, {dup} from x group by doc_id),
+z as (select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+  coalesce(dup_line_chars, 0)::bigint as dup_line_chars, coalesce(line_chars, 0) as line_chars, {", ".join(f"coalesce(dup_{n}gram_chars, 0)::bigint as dup_{n}gram_chars" for n in LIMITS)} from w left join ls using (doc_id) left join y using (doc_id)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from z)
+select * exclude (line_chars), not base_failed and 100 * dup_line_chars <= {LINE_LIMIT} * line_chars and {fits} as kept from b"""
+
+
+#: Connected by recursion over pairs that share a shingle; for small tables.
+_OP1 = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as ws from documents),
+s as (select distinct doc_id, md5(array_to_string(ws[i:i + 4], ' ')) as g from w, unnest(range(1, greatest(len(ws) - 3, 2))) r(i) where len(ws) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+k as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 75 * (x.n + y.n - common)),
+e as (select a, b from k union select b, a from k), r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(w.doc_id, coalesce((select min(r.b) from r where r.a = w.doc_id), w.doc_id)) as component_id from w left join n using (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_ngram_join": _OP1, "op2_warc": _OP2, "op3_chat": _OP3, "op7_quality": _op7()}
