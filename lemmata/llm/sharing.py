@@ -44,10 +44,10 @@ def lean(f: Callable) -> Callable:
     return run
 
 
-def squeeze(data: bytes) -> bytes:
+def squeeze(data: bytes, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def expand(data: bytes) -> bytes:
@@ -56,6 +56,16 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def put_planes(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit values of equal length, as compressed byte planes."""
+    return squeeze(np.ascontiguousarray(np.stack(columns).astype("<i4")[..., None].view(np.uint8).swapaxes(1, 2)).tobytes(), 3)
+
+
+def get_planes(data: bytes, columns: int) -> np.ndarray:
+    planes = np.frombuffer(expand(data), np.uint8).reshape(columns, 4, -1)
+    return np.ascontiguousarray(planes.swapaxes(1, 2)).view("<i4")[..., 0]
+
+
 def put_sorted(values: np.ndarray) -> bytes:
     """Sorted 32-bit values as compressed byte planes of their differences."""
     delta = np.diff(values.astype(np.uint32), prepend=np.uint32(0))

@@ -261,12 +261,14 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         where = np.searchsorted(bucket[head], np.arange(buckets + 1))
         for b in np.unique(bucket[head]).tolist():
             h = head[where[b] : where[b + 1]]
-            out.append((0, batch, b, sharing.squeeze(around[h].tobytes()), doc[h].tobytes()))
+            out.append((0, batch, b, sharing.squeeze(around[h].tobytes(), 3), sharing.squeeze(doc[h].tobytes())))
         first = doc[order] == doc[head][entry] if len(order) else np.zeros(0, bool)
         # the first document's strings are decided by the merge, those of later ones are all covered
         whole_mask = np.where(first, np.uint32(0), _windows_inside(around, length, k)[order]).astype("<u4").view("<i4")
-        places = np.stack([owner[order].astype("<i4"), place[order], entry.astype("<i4"), first.astype("<i4"), whole_mask])
-        out.append((1, batch, 0, sharing.squeeze(places.tobytes()), None))
+        owner, place = owner[order], place[order]
+        lie = np.lexsort((place, owner))
+        places = sharing.put_planes(np.diff(owner[lie], prepend=0), np.diff(place[lie], prepend=0), entry[lie], first[lie], whole_mask[lie])
+        out.append((1, batch, 0, places, None))
         touched = np.zeros(len(ids), bool)
         touched[owner] = True
         text = pa.concat_arrays([arrays.text_of(p, "text") for p in slices])
@@ -278,7 +280,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if is_copy[i]:
                 lines.append((2, batch, i, hashlib.sha256(raw_).hexdigest().encode(), None, int(ids[i]), len(raw_), len(raw_), 1, hashlib.sha256(b"").hexdigest()))
             elif touched[i]:
-                lines.append((3, batch, i, sharing.squeeze(raw_.tobytes()), None, int(ids[i]), len(raw_), None, None, None))
+                lines.append((3, batch, i, sharing.squeeze(raw_.tobytes(), 3), None, int(ids[i]), len(raw_), None, None, None))
             else:
                 lines.append((2, batch, i, None, None, int(ids[i]), len(raw_), 0, 0, hashlib.sha256(raw_).hexdigest()))
         return _rows([(*o, None, None, None, None, None) for o in out] + lines)
@@ -291,7 +293,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """Masks of a bucket's entries, per batch in the batch's order."""
         batches = group.column("batch").to_pylist()
         blocks = [np.frombuffer(sharing.expand(b), np.uint8).reshape(-1, k + 2 * side) for b in group.column("body").to_pylist()]
-        docs_ = np.concatenate([np.frombuffer(d, np.int64) for d in group.column("docs").to_pylist()])
+        docs_ = np.concatenate([np.frombuffer(sharing.expand(d), np.int64) for d in group.column("docs").to_pylist()])
         mask = covered_windows(np.concatenate(blocks), docs_, length, k)
         ends = np.cumsum([len(b) for b in blocks])
         out = [sharing.squeeze(mask[e - len(b) : e].tobytes()) for b, e in zip(blocks, ends)]
@@ -304,17 +306,16 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kinds, rows, bodies, ids = (group.column(c).to_pylist() for c in ("kind", "row", "body", "doc"))
         answers_ = sorted((r, i) for i, (kd, r) in enumerate(zip(kinds, rows)) if kd == 0)
         mask = np.concatenate([np.frombuffer(sharing.expand(bodies[i]), np.uint32) for _, i in answers_] or [np.zeros(0, np.uint32)])
-        owner, place, entry, first, whole = np.frombuffer(sharing.expand(bodies[kinds.index(1)]), "<i4").reshape(5, -1)
+        owner, place, entry, first, whole = sharing.get_planes(bodies[kinds.index(1)], 5)
+        owner, place = np.cumsum(owner), np.cumsum(place)
         own = np.where(first == 0, whole.view("<u4"), mask[entry])
         out = []
-        order = np.argsort(owner, kind="stable")
         texts = sorted((r, i) for i, (kd, r) in enumerate(zip(kinds, rows)) if kd == 3)
-        lo = np.searchsorted(owner[order], [r for r, _ in texts], "left").tolist()
-        hi = np.searchsorted(owner[order], [r for r, _ in texts], "right").tolist()
+        lo = np.searchsorted(owner, [r for r, _ in texts], "left").tolist()
+        hi = np.searchsorted(owner, [r for r, _ in texts], "right").tolist()
         for (_, i), a, b in zip(texts, lo, hi):
             data = np.frombuffer(body := sharing.expand(bodies[i]), np.uint8)
-            at = order[a:b]
-            gone = _cover(len(data), place[at].astype(np.int64), own[at], length, k)
+            gone = _cover(len(data), place[a:b], own[a:b], length, k)
             kept_ = data[~gone].tobytes()
             spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
             lost = int(gone.sum())
