@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lemmata.operators import definitions
+from lemmata.functions import quantities
+from lemmata.operators import definitions, laws
 
 # (file, text); our own documents
 DOCS = [
@@ -39,7 +40,44 @@ def hygiene_hints(spark, sf_dir):
     return definitions.hygiene(_docs(spark))
 
 
-QUERIES = {f.__name__: f for f in (definition_lookup, definition_rows, hygiene_hints)}
+DESCRIPTIONS = [
+    (1, "the kinetic energy of the body"),
+    (2, "the mass in seconds"),
+    (3, "a wave speed measured in m/s"),
+    (4, "pressure along the velocity vector"),
+    (5, "the mass and the area"),
+    (6, "the colour"),
+    (7, "charge in motion"),
+    (8, "cross-sectional area of the duct"),
+]
+
+# Our own documents: a typed law, a mismatch, an inferable law, a sum of unlike terms, nothing declared.
+FORMULA_DOCS = [
+    ("law.md", "Let $F$ denote force. Let $m$ denote mass. Let $a$ denote acceleration. Then $F = m a$."),
+    ("bad.md", "Let $v$ denote velocity. Let $m$ denote mass. Let $t$ denote time. Then $v = m/t$."),
+    ("open.md", "Let $P$ denote power. Let $v$ denote velocity. Then $P = F \\cdot v$."),
+    ("sum.md", "Let $m$ denote mass. Let $t$ denote time. Then $m + t$ and $x^2 + 1 \\le \\frac{d y}{d x}$."),
+    ("none.md", "Then $f = 1/T$ and $a = ($."),
+]
+
+
+def quantity_descriptions(spark, sf_dir):
+    """Quantity kinds and units that descriptions state."""
+    return quantities.described(spark.createDataFrame(DESCRIPTIONS, "id int, description string"), "id", "description")
+
+
+def unit_catalog(spark, sf_dir):
+    """Units whose dimension some quantity kind has, with the number of such kinds."""
+    return quantities.units(spark).join(quantities.kinds(spark), "dimension").groupBy("unit", "dimension").agg(F.count("*").alias("kinds"))
+
+
+def formula_facts(spark, sf_dir):
+    """Canonical keys, dimension diagnostics and recognised laws of formulas with an operator."""
+    docs = spark.createDataFrame(FORMULA_DOCS, "file_id string, content string")
+    return laws.formula_facts(docs).filter("what <> 'canonical' or instr(value, '(') > 0").select("file_id", "what", "value", "support")
+
+
+QUERIES = {f.__name__: f for f in (definition_lookup, definition_rows, hygiene_hints, quantity_descriptions, unit_catalog, formula_facts)}
 ORACLES = {
     "definition_lookup": """select * from (values ('a.md', 5, 'z', 'established', 5), ('a.md', 38, 'z', 'established', 5), ('b.md', 9, 'z', 'unsupported', null), ('c.tex', 68, 'z', 'unsupported', null),
         ('d.md', 5, 'q', 'unsupported', null), ('d.md', 20, 'q', 'established', 20), ('e.md', 5, 'k', 'established', 5), ('f.md', 5, 'm', 'unsupported', null), ('f.md', 35, 'm', 'unsupported', null),
@@ -47,4 +85,14 @@ ORACLES = {
         ('h.md', 9, 'w', 'established', 9), ('h.md', 26, 'w', 'established', 9), ('i.md', 21, 'v', 'unsupported', null), ('i.md', 56, 'v', 'unsupported', null)) v(file_id, use, symbol, status, definition)""",
     "definition_rows": """select * from (values ('a.md', 'z', 5, 'displacement', 'let/denote', 0), ('d.md', 'q', 20, 'charge', 'let/denote', 0), ('e.md', 'k', 5, 'stiffness', 'let/denote', 0), ('g.md', 'x', 11, 'mass', 'let/denote', 1), ('g.md', 'x', 47, 'time', 'let/denote', 1), ('h.md', 'w', 9, 'work', 'let/be', 0)) v(file_id, symbol, anchor, description, construction, depth)""",
     "hygiene_hints": """select * from (values ('d.md', 'used-before-explicit-definition', 'q', 5), ('e.md', 'defined-but-unused', 'k', 5)) v(file_id, code, symbol, "at")""",
+    "quantity_descriptions": """select id::int as id, kind, unit, code from (values (1, 'energy', null, null), (2, 'mass', 'second', 'quantity-unit-dimension-mismatch'), (3, 'velocity', 'metre-per-second', null), (4, 'pressure', null, null),
+        (5, null, null, null), (6, null, null, null), (7, 'electric-charge', null, null), (8, 'area', null, null)) v(id, kind, unit, code)""",
+    "unit_catalog": """select unit, dimension, kinds::bigint as kinds from (values ('metre', 'length:1/1', 1), ('second', 'time:1/1', 1), ('kilogram', 'mass:1/1', 1), ('ampere', 'electric-current:1/1', 1), ('kelvin', 'thermodynamic-temperature:1/1', 1),
+        ('metre-per-second', 'length:1/1 time:-1/1', 1), ('metre-per-second-squared', 'length:1/1 time:-2/1', 1), ('newton', 'length:1/1 mass:1/1 time:-2/1', 1), ('volt', 'electric-current:-1/1 length:2/1 mass:1/1 time:-3/1', 1),
+        ('ohm', 'electric-current:-2/1 length:2/1 mass:1/1 time:-3/1', 1), ('hertz', 'time:-1/1', 1)) v(unit, dimension, kinds)""",
+    "formula_facts": """select * from (values ('law.md', 'canonical', 'equals(F,product(m,a))', null), ('law.md', 'law', 'classical-mechanics:newton-second-law', 'typed'),
+        ('bad.md', 'canonical', 'equals(v,quotient(m,t))', null), ('bad.md', 'diagnostic', 'quantity-assignment-dimension-mismatch', null),
+        ('open.md', 'canonical', 'equals(P,dot(F,v))', null), ('open.md', 'law', 'classical-mechanics:mechanical-power', 'inferable'),
+        ('sum.md', 'canonical', 'sum(m,t)', null), ('sum.md', 'diagnostic', 'quantity-addition-dimension-mismatch', null), ('sum.md', 'canonical', 'less-or-equal(sum(power(x,2),1),derivative(y,x))', null),
+        ('none.md', 'canonical', 'equals(f,quotient(1,T))', null), ('none.md', 'unparsed', null, null)) v(file_id, what, value, support)""",
 }
