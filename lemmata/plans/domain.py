@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lemmata.functions import quantities
-from lemmata.operators import definitions, laws
+from lemmata.operators import definitions, laws, navigation
 
 # (file, text); our own documents
 DOCS = [
@@ -77,7 +77,24 @@ def formula_facts(spark, sf_dir):
     return laws.formula_facts(docs).filter("what <> 'canonical' or instr(value, '(') > 0").select("file_id", "what", "value", "support")
 
 
-QUERIES = {f.__name__: f for f in (definition_lookup, definition_rows, hygiene_hints, quantity_descriptions, unit_catalog, formula_facts)}
+# (request, file, where the use starts, new name)
+RENAMES = [(1, "a.md", 38, "y"), (2, "a.md", 38, "z"), (3, "b.md", 9, "y"), (4, "a.md", 5, "two"), (5, "j.md", 52, "p"), (6, "j.md", 52, "r"), (7, "g.md", 32, "y"), (8, "a.md", 7, "y")]
+CAPTURE_DOC = ("j.md", "Let $n$ denote count. Let $p$ denote pressure. Use $n$ and $p$.")
+
+
+def symbol_references(spark, sf_dir):
+    """All uses of each established definition."""
+    return navigation.references(_docs(spark)).select("file_id", "definition", "symbol", "use", "is_declaration", "refusal")
+
+
+def rename_plans(spark, sf_dir):
+    """Edits of a rename, or why it is refused."""
+    docs = _docs(spark).unionByName(spark.createDataFrame([CAPTURE_DOC], "file_id string, content string"))
+    requests = spark.createDataFrame(RENAMES, "request int, file_id string, at int, new_name string")
+    return navigation.renames(docs, requests).select("request", "refusal", F.array_join(F.transform("edits", lambda e: e.cast("string")), " ").alias("edits"))
+
+
+QUERIES = {f.__name__: f for f in (definition_lookup, definition_rows, hygiene_hints, quantity_descriptions, unit_catalog, formula_facts, symbol_references, rename_plans)}
 ORACLES = {
     "definition_lookup": """select * from (values ('a.md', 5, 'z', 'established', 5), ('a.md', 38, 'z', 'established', 5), ('b.md', 9, 'z', 'unsupported', null), ('c.tex', 68, 'z', 'unsupported', null),
         ('d.md', 5, 'q', 'unsupported', null), ('d.md', 20, 'q', 'established', 20), ('e.md', 5, 'k', 'established', 5), ('f.md', 5, 'm', 'unsupported', null), ('f.md', 35, 'm', 'unsupported', null),
@@ -95,4 +112,7 @@ ORACLES = {
         ('open.md', 'canonical', 'equals(P,dot(F,v))', null), ('open.md', 'law', 'classical-mechanics:mechanical-power', 'inferable'),
         ('sum.md', 'canonical', 'sum(m,t)', null), ('sum.md', 'diagnostic', 'quantity-addition-dimension-mismatch', null), ('sum.md', 'canonical', 'less-or-equal(sum(power(x,2),1),derivative(y,x))', null),
         ('none.md', 'canonical', 'equals(f,quotient(1,T))', null), ('none.md', 'unparsed', null, null)) v(file_id, what, value, support)""",
+    "symbol_references": """select *, use = definition as is_declaration, null as refusal from (values ('a.md', 5, 'z', 5), ('a.md', 5, 'z', 38), ('d.md', 20, 'q', 20), ('e.md', 5, 'k', 5), ('g.md', 11, 'x', 11), ('g.md', 11, 'x', 32),
+        ('g.md', 47, 'x', 47), ('g.md', 47, 'x', 68), ('h.md', 9, 'w', 9), ('h.md', 9, 'w', 26)) v(file_id, definition, symbol, use)""",
+    "rename_plans": """select * from (values (1, null, '5 38'), (2, 'invalid-replacement', null), (3, 'unsupported', null), (4, 'invalid-replacement', null), (5, 'capture', null), (6, null, '5 52'), (7, null, '11 32'), (8, 'unsupported', null)) v(request, refusal, edits)""",
 }
