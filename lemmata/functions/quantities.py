@@ -6,6 +6,8 @@ no term, or equally long terms of different kinds.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,11 @@ def dimension_name(exponents: dict) -> str:
     return " ".join(f"{b}:{e.numerator}/{e.denominator}" for b, e in sorted(exponents.items()) if e)
 
 
+def named_dimension(name: str) -> dict[str, Fraction]:
+    """The exponents that ``dimension_name`` spells."""
+    return {b: Fraction(e) for b, _, e in (part.partition(":") for part in name.split())}
+
+
 KIND_DIMENSION = {k: dimension(d) for k, d, _ in _cells(KINDS)}
 UNIT_DIMENSION = {u: dimension(d) for u, _, d, _ in _cells(UNITS)}
 

@@ -33,6 +33,39 @@ LONGEST = 120
 SCHEMA = "file_id string, symbol string, anchor int, available int, start int, end int, description string, construction string, scope array<int>"
 
 
+_ROW = re.compile(r"^\|[ \t]*\$[^$|\n]+\$[ \t]*\|[ \t]*([^|\n]*[^|\s])[ \t]*\|", re.M)
+_BETWEEN = re.compile(r"\s*(?:,|,?\s*and)\s*")
+_PLAIN = re.compile(r"[A-Za-z0-9 '-]+")
+_RELATIVE = re.compile(r"\s+(?:who|that|which|whose)\b.*", re.S | re.I)
+# Verbs by which several symbols are defined at once after each lead.
+SHARED = {"let": r"(?:denote|represent|mean|stand for)", "we write": "for", "denote by": "", "": r"(?:denote|represent|mean|stand for)"}
+_ALIGNED = re.compile(r",?\s*(?:respectively|in that order)$", re.I)
+
+
+def asserted(live: str, start: int, end: int) -> bool:
+    """Whether the clause around a region is neither hedged, conditional nor negated."""
+    head = max((live.rfind(c, 0, start) for c in ".!?;\n"), default=-1) + 1
+    stop = re.search(r"[.!?;\n]", live[end:])
+    before, after = live[head:start].strip(), live[end : end + stop.start() if stop else len(live)]
+    return not (_HEDGED.search(before) or _HEDGED.search(after) or _NEGATED.search(before) or _NEGATED.search(after))
+
+
+def shared_descriptions(lead: str, text: str, n: int) -> list[str] | None:
+    """The descriptions of n symbols between a lead and a text such as "denote mass and time respectively"; None if they cannot be dealt out."""
+    verb = SHARED.get(lead)
+    found = re.match(rf"\s+{verb}\s+(.+)" if verb else r"\s+(.+)", text, re.S | re.I) if verb is not None else None
+    if found:
+        what = found[1].strip(" ,:")
+        bare = _ALIGNED.sub("", what)
+        if bare != what or (lead in ("let", "we write") and re.search(r",|\band\b", bare)):
+            each = [p.strip() for p in re.split(r",\s*(?:and\s+)?|\s+and\s+", bare)]
+            return each if len(each) == n and all(each) else None
+    if lead == "let" and (found := re.match(r"\s+(?:as|denote|represent|mean|stand for|to be|be|are)\s+(.+)", text, re.S | re.I)):
+        what = _RELATIVE.sub("", found[1].strip(" ,:"))
+        return [what] * n if _PLAIN.fullmatch(what) else None
+    return None
+
+
 def of_document(content: str) -> list[tuple]:
     """(symbol, anchor, available, start, end, description, construction, scope) in UTF-16 units."""
     live, units = front.masked(content), front.utf16(content)
@@ -42,9 +75,34 @@ def of_document(content: str) -> list[tuple]:
     for r in rows:
         if r[0] == "symbol":
             symbols.setdefault(r[6], []).append(r)
-    out = []
+    out: list[tuple] = []
+    listed: set[int] = set()  # symbols that follow another one of a list
+    for row in _ROW.finditer(live):
+        m = next((m for m in maths if row.start() <= m[2] < row.end()), None)
+        own = symbols.get(m[6], []) if m else []
+        if len(own) == 1 and own[0][4] == m[4] and len(row[1].encode()) <= LONGEST and "=" not in row[1] and "$" not in row[1]:
+            out.append((own[0][4], units[own[0][2]], units[row.end()], units[row.start()], units[row.end()], row[1].strip(), "table/row", m[5]))
     for i, m in enumerate(maths):
+        if i in listed:
+            continue
         own = symbols.get(m[6], [])
+        last = i
+        while last + 1 < len(maths) and _BETWEEN.fullmatch(live[maths[last][3] : maths[last + 1][2]]):
+            last += 1
+        if last > i:
+            listed |= set(range(i + 1, last + 1))
+            group = [symbols.get(g[6], []) for g in maths[i : last + 1]]
+            begin = max((live.rfind(c, 0, m[2]) for c in ".!?;\n"), default=-1) + 1
+            stop = maths[last + 1][2] if last + 1 < len(maths) else len(live)
+            tail = re.split(r"[.;\n]", live[maths[last][3] : min(stop, maths[last][3] + 240)])[0]
+            whole = all(len(g) == 1 and g[0][4] == r[4] for g, r in zip(group, maths[i : last + 1]))
+            each = shared_descriptions(live[begin : m[2]].strip().rsplit(",", 1)[-1].strip().lower(), tail, len(group)) if whole and asserted(live, m[2], maths[last][3]) else None
+            done = maths[last][3] + len(tail)
+            first = begin + len(live[begin:]) - len(live[begin:].lstrip())
+            for g, what in zip(group, each or ()):
+                if len(what.encode()) <= LONGEST and "=" not in what:
+                    out.append((g[0][4], units[g[0][2]], units[done], units[first], units[done], what, "shared/list", m[5]))
+            continue
         if len(own) != 1 or own[0][4] != m[4]:
             continue
         head = max((live.rfind(c, 0, m[2]) for c in ".!?;\n"), default=-1) + 1
@@ -94,7 +152,7 @@ def resolved_uses(docs: DataFrame) -> DataFrame:
 
 def hygiene(docs: DataFrame) -> DataFrame:
     """Hints (file_id, code, symbol, at) for symbols with exactly one definition: a use before it, or none at all."""
-    once = definitions(docs).groupBy("file_id", "symbol").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor"), F.min("scope").alias("scope")).filter("n = 1")
+    once = definitions(docs).groupBy("file_id", "symbol").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor"), F.min("scope").alias("scope"), F.min("construction").alias("_by")).filter("n = 1 and _by not like 'table/%'")
     uses = front.syntax(docs).filter("kind = 'symbol'").select("file_id", F.col("text").alias("symbol"), "start", F.col("scope").alias("use_scope"))
     near = once.join(uses, ["file_id", "symbol"], "left").filter(F.col("start").isNull() | (F.slice("use_scope", F.lit(1), F.size("scope")) == F.col("scope")))
     seen = near.groupBy("file_id", "symbol", "anchor").agg(F.min(F.when(F.col("start") < F.col("anchor"), F.col("start"))).alias("before"), F.count_if(F.col("start") != F.col("anchor")).alias("others"))

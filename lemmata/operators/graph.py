@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """A round's rows as a table in the shared folder, which cuts the lineage."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -23,14 +23,14 @@ def _stored(df: DataFrame) -> DataFrame:
 
 def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, node): all nodes reachable over edges (src, dst) from each seed (node), itself included."""
-    reached = _stored(seeds.select(F.col("node").alias("root"), "node").distinct())
+    reached = stored(seeds.select(F.col("node").alias("root"), "node").distinct())
     frontier = reached
     while True:
         step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("root", F.col("dst").alias("node")).distinct()
-        frontier = _stored(step.join(reached, ["root", "node"], "left_anti"))
+        frontier = stored(step.join(reached, ["root", "node"], "left_anti"))
         if not frontier.limit(1).count():
             return reached
-        reached = _stored(reached.unionByName(frontier))
+        reached = stored(reached.unionByName(frontier))
 
 
 def affected(changed: DataFrame, includes: DataFrame) -> DataFrame:
@@ -41,13 +41,13 @@ def affected(changed: DataFrame, includes: DataFrame) -> DataFrame:
 
 def component_labels(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of undirected edges (src, dst)."""
-    both = _stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = _stored(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("label")))
+    both = stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = stored(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("label")))
     while True:
         near = both.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("hook"))
         jump = labels.select(F.col("node").alias("hook"), F.col("label").alias("jump"))
-        after = _stored(hooked.join(jump, "hook").select("node", F.least("hook", "jump").alias("new"), "label"))
+        after = stored(hooked.join(jump, "hook").select("node", F.least("hook", "jump").alias("new"), "label"))
         labels = after.select("node", F.col("new").alias("label"))
         if not after.filter("new <> label").limit(1).count():
             return labels

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmata.operators import definitions
@@ -62,3 +62,11 @@ def renames(docs: DataFrame, requests: DataFrame, cap: int = FAN_OUT) -> DataFra
         .when(F.col("captures"), "capture")
     )
     return plan.withColumn("refusal", refusal).select("request", "refusal", F.when(F.col("refusal").isNull(), F.col("edits")).alias("edits"))
+
+
+def selections(docs: DataFrame, cursors: DataFrame) -> DataFrame:
+    """(cursor, rank, kind, start, end): the ranges of a document around each cursor (cursor, file_id, at), innermost first."""
+    ranges = front.syntax(docs).select("file_id", "kind", "start", "end")
+    held = cursors.join(ranges, "file_id").filter((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
+    order = Window.partitionBy("cursor").orderBy(F.col("end") - F.col("start"), "start", "kind")
+    return held.select("cursor", F.row_number().over(order).alias("rank"), "kind", "start", "end")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lemmata.functions import quantities
-from lemmata.operators import definitions, laws, navigation
+from lemmata.operators import constraints, definitions, laws, navigation
 
 # (file, text); our own documents
 DOCS = [
@@ -94,7 +94,53 @@ def rename_plans(spark, sf_dir):
     return navigation.renames(docs, requests).select("request", "refusal", F.array_join(F.transform("edits", lambda e: e.cast("string")), " ").alias("edits"))
 
 
-QUERIES = {f.__name__: f for f in (definition_lookup, definition_rows, hygiene_hints, quantity_descriptions, unit_catalog, formula_facts, symbol_references, rename_plans)}
+# Our own documents: shapes that fit, that do not, and a redeclaration; comparisons; implied dimensions; lists and tables.
+CONSTRAINT_DOCS = [
+    ("fits.md", "Let $A$ denote a 2 by 3 matrix. Let $x$ denote a 3-dimensional vector. Then $y = A x$."),
+    ("clash.md", "Let $A$ denote a 2 by 3 matrix. Let $x$ denote a 4-dimensional vector. Then $y = A x$."),
+    ("sum.md", "Let $A$ denote a 2 by 3 matrix. Let $s$ denote a scalar. Then $A + s$, and $0 + A$."),
+    ("again.md", "Let $v$ denote a 3-dimensional vector. Let $v$ denote a 4-dimensional vector."),
+    ("order.md", "Take $k < n$. Later $n \\le k$ and $k = n$."),
+    ("even.md", "Take $k < n$. Even with $k = n$ it holds."),
+    ("parts.md", "# One\nTake $k < n$.\n# Two\nTake $k > n$."),
+    ("chain.md", "Let $x$ denote length. Let $t$ denote duration. Then $v = x/t$, $a = v/t$ and $b = a + c$."),
+    ("list.md", "Let $m$, $t$ and $q$ denote mass, time and charge respectively. Let $u$ and $w$ be speeds that vary. Let $g$ and $h$ denote force."),
+    ("bad.md", "Let $m$ and $t$ denote mass, time and charge. Perhaps $a$ and $b$ denote mass and time respectively."),
+    ("table.md", "| symbol | meaning |\n| --- | --- |\n| $N$ | sample count |\n| $r_1$ | inner radius |\n"),
+]
+
+
+def _constraint_docs(spark, *names):
+    return spark.createDataFrame([d for d in CONSTRAINT_DOCS if d[0].split(".")[0] in names], "file_id string, content string")
+
+
+def shape_conflicts(spark, sf_dir):
+    """Shapes that cannot fit, in products, sums and redeclarations."""
+    return constraints.shape_diagnostics(_constraint_docs(spark, "fits", "clash", "sum", "again"))
+
+
+def comparison_conflicts(spark, sf_dir):
+    """Asserted comparisons that exclude each other; concessive ones and those of sibling sections do not."""
+    return constraints.comparison_conflicts(_constraint_docs(spark, "order", "even", "parts"))
+
+
+def derived_dimensions(spark, sf_dir):
+    """Dimensions that formulas imply, over rounds."""
+    return constraints.derived_dimensions(_constraint_docs(spark, "chain"))
+
+
+def listed_definitions(spark, sf_dir):
+    """Definitions of several symbols at once, and of notation tables."""
+    return definitions.definitions(_constraint_docs(spark, "list", "bad", "table")).select("file_id", "symbol", "description", "construction")
+
+
+def selection_ranges(spark, sf_dir):
+    """Nested ranges around cursors, innermost first."""
+    cursors = spark.createDataFrame([(1, "a.md", 5), (2, "a.md", 0), (3, "h.md", 8), (4, "g.md", 2)], "cursor int, file_id string, at int")
+    return navigation.selections(_docs(spark), cursors)
+
+
+QUERIES = {f.__name__: f for f in (definition_lookup, definition_rows, hygiene_hints, quantity_descriptions, unit_catalog, formula_facts, symbol_references, rename_plans, shape_conflicts, comparison_conflicts, derived_dimensions, listed_definitions, selection_ranges)}
 ORACLES = {
     "definition_lookup": """select * from (values ('a.md', 5, 'z', 'established', 5), ('a.md', 38, 'z', 'established', 5), ('b.md', 9, 'z', 'unsupported', null), ('c.tex', 68, 'z', 'unsupported', null),
         ('d.md', 5, 'q', 'unsupported', null), ('d.md', 20, 'q', 'established', 20), ('e.md', 5, 'k', 'established', 5), ('f.md', 5, 'm', 'unsupported', null), ('f.md', 35, 'm', 'unsupported', null),
@@ -115,4 +161,11 @@ ORACLES = {
     "symbol_references": """select *, use = definition as is_declaration, null as refusal from (values ('a.md', 5, 'z', 5), ('a.md', 5, 'z', 38), ('d.md', 20, 'q', 20), ('e.md', 5, 'k', 5), ('g.md', 11, 'x', 11), ('g.md', 11, 'x', 32),
         ('g.md', 47, 'x', 47), ('g.md', 47, 'x', 68), ('h.md', 9, 'w', 9), ('h.md', 9, 'w', 26)) v(file_id, definition, symbol, use)""",
     "rename_plans": """select * from (values (1, null, '5 38'), (2, 'invalid-replacement', null), (3, 'unsupported', null), (4, 'invalid-replacement', null), (5, 'capture', null), (6, null, '5 52'), (7, null, '11 32'), (8, 'unsupported', null)) v(request, refusal, edits)""",
+    "shape_conflicts": """select * from (values ('clash.md', 'constraint-product-shape-conflict', 76), ('sum.md', 'constraint-shape-conflict', 62), ('again.md', 'notation-shape-conflict', 44)) v(file_id, code, "at")""",
+    "comparison_conflicts": """select file_id, 'constraint-comparison-conflict' as code, l as "left", r as "right", a as first, b as second from (values ('order.md', 'k', 'n', 5, 20), ('order.md', 'k', 'n', 5, 34)) v(file_id, l, r, a, b)""",
+    "derived_dimensions": """select file_id, symbol, dimension, round, false as truncated from (values ('chain.md', 'x', 'length:1/1', 0), ('chain.md', 't', 'time:1/1', 0), ('chain.md', 'v', 'length:1/1 time:-1/1', 1),
+        ('chain.md', 'a', 'length:1/1 time:-2/1', 2), ('chain.md', 'b', 'length:1/1 time:-2/1', 3), ('chain.md', 'c', 'length:1/1 time:-2/1', 3)) v(file_id, symbol, dimension, round)""",
+    "listed_definitions": """select * from (values ('list.md', 'm', 'mass', 'shared/list'), ('list.md', 't', 'time', 'shared/list'), ('list.md', 'q', 'charge', 'shared/list'), ('list.md', 'u', 'speeds', 'shared/list'), ('list.md', 'w', 'speeds', 'shared/list'),
+        ('list.md', 'g', 'force', 'shared/list'), ('list.md', 'h', 'force', 'shared/list'), ('table.md', 'N', 'sample count', 'table/row'), ('table.md', 'r_1', 'inner radius', 'table/row')) v(file_id, symbol, description, construction)""",
+    "selection_ranges": """select cursor, rank, kind, s as start, e as "end" from (values (1, 1, 'symbol', 5, 6), (1, 2, 'math', 4, 7), (3, 1, 'math', 8, 11), (4, 1, 'heading', 0, 5)) v(cursor, rank, kind, s, e)""",
 }
