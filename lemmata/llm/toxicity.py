@@ -156,7 +156,9 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id",
                 buckets, first = tokens(arrays.text_of(part, text_col))
                 label = np.repeat(arrays.column(part, "_label").to_numpy(), np.diff(first))
                 for k in (0, 1):
-                    sums[k] += np.bincount(buckets[:, label == k].reshape(-1), minlength=1 << BITS)
+                    own = buckets[:, label == k]
+                    more = own[1:][own[1:] != own[0]]  # a short token is its own beginning and counts once
+                    sums[k] += np.bincount(np.concatenate([own[0], more]), minlength=1 << BITS)
         used = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used]), pa.array(sums[1, used])], names=["bucket", "n0", "n1"])
 
