@@ -1,20 +1,29 @@
-"""Line dedup by content-defined chunks.
-
-A text is split at \\n.  A rolling hash over the hashes of the last ``WINDOW``
-lines ends a chunk where it falls under a fixed share, so boundaries depend on
-nearby content alone and survive shifts.  Of a chunk of at least ``MIN_LINES``
-lines with words that occurs again anywhere in the corpus, the first occurrence (smallest id,
-then position) stays and the others are removed, after their bytes were compared.
-
-Only chunk hashes are grouped first; a filter of fixed size over those that repeat
-decides which chunks leave their task as text, and these are grouped by their
-bytes with partial aggregation, so a chunk that a third of
+"""Line dedup by repeated passages of whole lines.
+
+A text is split at \\n.  A passage is at least ``MIN_LINES`` lines with words (lines of
+white space between them belong to it) of at least ``MIN_BYTES`` bytes, with a break for
+each line.  Of a passage that occurs again anywhere in the corpus, the first occurrence
+(smallest id, then position) stays, but for lines that another passage already
+repeats from before it, and the others are removed, after their bytes were compared.  A passage
+does not repeat itself where it overlaps its first occurrence, so of a line said five
+times in a row two stay.
+
+Every repeated passage is covered by its shortest parts that are passages: from each line the
+shortest forwards, and the shortest backwards.  These windows depend on
+their own bytes alone, so neither a passage's length nor its neighbours
+decide what is found.
+
+Only window hashes are grouped first; a filter of fixed size over those that repeat
+decides which windows leave their task as text, and these are grouped by their
+bytes with partial aggregation, so a window that a third of
 all documents share costs one row per task.  Null text counts as empty and has
-no chunk to remove.  Rows of equal id must not differ in text.
+no passage to remove.  A null id counts as larger than any other; rows of equal id (or none) are told
+apart by a digest of their text, and rows equal in both do not repeat each other.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,80 +34,76 @@ from pyspark.sql import functions as F
 from lemmata.llm import arrays
 from lemmata.llm.storage import stored
 
-#: Lines the boundary hash sees; one in so many lines ends a chunk; fewest lines and bytes of a removable chunk.
-WINDOW, SHARE, MIN_LINES, MIN_BYTES = 2, 3, 2, 40
-#: Bits of the fixed-size filter over repeated chunk hashes, as a power of two.
+#: Fewest lines with words and fewest bytes of a removable passage.
+MIN_LINES, MIN_BYTES = 2, 40
+#: Bits of the fixed-size filter over repeated window hashes, as a power of two.
 BLOOM_BITS = 23
 
 
-def chunks(data: np.ndarray, off: np.ndarray, window: int = WINDOW, share: int = SHARE) -> tuple[np.ndarray, ...]:
-    """Begin, end, lines, row and hash of each chunk; chunks cover each text, line breaks included."""
+def lines_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end (with the line break) and row of each line."""
     starts = np.unique(np.concatenate([off[:-1][np.diff(off) > 0], np.flatnonzero(data == 10) + 1]))
     starts = starts[starts < len(data)]
-    ends = np.append(starts[1:], len(data))
-    row = arrays.row_of(starts, off)
-    h = arrays.hash_spans(data, starts, ends - (data[ends - 1] == 10) if len(ends) else ends)
-    last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
-    roll = np.zeros(len(h), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(window):
-            roll[k:] += h[: len(h) - k] * np.uint64(2 * k + 3)
-        cut = last | (arrays.mix(roll) % np.uint64(share) == 0)
-    # the first lines of a text see lines of the text before it: their boundary is decided by their own hash
-    if len(row):
-        head = np.zeros(len(row), bool)
-        for k in range(window - 1):
-            head[k:] |= np.append(np.full(k, False), (row[1:] != row[:-1]))[: len(row) - k] if k else np.append(True, row[1:] != row[:-1])
-        cut = np.where(head, last | (arrays.mix(h) % np.uint64(share) == 0), cut)
-    stop = np.flatnonzero(cut)
-    begin = np.concatenate([[0], stop[:-1] + 1]).astype(np.int64) if len(stop) else np.zeros(0, np.int64)
-    a, b = starts[begin], ends[stop]
-    tail = b - (data[b - 1] == 10) if len(b) else b
-    return a, b, stop - begin + 1, row[begin], arrays.hash_spans(data, a, tail)
-
-
-def _removable(data, a, b, lines):
-    return (lines >= MIN_LINES) & (b - a >= MIN_BYTES)
+    return starts, np.append(starts[1:], len(data)), arrays.row_of(starts, off)
+
+
+def windows(data: np.ndarray, off: np.ndarray, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES) -> tuple[np.ndarray, ...]:
+    """Begin, end (without the last break), row, first and last line in that row, and hash of each shortest passage."""
+    starts, ends, row = lines_of(data, off)
+    ends = ends - (data[ends - 1] == 10) if len(starts) else ends[:0]
+    words = np.concatenate([[0], np.cumsum(~arrays.SPACE[data])])
+    line = np.flatnonzero(words[ends] > words[starts])
+    a, b, r = starts[line], ends[line], row[line]
+    i = np.arange(len(line))
+    ahead = np.maximum(i + min_lines - 1, np.searchsorted(b, a + min_bytes - 1))
+    back = np.minimum(i - min_lines + 1, np.searchsorted(a, b - min_bytes + 1, "right") - 1)
+    pairs = np.concatenate([np.stack([i, ahead], 1), np.stack([back, i], 1)])
+    pairs = pairs[(pairs[:, 0] >= 0) & (pairs[:, 1] < len(line))]
+    pairs = pairs[r[pairs[:, 0]] == r[pairs[:, 1]]]
+    i, j = np.divmod(np.unique(pairs[:, 0] * len(line) + pairs[:, 1]), max(len(line), 1))
+    top = np.searchsorted(row, r[i])
+    return a[i], b[j], r[i], line[i] - top, line[j] - top, arrays.hash_spans(data, a[i], b[j])
+
+
+def _sha(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()[:16]
 
 
 def repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk): the chunks to remove, by position in their text."""
+    """(id, sha, at, to): the first and last line of the windows to remove, in the text of that id and digest (16 bytes)."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in arrays.slices(batch, text_col):
-                data, off = arrays.raw(arrays.text_of(part, text_col))
-                a, b, lines, _, h = chunks(data, off)
-                h, n = np.unique(h[_removable(data, a, b, lines)], return_counts=True)
+                h, n = np.unique(windows(*arrays.raw(arrays.text_of(part, text_col)))[-1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     kind = dict(df.dtypes)[id_col]
     rows = df.select(id_col, text_col)
-    again = stored(rows.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "chunks")
+    again = stored(rows.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "windows")
     bloom = rows.sparkSession.sparkContext.broadcast(_bloom(again))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in arrays.slices(batch, text_col):
                 data, off = arrays.raw(arrays.text_of(part, text_col))
-                a, b, lines, row, h = chunks(data, off)
-                number = np.arange(len(a)) - np.searchsorted(row, row)
+                a, b, row, at, to, h = windows(data, off)
                 maybe = np.ones(len(h), bool)
                 for k in range(2):
                     slot = _slots(h, k)
                     maybe &= (bloom.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-                keep = np.flatnonzero(_removable(data, a, b, lines) & maybe)
+                keep = np.flatnonzero(maybe)
                 ids = arrays.column(part, id_col).take(pa.array(row[keep]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number[keep], pa.int32()), pa.array(h[keep].view(np.int64)), pa.array([_body(data[i:j]) for i, j in zip(a[keep], b[keep])], pa.binary())], names=["doc", "chunk", "h", "body"])
-
-    found = rows.mapInArrow(bodies, f"doc {kind}, chunk int, h long, body binary")
-    first = found.groupBy("h", "body").agg(F.min(F.struct("doc", "chunk")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "body", "first")
-    return found.join(first, ["h", "body"]).filter(F.struct("doc", "chunk") != F.col("first")).select(F.col("doc").alias(id_col), "chunk")
-
+                sums = {r: _sha(data[off[r] : off[r + 1]].tobytes()) for r in np.unique(row[keep]).tolist()}
+                found = [pa.array([sums[r] for r in row[keep].tolist()], pa.binary()), pa.array(at[keep], pa.int32()), pa.array(to[keep], pa.int32()), pa.array(h[keep].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([ids, *found, pa.array([data[i:j].tobytes() for i, j in zip(a[keep], b[keep])], pa.binary())], names=["doc", "sha", "at", "to", "h", "body"])
 
-def _body(data: np.ndarray) -> bytes:
-    """A chunk's bytes without its closing line break, which the last line of a text may lack."""
-    return data.tobytes().removesuffix(b"\n")
+    found = rows.mapInArrow(bodies, f"doc {kind}, sha binary, at int, to int, h long, body binary")
+    place = F.struct(F.col("doc").isNull().alias("no"), "doc", "sha", "at", "to")
+    first = found.groupBy("h", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "body", "first")
+    here = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("sha") == F.col("first.sha"))
+    gone = found.join(first, ["h", "body"]).filter(~here | (F.col("at") > F.col("first.to")))
+    return gone.select(F.col("doc").alias(id_col), "sha", "at", "to")
 
 
 def _slots(h: np.ndarray, k: int) -> np.ndarray:
@@ -125,10 +130,12 @@ def _bloom(keys: DataFrame) -> np.ndarray:
 
 
 def drop_repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", measures: bool = False) -> DataFrame:
-    """The rows with repeated chunks taken out of their texts (an input null stays null); with ``measures`` also n_lines, n_removed_lines and n_removed_bytes."""
-    gone = repeated_chunks(df, id_col, text_col).groupBy(F.col(id_col).alias("_doc")).agg(F.collect_set("chunk").alias("_gone"))
-    joined = df.join(gone, F.col(id_col) == F.col("_doc"), "left").drop("_doc")
+    """The rows with repeated passages taken out of their texts (an input null stays null); with ``measures`` also n_lines, n_removed_lines and n_removed_bytes."""
+    span = F.shiftleft(F.col("at").cast("long"), 32) + F.col("to")
+    gone = repeated_chunks(df, id_col, text_col).groupBy(F.col(id_col).alias("_doc"), F.col("sha").alias("_sha")).agg(F.collect_set(span).alias("_gone"))
     own = df.columns
+    sha = F.unhex(F.substring(F.sha2(F.encode(F.col(text_col), "UTF-8"), 256), 1, 32))
+    joined = df.withColumn("_own", sha).join(gone, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_sha")), "left").select(*own, "_gone")
     names = [*own, *(["n_lines", "n_removed_lines", "n_removed_bytes"] if measures else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,20 +145,21 @@ def drop_repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 marks = arrays.column(part, "_gone")
                 rows = np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False))
                 data, off = arrays.raw(texts)
-                n_lines = np.diff(np.concatenate([[0], np.cumsum(data == 10)])[off]) + (np.diff(off) > 0)
-                if len(data):
-                    n_lines -= (data[np.maximum(off[1:] - 1, 0)] == 10) & (np.diff(off) > 0)
+                a, b, row = lines_of(data, off)
+                n_lines = np.bincount(row, minlength=len(texts))
                 lost_lines, lost_bytes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
                 col = arrays.column(part, text_col)
                 if len(rows):
-                    a, b, lines, row, _ = chunks(data, off)
                     out = col.to_pylist()
                     for r, gone_ in zip(rows.tolist(), marks.filter(marks.is_valid()).to_pylist()):
                         k0, k1 = np.searchsorted(row, [r, r + 1])
-                        keep = np.ones(k1 - k0, bool)
-                        keep[gone_] = False
+                        at, to = np.divmod(np.array(gone_, np.int64), 1 << 32)
+                        mark = np.zeros(k1 - k0 + 1, np.int64)
+                        np.add.at(mark, at, 1)
+                        np.add.at(mark, to + 1, -1)
+                        keep = np.cumsum(mark[:-1]) == 0
                         out[r] = b"".join(data[x:y].tobytes() for x, y in zip(a[k0:k1][keep], b[k0:k1][keep])).decode()
-                        lost_lines[r], lost_bytes[r] = lines[k0:k1][~keep].sum(), (b - a)[k0:k1][~keep].sum()
+                        lost_lines[r], lost_bytes[r] = (~keep).sum(), (b - a)[k0:k1][~keep].sum()
                     col = pa.array(out, col.type)
                 cols = [col if n == text_col else arrays.column(part, n) for n in own]
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(n_lines), pa.array(lost_lines), pa.array(lost_bytes)] if measures else []), names=names)

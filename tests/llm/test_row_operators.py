@@ -225,3 +225,43 @@ def test_line_chunks(spark):
         left = iter(rows[i][1].split("\n"))
         assert all(k in left for k in kept)
     assert repeated_chunks(df.filter("doc_id = 3")).count() == 0
+
+
+def brute_lines(rows):
+    """Kept lines of each row: every run of lines with words at both ends, two of them and 40 bytes at least, against all earlier ones."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, hashlib.sha256((rows[i][1] or "").encode()).digest()))
+    same = lambda i, k: rows[i] == rows[k]
+    split = [re.findall(r"[^\n]*\n|[^\n]+", t or "") for _, t in rows]
+    first, gone = {}, [set() for _ in rows]
+    for i in order:
+        k = split[i]
+        solid = [j for j, line in enumerate(k) if line.strip()]
+        for x, a in enumerate(solid):
+            for b in solid[x + 1 :]:
+                key = "".join(k[a : b + 1]).removesuffix("\n")
+                if len(key.encode()) + 1 < 40:
+                    continue
+                f, _, to = first.setdefault(key, (i, a, b))
+                if a > to if same(f, i) else True:
+                    gone[i].update(range(a, b + 1))
+    return ["".join(line for j, line in enumerate(k) if j not in g) for k, g in zip(split, gone)]
+
+
+def test_line_passages_equal_brute_force(spark):
+    """Passages of short and long lines, at all edges, within one text, under null ids and under one id with several texts."""
+    import numpy as np
+
+    from lemmata.llm.lines import drop_repeated_chunks
+
+    rng = np.random.default_rng(3)
+    line = lambda: "" if rng.random() < 0.2 else " ".join(f"w{k}" for k in rng.integers(0, 10_000, int(rng.integers(1, 12))))
+    passages = [[line() for _ in range(int(rng.integers(2, 9)))] for _ in range(8)] + [["a", "b", "c"] * 12, ["same line again and again"] * 5]
+    rows = []
+    for i in range(60):
+        parts = [passages[int(rng.integers(10))] if rng.random() < 0.4 else [line() for _ in range(3)] for _ in range(int(rng.integers(0, 6)))]
+        rows.append((None if i % 6 == 0 else i // 2, "\n".join(x for p in parts for x in p) + "\n" * int(rng.integers(2))))
+    rows += [(900, None), (None, None), (901, "\n\n\n"), rows[7]]
+    got = drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), measures=True).collect()
+    want = sorted(((d, None if t is None else k) for (d, t), k in zip(rows, brute_lines(rows))), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == want
+    assert sum(r["n_removed_lines"] for r in got) > 100
