@@ -18,7 +18,8 @@ suffixes are sorted anew.
 A shard sends equal surroundings once.  For anchors that more than ``HOT``
 documents hold, each string is sent by its own hash rather than by the anchor,
 so their strings spread over all buckets.  Texts equal to one of a smaller id
-(of at least ``length`` bytes) are covered throughout and are not compared at all.
+(of at least ``length`` bytes) are covered throughout and are not compared at all; they are
+told by id and digest, as rows of one id (or none) may differ in text.
 
 Null text counts as empty.  Documents of equal id do not cover each other, and a
 null id counts as larger than any other.
@@ -169,7 +170,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     sums = rows.select("doc", "batch", F.octet_length("text").alias("n"), F.sha2(body, 256).alias("sha")).filter(F.col("n") >= length)
     lowest = sums.groupBy("sha").agg(F.min(F.coalesce("doc", F.lit(_LAST_ID))).alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("sha", "first")
-    copies = sums.join(lowest, "sha").filter(F.coalesce("doc", F.lit(_LAST_ID)) > F.col("first")).groupBy("batch").agg(F.collect_set(F.coalesce("doc", F.lit(_LAST_ID))).alias("copies"))
+    copies = sums.join(lowest, "sha").filter(F.coalesce("doc", F.lit(_LAST_ID)) > F.col("first")).groupBy("batch").agg(F.collect_set(F.struct(F.coalesce("doc", F.lit(_LAST_ID)).alias("doc"), F.unhex("sha").alias("sha"))).alias("copies"))
 
     def keys_of(table: pa.Table) -> np.ndarray:
         out = []
@@ -191,7 +192,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not table.num_rows:
             return _rows([])
         batch = table.column("batch")[0].as_py()
-        whole = {d for c in answers.column("copies").to_pylist() if c for d in c}
+        whole = {(d["doc"], d["sha"]) for c in answers.column("copies").to_pylist() if c for d in c}
         kept = answers.filter(pa.array([c is not None for c in answers.column("classes").to_pylist()], pa.bool_()))
         got = []
         keys = []
@@ -206,7 +207,10 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keys.append(h)
             row0 += len(off) - 1
         classes = sharing.class_of(np.concatenate(keys), kept, buckets)
-        is_copy = np.isin(ids, np.fromiter(whole, np.int64, len(whole)))
+        is_copy = np.isin(ids, np.array([d for d, _ in whole], np.int64))
+        for data, off, _, _, r0 in got:  # other rows of that id may hold other texts
+            for i in np.flatnonzero(is_copy[r0 : r0 + len(off) - 1]).tolist():
+                is_copy[r0 + i] = (int(ids[r0 + i]), hashlib.sha256(data[off[i] : off[i + 1]]).digest()) in whole
         around, owner, place, label, hotness = [], [], [], [], []
         c0 = 0
         for (data, off, at, rows, r0), h in zip(got, keys):
@@ -285,7 +289,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 lines.append((2, batch, i, None, None, int(ids[i]), len(raw_), 0, 0, hashlib.sha256(raw_).hexdigest()))
         return _rows([(*o, None, None, None, None, None) for o in out] + lines)
 
-    answers = sharing.shared_classes(docs, keys_of, buckets).withColumn("copies", F.lit(None).cast("array<long>"))
+    answers = sharing.shared_classes(docs, keys_of, buckets).withColumn("copies", F.lit(None).cast("array<struct<doc: bigint, sha: binary>>"))
     answers = answers.unionByName(copies.select("batch", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("classes"), "copies"))
     table = stored(docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sharing.lean(entries), _SCHEMA), "surroundings")
 

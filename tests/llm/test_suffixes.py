@@ -83,3 +83,18 @@ def test_refine_blocks():
     for h, block in enumerate(refine(columns)):
         names = [tuple(columns[: h + 1, i]) for i in range(200)]
         assert len(set(block.tolist())) == len(set(names)) == len(set(zip(names, block.tolist())))
+
+
+def test_copies_are_told_by_text_as_well_as_id(spark):
+    """Null ids and ids with several texts, of which some equal an earlier text."""
+    from lemmata.llm.suffixes import drop_repeated_bytes, repeated_bytes
+
+    last = 2**63 - 1
+    a, b = "text A of more than fifty bytes, which a smaller id holds as well", "text B of more than fifty bytes that no other row holds, not at all"
+    rows = [(5, a), (5, b), (3, a), (None, a), (None, "unique text of a row without an id, more than fifty bytes long"), (None, "short"), (None, ""), (None, None)]
+    rows += [(None, t) if d % 5 == 0 else (100 + d // 40, t) for d, t in corpus(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((last if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_bytes(df).collect())
+    assert got == brute([(last if d is None else d, t) for d, t in rows])
+    kept = [(r["doc_id"], r["text"]) for r in drop_repeated_bytes(df).collect()]
+    assert all(x in kept for x in [(5, ""), (5, b), (3, a), (None, ""), rows[4], (None, "short"), (None, None)])
