@@ -265,3 +265,12 @@ def test_line_passages_equal_brute_force(spark):
     want = sorted(((d, None if t is None else k) for (d, t), k in zip(rows, brute_lines(rows))), key=str)
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == want
     assert sum(r["n_removed_lines"] for r in got) > 100
+
+
+def test_line_passages_without_ids_and_of_one_id(spark):
+    from lemmata.llm.lines import drop_repeated_chunks
+
+    shared = "a passage of two lines that repeats\nin rows without an id and of one id\n"
+    rows = [(1, shared + "own 1"), (None, "own 2\n" + shared), (5, "clean\n" * 2 + "text of id 5"), (5, shared + "end"), (None, "clean too")]
+    got = drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([rows[0], (None, "own 2\n"), rows[2], (5, "end"), rows[4]], key=str)
