@@ -3,8 +3,10 @@ r"""Chat formatting by schema fingerprint.
 A record is a JSON object in one of several layouts.  The set of its nested
 field paths (list elements as ``[]``) is hashed to a fingerprint, which selects a
 declarative mapping to canonical turns (role, text).  A record whose fingerprint
-is unknown gets the mapping whose paths it holds, most paths first; a record that fits none
-gives no turn and the mapping ``unknown``.
+is unknown gets the mapping whose paths it holds, most paths first.  A text at ``system`` that the
+mapping leaves out is the first turn, and of content that is a list of parts the
+texts are joined by \\n (other parts stay as JSON).  A record that fits none gives one row
+with the mapping and the role ``unknown`` and the record as its text.
 
 The template marks each turn and escapes control strings inside texts (and
 roles) by a backslash, so ``parse`` gives back what was formatted.
@@ -72,11 +74,14 @@ def mapping_of(record) -> tuple[str, str]:
     print_ = fingerprint(own)
     if print_ in KNOWN:
         return print_, KNOWN[print_]
-    fit = [(len(p), k) for k, v in LAYOUTS.items() if (p := layout_paths(v)) <= own]
+    held = lambda p: p in own or any(q.startswith(f"{p}[]") for q in own)  # noqa: E731  # a text, or a list of its parts
+    fit = [(len(p), k) for k, v in LAYOUTS.items() if all(map(held, p := layout_paths(v)))]
     return print_, max(fit, key=lambda x: (x[0], x[1]))[1] if fit else "unknown"
 
 
 def _text(v) -> str:
+    if isinstance(v, list) and any(isinstance(p, dict) and isinstance(p.get("text"), str) for p in v):
+        return "\n".join(p["text"] if isinstance(p, dict) and isinstance(p.get("text"), str) and p.keys() <= {"type", "text"} else _text(p) for p in v)
     return "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True)
 
 
@@ -85,7 +90,7 @@ def turns_of(record, mapping: str) -> list[tuple[str, str]]:
     if mapping == "unknown":
         return []
     layout = LAYOUTS[mapping]
-    out = []
+    out = [("system", _text(record["system"]))] if record.get("system") is not None and ("=system", "system") not in layout["turns"] else []
     for item in (record.get(layout["list"]) or []) if layout["list"] else [record]:
         if not isinstance(item, dict):
             continue
@@ -147,7 +152,8 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
                     except ValueError:
                         record = None
                     print_, mapping = mapping_of(record) if isinstance(record, dict) else (None, "unknown")
-                    rows += [(i, k, role, text, print_, mapping) for k, (role, text) in enumerate(turns_of(record, mapping))]
+                    turns = [("unknown", r)] if mapping == "unknown" and r is not None else turns_of(record, mapping)
+                    rows += [(i, k, role, text, print_, mapping) for k, (role, text) in enumerate(turns)]
                 at, part, role, text, print_, mapping = zip(*rows) if rows else ((),) * 6
                 at = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(

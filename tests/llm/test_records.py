@@ -87,3 +87,25 @@ def test_warc_round_trip(spark):
     small = write_archives(df, min_revisit_bytes=1)
     assert {r["record_type"] for r in read_records(small).filter("page_id in (30, 31)").collect()} == {"response"}
     assert read_records(write_archives(df.limit(0))).count() == 0
+
+
+def test_system_texts_content_parts_and_unknown_records_stay(spark):
+    from lemmata.llm.chat import canonical_turns, chat_digests
+
+    pair = [("user", "a"), ("assistant", "b")]
+    parts = [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, {"type": "text", "text": "c"}]
+    cases = [
+        ({"system": "s", "prompt": "a", "response": "b"}, [("system", "s"), *pair]),
+        ({"system": "s", "instruction": "a", "output": "b"}, [("system", "s"), *pair]),
+        ({"system": "s", "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}, [("system", "s"), *pair]),
+        ({"system": "s", "prompt": "a", "completion": "b", "id": 1}, [("system", "s"), *pair]),
+        ({"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": "b"}]}, [("user", 'a\n{"type": "image", "url": "u"}\nc'), ("assistant", "b")]),
+        ({"messages": [{"role": "user", "content": parts[:1]}]}, [("user", "a")]),
+        ({"other": 1}, [("unknown", '{"other": 1}')]),
+    ]
+    df = spark.createDataFrame([(i, 0, json.dumps(r)) for i, (r, _) in enumerate(cases)] + [(99, 0, "{")], "conv_id long, turn long, record string")
+    got = canonical_turns(df).orderBy("conv_id", "part").collect()
+    for i, (_, want) in enumerate(cases):
+        assert [(r["role"], r["text"]) for r in got if r["conv_id"] == i] == want
+    assert [(r["role"], r["text"], r["mapping"]) for r in got if r["conv_id"] == 99] == [("unknown", "{", "unknown")]
+    assert {r["conv_id"]: r["n_turns"] for r in chat_digests(df).collect()} == {i: len(w) for i, (_, w) in enumerate(cases)} | {99: 1}
