@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lemmata.llm import arrays
 from lemmata.llm.storage import partitions
@@ -175,8 +176,8 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
             more = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] if x else None for o, x in zip(out, loss)], pa.int32()), pa.array([o[2] if x else None for o, x in zip(out, loss)], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "formatted", "loss_begin", "loss_end"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.schema.fields)
-    return turns.mapInArrow(run, f"{schema}, formatted string, loss_begin int, loss_end int")
+    schema = StructType([*turns.schema.fields, StructField("formatted", StringType()), StructField("loss_begin", IntegerType()), StructField("loss_end", IntegerType())])
+    return turns.mapInArrow(run, schema)
 
 
 def conversation_digests(formatted: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:

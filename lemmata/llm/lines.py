@@ -16,8 +16,10 @@ decide what is found.
 Only window hashes are grouped first; a filter of fixed size over those that repeat
 decides which windows leave their task as text, and these are grouped by their
 bytes with partial aggregation, so a window that a third of
-all documents share costs one row per task.  Null text counts as empty and has
-no passage to remove.  A null id counts as larger than any other; rows of equal id (or none) are told
+all documents share costs one row per task.  When the windows meet their first
+occurrence, those whose hash makes up more than one of ``HOT`` of all windows (fewer than that many, so
+the list is bounded) are spread over ``SALTS`` keys by a hash of the id.  Null text counts as empty and has
+no passage to remove; an empty table gives no rows, other columns keep their values whatever their names.  A null id counts as larger than any other; rows of equal id (or none) are told
 apart by a digest of their text, and rows equal in both do not repeat each other.
 """
 
@@ -30,14 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lemmata.llm import arrays
-from lemmata.llm.storage import stored
+from lemmata.llm.storage import fresh, stored
 
 #: Fewest lines with words and fewest bytes of a removable passage.
 MIN_LINES, MIN_BYTES = 2, 40
 #: Bits of the fixed-size filter over repeated window hashes, as a power of two.
 BLOOM_BITS = 23
+#: A hash is hot if it has more than one of so many windows; keys over which a hot one is spread.
+HOT, SALTS = 4096, 64
 
 
 def lines_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,8 +85,11 @@ def repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = dict(df.dtypes)[id_col]
     rows = df.select(id_col, text_col)
-    again = stored(rows.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "windows")
+    again = stored(rows.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "windows")
+    total = again.agg(F.sum("n")).first()[0] or 0
+    hot = np.array([r[0] for r in again.filter(F.col("n") * HOT > total).select("h").collect()], np.int64)
     bloom = rows.sparkSession.sparkContext.broadcast(_bloom(again))
+    rows = df.select(id_col, text_col, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias(salted := fresh(df, "salt")[0]))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,13 +104,15 @@ def repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 ids = arrays.column(part, id_col).take(pa.array(row[keep]))
                 sums = {r: _sha(data[off[r] : off[r + 1]].tobytes()) for r in np.unique(row[keep]).tolist()}
                 found = [pa.array([sums[r] for r in row[keep].tolist()], pa.binary()), pa.array(at[keep], pa.int32()), pa.array(to[keep], pa.int32()), pa.array(h[keep].view(np.int64))]
-                yield pa.RecordBatch.from_arrays([ids, *found, pa.array([data[i:j].tobytes() for i, j in zip(a[keep], b[keep])], pa.binary())], names=["doc", "sha", "at", "to", "h", "body"])
+                salt = np.where(np.isin(h[keep].view(np.int64), hot), arrays.column(part, salted).to_numpy()[row[keep]], 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids, *found, pa.array([data[i:j].tobytes() for i, j in zip(a[keep], b[keep])], pa.binary()), pa.array(salt)], names=["doc", "sha", "at", "to", "h", "body", "salt"])
 
-    found = rows.mapInArrow(bodies, f"doc {kind}, sha binary, at int, to int, h long, body binary")
+    found = rows.mapInArrow(bodies, f"doc {kind}, sha binary, at int, to int, h long, body binary, salt int")
     place = F.struct(F.col("doc").isNull().alias("no"), "doc", "sha", "at", "to")
     first = found.groupBy("h", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "body", "first")
     here = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("sha") == F.col("first.sha"))
-    gone = found.join(first, ["h", "body"]).filter(~here | (F.col("at") > F.col("first.to")))
+    salts = F.when(F.array_contains(F.lit(hot.tolist()).cast("array<bigint>"), F.col("h")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    gone = found.join(first.withColumn("salt", F.explode(salts)), ["h", "body", "salt"]).filter(~here | (F.col("at") > F.col("first.to")))
     return gone.select(F.col("doc").alias(id_col), "sha", "at", "to")
 
 
@@ -132,17 +142,18 @@ def _bloom(keys: DataFrame) -> np.ndarray:
 def drop_repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", measures: bool = False) -> DataFrame:
     """The rows with repeated passages taken out of their texts (an input null stays null); with ``measures`` also n_lines, n_removed_lines and n_removed_bytes."""
     span = F.shiftleft(F.col("at").cast("long"), 32) + F.col("to")
-    gone = repeated_chunks(df, id_col, text_col).groupBy(F.col(id_col).alias("_doc"), F.col("sha").alias("_sha")).agg(F.collect_set(span).alias("_gone"))
+    doc, sha, marked, digest = fresh(df, "doc", "sha", "gone", "digest")
+    gone = repeated_chunks(df, id_col, text_col).groupBy(F.col(id_col).alias(doc), F.col("sha").alias(sha)).agg(F.collect_set(span).alias(marked))
     own = df.columns
-    sha = F.unhex(F.substring(F.sha2(F.encode(F.col(text_col), "UTF-8"), 256), 1, 32))
-    joined = df.withColumn("_own", sha).join(gone, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_sha")), "left").select(*own, "_gone")
+    rows = df.withColumn(digest, F.unhex(F.substring(F.sha2(F.encode(F.col(text_col), "UTF-8"), 256), 1, 32)))
+    joined = rows.join(gone, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(digest) == F.col(sha)), "left").select(*own, marked)
     names = [*own, *(["n_lines", "n_removed_lines", "n_removed_bytes"] if measures else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in arrays.slices(batch, text_col):
                 texts = arrays.text_of(part, text_col)
-                marks = arrays.column(part, "_gone")
+                marks = arrays.column(part, marked)
                 rows = np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False))
                 data, off = arrays.raw(texts)
                 a, b, row = lines_of(data, off)
@@ -164,5 +175,5 @@ def drop_repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 cols = [col if n == text_col else arrays.column(part, n) for n in own]
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(n_lines), pa.array(lost_lines), pa.array(lost_bytes)] if measures else []), names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.mapInArrow(run, schema + (", n_lines long, n_removed_lines long, n_removed_bytes long" if measures else ""))
+    schema = StructType(df.schema.fields + [StructField(n, LongType()) for n in names[len(own) :]])
+    return joined.mapInArrow(run, schema)
