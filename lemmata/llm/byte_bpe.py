@@ -3,7 +3,8 @@
 Long texts are cut at safe boundaries: in front of a white-space run that
 follows a non-space character, no match of the split pattern can go on, so the
 pieces encode independently.  Each distinct piece of a slice is encoded once;
-ids and raw bytes of the documents are then gathered by Arrow's ``take``.
+ids and raw bytes of the documents are then gathered by Arrow's ``take``.  A text without
+white space is one piece.
 
 Null and empty texts give no ids.  Repeated rows and ids are kept as they come.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +26,9 @@ from lemmata.llm import arrays
 
 #: Distinct pieces a Python worker remembers; affects speed only.
 CACHE_ENTRIES = 400_000
-#: White space beyond ASCII: texts that hold it are not cut.
-WIDE_SPACE = "[\u0085   -     　]"
+#: White space beyond ASCII: no cut stands right behind it.
+WIDE_SPACE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_WIDE = re.compile(b"|".join(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 class Codec:
@@ -61,9 +64,10 @@ class Codec:
         if len(data):
             space = arrays.SPACE[data]
             cut[1:-1] = space[1:] & ~space[:-1]
-            whole = pc.match_substring_regex(texts, WIDE_SPACE).to_numpy(zero_copy_only=False)
-            for row in np.flatnonzero(whole):
-                cut[offsets[row] : offsets[row + 1]] = False
+            wide = pc.match_substring_regex(texts, WIDE_SPACE).to_numpy(zero_copy_only=False)
+            for row in np.flatnonzero(wide).tolist():  # a run that begins with wider white space goes on
+                for m in _WIDE.finditer(data[offsets[row] : offsets[row + 1]].tobytes()):
+                    cut[offsets[row] + m.end()] = False
         cut[offsets] = True
         bounds = np.flatnonzero(cut)
         if len(bounds) < 2:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from lemmata.llm import arrays, sharing
 from lemmata.llm.components import components
+from lemmata.llm.skew import hot_join
 from lemmata.llm.shingles import WIDTH, shingle_sets
 from lemmata.llm.storage import stored
 
@@ -168,7 +169,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     label = components(_links(sets, percent)).withColumnRenamed("component", "top")
     some = rows.filter(F.col("node").isNotNull()).select("doc", "n", "node").join(label, "node", "left").withColumn("top", F.coalesce("top", "node"))
     some = stored(some.select("doc", "n", "top"), "members")
-    lowest = some.groupBy("top").agg(F.min("doc").alias("lowest"))
-    linked = some.join(lowest, "top").select("doc", "n", F.coalesce("lowest", "doc").alias("component_id"))
+    lowest = stored(some.groupBy("top").agg(F.min("doc").alias("lowest"), F.count("*").alias("members")), "lowest")
+    linked = hot_join(some, lowest, "top", "members", "doc").select("doc", "n", F.coalesce("lowest", "doc").alias("component_id"))
     alone = rows.filter(F.col("node").isNull()).select("doc", "n", F.col("doc").alias("component_id"))
     return linked.unionByName(alone).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

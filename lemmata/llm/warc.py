@@ -11,7 +11,9 @@ offset, neighbouring ranges are joined into reads of bounded size, and records
 are parsed from these.
 
 Null html counts as empty; null urls as the empty url; control characters in
-urls are percent-encoded.  Repeated page ids give a record each.
+urls are percent-encoded.  Repeated page ids give a record each, an empty table gives none, and other columns are
+not read.  Ids are integers (other types raise ``TypeError``); a null id is written
+as an empty one and read back as null, and is never the largest.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lemmata.llm import arrays
-from lemmata.llm.storage import partitions, shared_folder
+from lemmata.llm.skew import hot_join
+from lemmata.llm.storage import partitions, shared_folder, stored
 
 #: Largest archive before a task begins another; largest single read; largest gap read over.
 ARCHIVE_BYTES, READ_BYTES, GAP_BYTES = 64 << 20, 8 << 20, 64 << 10
@@ -39,8 +43,8 @@ def _b32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def _record(kind: str, page: int, url: str, body: bytes, digest: str, size: int, refers: int | None) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", "WARC-Date: 1970-01-01T00:00:00Z"]
+def _record(kind: str, page: int | None, url: str, body: bytes, digest: str, size: int, refers: int | None) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if refers is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + body
@@ -62,18 +66,23 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 def _file_system(folder: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
 
 
 def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes all rows; the stored index (id, archive, offset, length, url, digest, record_type)."""
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    if not isinstance(pages.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, as the largest id of equal payloads keeps them")
     html = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), html.alias("body"))
-    keys = rows.select(F.sha1("body").alias("sha"), F.length("body").cast("long").alias("size"), "page")
-    first = keys.groupBy("sha", "size").agg(F.max("page").alias("response"), F.count("*").alias("copies")).filter(F.col("copies") > 1).select("sha", "size", "response")
-    joined = rows.withColumn("sha", F.sha1("body")).withColumn("size", F.length("body").cast("long")).join(first, ["sha", "size"], "left").select("page", "url", "body", "sha", "response")
+    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), html.alias("body"))
+    rows = rows.withColumn("sha", F.concat(F.sha1("body"), F.length("body").cast("string")))
+    keys = rows.select("sha", "page")
+    first = stored(keys.groupBy("sha").agg(F.max("page").alias("response"), F.count("*").alias("copies")).filter(F.col("copies") > 1), "payloads")
+    # decided on ids and digests alone; bodies are dealt by page, so a common payload does not gather them
+    again = hot_join(keys.distinct(), first, "sha", "copies", "page").select(F.col("page").alias("_page"), F.col("sha").alias("_sha"), "response")
+    joined = rows.join(again, F.col("page").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha")), "left").select("page", "url", "body", "sha", "response")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -92,7 +101,7 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "
                         out.close()
                     name, at = f"{stem}-{number:04d}.warc.gz", 0
                     out, number = files.open_output_stream(f"{root}/{name}", compression=None), number + 1
-                digest = _b32(bytes.fromhex(sha))
+                digest = _b32(bytes.fromhex(sha[:40]))
                 url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
                 again = response is not None and response != page and len(body) >= min_revisit_bytes
                 data = _record("revisit" if again else "response", page, url, b"" if again else body, digest, len(body), response if again else None)
@@ -149,7 +158,7 @@ def read_records(index: DataFrame) -> DataFrame:
                 out = []
                 for _, _, offset, length in group:
                     head, body = parse_record(zlib.decompress(block[offset - begin : offset - begin + length], 31))
-                    page = int(head["warc-record-id"][10:-1])
+                    page = int(p) if (p := head["warc-record-id"][10:-1]) else None
                     if head["warc-type"] == "response":
                         size, digest, refers = len(body), _b32(hashlib.sha1(body).digest()), None
                         if head["warc-payload-digest"] != f"sha1:{digest}":
