@@ -1,16 +1,20 @@
 """Toxic passages: maximum-scoring segments over token log-odds.
 
 Token weights are log-odds of the labelled classes under an informative
-Dirichlet prior, held in a table of fixed size (tokens are hashed into
+Dirichlet prior, shrunk smoothly where they are uncertain and held in a table of fixed size (tokens are hashed into
 ``2 ** BITS`` buckets, and so are their beginnings; the strongest counts).  A linear-time scan finds all maximal-scoring segments of
 a text; the Karlin-Altschul scale, solved from the clean class, turns their
-scores into excesses over what chance gives in a text of that length, and their
-sum is calibrated to the label's frequency on the training rows.
+scores into excesses over what chance gives in a text of that length (the
+statistic's constant factor is left to the calibration's offset).  The logarithm of one plus their
+sum is calibrated to the label's frequency on the training rows, each of which is
+scored by weights learned without its own fold.
 
 At most ``FIT_ROWS`` labelled training rows fit the weights (those of lowest
 ``xxhash64(id)``); scores cover every row.  Null and empty texts have no segment
 and get the score of no evidence.  Without both classes among the labels, each
-score is the smoothed share of toxic labels.
+score is the smoothed share of toxic labels.  Labels other than 0 and 1 do not count, the
+largest of an id does; rows equal in text get equal scores, an empty table gives no rows, and columns other than
+id and text are not read.  A very long text is one slice of its task.
 """
 
 from __future__ import annotations
@@ -27,13 +31,13 @@ from pyspark.sql import functions as F
 from lemmata.llm import arrays
 
 #: Size of the weight table, bound of the fitting sample, strength of the prior.
-BITS, FIT_ROWS, PRIOR = 19, 60_000, 2_000.0
+BITS, FIT_ROWS, PRIOR = 19, 60_000, 30_000.0
 #: Bytes of the beginnings of tokens that count as features of their own.
 STEMS = (4, 5, 6)
-#: Tokens with |z| below SURE count as neutral; neutral tokens cost DRIFT.
-SURE, DRIFT = 3.5, 0.05
-#: Bins of the calibration, and the largest excess told apart.
-N_BINS, TOP = 400, 40.0
+#: Log-odds of |z| = SURE count a quarter, of larger ones more; each token costs DRIFT.
+SURE, DRIFT = 5.0, 0.05
+#: Folds of the training rows, bins of the calibration for each unit of the logarithm, and units (far beyond any text).
+FOLDS, STEPS, UNITS = 4, 20, 40
 
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[48:58] = np.arange(48, 58)
@@ -88,7 +92,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def excess(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-    """Summed excess of each text's segments over chance, and the significant segments (token positions)."""
+    """Logarithm of one plus the summed excess of each text's segments over chance, and the significant segments (token positions)."""
     buckets, first = tokens(texts)
     scores = model.weights[buckets].max(axis=0)
     out, spans = np.zeros(len(texts)), []
@@ -100,7 +104,7 @@ def excess(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[tuple[i
                 keep.append((x, y, s))
                 out[i] += more
         spans.append(keep)
-    return np.minimum(out, TOP), spans
+    return np.log1p(out), spans
 
 
 def _weights(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -108,8 +112,8 @@ def _weights(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     a1, a0 = n1 + prior, n0 + prior
     t1, t0 = a1.sum(), a0.sum()
     odds = np.log(a1 / (t1 - a1)) - np.log(a0 / (t0 - a0))
-    sure = np.abs(odds) / np.sqrt(1 / a1 + 1 / a0) >= SURE
-    return np.where(sure, odds, 0.0) - DRIFT
+    z2 = odds * odds / (1 / a1 + 1 / a0)
+    return odds * (z2 / (z2 + SURE * SURE)) ** 2 - DRIFT
 
 
 def _scale(weights: np.ndarray, n0: np.ndarray) -> float:
@@ -147,43 +151,56 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id",
     """Weights and calibration from the labelled rows for which ``train`` (over the id) holds."""
     sample = labels.filter(train & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("long").alias("_label"))
     sample = sample.orderBy(F.xxhash64(id_col), id_col).limit(FIT_ROWS)
-    rows = df.filter(train).select(id_col, text_col).join(F.broadcast(sample), id_col).select(text_col, "_label")
+    rows = df.filter(train).select(id_col, text_col).join(F.broadcast(sample), id_col)
+    rows = rows.select(text_col, "_label", F.pmod(F.xxhash64(F.lit("fold"), id_col), F.lit(FOLDS)).cast("int").alias("_fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << BITS), np.int64)
+        sums = np.zeros((2, FOLDS << BITS), np.int32)
         for batch in batches:
             for part in arrays.slices(batch, text_col):
                 buckets, first = tokens(arrays.text_of(part, text_col))
                 label = np.repeat(arrays.column(part, "_label").to_numpy(), np.diff(first))
+                buckets = buckets + (np.repeat(arrays.column(part, "_fold").to_numpy(), np.diff(first)).astype(np.int64) << BITS)
                 for k in (0, 1):
                     own = buckets[:, label == k]
                     more = own[1:][own[1:] != own[0]]  # a short token is its own beginning and counts once
-                    sums[k] += np.bincount(np.concatenate([own[0], more]), minlength=1 << BITS)
+                    place, n = np.unique(np.concatenate([own[0], more]), return_counts=True)
+                    sums[k, place] += n.astype(np.int32)
         used = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used]), pa.array(sums[1, used])], names=["bucket", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used].astype(np.int64)), pa.array(sums[1, used].astype(np.int64))], names=["bucket", "n0", "n1"])
 
     table = rows.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    n0, n1 = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    n0[table["bucket"]], n1[table["bucket"]] = table["n0"], table["n1"]
+    by_fold = np.zeros((2, FOLDS << BITS))
+    by_fold[0, table["bucket"]], by_fold[1, table["bucket"]] = table["n0"], table["n1"]
+    by_fold = by_fold.reshape(2, FOLDS, 1 << BITS)
+    n0, n1 = by_fold.sum(1)
     if not n0.sum() or not n1.sum():
         return Model(np.full(1 << BITS, -DRIFT), 1.0, 0.0, float(np.log((n1.sum() + 1) / (n0.sum() + n1.sum() + 20))))
     weights = _weights(n0, n1)
-    model = Model(weights, _scale(weights, n0), 1.0, 0.0)
+    without = []
+    for f in range(FOLDS):
+        m0, m1 = n0 - by_fold[0, f], n1 - by_fold[1, f]
+        w = _weights(m0, m1)
+        without.append(Model(w.astype(np.float32), _scale(w, m0), 1.0, 0.0))
+    apart = df.sparkSession.sparkContext.broadcast(without)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, N_BINS + 1), np.int64)
+        sums = np.zeros((2, STEPS * UNITS), np.int64)
         for batch in batches:
             for part in arrays.slices(batch, text_col):
-                x, _ = excess(arrays.text_of(part, text_col), model)
-                label = arrays.column(part, "_label").to_numpy()
-                for k in (0, 1):
-                    sums[k] += np.bincount((x[label == k] * N_BINS / TOP).astype(np.int64), minlength=N_BINS + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_BINS + 1)), pa.array(sums[0]), pa.array(sums[1])], names=["bin", "n0", "n1"])
+                texts, label = arrays.text_of(part, text_col), arrays.column(part, "_label").to_numpy()
+                fold = arrays.column(part, "_fold").to_numpy()
+                for f in np.unique(fold).tolist():
+                    own = np.flatnonzero(fold == f)
+                    x, _ = excess(texts.take(pa.array(own)), apart.value[f])
+                    np.add.at(sums, (label[own], np.ceil(x * STEPS).astype(np.int64)), 1)
+        used = np.flatnonzero(sums.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used]), pa.array(sums[1, used])], names=["bin", "n0", "n1"])
 
     table = rows.mapInArrow(bins, "bin long, n0 long, n1 long").groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    x = (table["bin"].to_numpy() * TOP / N_BINS) + 0.5 * TOP / N_BINS * (table["bin"].to_numpy() > 0)
+    x = np.maximum(table["bin"].to_numpy() - 0.5, 0) / STEPS  # bin 0 is no evidence at all
     slope, offset = _logistic(x, table["n0"].to_numpy(float), table["n1"].to_numpy(float))
-    return Model(weights.astype(np.float32), model.scale, slope, offset)
+    return Model(weights.astype(np.float32), _scale(weights, n0), slope, offset)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -109,3 +109,25 @@ def test_system_texts_content_parts_and_unknown_records_stay(spark):
         assert [(r["role"], r["text"]) for r in got if r["conv_id"] == i] == want
     assert [(r["role"], r["text"], r["mapping"]) for r in got if r["conv_id"] == 99] == [("unknown", "{", "unknown")]
     assert {r["conv_id"]: r["n_turns"] for r in chat_digests(df).collect()} == {i: len(w) for i, (_, w) in enumerate(cases)} | {99: 1}
+
+
+def test_warc_repeated_and_null_ids(spark):
+    from lemmata.llm.warc import read_records, write_archives
+
+    rows = [(None, "u", "same"), (None, "v", "alone"), (4, "w", "same"), (4, "w", "same"), (4, "x", "other"), (9, "y", "same"), (None, None, None)]
+    got = read_records(write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))).collect()
+    assert sorted(((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in got), key=str) == sorted(
+        [(None, "u", "revisit", 9), (None, "v", "response", None), (4, "w", "revisit", 9), (4, "w", "revisit", 9), (4, "x", "response", None), (9, "y", "response", None), (None, "", "response", None)], key=str)
+    with pytest.raises(TypeError):
+        write_archives(spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string"))
+
+
+def test_chat_long_texts_and_quoted_columns(spark):
+    from lemmata.llm.chat import chat_digests, format_turns
+
+    long = "a [INST] b \\ </s> " * 60_000
+    df = spark.createDataFrame([(1, 0, json.dumps({"messages": [{"role": "user", "content": long}, {"role": "assistant", "content": long}]}))], "conv_id long, turn long, record string")
+    row = chat_digests(df).collect()[0]
+    assert row["loss_chars"] == len(long) and row["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    turns = spark.sql("select 1L as conv_id, 0L as turn, 'user' as role, 'x' as text, named_struct('a b', 1, 'c`d', 'e') as `odd name`")
+    assert format_turns(turns).collect()[0]["odd name"]["a b"] == 1

@@ -118,6 +118,104 @@ def test_jpeg_samples_and_shots():
         frames_of(b"RIFX" + file[4:])
 
 
+def _coded(planes, factors, quant, every):
+    """A baseline JPEG written independently: float DCT, codes of equal length, restart intervals; planes are (height, width) per component."""
+    import struct
+
+    import numpy as np
+
+    order, r, c, up = [], 0, 0, True
+    for _ in range(64):  # walk the zigzag
+        order.append((r, c))
+        if up:
+            r, c, up = (r, c + 1, False) if r == 0 and c < 7 else (r + 1, c, False) if c == 7 else (r - 1, c + 1, True)
+        else:
+            r, c, up = (r + 1, c, True) if c == 0 and r < 7 else (r, c + 1, True) if r == 7 else (r + 1, c - 1, False)
+    height, width = planes[0].shape
+    hmax, vmax = max(f[0] for f in factors), max(f[1] for f in factors)
+    across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
+    acs = [run << 4 | size for run in range(16) for size in range(1, 11)] + [0, 0xF0]
+    out, bits, level = b"", "", [0] * len(planes)
+
+    def number(v):
+        size = abs(v).bit_length()
+        return size, format(v if v > 0 else v + (1 << size) - 1, f"0{size}b") if size else ""
+
+    def flush(text):
+        text += "1" * (-len(text) % 8)
+        return bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8)).replace(b"\xff", b"\xff\x00")
+
+    full = []
+    for p, (h, v) in zip(planes, factors):
+        small = p[:: vmax // v, :: hmax // h]
+        full.append(np.pad(small, ((0, down * v * 8 - small.shape[0]), (0, across * h * 8 - small.shape[1])), "edge").astype(float) - 128)
+    for unit in range(across * down):
+        if unit and every and unit % every == 0:
+            out += flush(bits) + bytes([0xFF, 0xD0 + (unit // every - 1) % 8])
+            bits, level = "", [0] * len(planes)
+        my, mx = divmod(unit, across)
+        for k, (h, v) in enumerate(factors):
+            for y in range(v):
+                for x in range(h):
+                    block = full[k][(my * v + y) * 8 :, (mx * h + x) * 8 :][:8, :8]
+                    coef = [[sum(block[i, j] * np.cos((2 * i + 1) * a * np.pi / 16) * np.cos((2 * j + 1) * b * np.pi / 16) for i in range(8) for j in range(8)) / 4 * (0.5**0.5 if a == 0 else 1) * (0.5**0.5 if b == 0 else 1) for b in range(8)] for a in range(8)]
+                    zz = [round(coef[a][b] / quant) for a, b in order]
+                    size, extra = number(zz[0] - level[k])
+                    level[k] = zz[0]
+                    bits += format(size, "04b") + extra
+                    run = 0
+                    last = max((i for i in range(1, 64) if zz[i]), default=0)
+                    for i in range(1, last + 1):
+                        if not zz[i]:
+                            run += 1
+                            continue
+                        while run > 15:
+                            bits, run = bits + format(acs.index(0xF0), "08b"), run - 16
+                        size, extra = number(zz[i])
+                        bits, run = bits + format(acs.index(run << 4 | size), "08b") + extra, 0
+                    if last < 63:
+                        bits += format(acs.index(0), "08b")
+    out += flush(bits)
+    seg = lambda mark, body: bytes([0xFF, mark]) + struct.pack(">H", len(body) + 2) + body
+    head = b"\xff\xd8" + seg(0xDB, bytes([0] + [quant] * 64)) + seg(0xC0, struct.pack(">BHHB", 8, height, width, len(planes)) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(factors)))
+    head += seg(0xC4, bytes([0, 0, 0, 0, 12] + [0] * 12) + bytes(range(12))) + seg(0xC4, bytes([0x10] + [0] * 7 + [len(acs)] + [0] * 8) + bytes(acs))
+    head += (seg(0xDD, struct.pack(">H", every)) if every else b"") + seg(0xDA, bytes([len(planes)]) + b"".join(bytes([i + 1, 0]) for i in range(len(planes))) + b"\0\x3f\0")
+    return head + out + b"\xff\xd9"
+
+
+def test_frames_of_other_writers(spark):
+    """Grey and subsampled colour frames with AC coefficients and restart intervals, from an encoder of the test's own."""
+    import struct
+
+    import numpy as np
+
+    from lemmata.llm import jpeg
+    from lemmata.llm.media import _chunk, clips, read_avi
+
+    y, x = np.mgrid[0:21, 0:35]
+    grey = ((x * 5 + y * 3) % 200 + 20).astype(np.uint8)
+    for every in (0, 4):
+        got = jpeg.decode(_coded([grey], [(1, 1)], 1, every))
+        assert got.shape == (21, 35, 1) and np.abs(got[..., 0].astype(int) - grey).max() <= 2
+    smooth = [(60 + 2 * x + y).astype(np.uint8), np.full((21, 35), 90, np.uint8), np.full((21, 35), 170, np.uint8)]
+    got = jpeg.decode(_coded(smooth, [(2, 2), (1, 1), (1, 1)], 2, 2))
+    assert got.shape == (21, 35, 3) and max(np.abs(got[..., k].astype(int) - smooth[k]).max() for k in range(3)) <= 4
+    assert jpeg.rgb(got).shape == (21, 35, 3)
+    dark, light = (_coded([np.full((16, 16), v, np.uint8)], [(1, 1)], 4, 0) for v in (30, 220))
+    frames = [dark] * 6 + [light] * 6
+    movi, index, at = b"movi", b"", 4
+    for f in frames:
+        index += struct.pack("<4sIII", b"00dc", 0x10, at, len(f))
+        movi, at = movi + _chunk(b"00dc", f), at + 8 + len(f) + (len(f) & 1)
+    foreign = _chunk(b"RIFF", b"AVI " + _chunk(b"LIST", movi) + _chunk(b"idx1", index))
+    files = [foreign, b"", b"RIFF", foreign[:200], foreign.replace(b"\xff\xc0", b"\xff\xc2"), None]
+    df = spark.createDataFrame([(i, None, f) for i, f in enumerate(files)], "doc_id long, n_bytes long, media binary")
+    rows = rows_by_id(read_avi(df))
+    assert rows[0]["error"] is None and rows[0]["payload_bytes"] is None and "frames=12;shots=0,6;" in rows[0]["feature"]
+    assert all(rows[i]["error"] and rows[i]["feature"] is None for i in (1, 2, 3, 4)) and rows[5]["error"] is None
+    assert [(r["clip"], r["start_s"], r["n_frames"]) for r in clips(df).orderBy("clip").collect()] == [(0, 0.0, 6), (1, 0.24, 6)]
+
+
 def test_packing_covers_each_id_once(docs):
     from tokenizers import Tokenizer
 
@@ -209,6 +307,50 @@ def test_toxicity_finds_passages(spark):
     assert top[:2] == brute[:2] and abs(top[2] - brute[2]) < 1e-9
 
 
+def brute_segments(scores, at=0):
+    """The maximal segments by their definition: the best one, and those of what lies on either side."""
+    best = max(((sum(scores[i:j]), -i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    i, j = -best[1], best[2]
+    return brute_segments(scores[:i], at) + [(at + i, at + j, best[0])] + brute_segments(scores[j:], at + j)
+
+
+def test_toxicity_segments_and_scores_equal_brute_force(spark):
+    """All maximal segments, and scores recomputed word by word from the model, over ties, nulls, repeated rows and clashing names."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from lemmata.llm import toxicity
+
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 7, 60):
+        scores = rng.normal(-0.2, 1, n)
+        got, want = toxicity.segments(scores), brute_segments(scores.tolist())
+        assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, want))
+    vocab = [f"word{i}" for i in range(60)] + ["bad", "Worse", "worst", "ünfein"]
+    texts = [" ".join(rng.choice(vocab, int(rng.integers(0, 60)))) for _ in range(300)]
+    rows = [(i, t, int("bad" in t), 0.5, 1) for i, t in enumerate(texts)] + [(3, texts[3], 1, 0.1, 2), (None, texts[4], None, 0.1, 2), (900, None, None, None, None), (901, "bad " * 3000, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score double, n_segments int").repartition(3)
+    model = toxicity.fit(df, df.filter("toxic is not null"), F.lit(True))
+    got = sorted(((r["doc_id"], r["score"], r["n_segments"]) for r in toxicity.score(df, model).collect()), key=str)
+    want = []
+    for i, t, *_ in rows:
+        weights = []
+        for w in re.findall(r"[^\W_]+", (t or "").lower()):
+            codes, _ = toxicity.tokens(pa.array([w]))
+            weights.append(max(float(model.weights[c]) for c in codes[:, 0]))
+        over = [model.scale * s - math.log(max(len(weights), 1)) for *_, s in (brute_segments(weights) if len(weights) < 100 else [(0, len(weights), sum(weights))])]
+        x = math.log1p(sum(o for o in over if o > 0))
+        want.append((i, 1 / (1 + math.exp(-min(max(model.slope * x + model.offset, -30), 30))), sum(o > 0 for o in over)))
+    want.sort(key=str)
+    by = lambda rows_: sorted(((i, round(p, 5), n) for i, p, n in rows_), key=str)
+    assert by(got) == by(want) and len({p for _, p, _ in want}) > 3
+
+
 def test_line_chunks(spark):
     from lemmata.llm.lines import drop_repeated_chunks, repeated_chunks
 
