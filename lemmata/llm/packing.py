@@ -8,7 +8,7 @@ range is cut into powers of two, so no sequence needs padding.
 
 Equal documents have equal keys; the low bits of a key are a hash of the id,
 which spreads a large group of copies over ranges.  Range bounds come from the
-keys of about ``BOUND_ROWS`` rows chosen by a hash of the id; they decide how
+keys of about ``BOUND_ROWS`` rows (or four per range, if more) chosen by a hash of the id; they decide how
 even ranges are, and nothing else.
 
 Null text counts as empty: such a document is its end token alone.  Rows of equal
@@ -17,6 +17,7 @@ id are packed one by one.  An empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -32,10 +33,17 @@ from lemmata.llm import arrays
 from lemmata.llm.storage import partitions
 
 LENGTH, END_ID, BOUND_ROWS = 2048, 1, 20_000
+#: Text bytes of a range, where the session's number of partitions gives larger ones.
+RANGE_BYTES = 1 << 30
 DIMS, DIM_BITS = 4, 10
 #: Distinct words a Python worker remembers; affects speed only.
 CACHE_ENTRIES = 400_000
 _MARK = "<|startoftext|>"
+#: Stems that are one word of the split pattern and stay as they are when normalised.
+_SMALL = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+#: How byte-level tokenizers write a byte (given as the code point of its number): printable ones stay, others follow from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTED))}
 
 
 class WordTokenizer:
@@ -43,7 +51,10 @@ class WordTokenizer:
 
     Words between ASCII white space encode independently.  Closing ASCII
     punctuation after a letter is a token group of its own, so it is split off;
-    each distinct stem is encoded once.
+    each distinct stem is encoded once.  A stem of small Latin letters alone is one
+    word to the split pattern and is not changed by normalising, so such stems go
+    through the same merges without either, and their end is the
+    token with the word-end suffix.
     """
 
     def __init__(self, path: str):
@@ -52,6 +63,18 @@ class WordTokenizer:
 
         self.tool = Tokenizer.from_file(path)
         self.mark = self.tool.token_to_id(_MARK)
+        self.narrow = np.uint16 if self.tool.get_vocab_size() <= 1 << 16 else np.uint32
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        steps = json.dumps(spec.get("pre_tokenizer"))
+        self.merges = None
+        if spec["model"]["type"] == "BPE" and suffix and "ByteLevel" in steps and r"[\\p{L}]+|" in steps:
+            bare = {**spec, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+            self.merges = Tokenizer.from_str(json.dumps(bare))
+            self.ends = np.zeros(self.tool.get_vocab_size(), bool)
+            for token, i in self.merges.get_vocab().items():
+                self.ends[i] = token.endswith(suffix)
         self._forget()
 
     def _forget(self) -> None:
@@ -60,10 +83,21 @@ class WordTokenizer:
         self.ids, self.sizes = [], []
 
     def _encode(self, stems: list[str]) -> None:
-        plain = [s for s in stems if "<|" not in s]
+        small = pc.match_substring_regex(pa.array(stems, pa.large_string()), _SMALL).to_pylist() if self.merges else [False] * len(stems)
+        words = [s for s, x in zip(stems, small) if x]
+        for a in range(0, len(words), 1 << 14):
+            some = words[a : a + (1 << 14)]
+            lines = [" ".join(s if s.isascii() else s.encode().decode("latin-1").translate(_BYTE_LEVEL) for s in some[i : i + 256]) for i in range(0, len(some), 256)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.merges.encode_batch_fast(lines, add_special_tokens=False)])
+            end = np.flatnonzero(self.ends[ids])
+            if len(end) != len(some):
+                raise ValueError("a stem is not one word")
+            self._add(some, ids, np.diff(end, prepend=-1))
+        plain = [s for s, x in zip(stems, small) if not x and "<|" not in s]
         for s in stems:
             if "<|" in s:
-                self._add([s], [self.tool.encode(s, add_special_tokens=False).ids])
+                ids = np.array(self.tool.encode(s, add_special_tokens=False).ids, np.uint32)
+                self._add([s], ids, np.array([len(ids)]))
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         for a in range(0, len(groups), 64):
             some = groups[a : a + 64]
@@ -72,13 +106,13 @@ class WordTokenizer:
                 cut = np.flatnonzero(ids == self.mark)
                 if len(cut) != len(g) - 1:
                     raise ValueError("a stem holds the mark")
-                self._add(g, [ids[ids != self.mark]], np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+                self._add(g, ids[ids != self.mark], np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
 
-    def _add(self, stems: list[str], ids: list, sizes: np.ndarray | None = None) -> None:
+    def _add(self, stems: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.known)
         self.known.update(zip(stems, range(n, n + len(stems))))
-        self.ids.append(np.array(ids[0], np.uint32))
-        self.sizes.append(np.array([len(ids[0])]) if sizes is None else sizes)
+        self.ids.append(ids.astype(self.narrow))
+        self.sizes.append(sizes)
 
     def _numbers(self, stems: list[str]) -> np.ndarray:
         missing = [s for s in stems if s not in self.known]
@@ -96,7 +130,7 @@ class WordTokenizer:
         coded = pc.ascii_lower(lists.flatten()).dictionary_encode()
         unique = coded.dictionary
         if not len(unique):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, self.narrow), np.zeros(len(texts) + 1, np.int64)
         stem = pc.ascii_rtrim(unique, ".,;:!?")
         stem = pc.if_else(pc.match_substring_regex(stem, r"\p{L}$"), stem, unique)
         data, off = arrays.raw(unique)
@@ -110,12 +144,13 @@ class WordTokenizer:
         stems = stem.dictionary_encode()
         number = self._numbers(stems.dictionary.to_pylist())[stems.indices.to_numpy()]
         sizes = np.concatenate([self.sizes[0], [len(e) for e in ends]]).astype(np.int64)
-        flat = np.concatenate([self.ids[0], np.array([x for e in ends for x in e], np.uint32)])
+        flat = np.concatenate([self.ids[0], np.array([x for e in ends for x in e], self.narrow)])
         table = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), flat)
-        codes = coded.indices.to_numpy()
-        index = np.stack([number[codes], len(self.sizes[0]) + tail[codes]], 1).reshape(-1)
-        ids = table.take(pa.array(index)).flatten().to_numpy()
-        total = np.concatenate([[0], np.cumsum(sizes[index].reshape(-1, 2).sum(1))])
+        both = np.stack([number, len(self.sizes[0]) + tail], 1).reshape(-1)  # a distinct word is a stem and its punctuation
+        word_sizes = sizes[both].reshape(-1, 2).sum(1)
+        words = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(word_sizes)]), table.take(pa.array(both)).flatten())
+        ids = words.take(coded.indices).flatten().to_numpy()
+        total = np.concatenate([[0], np.cumsum(word_sizes[coded.indices.to_numpy()])])
         offsets = lists.offsets.to_numpy().astype(np.int64)
         return ids, total[offsets - offsets[0]]
 
@@ -180,8 +215,7 @@ def _labels(spark, n: int) -> list[int]:
     found: dict[int, int] = {}
     size = 16 * n
     while len(found) < n:
-        for row in spark.range(size).select(F.col("id").cast("int").alias("v"), F.expr(f"pmod(hash(cast(id as int)), {n})").alias("p")).collect():
-            found.setdefault(row["p"], row["v"])
+        found = dict(map(tuple, spark.range(size).groupBy(F.expr(f"pmod(hash(cast(id as int)), {n})").alias("p")).agg(F.min("id").cast("int").alias("v")).collect()))
         size *= 2
     return [found[p] for p in range(n)]
 
@@ -189,7 +223,8 @@ def _labels(spark, n: int) -> list[int]:
 def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and its ids)."""
     spark = df.sparkSession
-    n = partitions(spark)
+    count, size = df.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
+    n = max(partitions(spark), -(-(size or 0) // RANGE_BYTES))
     rows = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("salt"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +232,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
             for part in arrays.slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(_keyed(arrays.text_of(part, "text"), arrays.column(part, "salt").to_numpy()))], names=["key"])
 
-    every = max(1, df.count() // BOUND_ROWS)
+    every = max(1, count // max(BOUND_ROWS, 4 * n))
     sample = np.sort(np.array([r[0] for r in rows.filter(F.expr(f"pmod(salt, {every}) = 0")).mapInArrow(keys, "key long").collect()], np.int64))
     bounds = np.unique(sample[np.linspace(0, len(sample), n + 1).astype(int)[1:-1]]) if len(sample) else sample
     labels = np.array(_labels(spark, n), np.int32)
@@ -210,8 +245,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
                 texts = arrays.text_of(part, "text")
                 key = _keyed(texts, arrays.column(part, "salt").to_numpy())
                 ids, off = tool.encode(texts)
-                narrow = np.uint16 if tool.tool.get_vocab_size() <= 1 << 16 else np.uint32
-                packed = arrays.from_raw(ids.astype(narrow).view(np.uint8), off * narrow().itemsize, pa.binary())
+                narrow = tool.narrow
+                packed = arrays.from_raw(np.ascontiguousarray(ids).view(np.uint8), off * narrow().itemsize, pa.binary())
                 range_ = np.searchsorted(bounds, key, "right")
                 yield pa.RecordBatch.from_arrays([pa.array(labels[range_]), pa.array(range_), pa.array(key), arrays.column(part, "doc"), packed, pa.array(np.full(len(key), narrow().itemsize, np.int32))], names=["label", "range", "key", "doc", "ids", "width"])
 
