@@ -89,7 +89,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without bytes that repeat from earlier ones."""
     from lemmata.llm.suffixes import repeated_bytes
 
-    return repeated_bytes(_table(spark, sf_dir, "documents")).drop("body", "gone", "origin")
+    return repeated_bytes(_table(spark, sf_dir, "documents")).drop("gone", "origin")
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_chat, op4_packing, op5_media, op6_lines, op7_quality, op8_toxicity, op9_byte_bpe, op10_suffixes)}

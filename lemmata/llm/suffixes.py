@@ -22,7 +22,9 @@ so their strings spread over all buckets.  Texts equal to one of a smaller id
 told by id and digest, as rows of one id (or none) may differ in text.
 
 Null text counts as empty.  Documents of equal id do not cover each other, and a
-null id counts as larger than any other.
+null id counts as larger than any other; ids are integers (other types raise
+``TypeError``), of which 2^63 - 1 stands for null.  Rows equal in id and text get equal results, an
+empty table gives no rows, and a very long text is one batch of its own.  Other columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,9 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lemmata.llm import arrays, sharing
-from lemmata.llm.storage import stored
+from lemmata.llm.storage import fresh, stored
 
 #: Bytes of a repeated string and of an anchor; documents beyond which an anchor is hot; text bytes of a slice.
 LENGTH, GRAM, HOT, SLICE = 50, 32, 20_000, 512 << 10
@@ -160,11 +163,14 @@ def _cover(n: int, positions: np.ndarray, masks: np.ndarray, length: int, k: int
     return np.cumsum(mark[:-1]) > 0
 
 
-def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, body, gone, origin) of every row.
+def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM, hot: int = HOT, digests: bool = True) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, gone, origin) of every row.
 
-    Rows that lose bytes also have their bytes and a bit per removed one, or, if they equal an earlier text, the digest of that in ``origin``.
+    ``gone`` has a bit per byte, set if it is removed, and is null for rows that lose none or all; ``origin`` is the digest of a text that loses bytes.
+    Without ``digests``, kept_sha256 is null unless nothing or all is kept, and no text is stored or dealt out a second time.
     """
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, as smaller ids keep what larger ones lose")
     side = length - k
     rows, docs, buckets = sharing.batched(df.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col)
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -252,7 +258,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         flat = np.ascontiguousarray(around).reshape(-1)
         edges = np.arange(len(around)) * width
         same = arrays.hash_spans(flat, edges, edges + width)
-        bucket = (label >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
+        bucket = (label >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)  # at most a row per entry, however many buckets
         doc = ids[owner]
         order = np.lexsort((doc, same, bucket))
         new = np.ones(len(order), bool)
@@ -262,9 +268,9 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         head = order[new]
         entry = np.cumsum(new) - 1  # of each place in order
         out = []
-        where = np.searchsorted(bucket[head], np.arange(buckets + 1))
-        for b in np.unique(bucket[head]).tolist():
-            h = head[where[b] : where[b + 1]]
+        used, where = np.unique(bucket[head], return_index=True)
+        for b, i, j in zip(used.tolist(), where.tolist(), np.append(where[1:], len(head)).tolist()):
+            h = head[i:j]
             out.append((0, batch, b, sharing.squeeze(around[h].tobytes(), 3), sharing.squeeze(doc[h].tobytes())))
         first = doc[order] == doc[head][entry] if len(order) else np.zeros(0, bool)
         # the first document's strings are decided by the merge, those of later ones are all covered
@@ -284,7 +290,8 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if is_copy[i]:
                 lines.append((2, batch, i, hashlib.sha256(raw_).hexdigest().encode(), None, int(ids[i]), len(raw_), len(raw_), 1, hashlib.sha256(b"").hexdigest()))
             elif touched[i]:
-                lines.append((3, batch, i, sharing.squeeze(raw_.tobytes(), 3), None, int(ids[i]), len(raw_), None, None, None))
+                own = hashlib.sha256(raw_).hexdigest()
+                lines.append((3, batch, i, sharing.squeeze(raw_.tobytes(), 3) if digests else None, None, int(ids[i]), len(raw_), None, None, own))
             else:
                 lines.append((2, batch, i, None, None, int(ids[i]), len(raw_), 0, 0, hashlib.sha256(raw_).hexdigest()))
         return _rows([(*o, None, None, None, None, None) for o in out] + lines)
@@ -304,10 +311,11 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table([pa.array(batches, pa.int32()), group.column("row"), pa.array(out, pa.binary())], names=["batch", "row", "body"])
 
     masks = table.filter("kind = 0").select("batch", "row", "body", "docs").groupBy("row").applyInArrow(sharing.lean(merge), "batch int, row int, body binary")
-    sides = masks.select(F.lit(0).alias("kind"), "batch", "row", "body", F.lit(None).cast("long").alias("doc")).unionByName(table.filter("kind in (1, 3)").select("kind", "batch", "row", "body", "doc"))
+    sides = masks.select(F.lit(0).alias("kind"), "batch", "row", "body", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("sha"))
+    sides = sides.unionByName(table.filter("kind in (1, 3)").select(*sides.columns))
 
     def apply(group: pa.Table) -> pa.Table:
-        kinds, rows, bodies, ids = (group.column(c).to_pylist() for c in ("kind", "row", "body", "doc"))
+        kinds, rows, bodies, ids, sizes, shas = (group.column(c).to_pylist() for c in ("kind", "row", "body", "doc", "size", "sha"))
         answers_ = sorted((r, i) for i, (kd, r) in enumerate(zip(kinds, rows)) if kd == 0)
         mask = np.concatenate([np.frombuffer(sharing.expand(bodies[i]), np.uint32) for _, i in answers_] or [np.zeros(0, np.uint32)])
         owner, place, entry, first, whole = sharing.get_planes(bodies[kinds.index(1)], 5)
@@ -318,40 +326,41 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lo = np.searchsorted(owner, [r for r, _ in texts], "left").tolist()
         hi = np.searchsorted(owner, [r for r, _ in texts], "right").tolist()
         for (_, i), a, b in zip(texts, lo, hi):
-            data = np.frombuffer(body := sharing.expand(bodies[i]), np.uint8)
-            gone = _cover(len(data), place[a:b], own[a:b], length, k)
-            kept_ = data[~gone].tobytes()
-            spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
-            lost = int(gone.sum())
-            out.append((ids[i], len(data), lost, spans, hashlib.sha256(kept_).hexdigest(), body if lost else None, np.packbits(gone).tobytes() if lost else None))
-        return pa.table([pa.array(c, kd) for c, kd in zip(zip(*out) if out else [()] * 7, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "body", "gone"])
-
-    done = sides.groupBy("batch").applyInArrow(sharing.lean(apply), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, body binary, gone binary").withColumn("origin", F.lit(None).cast("string"))
-    plain = table.filter("kind = 2").select("doc", F.col("size").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("body"), F.lit(None).cast("binary").alias("gone"), F.col("body").cast("string").alias("origin"))
+            gone = _cover(sizes[i], place[a:b], own[a:b], length, k)
+            lost, spans = int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
+            kept = shas[i] if not lost else None
+            if lost and digests:
+                kept = hashlib.sha256(np.frombuffer(sharing.expand(bodies[i]), np.uint8)[~gone].tobytes()).hexdigest()
+            out.append((ids[i], sizes[i], lost, spans, kept, np.packbits(gone).tobytes() if lost else None, shas[i] if lost else None))
+        return pa.table([pa.array(c, kd) for c, kd in zip(zip(*out) if out else [()] * 7, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "gone", "origin"])
+
+    done = sides.groupBy("batch").applyInArrow(sharing.lean(apply), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, gone binary, origin string")
+    plain = table.filter("kind = 2").select("doc", F.col("size").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("gone"), F.col("body").cast("string").alias("origin"))
     out = done.unionByName(plain)
-    return out.select(F.when(F.col("doc") != _LAST_ID, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "body", "gone", "origin")
+    return out.select(F.when(F.col("doc") != _LAST_ID, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "gone", "origin")
 
 
 def drop_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with repeated bytes taken out of their texts; a character that loses a byte goes as a whole, and a null text stays null."""
-    edits = repeated_bytes(df, id_col, text_col).filter("n_removed > 0")
-    edits = edits.select(F.col(id_col).alias("_doc"), F.coalesce("origin", F.sha2("body", 256)).alias("_sha"), "gone").dropDuplicates(["_doc", "_sha"]).withColumn("_hit", F.lit(True))
-    sha = F.sha2(F.encode(F.col(text_col), "UTF-8"), 256)
-    joined = df.withColumn("_own", sha).join(edits, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_sha")), "left")
+    doc, sha, gone, hit, digest = fresh(df, "doc", "sha", "gone", "hit", "digest")
+    edits = repeated_bytes(df, id_col, text_col, digests=False).filter("n_removed > 0")
+    edits = edits.select(F.col(id_col).alias(doc), F.col("origin").alias(sha), F.col("gone").alias(gone)).dropDuplicates([doc, sha]).withColumn(hit, F.lit(True))
+    rows = df.withColumn(digest, F.sha2(F.encode(F.col(text_col), "UTF-8"), 256))
+    joined = rows.join(edits, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(digest) == F.col(sha)), "left")
     own = df.columns
 
     def run(batches):
         for batch in batches:
             text = arrays.column(batch, text_col)
-            hit = arrays.column(batch, "_hit").fill_null(False).to_numpy(zero_copy_only=False)
-            if hit.any():
-                values, gone = text.to_pylist(), arrays.column(batch, "gone")
-                for i in np.flatnonzero(hit).tolist():
-                    values[i] = without(values[i], gone[i].as_py())
+            lost = arrays.column(batch, hit).fill_null(False).to_numpy(zero_copy_only=False)
+            if lost.any():
+                values, bits = text.to_pylist(), arrays.column(batch, gone)
+                for i in np.flatnonzero(lost).tolist():
+                    values[i] = without(values[i], bits[i].as_py())
                 text = pa.array(values, text.type)
             yield pa.RecordBatch.from_arrays([text if c == text_col else arrays.column(batch, c) for c in own], names=own)
 
-    return joined.select(*(df[c] for c in own), "_hit", "gone").mapInArrow(run, df.schema)
+    return joined.select(*own, hit, gone).mapInArrow(run, df.schema)
 
 
 def without(text: str, gone: bytes | None) -> str:
