@@ -10,9 +10,14 @@ CLAUSE_BYTES, CLAUSES = 640, 256
 
 
 def clauses(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, clause_idx, clause, truncated): trimmed pieces between . ! ? ; and line breaks."""
-    pieces = F.filter(F.transform(F.split(F.col(text_col), r"[.!?;\n]"), lambda c: F.trim(c)), lambda c: (c != "") & (F.octet_length(c) <= CLAUSE_BYTES))
-    rows = df.select(id_col, pieces.alias("_c")).select(id_col, F.slice("_c", 1, CLAUSES).alias("_c"), (F.size("_c") > CLAUSES).alias("truncated"))
+    """(id, clause_idx, clause, truncated): trimmed pieces between . ! ? ; and line breaks.
+
+    Of the first ``CLAUSES`` pieces those of more than ``CLAUSE_BYTES`` are left out; ``truncated`` tells of either.
+    """
+    pieces = F.filter(F.transform(F.split(F.col(text_col), r"[.!?;\n]"), lambda c: F.trim(c)), lambda c: c != "")
+    first = df.select(id_col, pieces.alias("_p")).select(id_col, F.slice("_p", 1, CLAUSES).alias("_f"), (F.size("_p") > CLAUSES).alias("_more"))
+    rows = first.select(id_col, F.filter("_f", lambda c: F.octet_length(c) <= CLAUSE_BYTES).alias("_c"), "_f", "_more")
+    rows = rows.select(id_col, "_c", (F.col("_more") | (F.size("_c") < F.size("_f"))).alias("truncated"))
     return rows.select(id_col, F.posexplode("_c").alias("clause_idx", "clause"), "truncated")
 
 
@@ -83,8 +88,9 @@ def include_path(base: Column, target: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when((p == "") | (p == "."), a).when((p == "..") & (F.size(a) > 0), F.slice(a, F.lit(1), F.size(a) - 1)).when(p == "..", a).otherwise(F.concat(a, F.array(p)))), "/")
 
 
-def contained_terms(df: DataFrame, id_col: str, text: Column, terms: DataFrame, term_col: str, longest: int = 4) -> DataFrame:
-    """(id, term): terms that occur as whole words; n-grams are exploded and joined by equality."""
+def contained_terms(df: DataFrame, id_col: str, text: Column, terms: DataFrame, term_col: str) -> DataFrame:
+    """(id, term): terms that occur as whole words; n-grams of as many words as the longest term has are exploded and joined by equality."""
+    longest = terms.agg(F.max(F.size(F.split(term_col, " ")))).first()[0] or 1
     words = F.split(normal_text(text), " ")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))))
     return df.select(id_col, F.explode(F.array_distinct(grams)).alias(term_col)).join(terms.select(term_col), term_col).select(id_col, term_col)

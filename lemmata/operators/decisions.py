@@ -31,7 +31,8 @@ def resolve(visible: DataFrame, use: str, entity: str, local: Column, depth: Col
     If a use has local bindings, only those of greatest depth and, there, latest
     availability count.  Per entity the evidence is positive, negative or both; a
     use is conflicting if an entity has both, established with one positive
-    entity, ambiguous with more, else unsupported.
+    entity, ambiguous with more, else unsupported.  Only the first ``cap`` entities are looked at; where there are
+    more, ``truncated`` holds and no entity is named (``evidence.entity_decision`` makes such a use engine-limited).
     """
     from pyspark.sql import Window
 
@@ -46,6 +47,6 @@ def resolve(visible: DataFrame, use: str, entity: str, local: Column, depth: Col
         .when(F.count_if(F.col("_yes") & (F.col("_rn") <= cap)) > 1, "ambiguous")
         .otherwise("unsupported")
         .alias("status"),
-        F.when(F.count_if("_yes") == 1, F.min(F.when(F.col("_yes"), F.col(entity)))).alias("entity"),
+        F.when((F.count_if("_yes") == 1) & (F.count(F.lit(1)) <= cap), F.min(F.when(F.col("_yes"), F.col(entity)))).alias("entity"),
         (F.count(F.lit(1)) > cap).alias("truncated"),
     )

@@ -13,6 +13,8 @@ def stored(df: DataFrame) -> DataFrame:
     """A round's rows as a table in the shared folder, which cuts the lineage."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not folder:  # one machine, as in tests
         folder = getattr(spark.sparkContext, "_graph_folder", None) or "file://" + tempfile.mkdtemp(prefix="rounds-")
         spark.sparkContext._graph_folder = folder
@@ -21,22 +23,37 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root, node): all nodes reachable over edges (src, dst) from each seed (node), itself included."""
-    reached = stored(seeds.select(F.col("node").alias("root"), "node").distinct())
-    frontier = reached
+def closure_of(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, node): the pairs, and all nodes reachable over edges (src, dst) from their nodes, per root; for small tables of roots.
+
+    Each round's new rows are a stored table of their own; what was reached is the union of these.
+    """
+    names = pairs.columns
+    frontier = stored(pairs.distinct())
+    found = [frontier]
+    steps = edges.select(F.col("src").alias("node"), "dst")
     while True:
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("root", F.col("dst").alias("node")).distinct()
-        frontier = stored(step.join(reached, ["root", "node"], "left_anti"))
+        reached_ = found[0]
+        for f in found[1:]:
+            reached_ = reached_.unionByName(f)
+        step = frontier.join(steps, "node").select(*names[:-1], F.col("dst").alias("node")).distinct()
+        frontier = stored(step.join(reached_, names, "left_anti"))
         if not frontier.limit(1).count():
-            return reached
-        reached = stored(reached.unionByName(frontier))
+            return reached_
+        found.append(frontier)
+        if len(found) > 16:  # long chains: a union of a few tables, each row rewritten once per so many rounds
+            found = [stored(reached_.unionByName(frontier))]
+
+
+def reached(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): the seeds (node) and all nodes reachable from any of them over edges (src, dst)."""
+    return closure_of(seeds.select("node"), edges)
 
 
 def affected(changed: DataFrame, includes: DataFrame) -> DataFrame:
     """Nodes that include a changed node, over any number of steps, and the changed ones (reverse closure)."""
     reverse = includes.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return closure(changed, reverse).select("node").distinct()
+    return reached(changed, reverse)
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -55,5 +72,5 @@ def component_labels(edges: DataFrame) -> DataFrame:
 
 def retract(claims: DataFrame, parents: DataFrame, removed: DataFrame) -> DataFrame:
     """Claims that survive the removal of some: those not derived, over any number of steps, from a removed one."""
-    gone = closure(removed.select(F.col("claim").alias("node")), parents.select(F.col("parent").alias("src"), F.col("child").alias("dst"))).select(F.col("node").alias("claim")).distinct()
+    gone = reached(removed.select(F.col("claim").alias("node")), parents.select(F.col("parent").alias("src"), F.col("child").alias("dst"))).select(F.col("node").alias("claim"))
     return claims.join(gone, "claim", "left_anti")

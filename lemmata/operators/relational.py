@@ -19,12 +19,26 @@ def visible_bindings(uses: DataFrame, bindings: DataFrame, keys: list[str], use_
 
 def tightest_container(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, point_id: str, rank: Column) -> DataFrame:
     """Per point the half-open interval that holds it and has the greatest ``rank``; points in none have nulls."""
-    inside = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
     own = [c for c in intervals.columns if c not in keys]
-    best = points.join(intervals, keys).filter(inside).groupBy(point_id).agg(F.max_by(F.struct(*own), rank).alias("_best"))
+    best = inside(points.select(*keys, at, point_id), intervals, keys, at, start, end).groupBy(point_id).agg(F.max_by(F.struct(*own), rank).alias("_best"))
     return points.join(best, point_id, "left").select(*points.columns, *(F.col(f"_best.{c}").alias(c) for c in own))
 
 
+def inside(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
+    """Points joined to the half-open intervals of their keys that hold them, by equality on bins.
+
+    An interval lies in at most two bins of the least power of two that is as long as
+    it; a point looks once into each width that occurs (at most 64), so neither long
+    intervals nor many short ones multiply rows, and a key of many rows is spread over its bins.
+    """
+    bins = intervals.filter(F.col(end) > F.col(start)).withColumn("_level", F.ceil(F.log2((F.col(end) - F.col(start)).cast("double"))).cast("int"))
+    levels = sorted(r[0] for r in bins.select("_level").distinct().collect())  # widths, not rows: 64 at most
+    shift = lambda c: F.call_function("shiftright", c, F.col("_level"))
+    bins = bins.withColumn("_bin", F.explode(F.array_distinct(F.array(shift(F.col(start).cast("long")), shift(F.col(end).cast("long") - 1)))))
+    looks = points.withColumn("_level", F.explode(F.array(*(F.lit(n) for n in levels)).cast("array<int>"))).withColumn("_bin", shift(F.col(at).cast("long")))
+    return looks.join(bins, [*keys, "_level", "_bin"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_bin")
+
+
 def latest_before(events: DataFrame, keys: list[str], order: list[str], is_source: Column, value: Column) -> Column:
     """The value of the latest source row before each row of its key (null if none); one sort per key serves all rows."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
