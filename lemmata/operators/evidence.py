@@ -79,7 +79,8 @@ def first_tier(candidates: DataFrame, key: str, tier: str, value: str, evidence:
     Tiers are numbered (what formulas say, then symbols, then structural candidates).
     """
     first = candidates.withColumn("_first", F.min(tier).over(Window.partitionBy(key))).filter(F.col(tier) == F.col("_first"))
-    ranked = relational.capped(first, [key], [F.col(value)], cap)
+    each = first.groupBy(key, tier, value).agg(F.array_distinct(F.flatten(F.collect_list(evidence))).alias(evidence))
+    ranked = relational.capped(each, [key], [F.col(value)], cap)
     held = ranked.groupBy(key, tier).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("value"), F.col(evidence).alias("evidence")))).alias("all"), F.bool_or("truncated").alias("_cut"))
     every = F.col("all")
     more = lambda a, b: (F.size(F.array_except(b["evidence"], a["evidence"])) > 0) & (F.size(F.array_except(a["evidence"], b["evidence"])) == 0)
@@ -111,15 +112,21 @@ def nearest(points: DataFrame, anchors: DataFrame, keys: list[str], at: str, poi
 
 
 def equation_links(formulas: DataFrame, file: str, formula: str, start: str, end: str, entities: str, cap: int = 16) -> DataFrame:
-    """(file, formula, earlier, shared, truncated): the latest ``cap`` formulas that end before one begins and share an entity with it.
+    """(file, formula, earlier, shared, truncated): the latest ``cap`` formulas that end before one begins (or where it does) and share an entity with it.
 
-    Per entity only the last ``cap`` + 1 formulas before one are looked at, which hold all
-    that can be among its latest ``cap``; so an entity of every formula makes no square of rows.
+    Ends and beginnings are sorted together per entity, and only the last ``cap`` + 1 ends before a
+    beginning are looked at, which hold all that can be among its latest
+    ``cap``; so an entity of every formula makes no square of rows.
     """
     each = formulas.select(file, formula, start, end, F.explode(F.array_distinct(entities)).alias("_entity"))
-    w = Window.partitionBy(file, "_entity").orderBy(F.col(end), F.col(formula)).rowsBetween(-cap - 1, -1)
-    near = each.withColumn("_prev", F.collect_list(F.struct(F.col(end).alias("e"), F.col(formula).alias("f"))).over(w)).select(file, formula, start, "_entity", F.explode("_prev").alias("_p"))
-    pairs = near.filter(F.col("_p.e") <= F.col(start)).groupBy(file, formula, F.col("_p.f").alias("earlier"), F.col("_p.e").alias("_end")).agg(F.array_sort(F.collect_set("_entity")).alias("shared"))
+    ends = each.select(file, "_entity", F.col(end).alias("_at"), F.lit(0).alias("_kind"), formula, F.lit(None).cast(each.schema[start].dataType).alias(start))
+    both = ends.unionByName(each.select(file, "_entity", F.col(start).alias("_at"), F.lit(1).alias("_kind"), formula, start))
+    sofar = Window.partitionBy(file, "_entity").orderBy("_at", "_kind", formula).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_ended", F.count_if(F.col("_kind") == 0).over(sofar))
+    last = Window.partitionBy(file, "_entity").orderBy("_ended").rangeBetween(-cap, 0)
+    end_row = F.when(F.col("_kind") == 0, F.struct(F.col("_at").alias("e"), F.col(formula).alias("f")))
+    near = both.withColumn("_prev", F.collect_list(end_row).over(last)).filter("_kind = 1").select(file, formula, start, "_entity", F.explode("_prev").alias("_p"))
+    pairs = near.filter((F.col("_p.e") <= F.col(start)) & (F.col("_p.f") != F.col(formula))).groupBy(file, formula, F.col("_p.f").alias("earlier"), F.col("_p.e").alias("_end")).agg(F.array_sort(F.collect_set("_entity")).alias("shared"))
     return relational.capped(pairs, [file, formula], [F.desc("_end"), F.desc("earlier")], cap).select(file, formula, "earlier", "shared", "truncated")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmata.plans import domain, kernel
+from lemmata.plans import domain, kernel, reasoning  # noqa: F401  (registers its queries with the kernel)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
