@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import re
 from fractions import Fraction
+from itertools import permutations
 
 # Relations by spelling.
 RELATIONS = {"=": "equals", ":=": "equals", "<": "less-than", ">": "greater-than", "\\le": "less-or-equal", "\\leq": "less-or-equal", "\\ge": "greater-or-equal", "\\geq": "greater-or-equal", "\\ne": "not-equals", "\\neq": "not-equals", "\\approx": "approximately-equals", "\\in": "member-of", "\\subset": "proper-subset", "\\subseteq": "subset"}
 _TIMES = {"\\cdot": "dot", "\\times": "cross", "*": "product", "/": "quotient"}
 _SETS = {"\\cap": "intersection", "\\cup": "union"}
+_BOUND = {"\\sum": "bound-sum", "\\prod": "bound-product", "\\int": "integral", "\\lim": "limit"}
 _OPEN = {"(": ")", "{": "}", "[": "]"}
 _SKIP = re.compile(r"\\(?:left|right|quad|qquad|displaystyle|,|;|!|:)(?![A-Za-z])|\s+|~")
 _NAME = r"(?:[A-Za-z]|\\[A-Za-z]+)(?:_(?:\{[^{}]*\}|[A-Za-z0-9]))?"
@@ -96,9 +98,12 @@ class _Parser:
     def atom(self) -> tuple:
         token = self.take()
         if token in _OPEN:
-            inside = self.sum()
+            inside = [self.sum()]
+            while self.peek() == ",":
+                self.take()
+                inside.append(self.sum())
             self.expect(_OPEN[token])
-            return inside
+            return inside[0] if len(inside) == 1 else ("tuple", *inside)
         if token[0].isdigit():
             return ("num", token)
         if token in ("\\frac", "\\dfrac", "\\tfrac"):
@@ -111,34 +116,94 @@ class _Parser:
         if token in ("\\mathbf", "\\mathrm", "\\vec", "\\boldsymbol"):
             return self.braced()
         if token == "\\nabla":
-            return ("gradient", self.prefix())
+            return self.nabla()
+        if token == "\\operatorname":
+            return self.operator()
+        if token.split("_")[0] in _BOUND:
+            return self.bound(token)
         if token[0] == "\\" and len(token) > 1 or token[0].isalpha():
             return ("sym", token)
         raise ValueError(f"{token} starts nothing")
 
+    def nabla(self) -> tuple:
+        if self.peek() == "^":
+            self.take()
+            if (self.braced() if self.peek() == "{" else self.atom()) != ("num", "2"):
+                raise ValueError("a power of nabla other than 2")
+            return ("laplacian", self.prefix())
+        if self.peek() in ("\\cdot", "\\times"):
+            return ("divergence" if self.take() == "\\cdot" else "curl", self.prefix())
+        return ("gradient", self.prefix())
+
+    def operator(self) -> tuple:
+        self.expect("{")
+        name = ""
+        while self.peek() != "}":
+            name += self.take()
+        self.take()
+        inside = self.prefix()
+        return ("divergence", inside) if name == "div" else ("apply", ("sym", f"\\{name}"), *(inside[1:] if inside[0] == "tuple" else (inside,)))
+
+    def bound(self, token: str) -> tuple:
+        """A sum, product, integral or limit: its variable (if one is named) and what it binds."""
+        head, _, below = token.partition("_")
+        while self.peek() in ("_", "^"):
+            mark = self.take()
+            text = self.enclosed()
+            below = text if mark == "_" else below
+        name = re.match(r"\{?\s*(\\?[A-Za-z]+)", below)
+        return (_BOUND[head], ("sym", name[1]) if name else ("num", "0"), self.product())
+
+    def enclosed(self) -> str:
+        if self.peek() != "{":
+            return self.take()
+        depth, out = 0, ""
+        while True:
+            out += (token := self.take())
+            depth += (token == "{") - (token == "}")
+            if not depth:
+                return out
+
     def fraction(self) -> tuple:
         top, bottom = self.differential(), self.differential()
         if top[0] and bottom[0]:
-            return ("derivative", top[1], bottom[1])
+            order, by = 1, bottom[1]
+            if by[0] == "power" and by[2][0] == "num" and by[2][1].isdigit():
+                order, by = int(by[2][1]), by[1]
+            if top[2] != order:
+                raise ValueError("a derivative of two orders")
+            out = top[1]
+            for _ in range(order):
+                out = ("derivative", out, by)
+            return out
         if top[0] or bottom[0]:
             raise ValueError("half a derivative")
         return ("quotient", top[1], bottom[1])
 
-    def differential(self) -> tuple[bool, tuple]:
-        """Whether braces hold a differential, and their content without its sign."""
+    def differential(self) -> tuple[bool, tuple, int]:
+        """Whether braces hold a differential, their content without its sign, and the sign's power."""
         self.expect("{")
         sign = self.peek() in ("d", "\\partial") and self.tokens[self.at + 1 : self.at + 2] != ["}"]
+        order = 1
         if sign:
             self.take()
+            if self.peek() == "^":
+                self.take()
+                power = self.braced() if self.peek() == "{" else self.atom()
+                if power[0] != "num" or not power[1].isdigit() or not 1 <= int(power[1]) <= 9:
+                    raise ValueError("a derivative without an order")
+                order = int(power[1])
         inside = self.sum()
         self.expect("}")
-        return sign, inside
+        return sign, inside, order
 
 
 def parse(source: str | None, words: bool = False) -> tuple | None:
     """The tree of a formula; with ``words``, identifiers are hyphened words as in templates."""
     if not source:
         return None
+    if not words and ("\\\\" in source or "&" in source):
+        return _rows(source)
     parser = _Parser(source, words)
     try:
         tree = parser.relation()
@@ -147,6 +212,33 @@ def parse(source: str | None, words: bool = False) -> tuple | None:
     return tree if parser.at == len(parser.tokens) else None
 
 
+_ENVIRONMENT = re.compile(r"\s*\\begin\{(aligned|split|gathered|cases|matrix|pmatrix|bmatrix|vmatrix)\}(.*)\\end\{\1\}\s*", re.S)
+
+
+def _rows(source: str) -> tuple | None:
+    """Rows of an environment: equations as a system (a row that begins with a relation goes on from the left side before), cases, or a matrix."""
+    found = _ENVIRONMENT.fullmatch(source)
+    kind, body = (found[1], found[2]) if found else ("aligned", source)
+    rows = [[c.strip() for c in r.split("&")] for r in body.split("\\\\") if r.strip()]
+    if kind == "cases" or kind.endswith("matrix"):
+        if kind.endswith("matrix") and len({len(r) for r in rows}) > 1:
+            return None
+        cells = [parse(c) for r in rows for c in (r[:1] if kind == "cases" else r)]
+        head = ("cases",) if kind == "cases" else ("matrix", ("num", str(len(rows))))
+        return None if not cells or None in cells else (*head, *cells)
+    out, left = [], None
+    for r in rows:
+        text = " ".join(c for c in r if c).rstrip(",.")
+        first = next((t for t in sorted(RELATIONS, key=len, reverse=True) if text.startswith(t)), None)
+        tree = parse(f"{left} {text}" if first and left else text)
+        if tree is None:
+            return None
+        out += tree[1:] if tree[0] == "system" else (tree,)
+        if not first and (m := re.match(r"(.*?)\s*(?:=|<|>|\\le|\\ge)", text)):
+            left = m[1]
+    return out[0] if len(out) == 1 else ("system", *out) if out else None
+
+
 def canonical(tree: tuple) -> str:
     """A stable key such as ``equals(F,product(m,a))``."""
     return tree[1] if tree[0] in ("sym", "num") else f"{tree[0]}({','.join(canonical(c) for c in tree[1:])})"
@@ -199,8 +291,10 @@ def dimension(tree: tuple, known: dict[str, dict], faults: set[str]) -> dict | N
 
 
 def unify(template: tuple, tree: tuple, bound: dict[str, tuple]) -> list[dict[str, tuple]]:
-    """All bindings of a template's words to subtrees; = and sums commute, products keep their order."""
-    if template[0] == "sym" and "\\" not in template[1]:
+    """All bindings of a template's roles (or words) to subtrees; = and sums commute, products keep their order."""
+    if template[0] == "lit":
+        return [bound] if tree == ("sym", template[1]) else []
+    if template[0] == "role" or template[0] == "sym" and "\\" not in template[1]:
         if template[1] in bound:
             return [bound] if bound[template[1]] == tree else []
         return [] if tree[0] in ("negate", "num") else [bound | {template[1]: tree}]
@@ -217,3 +311,80 @@ def unify(template: tuple, tree: tuple, bound: dict[str, tuple]) -> list[dict[st
         return [out for i in choices for got in unify(wanted[0], have[i], b) for out in rest(wanted[1:], have[:i] + have[i + 1 :], got)]
 
     return rest(template[1:], tree[1:], bound)
+
+
+def with_roles(tree: tuple, roles: set[str]) -> tuple:
+    """A template whose words that name roles stand for anything; other words are commands of that name, or letters."""
+    if tree[0] == "sym":
+        return ("role", tree[1]) if tree[1] in roles else ("lit", tree[1] if len(tree[1].lstrip("\\")) == 1 or tree[1][0] == "\\" else f"\\{tree[1]}")
+    return (tree[0], *(with_roles(c, roles) if isinstance(c, tuple) else c for c in tree[1:]))
+
+
+def scalar_orders(tree: tuple, scalars: set[str], most: int = 4) -> list[tuple]:
+    """The template with the factors of its products in every order, where all of at most ``most`` factors are scalar roles."""
+    if tree[0] in ("role", "lit", "sym", "num"):
+        return [tree]
+    children: list[tuple] = [()]
+    for c in tree[1:]:
+        children = [(*done, x) for done in children for x in scalar_orders(c, scalars, most)]
+    if tree[0] == "product" and len(tree) - 1 <= most and all(c[0] == "role" and c[1] in scalars for c in tree[1:]):
+        return [(tree[0], *p) for p in permutations(tree[1:])]
+    return [(tree[0], *c) for c in children]
+
+
+def equivalents(tree: tuple) -> list[tuple[tuple, tuple | None]]:
+    """The forms of an equation that isolate each factor of a product or a part of a quotient, with what must not be zero (None: nothing)."""
+    out: list[tuple[tuple, tuple | None]] = [(tree, None)]
+    if tree[0] != "equals":
+        return out
+    for left, right in ((tree[1], tree[2]), (tree[2], tree[1])):
+        if right[0] == "product":
+            for i, factor in enumerate(right[1:], 1):
+                rest = right[1:i] + right[i + 1 :]
+                below = rest[0] if len(rest) == 1 else ("product", *rest)
+                out.append((("equals", factor, ("quotient", left, below)), below))
+        if right[0] == "quotient":
+            out.append((("equals", right[1], ("product", left, right[2])), right[2]))
+            out.append((("equals", right[2], ("quotient", right[1], left)), left))
+    return out
+
+
+def nodes(tree: tuple, parent: int | None = None, start: int = 0) -> list[tuple]:
+    """(node, parent, ordinal, head, text, canonical) rows of a tree in preorder."""
+    out = [(start, parent, 0, tree[0], tree[1] if tree[0] in ("sym", "num") else None, canonical(tree))]
+    if tree[0] in ("sym", "num"):
+        return out
+    for k, child in enumerate(tree[1:]):
+        below = nodes(child, start, start + len(out))
+        out += [(below[0][0], start, k, *below[0][3:]), *below[1:]]
+    return out
+
+
+_BINDER = re.compile(r"\\(sum|prod|int|lim)_\{?\s*(\\?[A-Za-z]+)|\\(forall|exists)\s*(\\?[A-Za-z]+)")
+
+
+def binders(source: str) -> list[tuple[str, str, int]]:
+    """(binder, symbol, at): the symbols that sums, products, integrals, limits and quantifiers bind from there on."""
+    return [(m[1] or m[3], m[2] or m[4], m.start()) for m in _BINDER.finditer(source)]
+
+
+# Families of notation that has more than one reading, by how they are written.
+_FAMILIES = [
+    ("application", re.compile(r"(?<![A-Za-z\\])[A-Za-z]\s*\((?=[^()]*\))"), ("application", "product")),
+    ("decoration", re.compile(r"\\(?:hat|bar|tilde|vec|dot|ddot|overline)(?![A-Za-z])"), ("decorated-symbol", "operation")),
+    ("style", re.compile(r"\\(?:mathbf|mathrm|mathcal|mathbb|boldsymbol)(?![A-Za-z])"), ("styled-symbol", "plain-symbol")),
+    ("script", re.compile(r"(?<=[A-Za-z}])[_^](?:\{[^{}]*\}|[A-Za-z0-9*'])"), ("index", "power")),
+    ("bracketed", re.compile(r"\|[^|]+\||\\\|[^|]+\\\||\[[^\[\]]*\]"), ("norm", "grouping")),
+    ("operator", re.compile(r"\\operatorname(?![A-Za-z])"), ("operator", "symbol")),
+    ("binder", re.compile(r"\\(?:sum|prod|int|lim|forall|exists)(?![A-Za-z])"), ("binder", "operator")),
+    ("differential", re.compile(r"\\(?:partial|nabla)(?![A-Za-z])|(?<![A-Za-z\\])d(?=\s*[A-Za-z](?![A-Za-z]))"), ("differential", "symbol")),
+]
+#: Structural candidates of a formula that are listed.
+CANDIDATES = 16
+
+
+def candidates(source: str) -> tuple[list[tuple[str, str, int, int]], bool]:
+    """(family, reading, start, end) of notation with several readings, in order of place, at most ``CANDIDATES``; and whether there were more."""
+    found = sorted((m.start(), k, m.end(), f, readings) for k, (f, pattern, readings) in enumerate(_FAMILIES) for m in pattern.finditer(source))
+    rows = [(f, r, a, b) for a, _, b, f, readings in found for r in readings]
+    return rows[:CANDIDATES], len(rows) > CANDIDATES

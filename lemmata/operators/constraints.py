@@ -105,18 +105,25 @@ def derived_dimensions(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         have = {g["symbol"]: quantities.named_dimension(g["dimension"]) for g in given}
         return [(file_id, s, quantities.dimension_name(d), at) for s, d in sorted(_said(tree, have).items())] if tree else []
 
-    truncated = False
+    found, latest, truncated = [facts], facts, False
     for n in range(1, rounds + 2):
-        known = facts.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("symbol", "dimension"))).alias("facts"))
+        facts = found[0]
+        for f in found[1:]:
+            facts = facts.unionByName(f)
+        # only files in which the round before found something
+        known = facts.join(latest.select("file_id").distinct(), "file_id", "left_semi").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("symbol", "dimension"))).alias("facts"))
         new = _mapped(maths.join(known, "file_id"), ["file_id", "at", "text", "facts"], row, "file_id string, symbol string, dimension string, at int", [pa.string(), pa.string(), pa.string(), pa.int32()])
         new = new.groupBy("file_id", "symbol").agg(F.min_by("dimension", F.struct("at", "dimension")).alias("dimension")).withColumn("round", F.lit(n))
-        new = graph.stored(new)
-        if not new.limit(1).count():
+        latest = graph.stored(new)
+        if not latest.limit(1).count():
             break
         if n > rounds:
             truncated = True
             break
-        facts = graph.stored(facts.unionByName(new))
+        found.append(latest)
+    facts = found[0]
+    for f in found[1:]:
+        facts = facts.unionByName(f)
     return facts.withColumn("truncated", F.lit(truncated))
 
 

@@ -17,16 +17,29 @@ from pyspark.sql import functions as F
 from lemmata.operators import decisions, relational
 from lemmata.sources import syntax as front
 
-# Leads and the links that may follow the symbol after each.
-LEADS = {
-    "let": ("denote", "represent", "be", "stand for", "mean"),
-    "we write": ("for",),
-    "denote by": ("",),
-    "where": ("is", "denotes", "represents"),
-    "here": ("is", "denotes", "represents"),
-    "": ("denotes", "represents", "is defined as", "is the", "stands for"),
-}
-_SPECS = [(lead, link) for lead, links in LEADS.items() for link in sorted(links, key=len, reverse=True)]
+# Leads, the links that may follow the symbol after each, and whether the description ends at a comma.
+SPECS = [
+    (("let", "where", "take", "given", "suppose", "assume", "subject to"), ("denotes", "denote", "stands for", "stand for", "to be", "be", "is", "are", "as", "represents", "represent", "mean"), False),
+    (("we write",), ("for",), False),
+    (("define", "set"), ("as", "equal to"), False),
+    (("denote by", "call"), ("",), False),
+    (("we use",), ("to represent", "to denote", "for"), False),
+    (("here", "throughout", "with", "given", "suppose", "assume", "subject to"), ("denoting", "denotes", "denote", "designates", "designate", "represents", "representing", "represent", "is", "be"), True),
+    (
+        ("", "the symbol", "the notation", "symbol", "notation"),
+        ("means", "mean", "stands for", "stand for", "refers to", "will denote", "shall be", "designates", "designate", "denotes", "denote", "represents", "represent", "is defined as", "is the", "is", "are"),
+        False,
+    ),
+]
+#: Descriptions that stand before the symbol: constructions by name, tried in this order where no link follows.
+_NOUNS = r"([a-z]+(?:[ -][a-z]+){0,5})"
+_BEFORE = [
+    ("passive", re.compile(rf"^(?:the |an? )?{_NOUNS} (?:is|are) (?:denoted|represented) by$", re.I)),
+    ("quantified", re.compile(rf"\bfor (?:every|each|all|any) {_NOUNS}$", re.I)),
+    ("parenthetical", re.compile(rf"\b(?:the|an?) {_NOUNS} \($", re.I)),
+    ("role-first", re.compile(rf"^(?:the|an?) {_NOUNS}$", re.I)),
+    ("apposition", re.compile(rf", (?:the|an?) {_NOUNS},?$", re.I)),
+]
 _HEDGED = re.compile(r"\b(?:might|may|perhaps|possibly|apparently|could|would)\b|\b(?:seems|appears) to\b|^(?:if|when|provided|assuming|even|were|had|imagine|according to)\b|\bas reported\b", re.I)
 _NEGATED = re.compile(r"\b(?:not|never|cannot|no longer)\b", re.I)
 LONGEST = 120
@@ -115,17 +128,42 @@ def of_document(content: str) -> list[tuple]:
             continue
         if text.startswith(",") or text.lstrip().lower().startswith("and "):
             continue
-        for spec, link in _SPECS:
-            if spec != lead:
-                continue
-            found = re.match(rf"\s+{re.escape(link)}\b\s*(.*)" if link else r"\s+(.*)", text, re.S | re.I)
-            if found and (what := found[1].strip(" ,:")) and len(what.encode()) <= LONGEST and "=" not in what:
-                at = own[0]
-                out.append((at[4], units[at[2]], units[m[3] + len(text)], units[head + len(live[head:]) - len(live[head:].lstrip())], units[m[3] + len(text)], what, f"{spec or 'direct'}/{link}", m[5]))
-                break
+        before = live[head : m[2]].strip()
+        if lead == "" and before:
+            lead = None  # only a comma stands there
+        found = _linked(lead, text) or _preceding(before, live[m[3] : m[3] + 1])
+        if found:
+            what, construction = found
+            at = own[0]
+            out.append((at[4], units[at[2]], units[m[3] + len(text)], units[head + len(live[head:]) - len(live[head:].lstrip())], units[m[3] + len(text)], what, construction, m[5]))
     return out
 
 
+def _linked(lead: str | None, text: str) -> tuple[str, str] | None:
+    """Description and construction by the first specification of a lead whose longest link begins the text."""
+    for leads, links, stop_at_comma in SPECS:
+        if lead not in leads:
+            continue
+        for link in sorted(links, key=len, reverse=True):
+            found = re.match(rf"\s+{re.escape(link)}(?:\s+(.*)|$)" if link else r"\s+(.*)", text, re.S | re.I)
+            if not found:
+                continue
+            what = (found[1] or "").split(",")[0] if stop_at_comma else found[1] or ""
+            what = what.strip(" ,:")
+            if what and len(what.encode()) <= LONGEST and "=" not in what:
+                return what, f"{lead or 'direct'}/{link}"
+            break
+    return None
+
+
+def _preceding(before: str, behind: str) -> tuple[str, str] | None:
+    for name, pattern in _BEFORE:
+        found = pattern.search(before)
+        if found and (name != "parenthetical" or behind == ")") and len(found[1].encode()) <= LONGEST:
+            return found[1], name
+    return None
+
+
 def definitions(docs: DataFrame) -> DataFrame:
     """Asserted definitions of documents (file_id, content)."""
 
@@ -139,15 +177,15 @@ def definitions(docs: DataFrame) -> DataFrame:
     return docs.select("file_id", "content").mapInArrow(run, SCHEMA)
 
 
-def resolved_uses(docs: DataFrame) -> DataFrame:
-    """Per symbol use: status and, if established, where its definition is (file_id, use, symbol, status, definition)."""
+def resolved_uses(docs: DataFrame, with_scope: bool = False) -> DataFrame:
+    """Per symbol use: status and, if established, where its definition is (file_id, use, symbol, status, definition), and its scope."""
     uses = front.syntax(docs).filter("kind = 'symbol'").select("file_id", F.col("text").alias("symbol"), F.col("start").alias("use"), F.col("scope").alias("use_scope"))
     bound = definitions(docs).select("file_id", "symbol", "anchor", "available", "scope")
     seen = relational.visible_bindings(uses, bound, ["file_id", "symbol"], "use_scope", "scope")
     seen = seen.filter((F.col("available") <= F.col("use")) | (F.col("anchor") == F.col("use"))).withColumn("at", F.struct("file_id", "use"))
     status = decisions.resolve(seen, "at", "anchor", F.lit(True), F.size("scope"), F.col("available"), F.lit(True))
     named = status.select(F.col("at.file_id").alias("file_id"), F.col("at.use").alias("use"), "status", F.col("entity").alias("definition"))
-    return uses.select("file_id", "use", "symbol").join(named, ["file_id", "use"], "left").withColumn("status", F.coalesce("status", F.lit("unsupported")))
+    return uses.select("file_id", "use", "symbol", *([F.col("use_scope").alias("scope")] if with_scope else [])).join(named, ["file_id", "use"], "left").withColumn("status", F.coalesce("status", F.lit("unsupported")))
 
 
 def hygiene(docs: DataFrame) -> DataFrame:

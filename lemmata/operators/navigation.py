@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmata.operators import definitions
+from lemmata.operators import definitions, graph, relational
 from lemmata.sources import syntax as front
 
 #: Occurrences beyond which a rename or a reference list is refused as a whole.
@@ -39,17 +39,18 @@ def renames(docs: DataFrame, requests: DataFrame, cap: int = FAN_OUT) -> DataFra
     """(request, refusal, edits) for requests (request, file_id, at, new_name), ``at`` being where a use starts.
 
     Edits are sorted starts, or null with a refusal.  Refusals in order: the symbol is not established; the name is
-    unchanged; too many occurrences; an occurrence that cannot be edited; an invalid name; capture of another
-    established symbol in a scope that sees, or is seen by, an occurrence.
+    unchanged; too many occurrences; an occurrence that cannot be edited; an invalid name; capture by another use of
+    the name, resolved or not, in a scope that sees, or is seen by, an occurrence.  Only files with a
+    request are parsed, once, into a stored table.
     """
-    scopes = front.syntax(docs).filter("kind = 'symbol'").select("file_id", F.col("start").alias("use"), "scope")
-    uses = definitions.resolved_uses(docs).join(scopes, ["file_id", "use"])
+    some = docs.join(requests.select("file_id").distinct(), "file_id", "left_semi")
+    uses = graph.stored(definitions.resolved_uses(some, with_scope=True))
     target = requests.join(uses.select("file_id", F.col("use").alias("at"), "status", "definition", "symbol"), ["file_id", "at"], "left")
     known = uses.filter("status = 'established'")
     entity = known.groupBy("file_id", "definition").agg(F.array_sort(F.collect_list("use")).alias("edits"), F.bool_and(_plain(F.col("symbol")) | _control(F.col("symbol"))).alias("editable"))
     plan = target.join(entity, ["file_id", "definition"], "left")
     own = target.select("request", "file_id", "definition", "new_name").join(known.select("file_id", "definition", F.col("scope").alias("_own")), ["file_id", "definition"]).distinct()
-    other = known.select("file_id", F.col("definition").alias("_other"), F.col("symbol").alias("new_name"), F.col("scope").alias("_there")).distinct()
+    other = uses.select("file_id", F.coalesce("definition", F.lit(-1)).alias("_other"), F.col("symbol").alias("new_name"), F.col("scope").alias("_there")).distinct()
     taken = own.join(other, ["file_id", "new_name"]).filter((F.col("_other") != F.col("definition")) & _visible(F.col("_own"), F.col("_there"))).select("request").distinct().withColumn("captures", F.lit(True))
     plan = plan.join(taken, "request", "left")
     name, same_family = F.col("new_name"), F.when(_plain(F.col("symbol")), _plain(F.col("new_name"))).otherwise(_control(F.col("new_name")))
@@ -66,7 +67,8 @@ def renames(docs: DataFrame, requests: DataFrame, cap: int = FAN_OUT) -> DataFra
 
 def selections(docs: DataFrame, cursors: DataFrame) -> DataFrame:
     """(cursor, rank, kind, start, end): the ranges of a document around each cursor (cursor, file_id, at), innermost first."""
-    ranges = front.syntax(docs).select("file_id", "kind", "start", "end")
-    held = cursors.join(ranges, "file_id").filter((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
+    some = docs.join(cursors.select("file_id").distinct(), "file_id", "left_semi")
+    ranges = graph.stored(front.syntax(some).select("file_id", "kind", "start", "end"))
+    held = relational.inside(cursors, ranges, ["file_id"], "at", "start", "end")
     order = Window.partitionBy("cursor").orderBy(F.col("end") - F.col("start"), "start", "kind")
     return held.select("cursor", F.row_number().over(order).alias("rank"), "kind", "start", "end")
