@@ -167,13 +167,17 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id",
                     place, n = np.unique(np.concatenate([own[0], more]), return_counts=True)
                     sums[k, place] += n.astype(np.int32)
         used = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used].astype(np.int64)), pa.array(sums[1, used].astype(np.int64))], names=["bucket", "n0", "n1"])
-
-    table = rows.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    by_fold = np.zeros((2, FOLDS << BITS))
-    by_fold[0, table["bucket"]], by_fold[1, table["bucket"]] = table["n0"], table["n1"]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[0, used]), pa.array(sums[1, used])], names=["bucket", "n0", "n1"])
+
+    # at most FOLDS * 2^BITS rows of three 32-bit numbers, added up batch by batch
+    by_fold = np.zeros((2, FOLDS << BITS), np.int32)
+    table = rows.mapInArrow(count, "bucket int, n0 int, n1 int").groupBy("bucket").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")).toArrow()
+    for batch in table.to_batches():
+        by_fold[:, batch.column(0).to_numpy()] = [batch.column(1).to_numpy(), batch.column(2).to_numpy()]
+    del table
+    arrays.trim()
     by_fold = by_fold.reshape(2, FOLDS, 1 << BITS)
-    n0, n1 = by_fold.sum(1)
+    n0, n1 = by_fold.sum(1, dtype=np.float64)
     if not n0.sum() or not n1.sum():
         return Model(np.full(1 << BITS, -DRIFT), 1.0, 0.0, float(np.log((n1.sum() + 1) / (n0.sum() + n1.sum() + 20))))
     weights = _weights(n0, n1)
