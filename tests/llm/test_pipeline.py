@@ -68,3 +68,32 @@ def test_without_keeps_whole_characters():
     gone = np.packbits([0, 1, 0, 0, 0, 1]).tobytes()  # the first byte of é, and d
     assert without("aébcd", gone) == "abc"
     assert without("abc", None) == ""
+
+
+def test_stages_of_edge_tables(spark):
+    """Empty tables, repeated rows, null ids and texts, and extra columns whose names the operators use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _gone string, gone int, sha string, hit boolean, at int, `a b` struct<`c d`:int>"
+    more = ("x", "y", 1, "g", 2, "s", True, 3, (4,))
+    long = "\n".join(" ".join(f"w{k}x{j}" for j in range(10)) for k in range(12))
+    rows = [(i, t, *more) for i, t in [(1, long), (1, long), (2, long + "\nend"), (None, long), (3, None), (4, ""), (5, "one two"), (6, "\n".join(f"other {k} and more words {k * k}" for k in range(15)))]]
+    for table in ([], rows):
+        docs = spark.createDataFrame(table, schema).repartition(2)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            assert all(r["_gone"] == "g" and r["a b"]["c d"] == 4 for r in got)
+            texts = sorted(((r["doc_id"], r["text"]) for r in got), key=str)
+            if not table:
+                assert got == []
+            elif name == "quality":
+                assert {d for d, _ in texts} == {1, 2, None, 6} and len(texts) == 5
+            elif name == "lines":
+                assert len(texts) == len(rows) and texts.count((1, long)) == 2 and (3, None) in texts and (2, "end") in texts
+            elif name == "near_duplicates":
+                assert [d for d, _ in texts].count(1) == 2 and 2 not in {d for d, _ in texts} and {3, 4, 5, 6} <= {d for d, _ in texts}
+            else:
+                assert len(texts) == len(rows) and texts.count((1, long)) == 2 and (None, "") in texts and (3, None) in texts
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert len({(p["sequence_id"], p["offset"]) for p in pieces}) == len(pieces)
+        assert sum(p["length"] == p["doc_tokens"] == 1 for p in pieces if p["doc_id"] in (3, 4)) == (2 if table else 0)
