@@ -22,28 +22,28 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts have no words and go. Repeated rows are judged alike, an empty table stays empty, other columns keep their values."""
     return quality_rules(docs, keep_columns=True)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated line chunks."""
+    """Documents without passages of lines that occur before them; null and empty texts stay as they are. Rows equal in id and text do not repeat each other, an empty table stays empty, other columns keep their values (n_chars is counted anew)."""
     return _recounted(drop_repeated_chunks(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates."""
+    """The document of smallest id of each group of near duplicates; texts without words are groups of their own. Rows of one id stay together, those of null ids only where they are their own group; an empty table stays empty, other columns keep their values."""
     kept = ngram_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without bytes that repeat from earlier ones."""
+    """Documents without bytes that repeat from earlier ones; a null text stays null, a text that repeats whole becomes empty. Rows of one id do not cover each other, an empty table stays empty, other columns keep their values (n_chars is counted anew)."""
     return _recounted(drop_repeated_bytes(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; a null or empty text is its end token alone. Rows of one id are packed one by one, an empty table gives no pieces, other columns are not read."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -13,55 +13,52 @@ from pyspark.sql import functions as F
 
 from lemmata.functions import text
 
-# Base dimensions by letter.
-BASES = {"I": "electric-current", "L": "length", "M": "mass", "T": "time", "K": "thermodynamic-temperature"}
-
 # Kind | dimension | further terms (the kind's own name is a term).
 KINDS = """
-length | L | wavelength, wave length, height, depth, height difference, depth difference, wall thickness
-area | L^2 | surface area, cross-sectional area
-duration | T | time, time variable, period, sampling period, signal period
-mass | M | inertial mass, scalar mass
-velocity | L T^-1 | speed, point velocity, velocity vector, wave speed, propagation speed, exit speed, mean normal velocity
-acceleration | L T^-2 | acceleration vector
-force | L M T^-2 | net force, applied force, force vector
-pressure | L^-1 M T^-2 | mechanical pressure
-momentum | L M T^-1 |
-energy | L^2 M T^-2 | kinetic energy, mechanical energy, electric potential energy, heat, sensible heat, work, system work, internal energy change, boundary work
-power | L^2 M T^-3 | mechanical power, instantaneous power, electric power, heat transfer rate
-stiffness | M T^-2 |
-damping-coefficient | M T^-1 |
-electric-charge | I T | charge, signed charge, test charge
-capacitance | I^2 L^-2 M^-1 T^4 | capacitor capacitance
-inductance | I^-2 L^2 M T^-2 |
-electric-current | I | current, branch current, capacitor current
-voltage | I^-1 L^2 M T^-3 | voltage drop, terminal voltage, potential difference, electric potential
-electric-field | I^-1 L M T^-3 | electric field strength, electric field symbol
-resistance | I^-2 L^2 M T^-3 | electrical resistance, resistor resistance
-frequency | T^-1 | cyclic frequency, angular frequency, sampling frequency, wave frequency
-temperature | K | thermodynamic temperature, temperature change, temperature difference
-density | L^-3 M | fluid density, mass density
-specific-heat-capacity | L^2 T^-2 K^-1 | specific heat
-thermal-conductivity | L M T^-3 K^-1 |
-volume | L^3 | control volume, fluid volume
-mass-flow-rate | M T^-1 | mass flow, mass rate, mass per unit time
-volumetric-flow-rate | L^3 T^-1 | volume rate, volume flow, volumetric flow
-dimensionless | | dimensionless quantity, probability, scalar probability, pi, circle constant
+length | length | wavelength, wave length, height, depth, height difference, depth difference, wall thickness
+area | length^2 | surface area, cross-sectional area
+duration | time | time, time variable, period, sampling period, signal period
+mass | mass | inertial mass, scalar mass
+velocity | length time^-1 | speed, point velocity, velocity vector, wave speed, propagation speed, exit speed, mean normal velocity
+acceleration | length time^-2 | acceleration vector
+force | length mass time^-2 | net force, applied force, force vector
+pressure | length^-1 mass time^-2 | mechanical pressure
+momentum | length mass time^-1 |
+energy | length^2 mass time^-2 | kinetic energy, mechanical energy, electric potential energy, heat, sensible heat, work, system work, internal energy change, boundary work
+power | length^2 mass time^-3 | mechanical power, instantaneous power, electric power, heat transfer rate
+stiffness | mass time^-2 |
+damping-coefficient | mass time^-1 |
+electric-charge | electric-current time | charge, signed charge, test charge
+capacitance | electric-current^2 length^-2 mass^-1 time^4 | capacitor capacitance
+inductance | electric-current^-2 length^2 mass time^-2 |
+electric-current | electric-current | current, branch current, capacitor current
+voltage | electric-current^-1 length^2 mass time^-3 | voltage drop, terminal voltage, potential difference, electric potential
+electric-field | electric-current^-1 length mass time^-3 | electric field strength, electric field symbol
+resistance | electric-current^-2 length^2 mass time^-3 | electrical resistance, resistor resistance
+frequency | time^-1 | cyclic frequency, angular frequency, sampling frequency, wave frequency
+temperature | thermodynamic-temperature | thermodynamic temperature, temperature change, temperature difference
+density | length^-3 mass | fluid density, mass density
+specific-heat-capacity | length^2 time^-2 thermodynamic-temperature^-1 | specific heat
+thermal-conductivity | length mass time^-3 thermodynamic-temperature^-1 |
+volume | length^3 | control volume, fluid volume
+mass-flow-rate | mass time^-1 | mass flow, mass rate, mass per unit time
+volumetric-flow-rate | length^3 time^-1 | volume rate, volume flow, volumetric flow
+dimensionless |  | dimensionless quantity, probability, scalar probability, pi, circle constant
 """
 
 # Unit | symbol | dimension | further spellings.
 UNITS = """
-metre | m | L | meter, meters, metre, metres
-second | s | T | second, seconds
-kilogram | kg | M | kilogram, kilograms
-ampere | A | I | ampere, amperes
-kelvin | K | K | kelvin, kelvins
-metre-per-second | m/s | L T^-1 | meter per second, meters per second, metre per second, metres per second
-metre-per-second-squared | m/s^2 | L T^-2 | meters per second squared, metres per second squared
-newton | N | L M T^-2 | newton, newtons
-volt | V | I^-1 L^2 M T^-3 | volt, volts
-ohm | \\Omega | I^-2 L^2 M T^-3 | ohm, ohms
-hertz | Hz | T^-1 | hertz
+metre | m | length | meter, meters, metre, metres
+second | s | time | second, seconds
+kilogram | kg | mass | kilogram, kilograms
+ampere | A | electric-current | ampere, amperes
+kelvin | K | thermodynamic-temperature | kelvin, kelvins
+metre-per-second | m/s | length time^-1 | meter per second, meters per second, metre per second, metres per second
+metre-per-second-squared | m/s^2 | length time^-2 | meters per second squared, metres per second squared
+newton | N | length mass time^-2 | newton, newtons
+volt | V | electric-current^-1 length^2 mass time^-3 | volt, volts
+ohm | \\Omega | electric-current^-2 length^2 mass time^-3 | ohm, ohms
+hertz | Hz | time^-1 | hertz
 """
 
 
@@ -70,9 +67,9 @@ def _cells(table: str) -> list[list[str]]:
 
 
 def dimension(short: str) -> dict[str, int]:
-    """Exponents by base of a dimension such as ``L T^-1``."""
+    """Exponents by base of a dimension such as ``length time^-1``."""
     parts = (p.partition("^") for p in short.split())
-    return {BASES[b]: int(e or 1) for b, _, e in parts}
+    return {b: int(e or 1) for b, _, e in parts}
 
 
 def dimension_name(exponents: dict) -> str:

@@ -21,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definition look-up end to end: front-end, definitions, scope-prefix join, resolution."""
-    return domain.definition_lookup(spark, sf_dir)
+    return generated.part_resolutions(spark, sf_dir)
