@@ -39,15 +39,14 @@ def transferred(facts: DataFrame, equal: DataFrame) -> DataFrame:
     return copied.unionByName(own).groupBy("entity", "predicate", "value").agg(F.min("proof").alias("proof"))
 
 
-def propagated(facts: DataFrame, relations: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(entity, dimension, round, truncated): given dimensions (round 0), and those that relations (relation, kind, result, left, right) imply.
+def _fixpoint(facts: DataFrame, relations: DataFrame, value: str, up: Column, rounds: int) -> DataFrame:
+    """(entity, value, round, truncated): given facts (round 0) and those that relations (relation, kind, result, left, right) imply.
 
-    Kinds: ``equal`` (result and left, both ways; also terms of a sum, negation and transposition), ``product`` (also
-    integrals and products of vectors), ``quotient`` (also derivatives).  The first proof counts: the least round, and
-    there the first relation.  A round looks only at relations that touch an entity
-    found in the round before; what it finds is a stored table of its own.
+    ``up`` is the result's value by kind, ``_left`` and ``_right``; an ``equal`` relation also gives its result's value to its left
+    side.  The first proof counts: the least round, and there the first relation.  A round looks only at relations that
+    touch an entity found in the round before; what it finds is a stored table of its own.
     """
-    found = [graph.stored(facts.select("entity", "dimension", F.lit(0).alias("round")))]
+    found = [graph.stored(facts.select("entity", value, F.lit(0).alias("round")))]
     latest, truncated = found[0], False
     relations = graph.stored(relations.select("relation", "kind", "result", "left", "right"))
     for n in range(1, rounds + 2):
@@ -61,11 +60,10 @@ def propagated(facts: DataFrame, relations: DataFrame, rounds: int = ROUNDS) ->
             touched = hit if touched is None else touched.unionByName(hit)
         have = touched.distinct()
         for side in ("result", "left", "right"):
-            have = have.join(known.select(F.col("entity").alias(side), F.col("dimension").alias(f"_{side}")), side, "left")
-        up = F.when(F.col("kind") == "equal", F.col("_left")).when(F.col("kind") == "product", dimensions.combined(F.col("_left"), F.col("_right"), 1)).when(F.col("kind") == "quotient", dimensions.combined(F.col("_left"), F.col("_right"), -1))
-        forth = have.filter("_result is null").select("relation", F.col("result").alias("entity"), up.alias("dimension"))
-        back = have.filter("kind = 'equal' and _left is null").select("relation", F.col("left").alias("entity"), F.col("_result").alias("dimension"))
-        new = forth.unionByName(back).filter("dimension is not null").groupBy("entity").agg(F.min_by("dimension", "relation").alias("dimension")).withColumn("round", F.lit(n))
+            have = have.join(known.select(F.col("entity").alias(side), F.col(value).alias(f"_{side}")), side, "left")
+        forth = have.filter("_result is null").select("relation", F.col("result").alias("entity"), up.alias(value))
+        back = have.filter("kind = 'equal' and _left is null").select("relation", F.col("left").alias("entity"), F.col("_result").alias(value))
+        new = forth.unionByName(back).filter(F.col(value).isNotNull()).groupBy("entity").agg(F.min_by(value, "relation").alias(value)).withColumn("round", F.lit(n))
         latest = graph.stored(new)
         if not latest.limit(1).count():
             break
@@ -79,6 +77,22 @@ def propagated(facts: DataFrame, relations: DataFrame, rounds: int = ROUNDS) ->
     return out.withColumn("truncated", F.lit(truncated))
 
 
+def propagated(facts: DataFrame, relations: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(entity, dimension, round, truncated): given dimensions, and those that relations imply.
+
+    Kinds: ``equal`` (result and left, both ways; also terms of a sum, negation and transposition), ``product`` (also
+    integrals and products of vectors), ``quotient`` (also derivatives).
+    """
+    up = F.when(F.col("kind") == "equal", F.col("_left")).when(F.col("kind") == "product", dimensions.combined(F.col("_left"), F.col("_right"), 1)).when(F.col("kind") == "quotient", dimensions.combined(F.col("_left"), F.col("_right"), -1))
+    return _fixpoint(facts, relations, "dimension", up, rounds)
+
+
+def propagated_shapes(facts: DataFrame, relations: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(entity, shape, round, truncated): given shapes, and those that relations imply; kinds are ``equal`` and those of ``shape_of``."""
+    up = F.when(F.col("kind") == "equal", F.col("_left")).otherwise(shape_of(F.col("kind"), F.col("_left"), F.col("_right")))
+    return _fixpoint(facts, relations, "shape", up, rounds)
+
+
 def shape_of(kind: Column, left: Column, right: Column) -> Column:
     """The shape (kind, rows, columns) of an operation on known shapes; null where it has none.
 

@@ -240,7 +240,11 @@ def dispatched(maths: DataFrame) -> DataFrame:
 
 def recognitions(docs: DataFrame) -> DataFrame:
     """(file_id, at, scope, law, support, roles) of formulas; ``roles`` is an array of (role, symbol)."""
-    maths = _maths(docs)
+    return recognitions_of(_maths(docs))
+
+
+def recognitions_of(maths: DataFrame) -> DataFrame:
+    """``recognitions`` of formulas (file_id, at, text, scope) with the concepts ``declared`` by symbol."""
     ready = maths.filter("declared is not null").join(dispatched(maths), ["file_id", "at"])
     laws, parents = _laws(), _parents()
     names = ["file_id", "at", "scope", "law", "support", "roles"]
@@ -257,13 +261,14 @@ def recognitions(docs: DataFrame) -> DataFrame:
     return ready.select("file_id", "at", "text", "scope", "declared", "laws").mapInArrow(run, "file_id string, at int, scope array<int>, law string, support string, roles array<struct<role: string, symbol: string>>")
 
 
-def condition_statuses(docs: DataFrame) -> DataFrame:
-    """(file_id, at, law, condition, kind, status) of the conditions of recognised laws.
+def condition_statuses(docs: DataFrame, laws_found: DataFrame | None = None) -> DataFrame:
+    """(file_id, at, law, condition, kind, status) of the conditions of recognised laws, or of those given (file_id, at, scope, law).
 
     An assumption counts for a formula that follows it within ``BEHIND`` units or stands right before it, in a scope that sees it.
     """
     spark = docs.sparkSession
-    found = recognitions(docs).select("file_id", "at", "scope", "law").join(F.broadcast(law_conditions(spark)), "law")
+    found = recognitions(docs).select("file_id", "at", "scope", "law") if laws_found is None else laws_found
+    found = found.join(F.broadcast(law_conditions(spark)), "law")
     says = [(kind, v, True) for kind, vs in VERIFIES.items() for v in vs] + [(kind, f"not-{v}", False) for kind, vs in VERIFIES.items() for v in vs] + [(kind, v, False) for kind, vs in REFUTES.items() for v in vs]
     meaning = F.broadcast(spark.createDataFrame(says, "kind string, value string, supports boolean"))
     said = prose.assumptions(docs).select("file_id", "start", "end", "value", F.col("scope").alias("_seen")).join(meaning, "value")
@@ -274,9 +279,9 @@ def condition_statuses(docs: DataFrame) -> DataFrame:
     return out.select("file_id", "at", "law", "condition", "kind", status.alias("status"))
 
 
-def law_statuses(docs: DataFrame) -> DataFrame:
-    """(file_id, at, law, status) of recognised laws from the statuses of their conditions."""
-    return condition_statuses(docs).groupBy("file_id", "at", "law").agg(F.collect_list("status").alias("_s")).select("file_id", "at", "law", decisions.law_status(F.col("_s")).alias("status"))
+def law_statuses(docs: DataFrame, laws_found: DataFrame | None = None) -> DataFrame:
+    """(file_id, at, law, status) of recognised laws, or of those given, from the statuses of their conditions."""
+    return condition_statuses(docs, laws_found).groupBy("file_id", "at", "law").agg(F.collect_list("status").alias("_s")).select("file_id", "at", "law", decisions.law_status(F.col("_s")).alias("status"))
 
 
 def formula_facts(docs: DataFrame) -> DataFrame:

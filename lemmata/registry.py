@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmata.plans import domain, generated, inputs, kernel, reasoning  # noqa: F401  (the others register their queries with the kernel)
+from lemmata.plans import domain, formal, generated, inputs, kernel, reasoning  # noqa: F401  (the others register their queries with the kernel)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
