@@ -12,8 +12,8 @@ def _gcd(a: Column, b: Column) -> Column:
     return step["a"]
 
 
-def combined(left: Column, right: Column, sign: int) -> Column:
-    """The dimension of a product (sign 1) or quotient (sign -1); zero exponents vanish."""
+def combined(left: Column, right: Column, sign: int | Column) -> Column:
+    """The dimension of a product (sign 1) or quotient (sign -1, also by row); zero exponents vanish."""
     bases = F.array_sort(F.array_union(F.transform(left, lambda e: e["base"]), F.transform(right, lambda e: e["base"])))
 
     def exponent(side: Column, base: Column) -> Column:
@@ -23,7 +23,7 @@ def combined(left: Column, right: Column, sign: int) -> Column:
         a, b = exponent(left, base), exponent(right, base)
         an, ad = F.coalesce(a["num"], F.lit(0)).cast("bigint"), F.coalesce(a["den"], F.lit(1)).cast("bigint")
         bn, bd = F.coalesce(b["num"], F.lit(0)).cast("bigint"), F.coalesce(b["den"], F.lit(1)).cast("bigint")
-        num, den = an * bd + sign * bn * ad, ad * bd
+        num, den = an * bd + bn * ad * sign, ad * bd
         g = F.greatest(_gcd(num, den), F.lit(1).cast("bigint"))
         return F.struct(base.alias("base"), (num / g).cast("bigint").alias("num"), (den / g).cast("bigint").alias("den"))
 

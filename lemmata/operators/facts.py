@@ -43,24 +43,21 @@ def _fixpoint(facts: DataFrame, relations: DataFrame, value: str, up: Column, ro
     """(entity, value, round, truncated): given facts (round 0) and those that relations (relation, kind, result, left, right) imply.
 
     ``up`` is the result's value by kind, ``_left`` and ``_right``; an ``equal`` relation also gives its result's value to its left
-    side.  The first proof counts: the least round, and there the first relation.  A round looks only at relations that
-    touch an entity found in the round before; what it finds is a stored table of its own.
+    side.  The first proof counts: the least round, and there the first relation.  The sides of all relations are stored once, one row
+    each; a round joins them with the facts, puts each relation together again and keeps those with a side found in
+    the round before.  What it finds is a stored table of its own.
     """
     found = [graph.stored(facts.select("entity", value, F.lit(0).alias("round")))]
     latest, truncated = found[0], False
-    relations = graph.stored(relations.select("relation", "kind", "result", "left", "right"))
+    whole = ["relation", "kind", "result", "left", "right"]
+    side = F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("entity")) for c in whole[2:])))
+    sides = graph.stored(relations.select(*whole, side.alias("_s")).select(*whole, "_s.side", "_s.entity").filter("entity is not null"))
+    of = lambda c: F.first(F.when(F.col("side") == c, F.col(value)), ignorenulls=True).alias(f"_{c}")
     for n in range(1, rounds + 2):
         known = found[0]
         for f in found[1:]:
             known = known.unionByName(f)
-        fresh = latest.select(F.col("entity").alias("_e")).distinct()
-        touched = None
-        for side in ("result", "left", "right"):
-            hit = relations.join(fresh, F.col(side) == F.col("_e"), "left_semi")
-            touched = hit if touched is None else touched.unionByName(hit)
-        have = touched.distinct()
-        for side in ("result", "left", "right"):
-            have = have.join(known.select(F.col("entity").alias(side), F.col(value).alias(f"_{side}")), side, "left")
+        have = sides.join(known, "entity").groupBy(*whole).agg(of("result"), of("left"), of("right"), F.max("round").alias("_last")).filter(F.col("_last") == n - 1)
         forth = have.filter("_result is null").select("relation", F.col("result").alias("entity"), up.alias(value))
         back = have.filter("kind = 'equal' and _left is null").select("relation", F.col("left").alias("entity"), F.col("_result").alias(value))
         new = forth.unionByName(back).filter(F.col(value).isNotNull()).groupBy("entity").agg(F.min_by(value, "relation").alias(value)).withColumn("round", F.lit(n))
@@ -83,7 +80,8 @@ def propagated(facts: DataFrame, relations: DataFrame, rounds: int = ROUNDS) ->
     Kinds: ``equal`` (result and left, both ways; also terms of a sum, negation and transposition), ``product`` (also
     integrals and products of vectors), ``quotient`` (also derivatives).
     """
-    up = F.when(F.col("kind") == "equal", F.col("_left")).when(F.col("kind") == "product", dimensions.combined(F.col("_left"), F.col("_right"), 1)).when(F.col("kind") == "quotient", dimensions.combined(F.col("_left"), F.col("_right"), -1))
+    sign = F.when(F.col("kind") == "quotient", -1).otherwise(1)
+    up = F.when(F.col("kind") == "equal", F.col("_left")).when(F.col("kind").isin("product", "quotient"), dimensions.combined(F.col("_left"), F.col("_right"), sign))
     return _fixpoint(facts, relations, "dimension", up, rounds)
 
 
