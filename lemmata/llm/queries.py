@@ -92,4 +92,18 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(_table(spark, sf_dir, "documents")).drop("gone", "origin")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_chat, op4_packing, op5_media, op6_lines, op7_quality, op8_toxicity, op9_byte_bpe, op10_suffixes)}
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, a tenth of which are given loops."""
+    from lemmata.llm.runs import looped, periodic_runs
+
+    return periodic_runs(_table(spark, sf_dir, "documents"), loops=looped)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark texts."""
+    from lemmata.llm.importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_chat, op4_packing, op5_media, op6_lines, op7_quality, op8_toxicity, op9_byte_bpe, op10_suffixes, op11_runs, op13_resampling)}
