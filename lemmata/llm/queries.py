@@ -99,6 +99,14 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(_table(spark, sf_dir, "documents"), loops=looped)
 
 
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of all documents by a class-based bigram model and by unigrams."""
+    from lemmata.llm.class_lm import class_scores
+
+    out = class_scores(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the documents, drawn towards the benchmark texts."""
     from lemmata.llm.importance import resample
@@ -106,4 +114,4 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_chat, op4_packing, op5_media, op6_lines, op7_quality, op8_toxicity, op9_byte_bpe, op10_suffixes, op11_runs, op13_resampling)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_chat, op4_packing, op5_media, op6_lines, op7_quality, op8_toxicity, op9_byte_bpe, op10_suffixes, op11_runs, op12_class_lm, op13_resampling)}

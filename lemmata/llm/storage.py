@@ -30,7 +30,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lemmata_path = path
+    return out
+
+
+def removed(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_lemmata_path", None)
+        if path:
+            sc = table.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
