@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 
 from lemmata.llm import arrays, routes
 from lemmata.llm.routes import Load
-from lemmata.llm.sharing import BUCKET_BYTES, FAN_BITS, get_sorted, lean, put_sorted
+from lemmata.llm.sharing import FAN_BITS, get_sorted, lean, put_sorted
 from lemmata.llm.storage import partitions, removed, stored
 
 #: Word classes, rounds of exchange, weight of the class path in the mixture, strength of the prior of class transitions.
 CLASSES, ROUNDS, PATH, PRIOR = 64, 5, 0.95, 20.0
-#: Text bytes of a batch.
-BATCH_BYTES = 8 << 20
+#: Text bytes of a batch, and about how many text bytes a bucket's words come from.
+BATCH_BYTES, BUCKET_BYTES = 5 << 20, 3 << 20
 
 
 @dataclass
