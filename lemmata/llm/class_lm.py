@@ -46,7 +46,9 @@ from lemmata.llm.storage import partitions, removed, stored
 #: Word classes, rounds of exchange, weight of the class path in the mixture, strength of the prior of class transitions.
 CLASSES, ROUNDS, PATH, PRIOR = 64, 5, 0.95, 20.0
 #: Text bytes of a batch, and about how many text bytes a bucket's words come from.
-BATCH_BYTES, BUCKET_BYTES = 5 << 20, 3 << 20
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 6 << 20
+#: Text bytes that are hashed at a time.
+HASHED_BYTES = 1 << 20
 
 
 @dataclass
@@ -83,11 +85,16 @@ def coded_batches(df: DataFrame, train: Column, id_col: str, text_col: str) -> D
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in arrays.slices(batch, "text", BATCH_BYTES):
-                data, off = arrays.raw(arrays.text_of(part, "text"))
-                data = arrays.LOWER[data]
-                begin, end = arrays.words(data, off)
-                words, at = np.unique(arrays.hash_spans(data, begin, end), return_inverse=True)
-                sizes = np.diff(np.searchsorted(begin, off))
+                hashes, counts = [], []
+                for some in arrays.slices(part, "text", HASHED_BYTES):
+                    data, off = arrays.raw(arrays.text_of(some, "text"))
+                    data = arrays.LOWER[data]
+                    begin, end = arrays.words(data, off)
+                    hashes.append(arrays.hash_spans(data, begin, end))
+                    counts.append(np.diff(np.searchsorted(begin, off)))
+                del data, begin, end
+                words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+                sizes = np.concatenate(counts)
                 tokens = np.full(len(at) + len(sizes), len(words), np.int32)
                 place = np.arange(len(at)) + np.repeat(np.arange(len(sizes)), sizes)
                 tokens[place] = at
