@@ -30,6 +30,19 @@ def combined(left: Column, right: Column, sign: int | Column) -> Column:
     return F.filter(F.transform(bases, total), lambda e: e["num"] != 0)
 
 
+def scaled(c: Column, num: Column, den: Column) -> Column:
+    """The dimension of a power with the exponent num / den; null if den is zero or unknown."""
+    n, d = num.cast("bigint"), den.cast("bigint")
+    sign = F.when(d < 0, -1).otherwise(1).cast("bigint")
+
+    def one(e: Column) -> Column:
+        a, b = e["num"] * n * sign, e["den"] * F.abs(d)
+        g = F.greatest(_gcd(a, b), F.lit(1).cast("bigint"))
+        return F.struct(e["base"].alias("base"), (a / g).cast("bigint").alias("num"), (b / g).cast("bigint").alias("den"))
+
+    return F.when(F.coalesce(d, F.lit(0)) != 0, F.filter(F.transform(c, one), lambda e: e["num"] != 0))
+
+
 def dimension_text(c: Column) -> Column:
     """A dimension as text, such as ``length:1/1 time:-2/1``."""
     return F.array_join(F.transform(c, lambda e: F.concat(e["base"], F.lit(":"), e["num"].cast("string"), F.lit("/"), e["den"].cast("string"))), " ")

@@ -12,22 +12,30 @@ from itertools import permutations
 
 # Relations by spelling.
 RELATIONS = {"=": "equals", ":=": "equals", "<": "less-than", ">": "greater-than", "\\le": "less-or-equal", "\\leq": "less-or-equal", "\\ge": "greater-or-equal", "\\geq": "greater-or-equal", "\\ne": "not-equals", "\\neq": "not-equals", "\\approx": "approximately-equals", "\\in": "member-of", "\\subset": "proper-subset", "\\subseteq": "subset"}
+# Logical connectives, which bind weaker than relations; implications weaker than conjunctions.
+IMPLIES = {"\\Rightarrow": "implies", "\\implies": "implies", "\\Longrightarrow": "implies", "\\Leftrightarrow": "iff", "\\iff": "iff", "\\Longleftrightarrow": "iff"}
+JOINS = {"\\land": "and", "\\wedge": "and", "\\lor": "or", "\\vee": "or"}
+CONNECTIVES = ("implies", "iff", "and", "or")
 _TIMES = {"\\cdot": "dot", "\\times": "cross", "*": "product", "/": "quotient"}
 _SETS = {"\\cap": "intersection", "\\cup": "union"}
 _BOUND = {"\\sum": "bound-sum", "\\prod": "bound-product", "\\int": "integral", "\\lim": "limit"}
 _OPEN = {"(": ")", "{": "}", "[": "]"}
 _SKIP = re.compile(r"\\(?:left|right|quad|qquad|displaystyle|,|;|!|:)(?![A-Za-z])|\s+|~")
 _NAME = r"(?:[A-Za-z]|\\[A-Za-z]+)(?:_(?:\{[^{}]*\}|[A-Za-z0-9]))?"
-_TOKEN = re.compile(rf":=|\d+(?:\.\d+)?|{_NAME}|.")
+_SET_NAME = r"\\math(?:bb|cal)\{[A-Za-z]+\}"
+_TOKEN = re.compile(rf":=|\d+(?:\.\d+)?|{_SET_NAME}|\\\||\\[lr]Vert(?![A-Za-z])|{_NAME}'*|.")
 _WORD = re.compile(r"\\[A-Za-z]+|\d+|[a-z]+(?:-[a-z]+)*|.")
-_STOP = {")", "}", "]", "+", "-", ",", *RELATIONS, *_SETS}
+_NORMS = {"\\|": "\\|", "\\lVert": "\\rVert"}
+_STOP = {")", "}", "]", "+", "-", ",", "\\rVert", "\\|", *RELATIONS, *_SETS, *IMPLIES, *JOINS}
 
 
 class _Parser:
-    def __init__(self, source: str, words: bool):
+    def __init__(self, source: str, words: bool, applied: frozenset[str] = frozenset()):
         source = _SKIP.sub(" ", source)
         self.tokens = [t for t in (_WORD if words else _TOKEN).findall(source) if t.strip()]
+        self.applied = applied  # symbols of functions, which a bracket behind applies
         self.at = 0
+        self.integrals = 0  # that still wait for their differential
 
     def peek(self) -> str | None:
         return self.tokens[self.at] if self.at < len(self.tokens) else None
@@ -42,6 +50,19 @@ class _Parser:
         if self.take() != token:
             raise ValueError(f"{token} is missing")
 
+    def statement(self) -> tuple:
+        left = self.joined()
+        while self.peek() in IMPLIES:
+            left = (IMPLIES[self.take()], left, self.joined())
+        return left
+
+    def joined(self) -> tuple:
+        left = self.relation()
+        while self.peek() in JOINS:
+            kind, right = JOINS[self.take()], self.relation()
+            left = (*left, right) if left[0] == kind else (kind, left, right)
+        return left
+
     def relation(self) -> tuple:
         sides, ops = [self.sets()], []
         while self.peek() in RELATIONS:
@@ -67,7 +88,7 @@ class _Parser:
 
     def product(self) -> tuple:
         left = self.prefix()
-        while (token := self.peek()) is not None and token not in _STOP:
+        while (token := self.peek()) is not None and token not in _STOP and not self.differential_ahead():
             kind = _TIMES.get(token, "product")
             if token in _TIMES:
                 self.take()
@@ -75,6 +96,11 @@ class _Parser:
             left = (*left, right) if kind == left[0] == "product" else (kind, left, right)
         return left
 
+    def differential_ahead(self) -> bool:
+        """Whether an integral's ``d x`` comes next."""
+        after = self.tokens[self.at + 1 : self.at + 2]
+        return bool(self.integrals and self.peek() == "d" and after and re.fullmatch(rf"{_NAME}'*", after[0]))
+
     def prefix(self) -> tuple:
         if self.peek() == "-":
             self.take()
@@ -98,16 +124,22 @@ class _Parser:
     def atom(self) -> tuple:
         token = self.take()
         if token in _OPEN:
+            waiting, self.integrals = self.integrals, 0
             inside = [self.sum()]
             while self.peek() == ",":
                 self.take()
                 inside.append(self.sum())
             self.expect(_OPEN[token])
+            self.integrals = waiting
             return inside[0] if len(inside) == 1 else ("tuple", *inside)
         if token[0].isdigit():
             return ("num", token)
         if token in ("\\frac", "\\dfrac", "\\tfrac"):
             return self.fraction()
+        if token in _NORMS:
+            inside = self.sum()
+            self.expect(_NORMS[token])
+            return ("norm", inside)
         if token == "\\sqrt":
             return ("power", self.braced(), ("quotient", ("num", "1"), ("num", "2")))
         if token in ("\\dot", "\\ddot"):
@@ -121,6 +153,9 @@ class _Parser:
             return self.operator()
         if token.split("_")[0] in _BOUND:
             return self.bound(token)
+        if token in self.applied and self.peek() == "(":
+            inside = self.atom()
+            return ("apply", ("sym", token), *(inside[1:] if inside[0] == "tuple" else (inside,)))
         if token[0] == "\\" and len(token) > 1 or token[0].isalpha():
             return ("sym", token)
         raise ValueError(f"{token} starts nothing")
@@ -147,12 +182,25 @@ class _Parser:
     def bound(self, token: str) -> tuple:
         """A sum, product, integral or limit: its variable (if one is named) and what it binds."""
         head, _, below = token.partition("_")
+        above = ""
         while self.peek() in ("_", "^"):
             mark = self.take()
             text = self.enclosed()
-            below = text if mark == "_" else below
+            below, above = (text, above) if mark == "_" else (below, text)
         name = re.match(r"\{?\s*(\\?[A-Za-z]+)", below)
-        return (_BOUND[head], ("sym", name[1]) if name else ("num", "0"), self.product())
+        if head != "\\int":
+            return (_BOUND[head], ("sym", name[1]) if name else ("num", "0"), self.product())
+        self.integrals += 1
+        body = ("num", "1") if self.differential_ahead() else self.product()
+        self.integrals -= 1
+        if not (self.peek() == "d" and self.at + 1 < len(self.tokens)):  # no differential: over the subscript
+            return ("integral", ("sym", name[1]) if name else ("num", "0"), body)
+        self.take()
+        variable = ("sym", self.take())
+        limits = [parse(t[1:-1] if t.startswith("{") else t) for t in (below, above) if t]
+        if None in limits:
+            raise ValueError("limits that cannot be read")
+        return ("integral", variable, body, *limits)
 
     def enclosed(self) -> str:
         if self.peek() != "{":
@@ -198,15 +246,18 @@ class _Parser:
         return sign, inside, order
 
 
-def parse(source: str | None, words: bool = False) -> tuple | None:
-    """The tree of a formula; with ``words``, identifiers are hyphened words as in templates."""
+def parse(source: str | None, words: bool = False, applied: frozenset[str] = frozenset()) -> tuple | None:
+    """The tree of a formula; with ``words``, identifiers are hyphened words as in templates.
+
+    A symbol of ``applied`` is a function of what stands in brackets behind it; others are its factors.
+    """
     if not source:
         return None
     if not words and ("\\\\" in source or "&" in source):
-        return _rows(source)
-    parser = _Parser(source, words)
+        return _rows(source, applied)
+    parser = _Parser(source, words, applied)
     try:
-        tree = parser.relation()
+        tree = parser.statement()
     except (ValueError, RecursionError):
         return None
     return tree if parser.at == len(parser.tokens) else None
@@ -215,7 +266,7 @@ def parse(source: str | None, words: bool = False) -> tuple | None:
 _ENVIRONMENT = re.compile(r"\s*\\begin\{(aligned|split|gathered|cases|matrix|pmatrix|bmatrix|vmatrix)\}(.*)\\end\{\1\}\s*", re.S)
 
 
-def _rows(source: str) -> tuple | None:
+def _rows(source: str, applied: frozenset[str] = frozenset()) -> tuple | None:
     """Rows of an environment: equations as a system (a row that begins with a relation goes on from the left side before), cases, or a matrix."""
     found = _ENVIRONMENT.fullmatch(source)
     kind, body = (found[1], found[2]) if found else ("aligned", source)
@@ -223,14 +274,14 @@ def _rows(source: str) -> tuple | None:
     if kind == "cases" or kind.endswith("matrix"):
         if kind.endswith("matrix") and len({len(r) for r in rows}) > 1:
             return None
-        cells = [parse(c) for r in rows for c in (r[:1] if kind == "cases" else r)]
+        cells = [parse(c, applied=applied) for r in rows for c in (r[:1] if kind == "cases" else r)]
         head = ("cases",) if kind == "cases" else ("matrix", ("num", str(len(rows))))
         return None if not cells or None in cells else (*head, *cells)
     out, left = [], None
     for r in rows:
         text = " ".join(c for c in r if c).rstrip(",.")
         first = next((t for t in sorted(RELATIONS, key=len, reverse=True) if text.startswith(t)), None)
-        tree = parse(f"{left} {text}" if first and left else text)
+        tree = parse(f"{left} {text}" if first and left else text, applied=applied)
         if tree is None:
             return None
         out += tree[1:] if tree[0] == "system" else (tree,)
@@ -244,12 +295,27 @@ def canonical(tree: tuple) -> str:
     return tree[1] if tree[0] in ("sym", "num") else f"{tree[0]}({','.join(canonical(c) for c in tree[1:])})"
 
 
-def _number(tree: tuple) -> Fraction | None:
+def from_canonical(key: str) -> tuple:
+    """The tree of a key of numbers, such as ``negate(quotient(1,2))``."""
+    head, _, rest = key.partition("(")
+    if not rest:
+        return ("num", key)
+    parts, depth, last = [], 0, 0
+    for i, c in enumerate(rest[:-1]):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            parts.append(rest[last:i])
+            last = i + 1
+    return (head, *(from_canonical(p) for p in (*parts, rest[last:-1])))
+
+
+def number(tree: tuple) -> Fraction | None:
+    """The value of a tree of numbers."""
     if tree[0] == "num":
         return Fraction(tree[1])
-    if tree[0] == "negate" and (n := _number(tree[1])) is not None:
+    if tree[0] == "negate" and (n := number(tree[1])) is not None:
         return -n
-    if tree[0] == "quotient" and None not in (parts := (_number(tree[1]), _number(tree[2]))) and parts[1]:
+    if tree[0] == "quotient" and None not in (parts := (number(tree[1]), number(tree[2]))) and parts[1]:
         return parts[0] / parts[1]
     return None
 
@@ -277,7 +343,7 @@ def dimension(tree: tuple, known: dict[str, dict], faults: set[str]) -> dict | N
     if head in ("quotient", "derivative"):
         return _merged(parts[0], parts[1], -1)
     if head == "power":
-        n = _number(children[1])
+        n = number(children[1])
         return None if parts[0] is None or n is None else {k: v * n for k, v in parts[0].items() if v * n}
     if head in ("negate", "transpose"):
         return parts[0]
@@ -332,23 +398,69 @@ def scalar_orders(tree: tuple, scalars: set[str], most: int = 4) -> list[tuple]:
     return [(tree[0], *c) for c in children]
 
 
-def equivalents(tree: tuple) -> list[tuple[tuple, tuple | None]]:
-    """The forms of an equation that isolate each factor of a product or a part of a quotient, with what must not be zero (None: nothing)."""
-    out: list[tuple[tuple, tuple | None]] = [(tree, None)]
-    if tree[0] != "equals":
-        return out
-    for left, right in ((tree[1], tree[2]), (tree[2], tree[1])):
-        if right[0] == "product":
-            for i, factor in enumerate(right[1:], 1):
-                rest = right[1:i] + right[i + 1 :]
-                below = rest[0] if len(rest) == 1 else ("product", *rest)
-                out.append((("equals", factor, ("quotient", left, below)), below))
-        if right[0] == "quotient":
-            out.append((("equals", right[1], ("product", left, right[2])), right[2]))
-            out.append((("equals", right[2], ("quotient", right[1], left)), left))
+#: Forms of a law that are tried.
+FORMS = 64
+
+
+def _one(parts: tuple) -> tuple:
+    return parts[0] if len(parts) == 1 else ("product", *parts)
+
+
+def guarded_forms(relation: tuple, scalars: set[str]) -> tuple[list[tuple[tuple, tuple[str, ...], str]], bool]:
+    """(template, roles that must not be zero, step) of the equivalent forms of a law, the stated one first, at most ``FORMS``; and whether there were more.
+
+    Factors of scalar roles commute; a product of two with a scalar among them may be written with a dot; a factor is isolated by
+    dividing by others that are all scalar roles; ``x = 1 / y`` gives ``y = 1 / x``, and ``x = y / z`` gives ``y = x z`` and, between
+    scalars, ``z = y / x``.
+    """
+    scalar = lambda t: t[0] == "role" and t[1] in scalars
+    found: list[tuple[tuple, tuple[str, ...], str]] = [(relation, (), "stated")]
+    if relation[0] == "equals":
+        for left, right in ((relation[1], relation[2]), (relation[2], relation[1])):
+            if right[0] == "product":
+                for i, factor in enumerate(right[1:], 1):
+                    rest = right[1:i] + right[i + 1 :]
+                    if all(map(scalar, rest)) and factor[0] == "role":
+                        found.append((("equals", factor, ("quotient", left, _one(rest))), tuple(r[1] for r in rest), "factor-isolation"))
+            if right[0] == "quotient" and scalar(right[2]):
+                below = right[2]
+                if right[1] == ("num", "1"):
+                    if scalar(left):
+                        found.append((("equals", below, ("quotient", ("num", "1"), left)), (left[1],), "reciprocal"))
+                elif left[0] == "role":
+                    found.append((("equals", right[1], ("product", left, below)), (below[1],), "cleared-quotient"))
+                    if scalar(left):
+                        found.append((("equals", below, ("quotient", right[1], left)), (left[1],), "factor-isolation"))
+    out, seen = [], set()
+    for tree, guards, step in found:
+        for order in _dotted(tree, scalar):
+            for form in scalar_orders(order, scalars):
+                if form not in seen:
+                    seen.add(form)
+                    out.append((form, guards, step if form == tree else step if step != "stated" else "scalar-permutation"))
+    return out[:FORMS], len(out) > FORMS
+
+
+def _dotted(tree: tuple, scalar) -> list[tuple]:
+    """The tree, and with each product of two, one of them a scalar, written with a dot instead."""
+    if tree[0] in ("role", "lit", "sym", "num"):
+        return [tree]
+    children: list[tuple] = [()]
+    for c in tree[1:]:
+        children = [(*done, x) for done in children for x in _dotted(c, scalar)]
+    out = [(tree[0], *c) for c in children]
+    if tree[0] == "product" and len(tree) == 3 and any(map(scalar, tree[1:])):
+        out += [("dot", *c[1:]) for c in list(out)]
     return out
 
 
+def symbols(tree: tuple) -> list[str]:
+    """The symbols of a tree, sorted."""
+    if tree[0] == "sym":
+        return [tree[1]]
+    return [] if tree[0] == "num" else sorted({x for c in tree[1:] for x in symbols(c)})
+
+
 def nodes(tree: tuple, parent: int | None = None, start: int = 0) -> list[tuple]:
     """(node, parent, ordinal, head, text, canonical) rows of a tree in preorder."""
     out = [(start, parent, 0, tree[0], tree[1] if tree[0] in ("sym", "num") else None, canonical(tree))]
@@ -360,12 +472,72 @@ def nodes(tree: tuple, parent: int | None = None, start: int = 0) -> list[tuple]
     return out
 
 
-_BINDER = re.compile(r"\\(sum|prod|int|lim)_\{?\s*(\\?[A-Za-z]+)|\\(forall|exists)\s*(\\?[A-Za-z]+)")
-
-
-def binders(source: str) -> list[tuple[str, str, int]]:
-    """(binder, symbol, at): the symbols that sums, products, integrals, limits and quantifiers bind from there on."""
-    return [(m[1] or m[3], m[2] or m[4], m.start()) for m in _BINDER.finditer(source)]
+_BINDER = re.compile(r"\\(sum|prod|int|lim|forall|exists)(?![A-Za-z])")
+_PIECE = re.compile(r"\\[A-Za-z]+|\\.|[A-Za-z]|\S")
+_LETTER = re.compile(r"[A-Za-z]|\\[A-Za-z]+")
+_ENDS = {"+", "-", ",", *RELATIONS, *_SETS, *IMPLIES, *JOINS}
+
+
+def _group_end(source: str, at: int) -> int:
+    """Where the group or piece that begins at a place ends."""
+    depth = 0
+    for m in _PIECE.finditer(source, at):
+        depth += (m[0] in _OPEN) - (m[0] in _OPEN.values())
+        if depth <= 0:
+            return m.end()
+    return len(source)
+
+
+def _span_end(source: str, at: int, stops: set[str]) -> int:
+    """The end of a span that runs to the first of ``stops`` outside brackets, to the bracket around it, or to the end; a sign at its front is part of it."""
+    depth, last = 0, at
+    for m in _PIECE.finditer(source, at):
+        if m[0] in _OPEN.values():
+            depth -= 1
+            if depth < 0:
+                return last
+        elif depth == 0 and m[0] in stops and last > at:
+            return last
+        depth += m[0] in _OPEN
+        last = m.end()
+    return len(source)
+
+
+def binders(source: str) -> list[tuple[str, str, int, int, int]]:
+    """(binder, symbol, declaration, start, end): what each binder binds, where it is declared, and its scope, from the declaration on.
+
+    A sum, product or limit binds the first letter of its subscript through the term behind it, an integral the letter of its
+    differential from its sign on (or else that of its subscript), a quantifier the letter behind it to the end of its group.
+    """
+    out = []
+    for m in _BINDER.finditer(source):
+        at, letter = m.end(), None
+        if m[1] in ("forall", "exists"):
+            if letter := _LETTER.match(source, at + len(source[at:]) - len(source[at:].lstrip())):
+                out.append((m[1], letter[0], letter.start(), letter.start(), _span_end(source, letter.end(), set())))
+            continue
+        while (mark := re.compile(r"\s*([_^])\s*").match(source, at)) is not None:
+            at = _group_end(source, mark.end())
+            if mark[1] == "_":
+                letter = letter or _LETTER.match(source, next((k for k in range(mark.end(), at) if source[k] not in "{ "), at), at)
+        if m[1] == "int":
+            end = _span_end(source, at, {"=", ","})
+            depth, inner = 0, 0
+            for d in _PIECE.finditer(source, at, end):
+                depth += (d[0] in _OPEN) - (d[0] in _OPEN.values())
+                inner += d[0] == "\\int"
+                own = _LETTER.match(source, d.end() + len(source[d.end() :]) - len(source[d.end() :].lstrip())) if d[0] == "d" and not depth else None
+                if own and inner:  # an inner integral's
+                    inner -= 1
+                elif own:
+                    out.append(("int", own[0], own.start(), m.start(), own.end()))
+                    break
+            else:
+                if letter:
+                    out.append(("int", letter[0], letter.start(), letter.start(), _span_end(source, at, _ENDS)))
+        elif letter:
+            out.append((m[1], letter[0], letter.start(), letter.start(), _span_end(source, at, _ENDS)))
+    return out
 
 
 # Families of notation that has more than one reading, by how they are written.

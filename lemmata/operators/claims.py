@@ -6,19 +6,20 @@ Formulas in hedged, conditional or negated clauses claim nothing.
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmata.functions import dimensions, formulas, quantities
-from lemmata.operators import constraints, definitions, facts, graph, laws, relational
+from lemmata.functions import formulas, prose, quantities, text
+from lemmata.operators import constraints, definitions, graph, laws, parsed, relational, solver
 from lemmata.sources import syntax as front
 
-#: Powers up to this one are products of their base.
+#: Powers up to this one are products of their base, and so name the powers below them.
 POWERS = 9
-# What a claim means for dimensions and for shapes.
-DIMENSION_KINDS = {"equals": "equal", "sum": "equal", "negate": "equal", "transpose": "equal", "product": "product", "dot": "product", "cross": "product", "integral": "product", "quotient": "quotient", "derivative": "quotient"}
-SHAPE_KINDS = {"equals": "equal", "sum": "equal", "negate": "equal", "transpose": "transpose", "product": "product", "dot": "dot", "cross": "cross", "integral": "derivative", "quotient": "quotient", "derivative": "derivative"}
+#: From this power on it is also claimed as a whole, so that its dimension does not take a round for each factor.
+AT_ONCE = 4
 _COMPARISONS = set(formulas.RELATIONS.values())
 
 
@@ -41,8 +42,14 @@ def tree_claims(tree: tuple) -> list[tuple[str, str, str, str | None]]:
         for k in range(2, int(children[1][1]) + 1):
             left = children[0] if k == 2 else ("power", children[0], ("num", str(k - 1)))
             out.append(("product", name(("power", children[0], ("num", str(k)))), name(left), name(children[0])))
+        if int(children[1][1]) >= AT_ONCE:
+            out.append(("power", name(tree), name(children[0]), name(children[1])))
+    elif head == "power" and formulas.number(children[1]) is not None:
+        out.append(("power", name(tree), name(children[0]), name(children[1])))
     elif head in ("quotient", "dot", "cross", "derivative"):
         out.append((head, name(tree), name(children[0]), name(children[1])))
+        if head == "derivative" and children[0][0] == "apply":
+            out.append(("trajectory", name(tree), name(children[0][1]), None))
     elif head in ("negate", "transpose"):
         out.append((head, name(tree), name(children[0]), None))
     elif head == "integral":
@@ -52,34 +59,36 @@ def tree_claims(tree: tuple) -> list[tuple[str, str, str, str | None]]:
     return out
 
 
-def relation_claims(docs: DataFrame) -> DataFrame:
-    """(file_id, at, ordinal, predicate, result, left, right) of the asserted formulas of documents (file_id, content).
+def relation_claims(docs: DataFrame | front.Parsed) -> DataFrame:
+    """(file_id, at, ordinal, predicate, result, left, right, num, den) of the asserted formulas of documents; num / den is the exponent of a power.
 
     A repeated claim of a file is listed once, where it stands first.
     """
 
-    def row(file_id, content):
-        if not content:
-            return []
-        live, units, out = front.masked(content), front.utf16(content), {}
-        for r in front.parse(content):
-            if r[0] != "math" or (tree := formulas.parse(r[4])) is None or not definitions.asserted(live, r[2], r[3]):
-                continue
-            for k, claim in enumerate(tree_claims(tree)):
-                out.setdefault(claim, (units[r[2]], k))
-        return [(file_id, at, k, *claim) for claim, (at, k) in out.items()]
+    def row(file_id, at, part, source):
+        out = []
+        for k, claim in enumerate(tree_claims(laws.as_tuple(json.loads(source)))):
+            power = formulas.number(formulas.from_canonical(claim[3])) if claim[0] == "power" else None
+            out.append((file_id, at, (part << 20) + k, *claim, power.numerator if power is not None else None, power.denominator if power is not None else None))
+        return out
 
-    schema = "file_id string, at int, ordinal int, predicate string, result string, left string, right string"
-    return constraints._mapped(docs, ["file_id", "content"], row, schema, [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4])
+    names = ["predicate", "result", "left", "right", "num", "den"]
+    schema = "file_id string, at int, ordinal int, predicate string, result string, left string, right string, num long, den long"
+    rows = constraints._mapped(laws.trees(docs).filter("asserted"), ["file_id", "at", "part", "tree"], row, schema, [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4, pa.int64(), pa.int64()])
+    first = rows.groupBy("file_id", *names).agg(F.min(F.struct("at", "ordinal")).alias("_first"))
+    return first.select("file_id", "_first.at", "_first.ordinal", *names)
 
 
 def _entity(name: str) -> Column:
     return F.when(F.col(name).isNotNull(), F.struct("file_id", F.col(name).alias("name")))
 
 
-def _relations(claims: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
-    return claims.select(F.struct("at", "ordinal").alias("relation"), F.try_element_at(kind, F.col("predicate")).alias("kind"), *(_entity(c).alias(c) for c in ("result", "left", "right"))).filter("kind is not null")
+def _relations(claims: DataFrame) -> DataFrame:
+    """The claims as relations of the solver; the left side of an integral is what is integrated, the right one its variable."""
+    kind = F.when(F.col("predicate") == "equals", "equal").otherwise(F.col("predicate"))
+    sides = (_entity(c).alias(c) for c in ("result", "left", "right"))
+    wanted = ["equals", "sum", "negate", "transpose", "product", "dot", "cross", "integral", "quotient", "derivative", "power", "application", "trajectory"]
+    return claims.filter(F.col("predicate").isin(wanted)).select(F.struct("file_id", "at", "ordinal").alias("relation"), kind.alias("kind"), *sides, "num", "den")
 
 
 def _numbers(claims: DataFrame) -> DataFrame:
@@ -94,56 +103,69 @@ def _once(rows: DataFrame, value: str) -> DataFrame:
     return one.select(F.struct("file_id", F.col("symbol").alias("name")).alias("entity"), value)
 
 
-def known_dimensions(docs: DataFrame, claims: DataFrame, rounds: int = facts.ROUNDS) -> DataFrame:
-    """(entity, dimension, round, truncated): declared dimensions and those that the claims imply."""
+def declared_facts(docs: DataFrame | front.Parsed, claims: DataFrame) -> DataFrame:
+    """(entity, predicate, text, dim, shape): what declarations and assumptions say of symbols, and what numbers are."""
+    spark = docs.sparkSession
     rows = [(k, [(b, e, 1) for b, e in sorted(d.items())]) for k, d in quantities.KIND_DIMENSION.items()]
-    dims = docs.sparkSession.createDataFrame(rows, "kind string, dimension array<struct<base: string, num: bigint, den: bigint>>")
-    declared = _once(laws.declared_quantities(docs).filter("kind is not null"), "kind").join(F.broadcast(dims), "kind").select("entity", "dimension")
-    plain = _numbers(claims).withColumn("dimension", F.array().cast("array<struct<base: string, num: bigint, den: bigint>>"))
-    return facts.propagated(declared.unionByName(plain), _relations(claims, DIMENSION_KINDS), rounds)
-
-
-def known_shapes(docs: DataFrame, claims: DataFrame, rounds: int = facts.ROUNDS) -> DataFrame:
-    """(entity, shape, round, truncated): declared shapes and those that the claims imply."""
-    declared = _once(constraints.declared_shapes(docs), "shape")
+    dims = F.broadcast(spark.createDataFrame(rows, f"kind string, dimension {solver.DIM}"))
+    said = laws.declared_quantities(docs)
+    none = F.array().cast(solver.DIM)
     scalar = F.struct(F.lit("scalar").alias("kind"), F.lit(None).cast("string").alias("rows"), F.lit(None).cast("string").alias("columns"))
-    return facts.propagated_shapes(declared.unionByName(_numbers(claims).withColumn("shape", scalar)), _relations(claims, SHAPE_KINDS), rounds)
-
-
-def shape_text(c: Column) -> Column:
-    """A shape such as ``matrix(2,3)``."""
-    return F.concat(c["kind"], F.when(c["rows"].isNotNull(), F.concat(F.lit("("), F.concat_ws(",", c["rows"], c["columns"]), F.lit(")"))).otherwise(F.lit("")))
-
-
-def derived_facts(docs: DataFrame, rounds: int = facts.ROUNDS) -> DataFrame:
-    """(file_id, symbol, predicate, value, round, truncated): dimensions and shapes of symbols, declared (round 0) or implied by formulas."""
-    claims = graph.stored(relation_claims(docs))
-    both = known_dimensions(docs, claims, rounds).select("entity", F.lit("dimension").alias("predicate"), dimensions.dimension_text(F.col("dimension")).alias("value"), "round", "truncated")
-    both = both.unionByName(known_shapes(docs, claims, rounds).select("entity", F.lit("shape").alias("predicate"), shape_text(F.col("shape")).alias("value"), "round", "truncated"))
-    symbols = both.filter(~F.col("entity.name").rlike(r"\(|^[0-9.]+$"))
-    return symbols.select("entity.file_id", F.col("entity.name").alias("symbol"), "predicate", "value", "round", "truncated")
+    numbers = graph.stored(_numbers(claims))
+    roles = laws.agreed(laws.declared_roles(docs)).select(F.struct("file_id", F.col("symbol").alias("name")).alias("entity"), *solver.fact("role", F.col("concept")))
+    conditions = prose.assumptions(docs).filter("kind in ('sign', 'regularity', 'structure', 'definiteness', 'algebraic-property') and value not like 'not-%'")
+    conditions = conditions.select("file_id", F.explode("subjects").alias("name"), "value").select(F.struct("file_id", "name").alias("entity"), "value").select("entity", *solver.fact(F.concat(F.lit("condition:"), "value"), F.col("value"))).distinct()
+    function = definitions.definitions(docs).select("file_id", "symbol", F.regexp_extract("description", r"\bfrom (?:the |an? )?(.+?) to (?:the |an? )?(.+)$", 1).alias("_from"), F.regexp_extract("description", r"\bfrom (?:the |an? )?(.+?) to (?:the |an? )?(.+)$", 2).alias("_to")).filter("_from <> ''")
+    single = lambda c: text.shape(F.regexp_replace(F.regexp_replace(c, "matrices", "matrix"), r"(vector|scalar|tensor)s\b", "$1"))
+    ends = [function.select("file_id", "symbol", single(F.col(c)).alias("shape")).filter("shape.kind is not null") for c in ("_from", "_to")]
+    out = _once(said.filter("kind is not null"), "kind").join(dims, "kind").select("entity", *solver.fact("dimension", dim=F.col("dimension")))
+    out = out.unionByName(numbers.select("entity", *solver.fact("dimension", dim=none))).unionByName(numbers.select("entity", *solver.fact("shape", shape=scalar)))
+    out = out.unionByName(_once(said.filter("unit is not null"), "unit").select("entity", *solver.fact("unit", F.col("unit"))))
+    out = out.unionByName(_once(constraints.declared_shapes(docs), "shape").select("entity", *solver.fact("shape", shape=F.col("shape"))))
+    for name, rows_ in zip(("domain", "codomain"), ends):
+        out = out.unionByName(_once(rows_, "shape").select("entity", *solver.fact(name, shape=F.col("shape"))))
+    return out.unionByName(roles).unionByName(conditions)
+
+
+def known_facts(docs: DataFrame | front.Parsed, claims: DataFrame, rounds: int = solver.ROUNDS, work: int = solver.WORK) -> DataFrame:
+    """(entity, predicate, text, dim, shape, round, proof, truncated): declared facts and those that the claims imply, over all predicates at once."""
+    return solver.solved(declared_facts(docs, claims), _relations(claims), rounds, work)
+
+
+def derived_facts(docs: DataFrame | front.Parsed, rounds: int = solver.ROUNDS, predicates: tuple[str, ...] | None = ("dimension", "shape"), work: int = solver.WORK) -> DataFrame:
+    """(file_id, symbol, predicate, value, round, proof_at, truncated): facts of symbols, declared (round 0) or implied by formulas, and where the formula that proves them stands.
+
+    ``predicates`` None lists all: also units, roles, conditions, domains and codomains.
+    """
+    docs = parsed.parsed(docs)
+    found = known_facts(docs, graph.stored(relation_claims(docs)), rounds, work)
+    if predicates is not None:
+        found = found.filter(F.col("predicate").isin(*predicates))
+    symbols = found.filter(~F.col("entity.name").rlike(r"\(|^[0-9.]+$"))
+    return symbols.select("entity.file_id", F.col("entity.name").alias("symbol"), "predicate", F.col("text").alias("value"), "round", F.col("proof.at").alias("proof_at"), "truncated")
 
 
-def claim_conflicts(docs: DataFrame, rounds: int = facts.ROUNDS) -> DataFrame:
+def claim_conflicts(docs: DataFrame | front.Parsed, rounds: int = solver.ROUNDS) -> DataFrame:
     """(file_id, at, code): equations and sums whose two sides have facts, declared or implied, that cannot be equal.
 
     Extents conflict only where both are numbers; an unknown one fits all.
     """
+    docs = parsed.parsed(docs)
     claims = graph.stored(relation_claims(docs))
     sides = claims.filter("predicate in ('equals', 'sum')").select("file_id", "at", "predicate", _entity("result").alias("result"), _entity("left").alias("left"))
-    dims = known_dimensions(docs, claims, rounds).select("entity", F.col("dimension").alias("v"))
-    shapes = known_shapes(docs, claims, rounds).select("entity", F.col("shape").alias("v"))
+    known = graph.stored(known_facts(docs, claims, rounds).filter("predicate in ('dimension', 'shape')").select("entity", F.col("predicate").alias("what"), "text", "shape"))
 
-    def met(known: DataFrame) -> DataFrame:
-        a, b = known.select(F.col("entity").alias("result"), F.col("v").alias("a")), known.select(F.col("entity").alias("left"), F.col("v").alias("b"))
+    def met(what: str) -> DataFrame:
+        some = known.filter(F.col("what") == what)
+        a, b = (some.select(F.col("entity").alias(c), F.struct("text", "shape").alias(v)) for c, v in (("result", "a"), ("left", "b")))
         return sides.join(a, "result").join(b, "left")
 
     def differ(c: str) -> Column:
-        a, b = F.col(f"a.{c}"), F.col(f"b.{c}")
+        a, b = F.col(f"a.shape.{c}"), F.col(f"b.shape.{c}")
         return F.coalesce(a.rlike("^[0-9]+$") & b.rlike("^[0-9]+$") & (a != b), F.lit(False))
 
-    wrong_dims = met(dims).filter(F.col("a") != F.col("b")).select("file_id", "at", F.when(F.col("predicate") == "sum", "quantity-addition-dimension-mismatch").otherwise("quantity-assignment-dimension-mismatch").alias("code"))
-    wrong_shapes = met(shapes).filter((F.col("a.kind") != F.col("b.kind")) | differ("rows") | differ("columns")).select("file_id", "at", F.lit("constraint-shape-conflict").alias("code"))
+    wrong_dims = met("dimension").filter("a.text <> b.text").select("file_id", "at", F.when(F.col("predicate") == "sum", "quantity-addition-dimension-mismatch").otherwise("quantity-assignment-dimension-mismatch").alias("code"))
+    wrong_shapes = met("shape").filter((F.col("a.shape.kind") != F.col("b.shape.kind")) | differ("rows") | differ("columns")).select("file_id", "at", F.lit("constraint-shape-conflict").alias("code"))
     return wrong_dims.unionByName(wrong_shapes).distinct()
 
 
@@ -158,6 +180,7 @@ def declaration_conflicts(docs: DataFrame) -> DataFrame:
 
 def diagnostics(docs: DataFrame) -> DataFrame:
     """(file_id, rank, at, code): all diagnostics of a file in the order of their places, each code once a place."""
+    docs = parsed.parsed(docs)
     found = constraints.shape_diagnostics(docs).select("file_id", "at", "code")
     found = found.unionByName(claim_conflicts(docs)).unionByName(declaration_conflicts(docs).select("file_id", F.col("second").alias("at"), "code"))
     found = found.unionByName(laws.declared_quantities(docs).filter("code is not null").select("file_id", F.col("anchor").alias("at"), "code"))

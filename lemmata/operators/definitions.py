@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmata.operators import decisions, relational
+from lemmata.operators import binders, decisions, relational
 from lemmata.sources import syntax as front
 
 # Leads, the links that may follow the symbol after each, and whether the description ends at a comma.
@@ -49,6 +49,7 @@ SCHEMA = "file_id string, symbol string, anchor int, available int, start int, e
 _ROW = re.compile(r"^\|[ \t]*\$[^$|\n]+\$[ \t]*\|[ \t]*([^|\n]*[^|\s])[ \t]*\|", re.M)
 _BETWEEN = re.compile(r"\s*(?:,|,?\s*and)\s*")
 _PLAIN = re.compile(r"[A-Za-z0-9 '-]+")
+_JOINED = re.compile(r",?\s+and\s*$", re.I)
 _RELATIVE = re.compile(r"\s+(?:who|that|which|whose)\b.*", re.S | re.I)
 # Verbs by which several symbols are defined at once after each lead.
 SHARED = {"let": r"(?:denote|represent|mean|stand for)", "we write": "for", "denote by": "", "": r"(?:denote|represent|mean|stand for)"}
@@ -79,10 +80,10 @@ def shared_descriptions(lead: str, text: str, n: int) -> list[str] | None:
     return None
 
 
-def of_document(content: str) -> list[tuple]:
+def of_document(content: str, rows: list[tuple] | None = None) -> list[tuple]:
     """(symbol, anchor, available, start, end, description, construction, scope) in UTF-16 units."""
     live, units = front.masked(content), front.utf16(content)
-    rows = front.parse(content)
+    rows = front.parse(content) if rows is None else rows
     maths = [r for r in rows if r[0] == "math"]
     symbols = {}
     for r in rows:
@@ -90,6 +91,7 @@ def of_document(content: str) -> list[tuple]:
             symbols.setdefault(r[6], []).append(r)
     out: list[tuple] = []
     listed: set[int] = set()  # symbols that follow another one of a list
+    carried: dict[int, str] = {}  # the lead that a coordinated next definition shares
     for row in _ROW.finditer(live):
         m = next((m for m in maths if row.start() <= m[2] < row.end()), None)
         own = symbols.get(m[6], []) if m else []
@@ -124,12 +126,20 @@ def of_document(content: str) -> list[tuple]:
         after = live[m[3] : min(stop, m[3] + 240)]
         clause_end = re.search(r"[.;\n]", after)
         text = after[: clause_end.start()] if clause_end else after
+        lead = carried.get(i, lead)
+        joined = _JOINED.search(text)
+        if joined and not clause_end and i + 1 < len(maths) and maths[i + 1][2] == m[3] + len(text):
+            # "let x denote a and y denote b": the description ends at the conjunction, the next symbol has the same lead
+            text = text[: joined.start()]
+            follows = re.split(r"[.;\n]", live[maths[i + 1][3] : maths[i + 1][3] + 240])[0]
+            if _linked(lead, follows):
+                carried[i + 1] = lead
         if _HEDGED.search(live[head : m[2]].strip()) or _HEDGED.search(text) or _NEGATED.search(text) or _NEGATED.search(lead):
             continue
         if text.startswith(",") or text.lstrip().lower().startswith("and "):
             continue
         before = live[head : m[2]].strip()
-        if lead == "" and before:
+        if lead == "" and before and i not in carried:
             lead = None  # only a comma stands there
         found = _linked(lead, text) or _preceding(before, live[m[3] : m[3] + 1])
         if found:
@@ -164,8 +174,10 @@ def _preceding(before: str, behind: str) -> tuple[str, str] | None:
     return None
 
 
-def definitions(docs: DataFrame) -> DataFrame:
+def definitions(docs: DataFrame | front.Parsed) -> DataFrame:
     """Asserted definitions of documents (file_id, content)."""
+    if isinstance(docs, front.Parsed):
+        return docs.definitions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,8 +190,8 @@ def definitions(docs: DataFrame) -> DataFrame:
 
 
 def resolved_uses(docs: DataFrame, with_scope: bool = False) -> DataFrame:
-    """Per symbol use: status and, if established, where its definition is (file_id, use, symbol, status, definition), and its scope."""
-    uses = front.syntax(docs).filter("kind = 'symbol'").select("file_id", F.col("text").alias("symbol"), F.col("start").alias("use"), F.col("scope").alias("use_scope"))
+    """Per free symbol use: status and, if established, where its definition is (file_id, use, symbol, status, definition), and its scope."""
+    uses = binders.free_uses(front.syntax(docs)).select("file_id", F.col("text").alias("symbol"), F.col("start").alias("use"), F.col("scope").alias("use_scope"))
     bound = definitions(docs).select("file_id", "symbol", "anchor", "available", "scope")
     seen = relational.visible_bindings(uses, bound, ["file_id", "symbol"], "use_scope", "scope")
     seen = seen.filter((F.col("available") <= F.col("use")) | (F.col("anchor") == F.col("use"))).withColumn("at", F.struct("file_id", "use"))
@@ -191,7 +203,7 @@ def resolved_uses(docs: DataFrame, with_scope: bool = False) -> DataFrame:
 def hygiene(docs: DataFrame) -> DataFrame:
     """Hints (file_id, code, symbol, at) for symbols with exactly one definition: a use before it, or none at all."""
     once = definitions(docs).groupBy("file_id", "symbol").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor"), F.min("scope").alias("scope"), F.min("construction").alias("_by")).filter("n = 1 and _by not like 'table/%'")
-    uses = front.syntax(docs).filter("kind = 'symbol'").select("file_id", F.col("text").alias("symbol"), "start", F.col("scope").alias("use_scope"))
+    uses = binders.free_uses(front.syntax(docs)).select("file_id", F.col("text").alias("symbol"), "start", F.col("scope").alias("use_scope"))
     near = once.join(uses, ["file_id", "symbol"], "left").filter(F.col("start").isNull() | (F.slice("use_scope", F.lit(1), F.size("scope")) == F.col("scope")))
     seen = near.groupBy("file_id", "symbol", "anchor").agg(F.min(F.when(F.col("start") < F.col("anchor"), F.col("start"))).alias("before"), F.count_if(F.col("start") != F.col("anchor")).alias("others"))
     early = seen.filter("before is not null").select("file_id", F.lit("used-before-explicit-definition").alias("code"), "symbol", F.col("before").alias("at"))

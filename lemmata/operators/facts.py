@@ -51,13 +51,15 @@ def _fixpoint(facts: DataFrame, relations: DataFrame, value: str, up: Column, ro
     latest, truncated = found[0], False
     whole = ["relation", "kind", "result", "left", "right"]
     side = F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("entity")) for c in whole[2:])))
-    sides = graph.stored(relations.select(*whole, side.alias("_s")).select(*whole, "_s.side", "_s.entity").filter("entity is not null"))
+    named = graph.stored(relations.select(*whole))
+    sides = graph.stored(named.select("relation", side.alias("_s")).select("relation", "_s.side", "_s.entity").filter("entity is not null"))
     of = lambda c: F.first(F.when(F.col("side") == c, F.col(value)), ignorenulls=True).alias(f"_{c}")
     for n in range(1, rounds + 2):
         known = found[0]
         for f in found[1:]:
             known = known.unionByName(f)
-        have = sides.join(known, "entity").groupBy(*whole).agg(of("result"), of("left"), of("right"), F.max("round").alias("_last")).filter(F.col("_last") == n - 1)
+        touched = sides.join(latest.select("entity"), "entity").select("relation").distinct()
+        have = sides.join(touched, "relation", "left_semi").join(known, "entity").groupBy("relation").agg(of("result"), of("left"), of("right")).join(named, "relation")
         forth = have.filter("_result is null").select("relation", F.col("result").alias("entity"), up.alias(value))
         back = have.filter("kind = 'equal' and _left is null").select("relation", F.col("left").alias("entity"), F.col("_result").alias(value))
         new = forth.unionByName(back).filter(F.col(value).isNotNull()).groupBy("entity").agg(F.min_by(value, "relation").alias(value)).withColumn("round", F.lit(n))

@@ -23,6 +23,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table is broadcast.
+SMALL = 1 << 17
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """The table, to be broadcast if it is counted to have at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def closure_of(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, node): the pairs, and all nodes reachable over edges (src, dst) from their nodes, per root; for small tables of roots.
 

@@ -1,95 +1,30 @@
 """Formulas of documents: canonical keys, dimension diagnostics, and laws with the support of their roles and conditions.
 
-Declared quantities come from definitions (``functions.quantities`` reads their
-descriptions).  Formulas and laws meet by an equality join on the shape of their top
-(``dispatched``); only laws of an equal key are unified with a formula, together with
-what the file declares.
+Laws are the rows of a catalogue of packs (``sources.packs``), to which a caller may add.  Formulas and forms of laws meet by an
+equality join on the shape of their tops; a form of an equal key is unified with the formula, which gives rows of (role, expression);
+whether these play the roles is decided by joins with what the file declares and with the ancestors of concepts, and conditions by
+joins with the assumptions whose place and subjects fit.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemmata.functions import formulas, prose, quantities, text
-from lemmata.operators import decisions, definitions
+from lemmata.functions import formulas, quantities, text
+from lemmata.functions import prose as said_
+from lemmata.operators import decisions, definitions, graph, parsed, relational
+from lemmata.sources import packs
 from lemmata.sources import syntax as front
 
-# Law | relation | role=concept/shape (* for one or more) | conditions; the roles are words of the relation.
-LAWS = """
-calculus-analysis:first-derivative-relation | derivative = \\frac{d function}{d variable} | derivative=derivative, function=function, variable=variable | differentiable(function,variable)
-calculus-analysis:gradient-relation | result = \\nabla function | result=nabla-operator/vector, function=function | domain-membership(result,function)
-calculus-analysis:first-order-ode-model | \\frac{d state}{d variable} = source | state=ode-state/function, variable=variable, source=evolution-source | differentiable(state,variable)
-calculus-analysis:second-order-ode-model | \\frac{d^2 state}{d variable^2} = source | state=ode-state/function, variable=variable, source=evolution-source | differentiable(state,variable)
-calculus-analysis:linear-first-order-ode | \\frac{d state}{d variable} + coefficient state = source | state=ode-state/function, variable=variable, coefficient=ode-coefficient/scalar, source=evolution-source | differentiable(state,variable)
-calculus-analysis:linear-ode-system | \\frac{d state}{d variable} = operator state + source | state=ode-state/vector, variable=variable, operator=evolution-operator/matrix, source=evolution-source/vector | operator-property(operator)
-calculus-analysis:diffusion-equation | \\frac{\\partial field}{\\partial variable} = diffusivity \\nabla^2 field | field=pde-field/function, variable=variable, diffusivity=diffusivity/scalar | differentiable(field,variable)
-calculus-analysis:poisson-equation | \\nabla^2 field = source | field=pde-field/function, source=evolution-source | domain-membership(field,source)
-calculus-analysis:laplace-equation | \\nabla^2 field = 0 | field=pde-field/function | domain-membership(field)
-calculus-analysis:conservation-form-equation | \\frac{\\partial field}{\\partial variable} + \\operatorname{div}(flux) = 0 | field=pde-field/function, variable=variable, flux=conservation-flux/vector | differentiable(field,variable)
-calculus-analysis:initial-value-condition | state(initial-time) = initial-value | state=ode-state/function, initial-time=initial-time, initial-value=initial-state-value | same-context(state,initial-time,initial-value)
-calculus-analysis:dirichlet-boundary-condition | field(boundary) = value | field=pde-field/function, boundary=boundary-location, value=boundary-data | same-context(field,boundary,value)
-calculus-analysis:neumann-boundary-condition | \\operatorname{normalDerivative}(field,boundary) = value | field=pde-field/function, boundary=boundary-location, value=boundary-data | same-context(field,boundary,value)
-calculus-analysis:robin-boundary-condition | normal-derivative + coefficient field = value | normal-derivative=boundary-normal-derivative, coefficient=ode-coefficient/scalar, field=pde-field/function, value=boundary-data | same-context(normal-derivative,field,value)
-calculus-analysis:interface-continuity-condition | left-trace = right-trace | left-trace=interface-trace, right-trace=interface-trace | same-context(left-trace,right-trace)
-calculus-analysis:differential-operator-eigenproblem | operator(field) = eigenvalue field | operator=evolution-operator, field=pde-field/function, eigenvalue=eigenvalue/scalar | same-context(operator,field)
-circuits:ohm-law | voltage = resistance current | voltage=voltage/scalar, current=electric-current/scalar, resistance=resistance/scalar | sign-convention(voltage,current)
-circuits:kirchhoff-current-law | \\sum branch-current = 0 | branch-current=electric-current* | sign-convention(branch-current)
-circuits:capacitor-current-law | current = capacitance \\frac{d voltage}{d time} | current=electric-current/scalar, capacitance=capacitance/scalar, voltage=voltage/scalar, time=duration/scalar | sign-convention(current,voltage)
-circuits:inductor-voltage-law | voltage = inductance \\frac{d current}{d time} | voltage=voltage/scalar, inductance=inductance/scalar, current=electric-current/scalar, time=duration/scalar | sign-convention(voltage,current)
-classical-mechanics:newton-second-law | net-force = mass acceleration | net-force=force, mass=mass/scalar, acceleration=acceleration | same-context(net-force,mass,acceleration)
-classical-mechanics:kinetic-energy-definition | energy = \\frac{1}{2} mass velocity^2 | energy=energy/scalar, mass=mass/scalar, velocity=velocity | assumption(energy,mass,velocity)
-classical-mechanics:mechanical-power | power = force \\cdot velocity | power=power/scalar, force=force, velocity=velocity | same-context(force,velocity)
-classical-mechanics:linear-momentum-definition | momentum = mass velocity | momentum=momentum, mass=mass/scalar, velocity=velocity | same-context(mass,velocity)
-control-systems:continuous-state-equation | \\dot{state} = state-matrix state + input-matrix control-input | state=state/vector, state-matrix=state-matrix/matrix, input-matrix=input-matrix/matrix, control-input=control-input/vector | shape-compatible(state,state-matrix,input-matrix,control-input)
-control-systems:continuous-lyapunov-equation | state-matrix^T certificate + certificate state-matrix = -forcing | state-matrix=state-matrix/matrix, certificate=lyapunov-certificate/matrix, forcing=forcing-matrix/matrix | shape-compatible(state-matrix,certificate,forcing)
-control-systems:linear-output-equation | output = output-matrix state + feedthrough-matrix control-input | output=output/vector, output-matrix=output-matrix/matrix, state=state/vector, feedthrough-matrix=feedthrough-matrix/matrix, control-input=control-input/vector | shape-compatible(output,output-matrix,state,feedthrough-matrix,control-input)
-control-systems:discrete-state-equation | next-state = state-matrix state + input-matrix control-input | next-state=state/vector, state-matrix=state-matrix/matrix, state=state/vector, input-matrix=input-matrix/matrix, control-input=control-input/vector | shape-compatible(next-state,state-matrix,state,input-matrix,control-input)
-discrete-math:set-intersection | left \\cap right | left=set, right=set | domain-membership(left,right)
-discrete-math:set-union | left \\cup right | left=set, right=set | domain-membership(left,right)
-discrete-math:handshaking-degree-sum | degree-sum = 2 edge-count | degree-sum=degree-sum/scalar, edge-count=edge-count/scalar | domain-membership(degree-sum,edge-count)
-discrete-math:two-set-inclusion-exclusion | union-cardinality = left-cardinality + right-cardinality - intersection-cardinality | union-cardinality=cardinality/scalar, left-cardinality=cardinality/scalar, right-cardinality=cardinality/scalar, intersection-cardinality=intersection-cardinality/scalar | domain-membership(union-cardinality,left-cardinality,right-cardinality,intersection-cardinality)
-electromagnetism:electric-force-law | force = charge electric-field | force=force, charge=electric-charge/scalar, electric-field=electric-field | assumption(force,charge,electric-field)
-electromagnetism:electric-potential-energy | energy = charge voltage | energy=energy/scalar, charge=electric-charge/scalar, voltage=voltage/scalar | same-context(energy,charge,voltage)
-electromagnetism:electric-power-law | power = voltage current | power=power/scalar, voltage=voltage/scalar, current=electric-current/scalar | sign-convention(voltage,current)
-electromagnetism:linear-electric-constitutive-law | displacement = permittivity electric-field | displacement=electric-displacement/vector, permittivity=permittivity/scalar, electric-field=electric-field/vector | domain-membership(displacement,permittivity,electric-field)
-electromagnetism:electromagnetic-wave-speed | wave-speed = 1 / medium-factor | wave-speed=velocity/scalar, medium-factor=medium-factor/scalar | domain-membership(wave-speed,medium-factor)
-electromagnetism:gauss-electric | \\nabla \\cdot electric-field = charge-density / permittivity | electric-field=electric-field, charge-density=charge-density/scalar, permittivity=permittivity/scalar | domain-membership(electric-field,charge-density,permittivity)
-electromagnetism:faraday-law | \\nabla \\times electric-field = -\\frac{\\partial magnetic-field}{\\partial time} | electric-field=electric-field, magnetic-field=magnetic-field, time=duration | domain-membership(electric-field,magnetic-field,time)
-electromagnetism:scalar-wave-equation | \\nabla^2 field = \\frac{1}{speed^2} \\frac{\\partial^2 field}{\\partial time^2} | field=scalar-field, speed=velocity/scalar, time=duration | domain-membership(field,speed,time)
-electromagnetism:helmholtz-equation | \\nabla^2 field + wave-number^2 field = 0 | field=scalar-field, wave-number=wave-number/scalar | domain-membership(field,wave-number)
-fluid-mechanics:volumetric-flow-rate | flow-rate = area velocity | flow-rate=volumetric-flow-rate/scalar, area=area/scalar, velocity=velocity/scalar | assumption(area,velocity)
-fluid-mechanics:mass-flow-rate | mass-flow-rate = density area velocity | mass-flow-rate=mass-flow-rate/scalar, density=density/scalar, area=area/scalar, velocity=velocity/scalar | uniform(density,area,velocity)
-fluid-mechanics:hydrostatic-pressure | pressure = density acceleration height | pressure=pressure/scalar, density=density/scalar, acceleration=acceleration/scalar, height=length/scalar | assumption(pressure,density,acceleration,height)
-fluid-mechanics:steady-incompressible-continuity | area-one velocity-one = area-two velocity-two | area-one=area/scalar, velocity-one=velocity/scalar, area-two=area/scalar, velocity-two=velocity/scalar | domain-membership(area-one,velocity-one,area-two,velocity-two)
-fluid-mechanics:bernoulli-head-decomposition | total-head = pressure-head + velocity-head + elevation-head | total-head=total-head/scalar, pressure-head=head-component/scalar, velocity-head=head-component/scalar, elevation-head=head-component/scalar | domain-membership(total-head,pressure-head,velocity-head,elevation-head)
-fluid-mechanics:reynolds-number-definition | reynolds-number = density velocity length / viscosity | reynolds-number=reynolds-number/scalar, density=density/scalar, velocity=velocity/scalar, length=length/scalar, viscosity=dynamic-viscosity/scalar | domain-membership(reynolds-number,density,velocity,length,viscosity)
-fluid-mechanics:steady-momentum-flux | force = mass-flow-rate velocity-change | force=force/scalar, mass-flow-rate=mass-flow-rate/scalar, velocity-change=velocity-change/scalar | domain-membership(force,mass-flow-rate,velocity-change)
-fluid-mechanics:fick-diffusion | flux = -diffusivity \\nabla concentration | flux=species-flux, diffusivity=diffusivity/scalar, concentration=concentration | domain-membership(flux,diffusivity,concentration)
-fluid-mechanics:newtonian-shear | stress = viscosity \\dot{rate} | stress=shear-stress, viscosity=dynamic-viscosity/scalar, rate=shear-rate | domain-membership(stress,viscosity,rate)
-optimization-ml:gradient-descent-update | next = current - step gradient | next=iterate/vector, current=iterate/vector, step=step-size/scalar, gradient=gradient/vector | shape-compatible(next,current,step,gradient)
-optimization-ml:regularized-objective | total = data-loss + weight penalty | total=loss-value/scalar, data-loss=loss-value/scalar, weight=step-size/scalar, penalty=penalty-value/scalar | domain-membership(total,data-loss,weight,penalty)
-optimization-ml:inequality-feasibility | residual \\le tolerance | residual=constraint-residual/scalar, tolerance=feasibility-tolerance/scalar | domain-membership(residual,tolerance)
-optimization-ml:binary-cross-entropy | loss = -label log probability - (1 - label) log (1 - probability) | loss=loss-value/scalar, label=binary-label/scalar, probability=predicted-probability/scalar | domain-membership(label,probability)
-optimization-ml:first-order-stationarity | \\nabla objective(variable) = 0 | objective=objective-function, variable=iterate/vector | differentiable(objective,variable)
-optimization-ml:least-squares-normal-equation | design^T design parameter = design^T observation | design=linear-operator/matrix, parameter=vector/vector, observation=vector/vector | shape-compatible(design,parameter,observation)
-signals-systems:period-frequency-reciprocity | frequency = 1 / period | frequency=cyclic-frequency/scalar, period=duration/scalar | positive(period); same-context(frequency,period)
-signals-systems:angular-frequency-definition | angular-frequency = 2 pi frequency | angular-frequency=angular-frequency/scalar, pi=dimensionless/scalar, frequency=cyclic-frequency/scalar | same-context(angular-frequency,frequency)
-signals-systems:wave-speed-relation | wave-speed = frequency wavelength | wave-speed=velocity/scalar, frequency=cyclic-frequency/scalar, wavelength=length/scalar | same-context(wave-speed,frequency,wavelength)
-signals-systems:transfer-function | transfer(s) = output(s) / input(s) | transfer=transfer-function, output=output-transform, input=input-transform | same-context(transfer,output,input)
-thermodynamics-heat-transfer:sensible-heat-relation | heat-transfer = mass specific-heat temperature-change | heat-transfer=heat-transfer/scalar, mass=mass/scalar, specific-heat=specific-heat-capacity/scalar, temperature-change=temperature/scalar | uniform(specific-heat,temperature-change)
-thermodynamics-heat-transfer:plane-wall-conduction-rate | heat-transfer-rate = conductivity area temperature-change / length | heat-transfer-rate=heat-transfer-rate/scalar, conductivity=thermal-conductivity/scalar, area=area/scalar, temperature-change=temperature/scalar, length=length/scalar | assumption(heat-transfer-rate,conductivity,area,temperature-change,length)
-thermodynamics-heat-transfer:closed-system-first-law | internal-energy-change = heat-transfer - work | internal-energy-change=internal-energy-change/scalar, heat-transfer=heat-transfer/scalar, work=boundary-work/scalar | assumption(internal-energy-change,heat-transfer,work); sign-convention(heat-transfer,work)
-thermodynamics-heat-transfer:convection-heat-transfer-rate | heat-transfer-rate = coefficient area temperature-change | heat-transfer-rate=heat-transfer-rate/scalar, coefficient=convection-coefficient/scalar, area=area/scalar, temperature-change=temperature/scalar | domain-membership(heat-transfer-rate,coefficient,area,temperature-change)
-thermodynamics-heat-transfer:thermal-resistance-rate | temperature-change = heat-transfer-rate resistance | temperature-change=temperature/scalar, heat-transfer-rate=heat-transfer-rate/scalar, resistance=thermal-resistance/scalar | domain-membership(temperature-change,heat-transfer-rate,resistance)
-thermodynamics-heat-transfer:fourier-conduction | flux = -conductivity \\nabla temperature | flux=heat-flux, conductivity=thermal-conductivity/scalar, temperature=temperature | domain-membership(flux,conductivity,temperature)
-thermodynamics-heat-transfer:ideal-gas | pressure volume = amount constant temperature | pressure=pressure/scalar, volume=volume/scalar, amount=amount-of-substance/scalar, constant=gas-constant/scalar, temperature=temperature/scalar | domain-membership(pressure,volume,amount,constant,temperature)
-"""
 #: A law with one undeclared role is inferable if at least so many are declared.
 PROVED = 2
+#: Bindings of one form and formula that are looked at.
+UNIFICATIONS = 64
 #: UTF-16 units from an assumption to the formula behind it, and to one right before it.
 BEHIND, BEFORE = 640, 16
 #: Values of assumptions that verify a condition of each kind; other kinds need evidence that prose does not give.
@@ -97,6 +32,7 @@ VERIFIES = {
     "differentiable": ("differentiable",),
     "uniform": ("uniform",),
     "positive": ("positive", "strictly-positive"),
+    "nonzero": ("nonzero", "positive", "strictly-positive"),
     "same-context": ("same-context", "common-probability-space"),
     "assumption": ("ideal", "idealized", "steady-state", "small-signal", "time-invariant"),
     "operator-property": ("symmetric", "invertible", "positive-definite", "positive-semidefinite"),
@@ -104,208 +40,222 @@ VERIFIES = {
 }
 #: Values that refute a condition, beside the denial of one that verifies it.
 REFUTES = {"same-context": ("different-context",), "sign-convention": ("opposed",), "positive": ("negative-definite",)}
+#: Denials that refute nothing: what is not positive may still differ from zero.
+_OPEN = {("nonzero", "not-positive"), ("nonzero", "not-strictly-positive")}
+
+
+def catalogue(docs: DataFrame | front.Parsed, given: packs.Catalogue | None = None) -> packs.Catalogue:
+    return given or packs.builtin_catalogue(docs.sparkSession)
 
 
-def _laws() -> dict[str, dict]:
-    """Templates, roles, conditions and the dispatch key of each law."""
-    out = {}
-    for line in LAWS.strip().splitlines():
-        law, relation, roles, conditions = (c.strip() for c in line.split("|"))
-        known = {}
-        for role in roles.split(", "):
-            name, _, concept = role.partition("=")
-            many = concept.endswith("*")
-            concept, _, shape = concept.rstrip("*").partition("/")
-            known[name] = {"concept": concept, "shape": shape or None, "many": many}
-        tree = formulas.with_roles(formulas.parse(relation, words=True), set(known))
-        scalars = {n for n, r in known.items() if r["shape"] == "scalar"}
-        needs = [(c.partition("(")[0], c.partition("(")[2].rstrip(")").split(",")) for c in conditions.split("; ")]
-        variadic = any(r["many"] for r in known.values())
-        out[law] = {"templates": formulas.scalar_orders(tree, scalars), "roles": known, "conditions": needs, "key": "equals:sum" if variadic else _key(tree), "variadic": variadic}
-    return out
-
-
-def _key(template: tuple) -> str:
-    """The head of a template and that of its first part that is an expression (* if none is)."""
-    return f"{template[0]}:{next((c[0] for c in template[1:] if isinstance(c, tuple) and c[0] not in ('role', 'lit', 'sym', 'num')), '*')}"
-
-
-def formula_keys(tree: tuple) -> set[str]:
-    """The keys of laws that a formula may be."""
-    parts = tree[1:] if tree[0] == "system" else (tree,)
-    return {f"{one[0]}:{h}" for one in parts for h in ("*", *(c[0] for c in one[1:] if isinstance(c, tuple)))}
-
-
-def law_keys(spark: SparkSession) -> DataFrame:
-    """(key, law): the dispatch table."""
-    return spark.createDataFrame([(v["key"], k) for k, v in _laws().items()], "key string, law string")
-
-
-def law_conditions(spark: SparkSession) -> DataFrame:
-    """(law, condition, kind, subjects) of all laws."""
-    rows = [(k, i, kind, subjects) for k, v in _laws().items() for i, (kind, subjects) in enumerate(v["conditions"])]
-    return spark.createDataFrame(rows, "law string, condition int, kind string, subjects array<string>")
-
-
-def _parents() -> dict[str, str]:
-    """The quantity kind of each role concept whose name is a term of that kind."""
-    terms = {t.strip(): k for k, _, more in quantities._cells(quantities.KINDS) for t in (k.replace("-", " "), *more.split(",")) if t.strip()}
-    concepts = {r["concept"] for v in _laws().values() for r in v["roles"].values()}
-    return {c: terms[c.replace("-", " ")] for c in concepts if c.replace("-", " ") in terms}
-
-
-def concept_terms(spark: SparkSession) -> DataFrame:
-    """(concept, term): terms of quantity kinds, and the names of the other concepts that laws speak of."""
-    more = {r["concept"] for v in _laws().values() for r in v["roles"].values()} - _parents().keys()
-    rows = [(c, c.replace("-", " ")) for c in sorted(more)]
-    return quantities.kind_terms(spark).withColumnRenamed("kind", "concept").unionByName(spark.createDataFrame(rows, "concept string, term string"))
-
-
-def _variadic(tree: tuple, declared: dict[str, str], concept: str) -> dict | None:
-    """The terms of a sum of at least three declared quantities that is zero."""
-    if tree[0] == "equals" and ("num", "0") in tree[1:]:
-        total = tree[1] if tree[2] == ("num", "0") else tree[2]
-        if total[0] == "sum" and len(total) > 3:
-            terms = [c[1] if c[0] == "negate" else c for c in total[1:]]
-            if all(t[0] == "sym" and declared.get(t[1]) == concept for t in terms):
-                return {f"term-{i}": t for i, t in enumerate(terms)}
-    return None
-
-
-def recognised(tree: tuple, declared: dict[str, str], laws: dict[str, dict], parents: dict[str, str]) -> list[tuple[str, str, list[tuple[str, str]]]]:
-    """(law, support, [(role, symbol)]) of a formula: ``typed`` if all roles are declared, ``inferable`` if all but one are."""
-    best: dict[str, tuple] = {}
-    for law, known in laws.items():
-        roles = known["roles"]
-        for one in tree[1:] if tree[0] == "system" else (tree,):
-            if known["variadic"]:
-                (name, role), = roles.items()
-                if bound := _variadic(one, declared, parents.get(role["concept"], role["concept"])):
-                    best[law] = ("typed", [(r, t[1]) for r, t in bound.items()])
-                continue
-            for template in known["templates"]:
-                for bound in formulas.unify(template, one, {}):
-                    have = {r: declared.get(bound[r][1]) if bound[r][0] == "sym" else None for r in roles}
-                    fits = {r: c is not None and c in (roles[r]["concept"], parents.get(roles[r]["concept"])) for r, c in have.items()}
-                    if any(c is not None and not fits[r] for r, c in have.items()):
-                        continue
-                    proved = sum(fits.values())
-                    named = [(r, formulas.canonical(bound[r])) for r in sorted(roles)]
-                    if proved == len(roles):
-                        best[law] = ("typed", named)
-                    elif proved >= PROVED and proved == len(roles) - 1:
-                        best.setdefault(law, ("inferable", named))
-    return [(law, *best[law]) for law in sorted(best)]
-
-
-def declared_quantities(docs: DataFrame) -> DataFrame:
+def declared_quantities(docs: DataFrame | front.Parsed) -> DataFrame:
     """(file_id, symbol, anchor, description, kind, unit, code) of each definition."""
     known = definitions.definitions(docs).select("file_id", "symbol", "anchor", "description").withColumn("at", F.struct("file_id", "anchor"))
     return known.join(quantities.described(known, "at", "description"), "at", "left").drop("at")
 
 
-def declared_roles(docs: DataFrame) -> DataFrame:
-    """(file_id, symbol, anchor, concept): what each definition says its symbol is, by the longest term; a tie says nothing.
+def declared_roles(docs: DataFrame | front.Parsed, given: packs.Catalogue | None = None) -> DataFrame:
+    """(file_id, symbol, anchor, concept): what each definition says its symbol is, by the longest term.
 
-    A description that is only a word about the notation (a symbol, variable, value …) names no concept.
+    Of several concepts with that term, one that is an ancestor of another gives way; if more than one is left, nothing is said.  A
+    description that is only a word about the notation (a symbol, variable, value …) names no concept.
     """
+    own = catalogue(docs, given)
     known = definitions.definitions(docs).select("file_id", "symbol", "anchor", "description").withColumn("at", F.struct("file_id", "anchor"))
-    terms = concept_terms(docs.sparkSession)
-    found = text.contained_terms(known, "at", F.col("description"), terms.select("term").distinct(), "term").join(F.broadcast(terms), "term")
-    best = found.groupBy("at").agg(F.max(F.length("term")).alias("n"), F.collect_set(F.struct(F.length("term").alias("n"), "concept")).alias("all"))
-    clear = F.filter("all", lambda e: e["n"] == F.col("n"))
-    best = best.select("at", F.when(F.size(clear) == 1, F.get(clear, 0)["concept"]).alias("concept"))
-    return known.join(best, "at", "left").select("file_id", "symbol", "anchor", "concept")
+    terms = graph.small(own.terms)
+    found = text.contained_terms(known, "at", F.col("description"), own.terms.select("term").distinct(), "term").join(terms, "term")
+    longest = found.groupBy("at").agg(F.max(F.struct(F.length("term").alias("n"), "term"))["term"].alias("term"), F.max(F.length("term")).alias("n"), F.collect_set(F.struct(F.length("term").alias("n"), "concept")).alias("all"))
+    best = longest.select("at", F.explode(F.filter("all", lambda e: e["n"] == F.col("n"))).alias("e")).select("at", F.col("e.concept").alias("concept"))
+    above = best.join(graph.small(own.lineage), "concept", "left").groupBy("at").agg(F.collect_set("concept").alias("some"), F.collect_list(F.struct("concept", "ancestors")).alias("lines"))
+    lowest = F.filter("some", lambda c: ~F.exists("lines", lambda e: (e["concept"] != c) & F.array_contains(e["ancestors"], c)))
+    clear = above.select("at", F.when(F.size(lowest) == 1, F.get(lowest, 0)).alias("concept"))
+    return known.join(clear, "at", "left").select("file_id", "symbol", "anchor", "concept")
 
 
-def _maths(docs: DataFrame) -> DataFrame:
-    """(file_id, at, text, scope, declared): math regions with the concepts their file declares once."""
-    one = declared_roles(docs).filter("concept is not null").groupBy("file_id", "symbol").agg(F.min("concept").alias("concept"), F.max("concept").alias("_hi")).filter("concept = _hi")
-    declared = one.groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("symbol", "concept")))).alias("declared"))
-    maths = front.syntax(docs).filter("kind = 'math'").select("file_id", F.col("start").alias("at"), "text", "scope")
-    return maths.join(declared, "file_id", "left")
+def agreed(declared: DataFrame) -> DataFrame:
+    """(file_id, symbol, concept) of symbols that a file declares with one concept only."""
+    one = declared.filter("concept is not null").groupBy("file_id", "symbol").agg(F.min("concept").alias("concept"), F.max("concept").alias("_hi"))
+    return one.filter("concept = _hi").drop("_hi")
 
 
-def dispatched(maths: DataFrame) -> DataFrame:
-    """(file_id, at, laws): the laws whose key is one of a formula's keys, by an equality join with the small dispatch table."""
+def trees(docs: DataFrame | front.Parsed) -> DataFrame:
+    """(file_id, at, part, canonical, scope, tree, keys, asserted) of the formulas of documents."""
+    return parsed.parsed(docs).trees
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [(f, a, k) for f, a, t in zip(*(b.column(c).to_pylist() for c in ("file_id", "at", "text"))) if (tree := formulas.parse(t)) for k in sorted(formula_keys(tree))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 3, (pa.string(), pa.int32(), pa.string()))], names=["file_id", "at", "key"])
 
-    keys = maths.select("file_id", "at", "text").mapInArrow(run, "file_id string, at int, key string")
-    return keys.join(F.broadcast(law_keys(maths.sparkSession)), "key").groupBy("file_id", "at").agg(F.collect_set("law").alias("laws"))
+def _balance(tree: list) -> list[dict[str, list]]:
+    """The terms of a sum of at least three that is zero."""
+    total = tree[1] if tree[2] == ["num", "0"] else tree[2]
+    return [{f"term-{i}": c[1] if c[0] == "negate" else c for i, c in enumerate(total[1:])}]
 
 
-def recognitions(docs: DataFrame) -> DataFrame:
-    """(file_id, at, scope, law, support, roles) of formulas; ``roles`` is an array of (role, symbol)."""
-    return recognitions_of(_maths(docs))
+def as_tuple(tree):
+    """A tree read from JSON."""
+    return tuple(as_tuple(c) for c in tree) if isinstance(tree, list) else tree
 
 
-def recognitions_of(maths: DataFrame) -> DataFrame:
-    """``recognitions`` of formulas (file_id, at, text, scope) with the concepts ``declared`` by symbol."""
-    ready = maths.filter("declared is not null").join(dispatched(maths), ["file_id", "at"])
-    laws, parents = _laws(), _parents()
-    names = ["file_id", "at", "scope", "law", "support", "roles"]
-    kinds = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.list_(pa.struct([("role", pa.string()), ("symbol", pa.string())]))]
+def matches(trees_: DataFrame, own: packs.Catalogue) -> DataFrame:
+    """(file_id, at, scope, part, law, form, guards, step, binding, size, role, symbol, plain, symbols): what the forms of laws bind to their roles.
+
+    At most ``UNIFICATIONS`` bindings of a form and a formula are looked at.
+    """
+    keyed = trees_.select("file_id", "at", "scope", "part", "tree", F.explode("keys").alias("key")).join(graph.small(own.forms), "key")
+    names = ["file_id", "at", "scope", "part", "law", "form", "guards", "step", "binding", "size", "role", "symbol", "plain", "symbols"]
+    kinds = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple] = {}
         for b in batches:
             out = []
-            for f, a, t, s, d, some in zip(*(b.column(c).to_pylist() for c in ("file_id", "at", "text", "scope", "declared", "laws"))):
-                tree = formulas.parse(t)
-                out += [(f, a, s, law, support, [{"role": r, "symbol": x} for r, x in bound]) for law, support, bound in recognised(tree, dict(d), {k: laws[k] for k in some}, parents)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names=names)
-
-    return ready.select("file_id", "at", "text", "scope", "declared", "laws").mapInArrow(run, "file_id string, at int, scope array<int>, law string, support string, roles array<struct<role: string, symbol: string>>")
-
-
-def condition_statuses(docs: DataFrame, laws_found: DataFrame | None = None) -> DataFrame:
-    """(file_id, at, law, condition, kind, status) of the conditions of recognised laws, or of those given (file_id, at, scope, law).
-
-    An assumption counts for a formula that follows it within ``BEHIND`` units or stands right before it, in a scope that sees it.
+            for *head, source, template in zip(*(b.column(c).to_pylist() for c in (*names[:8], "tree", "template"))):
+                if source not in known:
+                    if len(known) > 4096:
+                        known.clear()
+                    known[source] = as_tuple(json.loads(source))
+                tree = known[source]
+                if template == '["balance"]':
+                    found = _balance(json.loads(source))
+                    found = [{r: as_tuple(t) for r, t in f.items()} for f in found]
+                else:
+                    found = formulas.unify(as_tuple(json.loads(template)), tree, {})[:UNIFICATIONS]
+                for n, bound in enumerate(found):
+                    out += [(*head, n, len(bound), r, formulas.canonical(t), t[0] == "sym", formulas.symbols(t)) for r, t in bound.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(names), kinds)], names=names)
+
+    schema = "file_id string, at int, scope array<int>, part int, law string, form int, guards array<string>, step string, binding int, size int, role string, symbol string, plain boolean, symbols array<string>"
+    return keyed.select(*names[:8], "tree", "template").mapInArrow(run, schema)
+
+
+def supported(found: DataFrame, given: DataFrame, own: packs.Catalogue) -> DataFrame:
+    """(file_id, at, scope, law, support, form, guards, step, roles) of the matches whose roles the given concepts support.
+
+    ``given`` has (file_id, symbol, concept), and may have (at) where a concept holds for one formula only.  A concept plays a role if
+    the role's concept is among its ancestors.  ``typed``: all roles are played; ``inferable``: all but one, which nothing is known of, and
+    at least ``PROVED``.  A law is listed once a formula: the typed before the inferable, then by form.
+    """
+    roles = own.roles.select("law", F.when(F.col("variadic"), F.lit(None)).otherwise(F.col("role")).alias("_role"), F.col("concept").alias("_wanted"), "variadic")
+    rows = found.join(graph.small(roles), (found["law"] == roles["law"]) & (F.col("_role").isNull() | (F.col("_role") == F.col("role")))).drop(roles["law"])
+    lines = given.join(graph.small(own.lineage), "concept", "left").select(*given.columns, F.coalesce("ancestors", F.array("concept")).alias("_ancestors")).withColumnRenamed("symbol", "_symbol")
+    keys = [c for c in ("file_id", "at") if c in given.columns]
+    same = (F.col("symbol") == F.col("_symbol")) & F.col("plain")
+    for k in keys:
+        same = same & (rows[k] == lines[k])
+    rows = rows.join(lines, same, "left").select(*(rows[c] for c in rows.columns), "concept", "_ancestors")
+    fits = F.coalesce(F.array_contains("_ancestors", F.col("_wanted")), F.lit(False))
+    one = rows.groupBy("file_id", "at", "law", "part", "form", "binding").agg(
+        F.first("scope").alias("scope"), F.first("guards").alias("guards"), F.first("step").alias("step"), F.first("size").alias("size"), F.bool_or("variadic").alias("variadic"),
+        F.count_if(fits).alias("proved"), F.count_if(F.col("concept").isNotNull() & ~fits).alias("wrong"),
+        F.array_sort(F.collect_list(F.struct("role", "symbol", "symbols"))).alias("roles"),
+    )
+    support = F.when(F.col("proved") == F.col("size"), "typed").when(~F.col("variadic") & (F.col("proved") >= PROVED) & (F.col("proved") == F.col("size") - 1), "inferable")
+    one = one.filter("wrong = 0").withColumn("support", support).filter("support is not null")
+    best = relational.keep_best(one, ["file_id", "at", "law"], [F.desc("support"), F.asc("form"), F.asc("part"), F.asc("binding")])
+    return best.select("file_id", "at", "scope", "law", "support", "form", "guards", "step", "roles")
+
+
+def recognitions(docs: DataFrame | front.Parsed, given: packs.Catalogue | None = None) -> DataFrame:
+    """(file_id, at, scope, law, support, form, guards, step, roles) of formulas by what their file declares; ``roles`` has (role, symbol, symbols)."""
+    docs, own = parsed.parsed(docs), catalogue(docs, given)
+    return supported(matches(docs.trees, own), agreed(declared_roles(docs, own)), own)
+
+
+def _meanings(spark) -> DataFrame:
+    says = {(kind, v, True) for kind, vs in VERIFIES.items() for v in vs} | {(kind, f"not-{v}", False) for kind, vs in VERIFIES.items() for v in vs if (kind, f"not-{v}") not in _OPEN} | {(kind, v, False) for kind, vs in REFUTES.items() for v in vs}
+    return F.broadcast(spark.createDataFrame(sorted(says), "kind string, value string, supports boolean"))
+
+
+def evidence(docs: front.Parsed) -> DataFrame:
+    """(file_id, kind, supports, since, until, subjects, scope): assumptions, each with the places of formulas it counts for, and signs that formulas state.
+
+    An assumption whose clause holds formulas counts for these alone; another for formulas that follow it within ``BEHIND`` units or
+    stand right before it.
+    """
+    said = said_.assumptions(docs).select("file_id", "start", "end", "value", "subjects", "scope", "targets")
+    free = said.filter(F.size("targets") == 0).select("file_id", "value", (F.col("start") - BEFORE).alias("since"), (F.col("end") + BEHIND + 1).alias("until"), "subjects", "scope")
+    bound = said.select("file_id", "value", F.explode("targets").alias("since"), "subjects", "scope").select("file_id", "value", "since", (F.col("since") + 1).alias("until"), F.array().cast("array<string>").alias("subjects"), "scope")
+    sign = F.regexp_extract("canonical", r"^(greater-than|not-equals)\(([^(),]+),0\)$", 1)
+    stated = docs.trees.filter("asserted").withColumn("_sign", sign).filter("_sign <> ''")
+    stated = stated.select("file_id", F.when(F.col("_sign") == "greater-than", "positive").otherwise("nonzero").alias("value"), (F.col("at") - BEFORE).alias("since"), (F.col("at") + BEHIND + 1).alias("until"), F.array(F.regexp_extract("canonical", r"\(([^(),]+),0\)$", 1)).alias("subjects"), "scope")
+    return free.unionByName(bound).unionByName(stated).join(_meanings(docs.sparkSession), "value").select("file_id", "kind", "supports", "since", "until", "subjects", "scope")
+
+
+def conditions_of(found: DataFrame, own: packs.Catalogue) -> DataFrame:
+    """(file_id, at, scope, law, condition, kind, subjects): the conditions of recognised laws over the symbols they bind, and what their form must not divide by."""
+    wanted = found.join(graph.small(own.conditions.withColumnRenamed("subjects", "_roles")), "law").select("file_id", "at", "scope", "law", "condition", "kind", "_roles", "roles")
+    guards = found.select("file_id", "at", "scope", "law", F.explode("guards").alias("_g"), "roles").select("file_id", "at", "scope", "law", F.concat(F.lit("nonzero-"), "_g").alias("condition"), F.lit("nonzero").alias("kind"), F.array("_g").alias("_roles"), "roles")
+    both = wanted.unionByName(guards)
+    # a differentiable condition speaks of its function, the first subject; the terms of a balance are all subjects
+    meant = F.when(F.col("kind") == "differentiable", F.slice("_roles", 1, 1)).otherwise(F.col("_roles"))
+    own_roles = F.filter("roles", lambda r: F.array_contains(F.col("_meant"), r["role"]) | r["role"].startswith("term-"))
+    symbols = F.array_sort(F.array_distinct(F.flatten(F.transform(own_roles, lambda r: r["symbols"]))))
+    return both.withColumn("_meant", meant).select("file_id", "at", "scope", "law", "condition", "kind", symbols.alias("subjects"))
+
+
+def condition_statuses(docs: DataFrame | front.Parsed, laws_found: DataFrame | None = None, given: packs.Catalogue | None = None) -> DataFrame:
+    """(file_id, at, law, condition, kind, status) of the conditions of recognised laws, or of those given (as ``recognitions`` lists them).
+
+    Evidence counts where its place fits, its scope is seen, and it names no symbols or all that the condition speaks of.
+    Membership of domains holds where all subjects are declared to be something.
     """
-    spark = docs.sparkSession
-    found = recognitions(docs).select("file_id", "at", "scope", "law") if laws_found is None else laws_found
-    found = found.join(F.broadcast(law_conditions(spark)), "law")
-    says = [(kind, v, True) for kind, vs in VERIFIES.items() for v in vs] + [(kind, f"not-{v}", False) for kind, vs in VERIFIES.items() for v in vs] + [(kind, v, False) for kind, vs in REFUTES.items() for v in vs]
-    meaning = F.broadcast(spark.createDataFrame(says, "kind string, value string, supports boolean"))
-    said = prose.assumptions(docs).select("file_id", "start", "end", "value", F.col("scope").alias("_seen")).join(meaning, "value")
-    near = found.join(said, ["file_id", "kind"]).filter((F.slice("scope", F.lit(1), F.size("_seen")) == F.col("_seen")) & (F.col("at") - F.col("end") <= BEHIND) & (F.col("start") - F.col("at") <= BEFORE))
+    docs, own = parsed.parsed(docs), catalogue(docs, given)
+    found = graph.stored(conditions_of(recognitions(docs, own) if laws_found is None else laws_found, own))
+    said = evidence(docs).withColumnsRenamed({"subjects": "_said", "scope": "_seen"})
+    near = relational.inside(found, said, ["file_id", "kind"], "at", "since", "until")
+    fits = (F.size("_said") == 0) | (F.size(F.array_except("subjects", "_said")) == 0)
+    near = near.filter(fits & (F.slice("scope", F.lit(1), F.size("_seen")) == F.col("_seen")))
     votes = near.groupBy("file_id", "at", "law", "condition").agg(F.bool_or("supports").alias("_yes"), F.bool_or(~F.col("supports")).alias("_no"))
-    out = found.join(votes, ["file_id", "at", "law", "condition"], "left")
-    status = decisions.condition_status(F.size("subjects"), F.coalesce("_no", F.lit(False)), F.coalesce("_yes", F.lit(False)))
+    known = agreed(declared_roles(docs, own)).select("file_id", F.col("symbol").alias("_symbol"), F.lit(1).alias("_known"))
+    members = found.filter("kind = 'domain-membership'").select("file_id", "at", "law", "condition", F.explode("subjects").alias("_symbol")).join(known, ["file_id", "_symbol"], "left")
+    members = members.groupBy("file_id", "at", "law", "condition").agg((F.count("*") == F.count("_known")).alias("_member"))
+    out = found.join(votes, ["file_id", "at", "law", "condition"], "left").join(members, ["file_id", "at", "law", "condition"], "left")
+    yes = F.coalesce("_yes", F.lit(False)) | F.coalesce("_member", F.lit(False))
+    status = decisions.condition_status(F.size("subjects"), F.coalesce("_no", F.lit(False)), yes)
     return out.select("file_id", "at", "law", "condition", "kind", status.alias("status"))
 
 
-def law_statuses(docs: DataFrame, laws_found: DataFrame | None = None) -> DataFrame:
+def law_statuses(docs: DataFrame | front.Parsed, laws_found: DataFrame | None = None, given: packs.Catalogue | None = None) -> DataFrame:
     """(file_id, at, law, status) of recognised laws, or of those given, from the statuses of their conditions."""
-    return condition_statuses(docs, laws_found).groupBy("file_id", "at", "law").agg(F.collect_list("status").alias("_s")).select("file_id", "at", "law", decisions.law_status(F.col("_s")).alias("status"))
+    return condition_statuses(docs, laws_found, given).groupBy("file_id", "at", "law").agg(F.collect_list("status").alias("_s")).select("file_id", "at", "law", decisions.law_status(F.col("_s")).alias("status"))
 
 
-def formula_facts(docs: DataFrame) -> DataFrame:
+def with_status(found: DataFrame, docs: DataFrame | front.Parsed, given: packs.Catalogue | None = None) -> DataFrame:
+    """Recognised laws with their status; one without conditions is recognised."""
+    return found.join(law_statuses(docs, found, given), ["file_id", "at", "law"], "left").withColumn("status", F.coalesce("status", F.lit("recognized")))
+
+
+def formula_facts(docs: DataFrame | front.Parsed) -> DataFrame:
     """(file_id, at, what, value, support) of every math region: its key or that it cannot be parsed, diagnostics, laws.
 
-    A symbol with two concepts in a file has none.
+    A symbol with two kinds of quantity in a file has none.
     """
+    docs = parsed.parsed(docs)
+    maths = front.syntax(docs).filter("kind = 'math'").select("file_id", F.col("start").alias("at"), "text")
+    kinds_of = declared_quantities(docs).filter("kind is not null").groupBy("file_id", "symbol").agg(F.min("kind").alias("kind"), F.max("kind").alias("_hi")).filter("kind = _hi")
+    symbols = front.syntax(docs).filter("kind = 'symbol'").select("file_id", "region", F.col("text").alias("symbol")).distinct()
+    regions = front.syntax(docs).filter("kind = 'math'").select("file_id", "region", F.col("start").alias("at"))
+    own = symbols.join(kinds_of, ["file_id", "symbol"]).join(regions, ["file_id", "region"]).groupBy("file_id", "at").agg(F.collect_list(F.struct("symbol", "kind")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for f, a, t, d in zip(*(b.column(c).to_pylist() for c in ("file_id", "at", "text", "declared"))):
+            for f, a, t, d in zip(*(b.column(c).to_pylist() for c in ("file_id", "at", "text", "known"))):
                 tree = formulas.parse(t)
                 if tree is None:
                     out.append((f, a, "unparsed", None, None))
                     continue
                 out.append((f, a, "canonical", formulas.canonical(tree), None))
                 faults: set[str] = set()
-                known = {s: quantities.KIND_DIMENSION[c] for s, c in dict(d or []).items() if c in quantities.KIND_DIMENSION}
+                known = {e["symbol"]: quantities.KIND_DIMENSION[e["kind"]] for e in d or []}
                 for one in tree[1:] if tree[0] == "system" else (tree,):
                     formulas.dimension(one, known, faults)
                 out += [(f, a, "diagnostic", code, None) for code in sorted(faults)]
             kinds_ = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds_)], names=["file_id", "at", "what", "value", "support"])
 
-    own = _maths(docs).select("file_id", "at", "text", "declared").mapInArrow(run, "file_id string, at int, what string, value string, support string")
-    return own.unionByName(recognitions(docs).select("file_id", "at", F.lit("law").alias("what"), F.col("law").alias("value"), "support"))
+    facts = maths.join(own, ["file_id", "at"], "left").select("file_id", "at", "text", "known").mapInArrow(run, "file_id string, at int, what string, value string, support string")
+    return facts.unionByName(recognitions(docs).select("file_id", "at", F.lit("law").alias("what"), F.col("law").alias("value"), "support"))
+
+
+def has_role(roles: Column, role: str) -> Column:
+    """The symbol that plays a role."""
+    return F.get(F.filter(roles, lambda r: r["role"] == role), 0)["symbol"]

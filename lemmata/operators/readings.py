@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmata.functions import formulas
-from lemmata.operators import constraints, definitions, evidence, graph, laws, relational
+from lemmata.operators import constraints, definitions, evidence, graph, laws, parsed, relational
+from lemmata.sources import packs
 from lemmata.sources import syntax as front
 
 #: Steps from law to law, roles that one formula takes over, and requirements that are listed.
@@ -18,32 +19,36 @@ HOPS, ROLES, REQUIREMENTS = 2, 64, 16
 REACH, CLAUSES = 320, 2
 
 
-def _with_status(found: DataFrame, docs: DataFrame) -> DataFrame:
-    return found.join(laws.law_statuses(docs, found.select("file_id", "at", "scope", "law")), ["file_id", "at", "law"], "left").withColumn("status", F.coalesce("status", F.lit("recognized")))
-
-
-def chained(docs: DataFrame, hops: int = HOPS) -> DataFrame:
-    """(file_id, at, scope, law, support, roles, status, hop): laws of formulas, also by roles that laws of earlier formulas give.
+def chained(docs: DataFrame | front.Parsed, hops: int = HOPS, given: packs.Catalogue | None = None) -> DataFrame:
+    """(file_id, at, scope, law, support, form, guards, step, roles, status, hop): laws of formulas, also by roles that laws of earlier formulas give.
 
     A recognised or verified law gives each plain symbol of its roles the role's concept in the formulas after it, unless the file
     declares the symbol; a symbol with two concepts has none.  Support is ``derived`` for what only such roles make typed,
-    ``inferable`` where one role is still open.
+    ``inferable`` where one role is still open.  Formulas are matched once; a hop handles those with a symbol that got a role.
     """
-    spark = docs.sparkSession
-    concept = F.broadcast(spark.createDataFrame([(k, r, v["concept"]) for k, law in laws._laws().items() for r, v in law["roles"].items()], "law string, role string, concept string"))
-    maths = graph.stored(laws._maths(docs))
-    done = graph.stored(_with_status(laws.recognitions(docs), docs).withColumn("hop", F.lit(0)))
-    declared = maths.select("file_id", F.explode("declared").alias("symbol", "_concept")).select("file_id", "symbol").distinct()
+    docs, own = parsed.parsed(docs), laws.catalogue(docs, given)
+    found = graph.stored(laws.matches(docs.trees, own))
+    declared = graph.stored(laws.agreed(laws.declared_roles(docs, own)))
+    done = graph.stored(laws.with_status(laws.supported(found, declared, own), docs, own).withColumn("hop", F.lit(0)))
+    uses = found.filter("plain").select("file_id", "at", "symbol").distinct()
+    open_uses = graph.stored(uses.join(declared, ["file_id", "symbol"], "left_anti"))
+    concept = graph.small(own.roles.filter("not variadic").select("law", "role", "concept"))
     for hop in range(1, hops + 1):
-        given = done.filter("status in ('recognized', 'verified')").select("file_id", F.col("at").alias("since"), "law", F.explode("roles").alias("_r"))
-        given = given.select("file_id", "since", "law", F.col("_r.role").alias("role"), F.col("_r.symbol").alias("symbol")).join(concept, ["law", "role"])
-        given = given.filter(~F.col("symbol").rlike(r"\(|^[0-9.]+$")).join(declared, ["file_id", "symbol"], "left_anti")
-        later = maths.select("file_id", "at").join(given, "file_id").filter("since < at").groupBy("file_id", "at", "symbol").agg(F.min("concept").alias("concept"), F.max("concept").alias("_hi")).filter("concept = _hi")
-        later = relational.capped(later, ["file_id", "at"], [F.asc("symbol")], ROLES)
-        more = later.groupBy("file_id", "at").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("symbol", "concept")))).alias("_more"))
-        ready = maths.join(more, ["file_id", "at"]).withColumn("declared", F.map_concat("_more", F.coalesce("declared", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))).drop("_more")
-        new = laws.recognitions_of(ready).withColumn("support", F.when(F.col("support") == "typed", "derived").otherwise(F.col("support")))
-        both = done.unionByName(_with_status(new, docs).withColumn("hop", F.lit(hop)))
+        new = done.filter((F.col("hop") == hop - 1) & F.col("status").isin("recognized", "verified")) if hop > 1 else done.filter("status in ('recognized', 'verified')")
+        if not new.limit(1).count():
+            break
+        now = done.filter("status in ('recognized', 'verified')").select("file_id", F.col("at").alias("since"), "law", F.explode("roles").alias("_r"))
+        now = now.select("file_id", "since", "law", F.col("_r.role").alias("role"), F.col("_r.symbol").alias("symbol")).join(concept, ["law", "role"])
+        # the first place from which each concept of a symbol is known; a use has one if a single concept is known before it
+        first = now.groupBy("file_id", "symbol", "concept").agg(F.min("since").alias("since"))
+        ranked = first.withColumn("_n", F.row_number().over(Window.partitionBy("file_id", "symbol").orderBy("since", "concept"))).filter("_n <= 2")
+        span = ranked.groupBy("file_id", "symbol").agg(F.min_by("concept", "_n").alias("concept"), F.min("since").alias("since"), F.max(F.when(F.col("_n") == 2, F.col("since"))).alias("until"))
+        later = open_uses.join(span, ["file_id", "symbol"]).filter((F.col("since") < F.col("at")) & (F.col("until").isNull() | (F.col("at") <= F.col("until")))).select("file_id", "at", "symbol", "concept")
+        later = graph.stored(relational.capped(later, ["file_id", "at"], [F.asc("symbol")], ROLES).select("file_id", "at", "symbol", "concept"))
+        again = found.join(later.select("file_id", "at").distinct(), ["file_id", "at"], "left_semi")
+        known = later.unionByName(again.select("file_id", "at", "symbol").distinct().join(declared, ["file_id", "symbol"]).select("file_id", "at", "symbol", "concept"))
+        more = laws.supported(again, known, own).withColumn("support", F.when(F.col("support") == "typed", "derived").otherwise(F.col("support")))
+        both = done.unionByName(laws.with_status(graph.stored(more), docs, own).withColumn("hop", F.lit(hop)))
         better = F.array_position(F.array(F.lit("typed"), F.lit("derived"), F.lit("inferable")), F.col("support"))
         done = graph.stored(relational.keep_best(both, ["file_id", "at", "law"], [better, F.asc("hop")]))
     return done
@@ -55,6 +60,7 @@ def interpretations(docs: DataFrame, cap: int = evidence.HYPOTHESES) -> DataFram
     Laws: ``contradicted`` where a condition is refuted, ``tentative`` while a role is open, ``explicit`` or ``derived`` for the only
     law that stands, ``supported`` for one of several or one whose conditions are open.  Structural readings are tentative.
     """
+    docs = parsed.parsed(docs)
     found = chained(docs)
     stands = (F.col("support") != "inferable") & F.col("status").isin("recognized", "verified")
     alone = F.count_if(stands).over(Window.partitionBy("file_id", "at")) == 1
@@ -75,11 +81,12 @@ def requirements(docs: DataFrame, cap: int = REQUIREMENTS) -> DataFrame:
     A role whose symbol is not declared, a condition that is not verified, a symbol without an established definition,
     and a choice where several laws stand.
     """
-    found = graph.stored(_with_status(laws.recognitions(docs), docs))
+    docs = parsed.parsed(docs)
+    found = graph.stored(laws.with_status(graph.stored(laws.recognitions(docs)), docs))
     known = laws.declared_roles(docs).filter("concept is not null").select("file_id", "symbol").distinct()
     roles = found.select("file_id", "at", "law", F.explode("roles").alias("_r")).select("file_id", "at", "law", F.col("_r.role").alias("role"), F.col("_r.symbol").alias("symbol"))
     out = roles.join(known, ["file_id", "symbol"], "left_anti").select("file_id", "at", F.concat("law", F.lit("/binding/"), "role").alias("requirement"))
-    open_ = laws.condition_statuses(docs, found.select("file_id", "at", "scope", "law")).filter("status <> 'verified'")
+    open_ = laws.condition_statuses(docs, found).filter("status <> 'verified'")
     out = out.unionByName(open_.select("file_id", "at", F.concat("law", F.lit("/condition/"), "kind").alias("requirement")))
     rows = front.syntax(docs)
     symbols = rows.filter("kind = 'symbol'").select("file_id", F.col("start").alias("use"), "region").join(rows.filter("kind = 'math'").select("file_id", F.col("start").alias("at"), "region"), ["file_id", "region"])

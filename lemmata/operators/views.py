@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmata.operators import definitions, graph, laws, relational
+from lemmata.operators import definitions, graph, laws, parsed, relational
 from lemmata.sources import syntax as front
 
 #: Items of a view that are listed.
@@ -20,7 +20,8 @@ def semantic_view(docs: DataFrame, cursors: DataFrame) -> DataFrame:
     once, and only files with a cursor are looked at.
     """
     some = docs.join(cursors.select("file_id").distinct(), "file_id", "left_semi")
-    rows = graph.stored(front.syntax(some))
+    some = parsed.parsed(some)
+    rows = front.syntax(some)
     symbols = rows.filter("kind = 'symbol'").select("file_id", F.col("start").alias("use"), (F.col("end") + 1).alias("stop"), F.col("text").alias("symbol"), "region")
     regions = rows.filter("kind = 'math'").select("file_id", "region", F.col("start").alias("formula"))
     inside = relational.inside(cursors, symbols, ["file_id"], "at", "use", "stop")
@@ -34,5 +35,5 @@ def semantic_view(docs: DataFrame, cursors: DataFrame) -> DataFrame:
     out = focus.join(meaning, ["file_id", "use"], "left").join(found, ["file_id", "formula"], "left")
     needs = F.concat(F.when(F.col("status") != "established", F.array(F.concat(F.lit("declaration:"), "symbol"))).otherwise(F.array().cast("array<string>")), F.coalesce("_open", F.array().cast("array<string>")))
     out = out.withColumn("_needs", needs)
-    view = out.select("cursor", "symbol", "status", "description", "concept", "formula", F.slice(F.coalesce("laws", F.array().cast("array<string>")), 1, ITEMS).alias("laws"), F.slice("_needs", 1, ITEMS).alias("requirements"), (F.size("_needs") > ITEMS).alias("truncated"))
+    view = out.select("cursor", "symbol", "status", "description", "concept", "formula", F.slice(F.coalesce("laws", F.array().cast("array<string>")), 1, ITEMS).alias("laws"), F.slice("_needs", 1, ITEMS).alias("requirements"), ((F.size("_needs") > ITEMS) | (F.coalesce(F.size("laws"), F.lit(0)) > ITEMS)).alias("truncated"))
     return cursors.select("cursor").join(view, "cursor", "left")

@@ -17,7 +17,7 @@ v(o, k, p, r, a, b, s) as (values (0, 0, 'product', 'product(A,x)', 'A', 'x', '$
 select file_id, (strpos(c, s) - 1)::int as "at", k::int as ordinal, p as predicate, r as result, a as "left", b as "right" from t, v where o = 0 or p_partkey % 3 = 0""")
 def part_claims(spark, sf_dir):
     """Relations that the formulas of the parts' documents claim."""
-    return claims.relation_claims(_docs(spark, sf_dir, _CLAIMED))
+    return claims.relation_claims(_docs(spark, sf_dir, _CLAIMED)).drop("num", "den")
 
 
 @query(f"""
@@ -29,7 +29,7 @@ union all select file_id, 'z', 'shape', 'vector(' || n || ')', 0, false from e w
 union all select file_id, s, 'shape', 'vector(' || n || ')', (k - less)::int, false from e, (values ('y', 2), ('w', 4), ('u', 4), ('v', 6)) v(s, k)""")
 def part_derived_facts(spark, sf_dir):
     """Shapes of the symbols of the parts' documents, declared or implied over rounds."""
-    return claims.derived_facts(_docs(spark, sf_dir, _CLAIMED))
+    return claims.derived_facts(_docs(spark, sf_dir, _CLAIMED)).drop("proof_at")
 
 
 @query(f"""

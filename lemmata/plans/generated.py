@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lemmata.functions import formulas, prose, quantities, text
-from lemmata.operators import constraints, definitions, laws, navigation, views
+from lemmata.operators import constraints, definitions, laws, navigation, parsed, views
 from lemmata.plans.kernel import _t, query
 
 _S = "substr('abcfgkmnpqrstuvwz', 1 + cast(p_partkey % 17 as int), 1)"
@@ -140,12 +140,12 @@ def part_lists(spark, sf_dir):
 
 
 @query(f"""
-with t as (select p_partkey, {_DEFINED} as c from part where p_partkey % 6 <> 5), u as (select p_partkey, strpos(c, '$') as f from t)
+with t as (select p_partkey, {_DEFINED} as c from part), u as (select p_partkey, strpos(c, '$') as f from t)
 select p_partkey as cursor, rank, kind, f + a as start, f + b as "end" from (select p_partkey, f::int as f from u), (values (1, 'symbol', 0, 1), (2, 'math', -1, 2)) v(rank, kind, a, b)""")
 def part_selections(spark, sf_dir):
     """Ranges around a cursor on the first symbol of each document."""
-    docs = _docs(spark, sf_dir, _DEFINED, "p_partkey % 6 <> 5")
-    cursors = _t(spark, sf_dir, "part").filter("p_partkey % 6 <> 5").selectExpr("p_partkey as cursor", f"{_FILE} as file_id", f"instr({_DEFINED}, '$') as at")
+    docs = _docs(spark, sf_dir, _DEFINED)
+    cursors = _t(spark, sf_dir, "part").selectExpr("p_partkey as cursor", f"{_FILE} as file_id", f"instr({_DEFINED}, '$') as at")
     return navigation.selections(docs, cursors)
 
 
@@ -187,14 +187,14 @@ with t as (select p_partkey, {_FILE} as file_id, {_LAWFUL} as c from part)
 select file_id, (strpos(c, '$F = m a$') - 1)::int as "at", 'classical-mechanics:newton-second-law' as law, case p_partkey % 5 when 0 then 'verified' when 1 then 'conflicting' when 2 then 'conflicting' else 'condition-missing' end as status from t""")
 def part_laws(spark, sf_dir):
     """Statuses of recognised laws from assumptions before them."""
-    found = laws.law_statuses(_docs(spark, sf_dir, _LAWFUL))
-    typed = laws.recognitions(_docs(spark, sf_dir, _LAWFUL)).filter("support = 'typed'").select("file_id", "at", "law")
-    return found.join(typed, ["file_id", "at", "law"], "left_semi").select("file_id", "at", "law", "status")
+    docs = parsed.parsed(_docs(spark, sf_dir, _LAWFUL))
+    found = laws.recognitions(docs).filter("support = 'typed'")
+    return laws.with_status(found, docs).select("file_id", "at", "law", "status")
 
 
 @query(f"""
 with t as (select p_partkey, {_LAWFUL} as c from part)
-select p_partkey as cursor, 'm' as symbol, 'established' as status, 'mass' as description, 'mass' as concept, (strpos(c, '$F = m a$') - 1)::int as formula, case when p_partkey % 5 = 0 then '' else 'condition:classical-mechanics:newton-second-law/same-context' end as requirements from t""")
+select p_partkey as cursor, 'm' as symbol, 'established' as status, 'mass' as description, 'quantities-units:mass' as concept, (strpos(c, '$F = m a$') - 1)::int as formula, case when p_partkey % 5 = 0 then '' else 'condition:classical-mechanics:newton-second-law/same-context' end as requirements from t""")
 def part_views(spark, sf_dir):
     """What is known at a cursor on a factor of each document's formula."""
     cursors = _t(spark, sf_dir, "part").selectExpr("p_partkey as cursor", f"{_FILE} as file_id", f"instr({_LAWFUL}, '$F = m a$') + 4 as at")

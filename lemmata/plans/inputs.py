@@ -64,25 +64,38 @@ def refreshed_bindings(spark, sf_dir):
     return snapshots.refreshed(rows, rows.withColumn("how", F.lit("anew")), affected, "binding_key")
 
 
-_PACKS = """select 'pack' || r_regionkey as id, case r_regionkey when 0 then 'nowhere' when 1 then 'pack2' when 2 then 'pack1' else 'pack0' end as needed from region"""
+_NEEDED = "case {k} when 0 then 'nowhere' when 1 then 'pack2' when 2 then 'pack1' when 3 then 'pack4' else 'pack0' end"
 
 
 def _pack_texts(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation")
-    concept = F.struct(F.concat(F.lit("c"), "n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 6 == 5, "absent").when(F.col("n_nationkey") > 4, F.concat(F.lit("c"), F.col("n_nationkey") - 5)).alias("parent"), F.array("n_name").alias("terms"))
-    slots = F.create_map(F.lit("result"), F.lit("r"), F.lit("left-factor"), F.lit("a"), F.when(F.col("n_nationkey") % 4 == 3, "other").otherwise("right-factor"), F.lit("b"))
-    role = lambda r: F.struct(F.lit(r).alias("id"), F.concat(F.lit("c"), "n_nationkey").alias("concept"))
-    law = F.struct(F.concat(F.lit("l"), "n_nationkey").alias("id"), F.struct(F.lit("binary-product").alias("id"), slots.alias("slots")).alias("archetype"), F.array(role("r"), role("a"), role("b")).alias("roles"))
-    by = n.groupBy(F.col("n_regionkey").alias("k")).agg(F.array_sort(F.collect_list(concept)).alias("concepts"), F.collect_list(law).alias("laws"))
-    needed = F.when(F.col("k") == 0, "nowhere").when(F.col("k") == 1, "pack2").when(F.col("k") == 2, "pack1").otherwise("pack0")
-    text = F.to_json(F.struct(F.concat(F.lit("pack"), "k").alias("id"), F.lit("field").alias("kind"), F.lit("1.0.0").alias("version"), F.array(needed).alias("dependsOn"), "concepts", "laws"))
-    return packs.packs(by.select(F.when(F.col("k") == 3, F.regexp_replace(text, '"kind":', '"sort":')).otherwise(text).alias("text")), "text")
+    n = _t(spark, sf_dir, "nation").withColumn("k", F.col("n_regionkey")).withColumn("n", F.col("n_nationkey"))
+    space = F.concat(F.lit("pack"), "k", F.lit(":"))
+    refs = F.array(F.lit("r")).alias("references")
+    parents = F.when(F.col("n") % 6 == 5, F.array(F.concat(space, F.lit("absent")))).when(F.col("n") % 6 == 4, F.array(F.lit("elsewhere:c"))).otherwise(F.array().cast("array<string>"))
+    concept = F.struct(F.concat(F.lit("c"), "n").alias("id"), F.lit("entity").alias("conceptKind"), F.col("n_name").alias("title"), F.col("n_name").alias("description"), parents.alias("parents"), refs)
+    slots = F.create_map(F.lit("result"), F.lit("r"), F.lit("left-factor"), F.lit("a"), F.when(F.col("n") % 4 == 3, "other").otherwise("right-factor"), F.lit("b"))
+    means = F.when(F.col("n") % 5 == 2, F.lit("nowhere:c")).otherwise(F.concat(space, F.lit("c"), "n"))
+    role = lambda r: F.struct(F.lit(r).alias("id"), means.alias("concept"), F.lit(r).alias("description"))
+    subjects = F.when(F.col("n") % 3 == 0, F.array(F.lit("a"))).when(F.col("n") % 11 == 10, F.array(F.lit("a"), F.lit("zz"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    condition = F.struct(F.lit("k").alias("id"), F.when(F.col("n") % 7 == 6, "odd").otherwise("differentiable").alias("kind"), subjects.alias("subjects"), F.lit("k").alias("label"))
+    law = F.struct(F.concat(F.lit("l"), "n").alias("id"), F.lit("law").alias("title"), F.lit("law").alias("description"), F.struct(F.lit("binary-product").alias("id"), slots.alias("slots")).alias("archetype"), F.array(role("r"), role("a"), role("b")).alias("roles"), F.array(condition).alias("conditions"), refs)
+    by = n.groupBy("k").agg(F.array_sort(F.collect_list(concept)).alias("concepts"), F.collect_list(law).alias("laws"))
+    wants = F.when(F.col("k") == 4, F.array(F.lit("cap"))).otherwise(F.array().cast("array<string>"))
+    head = [F.lit(13).alias("schemaVersion"), F.concat(F.lit("pack"), "k").alias("packId"), F.when(F.col("k") == 4, "2.1.0").otherwise("1.0.0").alias("packVersion"), F.lit("field").alias("packKind"), F.concat(F.lit("pack"), "k").alias("namespace"), F.lit("t").alias("title"), F.lit("d").alias("description")]
+    needs = F.array(F.struct(F.expr(_NEEDED.format(k="k")).alias("packId"), F.lit(1).alias("versionMajor"), wants.alias("requiredCapabilities"))).alias("dependencies")
+    gives = F.struct(F.array().cast("array<string>").alias("provides"), F.when(F.col("k") == 2, F.array(F.lit("x"))).otherwise(wants).alias("requires")).alias("capabilities")
+    text = F.to_json(F.struct(*head, needs, gives, "concepts", "laws", F.array(F.struct(F.lit("r").alias("id"))).alias("references")))
+    text = F.when(F.col("k") == 3, F.regexp_replace(text, '"packKind":', '"sort":')).when(F.col("k") == 2, F.replace(text, F.lit('"archetype":'), F.lit('"note":1,"archetype":'))).otherwise(text)
+    return packs.packs(by.select(text.alias("text")), "text")
 
 
 @query(f"""
-with p as ({_PACKS})
-select id as pack, 'unknown-dependency' as fault, needed as detail from p where needed = 'nowhere' union all select id, 'cyclic-dependency', null from p where id in ('pack1', 'pack2') union all select 'pack3', 'unknown-field', 'sort'
-union all select 'pack' || n_regionkey, 'unknown-parent', 'absent' from nation where n_nationkey % 6 = 5 union all select 'pack' || n_regionkey, 'wrong-slots', 'l' || n_nationkey from nation where n_nationkey % 4 = 3""")
+with p as (select 'pack' || r_regionkey as id, r_regionkey as k, {_NEEDED.format(k='r_regionkey')} as needed from region), n as (select 'pack' || n_regionkey as id, n_nationkey as n from nation)
+select id as pack, 'unknown-dependency' as fault, needed as detail from p where k = 0 union all select id, 'cyclic-dependency', null from p where k in (1, 2) union all select id, 'wrong-major', needed from p where k = 3
+union all select id, 'missing-capability', 'cap' from p where k = 4 union all select id, 'wrong-requires', 'x' from p where k = 2 union all select id, 'unknown-field', 'sort' from p where k = 3 union all select id, 'wrong-kind', null from p where k = 3
+union all select id, 'unknown-field', 'laws.note' from p where k = 2 union all select id, 'unknown-parent', id || ':absent' from n where n % 6 = 5 group by id union all select id, 'unknown-parent', 'elsewhere:c' from n where n % 6 = 4 group by id
+union all select id, 'foreign-parent', 'elsewhere:c' from n where n % 6 = 4 group by id union all select id, 'wrong-slots', 'l' || n from n where n % 4 = 3 union all select id, 'unknown-concept', 'l' || n || '/nowhere:c' from n where n % 5 = 2
+union all select id, 'wrong-condition', 'l' || n || '/k' from n where n % 7 = 6 union all select id, 'wrong-arity', 'l' || n || '/k' from n where n % 7 <> 6 and n % 3 = 0 union all select id, 'unknown-subject', 'l' || n || '/k' from n where n % 3 <> 0 and n % 11 = 10""")
 def pack_faults(spark, sf_dir):
     """What is wrong with a catalogue of packs."""
     return packs.faults(_pack_texts(spark, sf_dir))

@@ -285,18 +285,6 @@ def retraction_closure(spark, sf_dir):
     return graph.retract(claims, parents, k.filter("c_custkey % 5 = 0").select(F.concat(F.lit("C"), "c_custkey").alias("claim")))
 
 
-_DIMS = {"force": [("length", 1, 1), ("mass", 1, 1), ("time", -2, 1)], "velocity": [("length", 1, 1), ("time", -1, 1)], "root": [("length", 1, 2)], "none": []}
-
-
-@query("""select * from (values ('force', 'velocity', 'length:2/1 mass:1/1 time:-3/1', 'mass:1/1 time:-1/1'), ('velocity', 'force', 'length:2/1 mass:1/1 time:-3/1', 'mass:-1/1 time:1/1'), ('root', 'root', 'length:1/1', ''), ('velocity', 'velocity', 'length:2/1 time:-2/1', ''), ('force', 'none', 'length:1/1 mass:1/1 time:-2/1', 'length:1/1 mass:1/1 time:-2/1'), ('root', 'velocity', 'length:3/2 time:-1/1', 'length:-1/2 time:1/1')) v(a, b, product, quotient)""")
-def dimension_algebra(spark, sf_dir):
-    """Products and quotients of dimensions with rational exponents (the twin is a literal golden result)."""
-    kind = "array<struct<base:string,num:bigint,den:bigint>>"
-    pairs = [("force", "velocity"), ("velocity", "force"), ("root", "root"), ("velocity", "velocity"), ("force", "none"), ("root", "velocity")]
-    rows = spark.createDataFrame([(a, b, _DIMS[a], _DIMS[b]) for a, b in pairs], f"a string, b string, l {kind}, r {kind}")
-    return rows.select("a", "b", dimensions.dimension_text(dimensions.combined(F.col("l"), F.col("r"), 1)).alias("product"), dimensions.dimension_text(dimensions.combined(F.col("l"), F.col("r"), -1)).alias("quotient"))
-
-
 @query("""
 select o_orderkey, case when s and r then 'conflicting' when s then 'supported' when r then 'rejected' else 'unresolved' end as status from (select l_orderkey as o_orderkey, bool_or(l_returnflag = 'A') as s, bool_or(l_returnflag = 'R') as r from lineitem group by 1)""")
 def candidate_truth_table(spark, sf_dir):
@@ -341,12 +329,3 @@ def stats_counters(spark, sf_dir):
     l = _t(spark, sf_dir, "lineitem").agg(F.count("*").alias("lines"))
     rows = [f.select(F.lit(c).alias("counter"), F.col(f"`{c}`").cast("long").alias("n")) for f, cs in ((d, ["documents", "distinct texts"]), (o, ["orders"]), (l, ["lines"])) for c in cs]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
-
-
-_SHAPES = [("a 3 by 4 matrix", "matrix", "3", "4"), ("an n-dimensional state vector", "vector", "n", None), ("a three by n matrix", "matrix", "3", "n"), ("square matrix of size n", "matrix", "n", "n"), ("weight matrix", "matrix", "?", "?"), ("a vector", "vector", "?", None), ("a scalar gain", "scalar", None, None), ("the mass", None, None, None)]
-
-
-@query("select * from (values " + ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" for v in s) + ")" for s in _SHAPES) + ") v(description, kind, \"rows\", columns)")
-def shape_descriptions(spark, sf_dir):
-    """Shapes stated by descriptions (the twin is a literal golden result)."""
-    return spark.createDataFrame([(s[0],) for s in _SHAPES], "description string").select("description", text.shape(F.col("description")).alias("s")).select("description", "s.*")

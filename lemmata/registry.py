@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmata.plans import domain, formal, generated, inputs, kernel, reasoning  # noqa: F401  (the others register their queries with the kernel)
+from lemmata.plans import formal, generated, inputs, kernel, meaning, reasoning  # noqa: F401  (the others register their queries with the kernel)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return kernel.QUERIES | domain.QUERIES
+    return dict(kernel.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return kernel.ORACLES | domain.ORACLES
+    return dict(kernel.ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

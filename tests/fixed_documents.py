@@ -1,10 +1,10 @@
-"""Domain queries over inlined documents; their twins are literal golden results."""
+"""Operators over inlined documents with literal golden results; plain tests, as they read no table."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lemmata.functions import quantities
+from lemmata.functions import dimensions, quantities, text
 from lemmata.operators import constraints, definitions, laws, navigation
 
 # (file, text); our own documents
@@ -140,6 +140,25 @@ def selection_ranges(spark, sf_dir):
     return navigation.selections(_docs(spark), cursors)
 
 
+_DIMS = {"force": [("length", 1, 1), ("mass", 1, 1), ("time", -2, 1)], "velocity": [("length", 1, 1), ("time", -1, 1)], "root": [("length", 1, 2)], "none": []}
+
+
+def dimension_algebra(spark, sf_dir):
+    """Products and quotients of dimensions with rational exponents (the twin is a literal golden result)."""
+    kind = "array<struct<base:string,num:bigint,den:bigint>>"
+    pairs = [("force", "velocity"), ("velocity", "force"), ("root", "root"), ("velocity", "velocity"), ("force", "none"), ("root", "velocity")]
+    rows = spark.createDataFrame([(a, b, _DIMS[a], _DIMS[b]) for a, b in pairs], f"a string, b string, l {kind}, r {kind}")
+    return rows.select("a", "b", dimensions.dimension_text(dimensions.combined(F.col("l"), F.col("r"), 1)).alias("product"), dimensions.dimension_text(dimensions.combined(F.col("l"), F.col("r"), -1)).alias("quotient"))
+
+
+_SHAPES = [("a 3 by 4 matrix", "matrix", "3", "4"), ("an n-dimensional state vector", "vector", "n", None), ("a three by n matrix", "matrix", "3", "n"), ("square matrix of size n", "matrix", "n", "n"), ("weight matrix", "matrix", "?", "?"), ("a vector", "vector", "?", None), ("a scalar gain", "scalar", None, None), ("the mass", None, None, None)]
+
+
+def shape_descriptions(spark, sf_dir):
+    """Shapes stated by descriptions (the twin is a literal golden result)."""
+    return spark.createDataFrame([(s[0],) for s in _SHAPES], "description string").select("description", text.shape(F.col("description")).alias("s")).select("description", "s.*")
+
+
 QUERIES = {f.__name__: f for f in (definition_lookup, definition_rows, hygiene_hints, quantity_descriptions, unit_catalog, formula_facts, symbol_references, rename_plans, shape_conflicts, comparison_conflicts, derived_dimensions, listed_definitions, selection_ranges)}
 ORACLES = {
     "definition_lookup": """select * from (values ('a.md', 5, 'z', 'established', 5), ('a.md', 38, 'z', 'established', 5), ('b.md', 9, 'z', 'unsupported', null), ('c.tex', 68, 'z', 'unsupported', null),
@@ -169,3 +188,5 @@ ORACLES = {
         ('list.md', 'g', 'force', 'shared/list'), ('list.md', 'h', 'force', 'shared/list'), ('table.md', 'N', 'sample count', 'table/row'), ('table.md', 'r_1', 'inner radius', 'table/row')) v(file_id, symbol, description, construction)""",
     "selection_ranges": """select cursor, rank, kind, s as start, e as "end" from (values (1, 1, 'symbol', 5, 6), (1, 2, 'math', 4, 7), (3, 1, 'math', 8, 11), (4, 1, 'heading', 0, 5)) v(cursor, rank, kind, s, e)""",
 }
+QUERIES['dimension_algebra'], ORACLES['dimension_algebra'] = dimension_algebra, """select * from (values ('force', 'velocity', 'length:2/1 mass:1/1 time:-3/1', 'mass:1/1 time:-1/1'), ('velocity', 'force', 'length:2/1 mass:1/1 time:-3/1', 'mass:-1/1 time:1/1'), ('root', 'root', 'length:1/1', ''), ('velocity', 'velocity', 'length:2/1 time:-2/1', ''), ('force', 'none', 'length:1/1 mass:1/1 time:-2/1', 'length:1/1 mass:1/1 time:-2/1'), ('root', 'velocity', 'length:3/2 time:-1/1', 'length:-1/2 time:1/1')) v(a, b, product, quotient)"""
+QUERIES['shape_descriptions'], ORACLES['shape_descriptions'] = shape_descriptions, "select * from (values " + ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" for v in s) + ")" for s in _SHAPES) + ") v(description, kind, \"rows\", columns)"
