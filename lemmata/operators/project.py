@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from lemmata.functions import text
 from lemmata.operators import graph
 
-#: Includes that are followed below one another; deeper files, as those on a cycle, have no place in the order.
-DEPTH = 64
-
 
 def include_targets(includes: DataFrame, documents: DataFrame, path: str = "path", target: str = "target") -> DataFrame:
     """Adds ``included``: the file that a target names, as it is or with .tex behind; null if there is none."""
@@ -21,27 +18,81 @@ def include_targets(includes: DataFrame, documents: DataFrame, path: str = "path
     return tex.withColumn("included", F.coalesce("_exact", "_id")).drop("_whole", "_exact", "_path", "_id")
 
 
-def source_order(mains: DataFrame, includes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(main, file, position): the files of each main file in the order in which their text appears; null for one included twice.
+def _jumped(links: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Linked lists (key, next, value) with ``value`` summed from each row to the end of its list, by doubling the links; rows on a ring are left out."""
+    links = graph.stored(links)
+    rounds = max(1, links.count().bit_length() + 1)
+    far = [F.col("next").getField(k).alias(k) for k in key]
+    for _ in range(rounds):
+        if not links.filter("next is not null").limit(1).count():
+            break
+        onward = links.select(*(F.col(k).alias(f"_{k}") for k in key), F.col(value).alias("_more"), F.col("next").alias("_then"))
+        live = links.filter("next is not null").select(*links.columns, *(c.alias(f"_{k}") for c, k in zip(far, key)))
+        moved = live.join(onward, [f"_{k}" for k in key]).select(*key, F.col("_then").alias("next"), (F.col(value) + F.col("_more")).alias(value))
+        links = graph.stored(moved.unionByName(links.filter("next is null").select(*key, "next", value)))
+    return links.filter("next is null").select(*key, value)
+
+
+def _heads(edges: DataFrame, mains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file, head), where a head is a main file or one that is not included exactly once, and every other file has the head above it; and the heads that some file includes."""
+    files = edges.select("file").unionByName(edges.select(F.col("included").alias("file"))).unionByName(mains.select(F.col("main").alias("file"))).distinct()
+    into = edges.groupBy(F.col("included").alias("file")).agg(F.count("*").alias("n"), F.min("file").alias("up"))
+    roots = mains.select(F.col("main").alias("file"), F.lit(True).alias("_main")).distinct()
+    each = files.join(into, "file", "left").join(roots, "file", "left").select("file", F.coalesce("n", F.lit(0)).alias("n"), F.when((F.col("n") == 1) & F.col("_main").isNull(), F.col("up")).alias("up"))
+    each = graph.stored(each)
+    links = graph.stored(each.select("file", F.coalesce("up", "file").alias("head")))
+    for _ in range(max(1, links.count().bit_length() + 1)):
+        further = links.select(F.col("file").alias("head"), F.col("head").alias("_next"))
+        links, before = graph.stored(links.join(further, "head").select("file", F.col("_next").alias("head"), (F.col("_next") != F.col("head")).alias("moved"))), links
+        if not links.filter("moved").limit(1).count():
+            break
+        links = links.select("file", "head")
+    ends = each.filter("up is null").select(F.col("file").alias("head"))
+    return links.select("file", "head").join(ends, "head", "left_semi").select("file", "head"), each.filter("up is null and n > 0").select(F.col("file").alias("head"))
+
+
+def source_order(mains: DataFrame, includes: DataFrame) -> DataFrame:
+    """(main, file, position): the files of each main file in the order in which their text appears; null for one included twice, and all below it.
 
-    Rows: mains (main), includes (file, offset, included).  A file's place is the
-    list of offsets on the way to it, found level by level.
+    Rows: mains (main), includes (file, offset, included).  No ways are listed: files that are included once hang in trees under the
+    others, found by doubling links; a frontier over those others alone tells which a main file reaches and how often; the files with a
+    single way form a tree, whose places are ranked along its tour by doubling links again.  Rows grow with the files of each main
+    file, rounds with the logarithm of depth and with how often included files lie below one another.  An include of the main file
+    itself is not followed; another file on a ring of includes counts as included twice.
     """
-    level = graph.stored(mains.select("main", F.col("main").alias("file"), F.array().cast("array<bigint>").alias("key"), F.array("main").alias("way")))
-    seen = [level]
-    for _ in range(depth):
-        step = level.join(includes.select("file", F.col("offset").cast("bigint").alias("_at"), "included"), "file")
-        step = step.filter(~F.array_contains("way", F.col("included"))).select("main", F.col("included").alias("file"), F.array_append("key", F.col("_at")).alias("key"), F.array_append("way", F.col("included")).alias("way"))
-        level = graph.stored(step)
-        if not level.limit(1).count():
-            break
-        seen.append(level)
-    rows = seen[0]
-    for s in seen[1:]:
-        rows = rows.unionByName(s)
-    once = rows.groupBy("main", "file").agg(F.min("key").alias("key"), F.count("*").alias("_n"))
-    order = Window.partitionBy("main").orderBy((F.col("_n") > 1).cast("int"), "key", "file")
-    return once.withColumn("position", F.when(F.col("_n") == 1, F.row_number().over(order) - 1)).select("main", "file", "position")
+    edges = graph.stored(includes.select("file", F.col("offset").cast("bigint").alias("offset"), "included").filter("file <> included"))
+    heads, several = _heads(edges, mains)
+    heads = graph.stored(heads)
+    below = edges.join(several.select(F.col("head").alias("included")), "included", "left_semi")
+    steps = graph.stored(below.join(heads, "file").select(F.col("head").alias("src"), F.col("included").alias("dst")).distinct())
+    reached = graph.stored(graph.closure_of(mains.select("main", F.col("main").alias("node")).distinct(), steps).select("main", F.col("node").alias("head")))
+    # a main file included elsewhere is a head with ways of its own
+    files = graph.stored(reached.join(heads, "head").select("main", "file", "head"))
+    ways = edges.join(files.select("main", "file"), "file").filter("included <> main").groupBy("main", F.col("included").alias("file")).agg(F.count("*").alias("n"), F.min(F.struct("file", "offset")).alias("by"))
+    ways = graph.stored(ways)
+    twice = ways.filter("n > 1").select(F.struct("main", "file").alias("node"))
+    single = ways.filter("n = 1").select("main", "file", F.col("by.file").alias("parent"), F.col("by.offset").alias("offset"))
+    # what lies below a file that is included twice: by heads, whose trees are whole
+    own = files.select("main", "file", "head")
+    down = single.join(own.filter("file = head").select("main", "file"), ["main", "file"], "left_semi").join(own.select("main", F.col("file").alias("parent"), F.col("head").alias("_over")), ["main", "parent"])
+    lost = graph.reached(twice, down.select(F.struct("main", F.col("_over").alias("file")).alias("src"), F.struct("main", "file").alias("dst")))
+    lost = graph.stored(lost.select("node.main", F.col("node.file").alias("head")))
+    kept = graph.stored(single.join(own, ["main", "file"]).join(lost, ["main", "head"], "left_anti").select("main", "file", "parent", "offset"))
+    # the tour of each tree: down to a file and up again
+    order = Window.partitionBy("main", "parent").orderBy("offset", "file")
+    sides = kept.withColumn("_sibling", F.lead("file").over(order)).withColumn("_first", F.row_number().over(order) == 1)
+    first = sides.filter("_first").select("main", F.col("parent").alias("file"), F.col("file").alias("_child"))
+    both = sides.join(first, ["main", "file"], "left")
+    arc = lambda file, way: F.struct("main", file.alias("file"), F.lit(way).alias("way"))
+    goes = F.when(F.col("_child").isNotNull(), arc(F.col("_child"), "down")).otherwise(arc(F.col("file"), "up"))
+    comes = F.when(F.col("_sibling").isNotNull(), arc(F.col("_sibling"), "down")).when(F.col("parent") != F.col("main"), arc(F.col("parent"), "up"))
+    tour = both.select("main", "file", F.lit("down").alias("way"), goes.alias("next"), F.lit(1).cast("bigint").alias("left")).unionByName(both.select("main", "file", F.lit("up").alias("way"), comes.alias("next"), F.lit(0).cast("bigint").alias("left")))
+    ranked = _jumped(tour, ["main", "file", "way"], "left").filter("way = 'down'")
+    sizes = kept.groupBy("main").agg(F.count("*").alias("_n"))
+    placed = ranked.join(sizes, "main").select("main", "file", (F.col("_n") + 1 - F.col("left")).cast("int").alias("position"))
+    roots = mains.select("main", F.col("main").alias("file"), F.lit(0).alias("position")).distinct()
+    placed = placed.unionByName(roots)
+    return files.select("main", "file").distinct().join(placed, ["main", "file"], "left").select("main", "file", "position")
 
 
 def component_names(edges: DataFrame, mains: DataFrame) -> DataFrame:
