@@ -343,7 +343,7 @@ def test_toxicity_segments_and_scores_equal_brute_force(spark):
         for w in re.findall(r"[^\W_]+", (t or "").lower()):
             codes, _ = toxicity.tokens(pa.array([w]))
             weights.append(max(float(model.weights[c]) for c in codes[:, 0]))
-        over = [model.scale * s - math.log(max(len(weights), 1)) for *_, s in (brute_segments(weights) if len(weights) < 100 else [(0, len(weights), sum(weights))])]
+        over = [model.scale * s - math.log(max(model.constant * len(weights), 1)) for *_, s in (brute_segments(weights) if len(weights) < 100 else [(0, len(weights), sum(weights))])]
         x = math.log1p(sum(o for o in over if o > 0))
         want.append((i, 1 / (1 + math.exp(-min(max(model.slope * x + model.offset, -30), 30))), sum(o > 0 for o in over)))
     want.sort(key=str)
