@@ -18,19 +18,19 @@ def include_targets(includes: DataFrame, documents: DataFrame, path: str = "path
     return tex.withColumn("included", F.coalesce("_exact", "_id")).drop("_whole", "_exact", "_path", "_id")
 
 
-def _jumped(links: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Linked lists (key, next, value) with ``value`` summed from each row to the end of its list, by doubling the links; rows on a ring are left out."""
+def _jumped(links: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """Linked lists (key, next, values) with the values summed from each row to the end of its list, by doubling the links; rows on a ring are left out."""
     links = graph.stored(links)
     rounds = max(1, links.count().bit_length() + 1)
-    far = [F.col("next").getField(k).alias(k) for k in key]
+    far = [F.col("next").getField(k).alias(f"_{k}") for k in key]
     for _ in range(rounds):
         if not links.filter("next is not null").limit(1).count():
             break
-        onward = links.select(*(F.col(k).alias(f"_{k}") for k in key), F.col(value).alias("_more"), F.col("next").alias("_then"))
-        live = links.filter("next is not null").select(*links.columns, *(c.alias(f"_{k}") for c, k in zip(far, key)))
-        moved = live.join(onward, [f"_{k}" for k in key]).select(*key, F.col("_then").alias("next"), (F.col(value) + F.col("_more")).alias(value))
-        links = graph.stored(moved.unionByName(links.filter("next is null").select(*key, "next", value)))
-    return links.filter("next is null").select(*key, value)
+        onward = links.select(*(F.col(k).alias(f"_{k}") for k in key), *(F.col(v).alias(f"_{v}") for v in values), F.col("next").alias("_then"))
+        live = links.filter("next is not null").select(*links.columns, *far)
+        moved = live.join(onward, [f"_{k}" for k in key]).select(*key, F.col("_then").alias("next"), *((F.col(v) + F.col(f"_{v}")).alias(v) for v in values))
+        links = graph.stored(moved.unionByName(links.filter("next is null").select(*key, "next", *values)))
+    return links.filter("next is null").select(*key, *values)
 
 
 def _heads(edges: DataFrame, mains: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,8 +51,10 @@ def _heads(edges: DataFrame, mains: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links.select("file", "head").join(ends, "head", "left_semi").select("file", "head"), each.filter("up is null and n > 0").select(F.col("file").alias("head"))
 
 
-def source_order(mains: DataFrame, includes: DataFrame) -> DataFrame:
-    """(main, file, position): the files of each main file in the order in which their text appears; null for one included twice, and all below it.
+def source_tour(mains: DataFrame, includes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(main, file) that each main file reaches, and (main, file, way, parent, offset, downs, arcs): the tour over those with a single way to them.
+
+    A file is entered (way ``down``) and left (``up``); ``downs`` and ``arcs`` count the entries, and all steps, up to and with that one.
 
     Rows: mains (main), includes (file, offset, included).  No ways are listed: files that are included once hang in trees under the
     others, found by doubling links; a frontier over those others alone tells which a main file reaches and how often; the files with a
@@ -86,13 +88,42 @@ def source_order(mains: DataFrame, includes: DataFrame) -> DataFrame:
     arc = lambda file, way: F.struct("main", file.alias("file"), F.lit(way).alias("way"))
     goes = F.when(F.col("_child").isNotNull(), arc(F.col("_child"), "down")).otherwise(arc(F.col("file"), "up"))
     comes = F.when(F.col("_sibling").isNotNull(), arc(F.col("_sibling"), "down")).when(F.col("parent") != F.col("main"), arc(F.col("parent"), "up"))
-    tour = both.select("main", "file", F.lit("down").alias("way"), goes.alias("next"), F.lit(1).cast("bigint").alias("left")).unionByName(both.select("main", "file", F.lit("up").alias("way"), comes.alias("next"), F.lit(0).cast("bigint").alias("left")))
-    ranked = _jumped(tour, ["main", "file", "way"], "left").filter("way = 'down'")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    tour = both.select("main", "file", F.lit("down").alias("way"), goes.alias("next"), one.alias("downs"), one.alias("arcs")).unionByName(both.select("main", "file", F.lit("up").alias("way"), comes.alias("next"), none.alias("downs"), one.alias("arcs")))
+    ranked = _jumped(tour, ["main", "file", "way"], ["downs", "arcs"])  # from there to the end
     sizes = kept.groupBy("main").agg(F.count("*").alias("_n"))
-    placed = ranked.join(sizes, "main").select("main", "file", (F.col("_n") + 1 - F.col("left")).cast("int").alias("position"))
-    roots = mains.select("main", F.col("main").alias("file"), F.lit(0).alias("position")).distinct()
-    placed = placed.unionByName(roots)
-    return files.select("main", "file").distinct().join(placed, ["main", "file"], "left").select("main", "file", "position")
+    before = ranked.join(sizes, "main").join(kept, ["main", "file"])
+    down = (F.col("way") == "down").cast("int")
+    return files.select("main", "file").distinct(), before.select("main", "file", "way", "parent", "offset", (F.col("_n") - F.col("downs") + down).alias("downs"), (2 * F.col("_n") - F.col("arcs") + 1).alias("arcs"))
+
+
+def source_order(mains: DataFrame, includes: DataFrame) -> DataFrame:
+    """(main, file, position): the files of each main file in the order in which their text appears; null for one included twice, and all below it."""
+    files, tour = source_tour(mains, includes)
+    placed = tour.filter("way = 'down'").select("main", "file", F.col("downs").cast("int").alias("position"))
+    placed = placed.unionByName(mains.select("main", F.col("main").alias("file"), F.lit(0).alias("position")).distinct())
+    return files.join(placed, ["main", "file"], "left").select("main", "file", "position")
+
+
+def segments(mains: DataFrame, includes: DataFrame) -> DataFrame:
+    """(main, file, since, segment): where the text of each file goes on in the order of its project: from its start, and behind each of its includes.
+
+    Files without a place have no segments.
+    """
+    _, tour = source_tour(mains, includes)
+    starts = tour.filter("way = 'down'").select("main", "file", F.lit(-1).cast("bigint").alias("since"), F.col("arcs").alias("segment"))
+    starts = starts.unionByName(mains.select("main", F.col("main").alias("file"), F.lit(-1).cast("bigint").alias("since"), F.lit(0).cast("bigint").alias("segment")).distinct())
+    return starts.unionByName(tour.filter("way = 'up'").select("main", F.col("parent").alias("file"), F.col("offset").alias("since"), F.col("arcs").alias("segment")))
+
+
+def in_order(points: DataFrame, parts: DataFrame, at: str, name: str) -> DataFrame:
+    """Points (file, at) for each main file that reaches theirs, with their position ``name`` in its order; a point at an include stands before it."""
+    mains_of = parts.select("main", "file").distinct()
+    some = points.join(mains_of, "file").withColumn("_since", F.col(at).cast("bigint"))
+    rows = some.withColumns({"_kind": F.lit(0), "_segment": F.lit(None).cast("bigint")}).unionByName(parts.select("main", "file", F.col("since").alias("_since"), F.lit(1).alias("_kind"), F.col("segment").alias("_segment")), allowMissingColumns=True)
+    w = Window.partitionBy("main", "file").orderBy("_since", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("_last", F.last("_segment", ignorenulls=True).over(w)).filter("_kind = 0")
+    return found.withColumn(name, order_position(F.col("_last"), F.col(at))).drop("_since", "_kind", "_segment", "_last")
 
 
 def component_names(edges: DataFrame, mains: DataFrame) -> DataFrame:
