@@ -10,13 +10,12 @@ from lemmata.sources import packs
 from lemmata.sources import syntax as front
 
 
-def roles_across(docs: DataFrame | front.Parsed, uses: DataFrame, mains: DataFrame, includes: DataFrame, given: packs.Catalogue | None = None) -> DataFrame:
+def roles_across(docs: DataFrame | front.Parsed, uses: DataFrame, parts: DataFrame, given: packs.Catalogue | None = None) -> DataFrame:
     """(main, file_id, at, symbol, concept): for uses (file_id, at, symbol) what the latest definition of the symbol before them says, in the order of each project.
 
-    A definition counts from where it ends.  Uses and definitions in files without a place have none.
+    ``parts`` are the segments of the projects' files.  A definition counts from where it ends.  Uses and definitions in files without a place have none.
     """
     docs = parsed.parsed(docs)
-    parts = graph.stored(project.segments(mains, includes))
     known = laws.declared_roles(docs, given).filter("concept is not null").join(docs.definitions.select("file_id", "symbol", "anchor", "available"), ["file_id", "symbol", "anchor"])
     facts = project.in_order(known.select(F.col("file_id").alias("file"), "symbol", "available", F.struct("concept").alias("fact")), parts, "available", "since")
     asked = project.in_order(uses.select(F.col("file_id").alias("file"), "at", "symbol"), parts, "at", "place").withColumn("use", F.struct("main", "file", "at", "symbol"))
@@ -33,9 +32,10 @@ def project_laws(docs: DataFrame | front.Parsed, mains: DataFrame, includes: Dat
     found = graph.stored(laws.matches(docs.trees, own))
     local = graph.stored(laws.agreed(laws.declared_roles(docs, own)))
     uses = graph.stored(found.filter("plain").select("file_id", "at", "symbol").distinct())
+    parts = graph.stored(project.segments(mains, includes))
     spoken = docs.definitions.select("file_id", "symbol").distinct()
-    outer = roles_across(docs, uses.join(spoken, ["file_id", "symbol"], "left_anti"), mains, includes, own)
-    names = project.segments(mains, includes).select("main", F.col("file").alias("file_id")).distinct()
+    outer = roles_across(docs, uses.join(spoken, ["file_id", "symbol"], "left_anti"), parts, own)
+    names = parts.select("main", F.col("file").alias("file_id")).distinct()
     near = uses.join(local, ["file_id", "symbol"]).join(names, "file_id").select("main", "file_id", "at", "symbol", "concept")
     # one project's view of a file is a file of its own here
     key = F.to_json(F.struct("main", F.col("file_id").alias("file")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lemmata.operators import graph
 from lemmata.plans.kernel import _t, query
 from lemmata.sources import packs, snapshots
 
@@ -113,3 +114,35 @@ select case when n_nationkey % 4 = 3 then '#1 = #2 {right-factor}' else '#1 = #2
 def pack_collisions(spark, sf_dir):
     """Relations that several laws state."""
     return packs.collisions(_pack_texts(spark, sf_dir)).select("relation", F.size("laws").cast("long").alias("n"), F.get("laws", 0).alias("first"))
+
+
+def _held(k: str, word: str) -> str:
+    """A supplier's document: one definition, and for two of three an include of the next one's."""
+    return f"'Let $x$ denote ' || {word} || '. ' || case when {k} % 3 > 0 then '\\\\input{{d' || ({k} + 1) || '}}' else '' end"
+
+
+@query("""
+with t as (select s_suppkey as k, case when s_suppkey % 7 = 2 then 'energy' when s_suppkey % 11 = 3 then 'force' else s_name end as word from supplier where s_suppkey % 13 <> 5),
+d as (select 'd' || k as file_id, k, word from t)
+select file_id, 'x' as symbol, word as description from d union select a.file_id, 'x', b.word from d a join d b on b.k = a.k + 1 where a.k % 3 > 0""")
+def incremental_facts(spark, sf_dir):
+    """Definitions of files and of what they include, kept up to date over batches of changes; the last batch is refused."""
+    import uuid
+
+    from lemmata.operators import definitions
+    from lemmata.streaming import incremental
+
+    def analyse(documents, files):
+        known = definitions.definitions(documents).select("file_id", "symbol", "description")
+        lent = incremental.inputs(documents).join(files.withColumnRenamed("file_id", "src"), "src", "left_semi").join(known.withColumnRenamed("file_id", "dst"), "dst")
+        return known.join(files, "file_id", "left_semi").unionByName(lent.select(F.col("src").alias("file_id"), "symbol", "description")).distinct()
+
+    s = _t(spark, sf_dir, "supplier")
+    file = F.concat(F.lit("d"), "s_suppkey")
+    docs = s.select(file.alias("file_id"), F.concat(file, F.lit(".tex")).alias("path"), F.expr(_held("s_suppkey", "s_name")).alias("content"), F.lit(1).cast("long").alias("document_version"))
+    run = incremental.Run(spark, f"{graph.shared_folder(spark)}/incremental-{uuid.uuid4().hex}", analyse)
+    run.reset(docs, 1, 0)
+    change = lambda v, kind, word: F.struct(F.lit(1).alias("epoch"), F.lit(v).alias("inventoryVersion"), F.lit(0).alias("ordinal"), F.lit(kind).alias("kind"), file.alias("fileId"), F.concat(file, F.lit(".tex")).alias("path"), F.expr(_held("s_suppkey", f"'{word}'")).alias("content"), F.lit(v + 1).alias("documentVersion"))
+    for where, row in (("s_suppkey % 11 = 3", change(1, "upsert", "force")), ("s_suppkey % 7 = 2", change(2, "upsert", "energy")), ("s_suppkey % 13 = 5", change(3, "remove", "")), ("s_suppkey > 0", change(3, "upsert", "mass"))):
+        run.apply(snapshots.changes(s.filter(where).select(F.to_json(row).alias("value"))))
+    return run.facts().select("file_id", "symbol", "description")
