@@ -64,6 +64,11 @@ def asserted(live: str, start: int, end: int) -> bool:
     return not (_HEDGED.search(before) or _HEDGED.search(after) or _NEGATED.search(before) or _NEGATED.search(after))
 
 
+def doubted(clause: str) -> bool:
+    """Whether a clause is hedged, conditional or negated."""
+    return bool(_HEDGED.search(clause.strip()) or _NEGATED.search(clause))
+
+
 def shared_descriptions(lead: str, text: str, n: int) -> list[str] | None:
     """The descriptions of n symbols between a lead and a text such as "denote mass and time respectively"; None if they cannot be dealt out."""
     verb = SHARED.get(lead)

@@ -141,3 +141,13 @@ def test_work_is_bounded_by_file(spark):
     got = {(r.file_id, r.truncated) for r in claims.derived_facts(docs, work=8).collect()}
     assert got == {("a", True), ("b", False)}
     assert {r.truncated for r in claims.derived_facts(docs).collect()} == {False}
+
+
+def test_domains_by_scope_denial_and_law(spark):
+    from lemmata.operators import domains
+
+    law = "Let $V$ denote voltage. Let $R$ denote resistance. Let $I$ denote current. With the passive sign convention, $V = R I$. "
+    docs = spark.createDataFrame([("a", "# Circuits\nWe use fluid mechanics. $x = 1$.\n# Next\n$y = 2$."), ("b", "This is not fluid mechanics. About fluid mechanics: $x = 1$."), ("c", law + "Then $x = 1$."), ("d", None), ("e", "")], SCHEMA)
+    got = rows(domains.activations(docs).filter("at > 60 or file_id in ('a', 'b')"), "file_id", "pack", "support")
+    assert got == [("a", "circuits", "supported"), ("a", "fluid-mechanics", "tentative"), ("c", "circuits", "explicit"), ("c", "circuits", "supported")]
+    assert {(r.truncated, r.rank) for r in domains.activations(docs, cap=1).filter("file_id = 'a'").collect()} == {(True, 1)}
