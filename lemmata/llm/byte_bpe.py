@@ -6,7 +6,8 @@ pieces encode independently.  Each distinct piece of a slice is encoded once;
 ids and raw bytes of the documents are then gathered by Arrow's ``take``.  A text without
 white space is one piece.
 
-Null and empty texts give no ids.  Repeated rows and ids are kept as they come.
+Null and empty texts give no ids.  Repeated rows and ids are kept as they come.  An empty table gives no rows, a very
+long text is a slice of its own, and columns other than id and text are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ roles) by a backslash, so ``parse`` gives back what was formatted.
 Null records give no turn; null roles and texts count as empty.  Turns are
 ordered by (turn, role, text) within a conversation, so ties are stable and
 repeated rows stay.  Each turn is formatted on its own; only the digests of a
-conversation are taken in order, in one pass that holds one turn at a time.
+conversation are taken in order, in one pass that holds one turn at a time.  An empty table gives no rows, a very
+long text is one turn in memory, and columns other than those named are not read.
 """
 
 from __future__ import annotations

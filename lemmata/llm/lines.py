@@ -140,14 +140,15 @@ def _bloom(keys: DataFrame) -> np.ndarray:
 
 
 def drop_repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", measures: bool = False) -> DataFrame:
-    """The rows with repeated passages taken out of their texts (an input null stays null); with ``measures`` also n_lines, n_removed_lines and n_removed_bytes."""
+    """The rows with repeated passages taken out of their texts (an input null stays null); with ``measures`` also n_lines, n_removed_lines and n_removed_bytes, in place of columns of these names."""
     span = F.shiftleft(F.col("at").cast("long"), 32) + F.col("to")
     doc, sha, marked, digest = fresh(df, "doc", "sha", "gone", "digest")
     gone = repeated_chunks(df, id_col, text_col).groupBy(F.col(id_col).alias(doc), F.col("sha").alias(sha)).agg(F.collect_set(span).alias(marked))
-    own = df.columns
+    added = ["n_lines", "n_removed_lines", "n_removed_bytes"] if measures else []
+    own = [c for c in df.columns if c.lower() not in added]
     rows = df.withColumn(digest, F.unhex(F.substring(F.sha2(F.encode(F.col(text_col), "UTF-8"), 256), 1, 32)))
     joined = rows.join(gone, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(digest) == F.col(sha)), "left").select(*own, marked)
-    names = [*own, *(["n_lines", "n_removed_lines", "n_removed_bytes"] if measures else [])]
+    names = [*own, *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,5 +176,5 @@ def drop_repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 cols = [col if n == text_col else arrays.column(part, n) for n in own]
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(n_lines), pa.array(lost_lines), pa.array(lost_bytes)] if measures else []), names=names)
 
-    schema = StructType(df.schema.fields + [StructField(n, LongType()) for n in names[len(own) :]])
+    schema = StructType([df.schema[c] for c in own] + [StructField(n, LongType()) for n in names[len(own) :]])
     return joined.mapInArrow(run, schema)

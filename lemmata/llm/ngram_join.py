@@ -21,7 +21,9 @@ and compared to all its members by their exact sets.  Pairs are never listed.
 
 Null text counts as empty; texts without words have an empty set, link with
 nothing and are their own component.  Rows of equal text, and rows of equal id,
-keep a row each.  A null id is no candidate for ``component_id``.
+keep a row each.  A null id is no candidate for ``component_id``.  An empty table gives no rows; columns
+other than id and text are not read, so their names do not matter; a text is never cut, a very
+long one is a slice of its own and its set one entry of a block.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ keys of about ``BOUND_ROWS`` rows (or four per range, if more) chosen by a hash
 even ranges are, and nothing else.
 
 Null text counts as empty: such a document is its end token alone.  Rows of equal
-id are packed one by one.  An empty table gives no pieces.
+id are packed one by one.  An empty table gives no pieces.  A very long text is a slice of its own and goes on over
+as many sequences as it takes; columns other than id and text are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ that occur twice or more in a text; the characters of the words they cover,
 first occurrence included, are measured against all characters in words.
 
 Null text counts as empty: no words, ``base_failed`` true, ``kept`` false.  Ties
-and repeated rows do not matter, as each row is judged alone.
+and repeated rows do not matter, as each row is judged alone.  An empty table gives no rows.  A very long
+text is a slice of its own.  Other columns are not read, or kept as they are with ``keep_columns``, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,14 +6,13 @@ hash among their k-grams.  So a document's anchors that no other document holds
 of shared anchors are compared.
 
 The surroundings, in which each string of ``length`` bytes around the anchor lies, are
-aligned at it.  Each batch of documents is a shard; a bucket's task merges the
-shards' transforms by iterative interleave refinement: starting from the
-concatenated shards, each round prepends one more symbol by a stable
-partition of the current interleave and refines the block boundaries, so that
+aligned at it.  Each batch of documents is a shard, which sends its surroundings; no transform
+is built per shard (README gives the figures).  A bucket's task refines the interleave of all shards'
+entries: starting from their concatenation, each round takes one more symbol by a stable
+partition (a sort of one column of bytes) of the current interleave and refines the block boundaries, so that
 after h rounds blocks hold the entries with h common symbols.  This is done
 from the anchor's end leftwards, and mirrored rightwards; a string's repeated interval
-is the pair of its left and right block, and its smallest document decides.  No
-suffixes are sorted anew.
+is the pair of its left and right block, and its smallest document decides.
 
 A shard sends equal surroundings once.  For anchors that more than ``HOT``
 documents hold, each string is sent by its own hash rather than by the anchor,

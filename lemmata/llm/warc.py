@@ -13,7 +13,8 @@ are parsed from these.
 Null html counts as empty; null urls as the empty url; control characters in
 urls are percent-encoded.  Repeated page ids give a record each, an empty table gives none, and other columns are
 not read.  Ids are integers (other types raise ``TypeError``); a null id is written
-as an empty one and read back as null, and is never the largest.
+as an empty one and read back as null, and is never the largest.  A very long html is one record, whole in memory where it is
+written and read.
 """
 
 from __future__ import annotations

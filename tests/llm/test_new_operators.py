@@ -240,3 +240,13 @@ def test_kth_key_of_wide_values(spark):
     for k in (1, 2, 50, 133, 200):
         assert kth_key(df, ["a", "b", "c"], k) == order[k - 1]
     assert kth_key(df, ["a"], 201) is None and kth_key(df, ["a"], 0) is None and kth_key(df.limit(0), ["a"], 1) is None
+
+
+def test_line_measures_take_the_place_of_columns_of_their_names(spark):
+    from lemmata.llm.lines import drop_repeated_chunks
+
+    df = spark.createDataFrame([(1, "a\nb", "x"), (2, None, "y")], "doc_id long, text string, N_LINES string")
+    out = drop_repeated_chunks(df, measures=True)
+    assert out.columns == ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_bytes"]
+    assert sorted((r["doc_id"], r["n_lines"]) for r in out.collect()) == [(1, 2), (2, 0)]
+    assert drop_repeated_chunks(df).columns == df.columns
