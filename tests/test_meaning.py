@@ -151,3 +151,20 @@ def test_domains_by_scope_denial_and_law(spark):
     got = rows(domains.activations(docs).filter("at > 60 or file_id in ('a', 'b')"), "file_id", "pack", "support")
     assert got == [("a", "circuits", "supported"), ("a", "fluid-mechanics", "tentative"), ("c", "circuits", "explicit"), ("c", "circuits", "supported")]
     assert {(r.truncated, r.rank) for r in domains.activations(docs, cap=1).filter("file_id = 'a'").collect()} == {(True, 1)}
+
+
+def test_facts_tell_by_which_form_a_law_was_recognised(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    docs = spark.createDataFrame([("a", LAW + "Then $F = m a$."), ("b", LAW + "Then $a = F/m$.")], SCHEMA)
+    assert rows(laws.formula_facts(docs).filter("what = 'law'"), "file_id", "support", "step") == [("a", "typed", "stated"), ("b", "typed", "factor-isolation")]
+    # force = mass acceleration, acceleration = force / mass, velocity = momentum / mass, each with both signs
+    keys = [(5 + 12 * 2 + 144 * 4), (4 + 12 * 5 + 144 * 2), (3 + 12 * 10 + 144 * 2)]
+    spark.createDataFrame([(k + 1728 * s, s) for k in keys for s in (0, 1)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    names = ["file_id", "what", "value", "support"]
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = con.sql(entry.oracle_sql()["part_formulas"]).project(", ".join(names)).fetchall()
+    assert rows(entry.queries()["part_formulas"](spark, str(tmp_path)), *names) == sorted(want, key=str)
