@@ -90,16 +90,29 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(begin), np.flatnonzero(end)
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64 and of its inverse."""
-    base, inverse = np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
+_BASE = 0xD1342543DE82EF95
+#: Bytes that are hashed in one go; longer data are a chain of such pieces.
+_PIECE_BITS = 16
+_PIECE = 1 << _PIECE_BITS
+
+
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2^64 and of its inverse, for one piece."""
     with np.errstate(over="ignore"):
-        up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
+        up, down = np.full(_PIECE, _BASE, np.uint64), np.full(_PIECE, pow(_BASE, -1, 2**64), np.uint64)
         up[0] = down[0] = 1
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def _steps(count: int, base: int) -> np.ndarray:
+    """The power of the base at the begin of each piece."""
+    step, out = pow(base, _PIECE, 2**64), [1]
+    while len(out) < count:
+        out.append(out[-1] * step % 2**64)
+    return np.array(out, np.uint64)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalises 64-bit values so that all their bits are usable."""
     with np.errstate(over="ignore"):
@@ -114,12 +127,22 @@ def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     """A 64-bit hash of each byte span that depends on its bytes alone."""
     if not len(begin):
         return np.zeros(0, np.uint64)
-    size = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers()
+    count = len(data) // _PIECE + 1
+    lift, lower = _steps(count, _BASE), _steps(count, pow(_BASE, -1, 2**64))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[data] * up[: len(data)], out=sums[1:])
-        h = (sums[end] - sums[begin]) * down[begin]
+        for k, a in enumerate(range(0, len(data), _PIECE)):
+            codes = _BYTE_CODES[data[a : a + _PIECE]]
+            codes *= up[: len(codes)]
+            codes *= lift[k]
+            codes[0] += sums[a]
+            np.cumsum(codes, out=sums[a + 1 : a + 1 + len(codes)])
+        h = sums[end]
+        h -= sums[begin]
+        del sums
+        h *= down[begin & (_PIECE - 1)]
+        h *= lower[begin >> _PIECE_BITS]
         return mix(h + (end - begin).astype(np.uint64) * _ODD)
 
 

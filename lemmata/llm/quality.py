@@ -25,6 +25,8 @@ from lemmata.llm import arrays
 LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
 #: Largest share (percent) of characters in lines that repeat an earlier line.
 LINE_LIMIT = 20
+#: Text bytes that are measured at a time.
+SLICE_BYTES = 1 << 20
 #: Fewest words, and the largest share (percent) of words in repeated 3-word windows.
 MIN_WORDS, REPEAT_WORDS = 50, 50
 
@@ -94,7 +96,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in arrays.slices(batch, text_col):
+            for part in arrays.slices(batch, text_col, SLICE_BYTES):
                 m = measure(arrays.text_of(part, text_col), limits)
                 failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > repeat_words * m["n_words"])
                 kept = ~failed & (100 * m["dup_line_chars"] <= line_limit * m["line_chars"])
@@ -105,6 +107,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     continue
                 m |= {"base_failed": failed, "kept": kept}
                 yield pa.RecordBatch.from_arrays([arrays.column(part, id_col), *(pa.array(m[c]) for c in columns)], names=[id_col, *columns])
+            arrays.trim()
 
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     columns = [*measures, "base_failed", "kept", "dup_line_chars", *(f"dup_{n}gram_chars" for n in limits)]
