@@ -47,6 +47,8 @@ from lemmata.llm.storage import partitions, removed, stored
 CLASSES, ROUNDS, PATH, PRIOR = 64, 5, 0.95, 20.0
 #: Text bytes of a batch, and about how many text bytes a bucket's words come from.
 BATCH_BYTES, BUCKET_BYTES = 8 << 20, 6 << 20
+#: Counts of a cell below this one are worked out once for all cells of equal number and count.
+ALIKE = 256
 #: Text bytes that are hashed at a time.
 HASHED_BYTES = 1 << 20
 
@@ -137,7 +139,8 @@ def _asked(batch: Batch, mark: np.ndarray, classes: int, steps: list[int]) -> pa
     pairs = np.bincount(of[a] * k + of[b], minlength=k * k)
     wide = np.int64(2 * k)
     right, left = a < n, b < n
-    used, times = np.unique(np.concatenate([a[right] * wide + of[b[right]], b[left] * wide + k + of[a[left]]]), return_counts=True)
+    asked = np.concatenate([a[right] * wide + of[b[right]], b[left] * wide + k + of[a[left]]])
+    used, times = np.unique(asked.astype(np.int32) if n * wide < 1 << 31 else asked, return_counts=True)
     cells = np.bincount(used // wide, minlength=n).astype(np.int32)
     count = np.bincount(b[left], minlength=n).astype(np.int64)
     load = Load(count, mark, np.where(count > 0, batch.number, routes.NOBODY), cells, (used % wide).astype(np.uint16), times.astype(np.int64))
@@ -153,12 +156,17 @@ def _raised(n: np.ndarray, x: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(n + x, 1e-30)) + np.where(n > 0, n * np.log1p(x / n), 0)
 
 
-def exchange(words: np.ndarray, load: Load, pairs: np.ndarray, classes: int, half: int | None = None, chunk: int = 1 << 15) -> np.ndarray:
+def exchange(words: np.ndarray, load: Load, pairs: np.ndarray, classes: int, half: int | None = None, chunk: int = 1 << 13) -> np.ndarray:
     """The class of each word after one round: the one that raises the likelihood most, for all words or one half of them."""
     k = classes + 2
     pairs = pairs.astype(np.float32)
     out_of, into = pairs.sum(1)[:classes], pairs.sum(0)[:classes]
     table = np.concatenate([pairs[:classes].T, pairs[:, :classes]])  # a row per cell: counts of that class with each class
+    # cells that agree in number and count are worked out once, but for the class that their word is in
+    kind = np.where(load.times < ALIKE, load.cell.astype(np.int64) * ALIKE + load.times, -1)
+    used = np.unique(kind)
+    alike = _raised(table[used // ALIKE], (used % ALIKE).astype(np.float32)[:, None])
+    kind = np.where(kind < 0, -1, np.searchsorted(used, kind))
     best = load.mark.copy()
     ends = np.cumsum(load.cells, dtype=np.int64)
     movers = load.count > 0
@@ -174,18 +182,23 @@ def exchange(words: np.ndarray, load: Load, pairs: np.ndarray, classes: int, hal
         size = load.cells[at].astype(np.int64)
         of = np.repeat(np.arange(len(at)), size)
         cell = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ends[at] - size, size)
-        x = load.times[cell].astype(np.float32)[:, None]
-        n = table[load.cell[cell]]
+        x = load.times[cell].astype(np.float32)
         mine, rows = load.mark[at].astype(np.int64), np.arange(len(at))
         # counts of the word with each class after and before it; all is held against the pairs without the word
         near, after = load.cell[cell].astype(np.int64) % k, load.cell[cell] < k
         own = np.flatnonzero(near < classes)
         sides = np.zeros((2, len(at), classes), np.float32)
-        sides[(~after[own]).astype(np.int64), of[own], near[own]] = x[own, 0]
-        n[np.arange(len(of)), mine[of]] -= x[:, 0]
-        home = np.flatnonzero(near == mine[of])
-        n[home] -= sides[after[home].astype(np.int64), of[home]]
-        more = _raised(n, x)
+        sides[(~after[own]).astype(np.int64), of[own], near[own]] = x[own]
+        home = near == mine[of]
+        n = table[load.cell[cell], mine[of]] - x
+        more = alike[kind[cell]]
+        full = np.flatnonzero(home | (kind[cell] < 0))
+        more[np.arange(len(of)), mine[of]] = _raised(n, x)
+        n = table[load.cell[cell[full]]]
+        n[np.arange(len(full)), mine[of[full]]] -= x[full]
+        back = np.flatnonzero(home[full])
+        n[back] -= sides[after[full[back]].astype(np.int64), of[full[back]]]
+        more[full] = _raised(n, x[full, None])
         # pairs within a class get both sides of the word in one cell
         more[own, near[own]] = 0
         both = sides.sum(0)

@@ -67,20 +67,26 @@ class Load:
 
 def merged(keys: list[np.ndarray], loads: list[Load]) -> tuple[np.ndarray, Load, np.ndarray]:
     """The distinct keys, their joint loads, and the place of each key of each part among them."""
-    distinct, group = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.zeros(len(distinct), np.int64)
-    np.add.at(count, group, np.concatenate([v.count for v in loads]))
-    mark = np.zeros(len(distinct), np.uint8)
-    mark[group] = np.concatenate([v.mark for v in loads])
-    owner = np.full(len(distinct), NOBODY)
-    np.minimum.at(owner, group, np.concatenate([v.owner for v in loads]))
+    distinct, order, first = _sorted(np.concatenate(keys))
+    group = np.empty(len(order), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+    count, owner, mark = (np.concatenate(c)[order] for c in zip(*((v.count, v.owner, v.mark) for v in loads)))
     wide = np.int64(1 << 16)
     at = np.repeat(group, np.concatenate([v.cells for v in loads])) * wide + np.concatenate([v.cell for v in loads])
-    used, place = np.unique(at, return_inverse=True)
-    times = np.zeros(len(used), np.int64)
-    np.add.at(times, place, np.concatenate([v.times for v in loads]))
+    used, place, begin = _sorted(at)
     cells = np.bincount(used // wide, minlength=len(distinct)).astype(np.int32)
-    return distinct, Load(count, mark, owner, cells, (used % wide).astype(np.uint16), times), group
+    times = np.concatenate([v.times for v in loads])[place].astype(np.int64)
+    if len(first):
+        count, owner, mark = np.add.reduceat(count.astype(np.int64), first), np.minimum.reduceat(owner, first), mark[first].astype(np.uint8)
+    return distinct, Load(count, mark, owner, cells, (used % wide).astype(np.uint16), np.add.reduceat(times, begin) if len(begin) else times), group
+
+
+def _sorted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, the order that sorts them all, and where each begins in it; runs that are sorted already are merged."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else order
+    return values[first], order, first
 
 
 def _blocks(keys: np.ndarray, load: Load, source: int, path: int, used: int, step: int) -> pa.Table:
