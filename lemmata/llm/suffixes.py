@@ -79,7 +79,10 @@ def _sliding(values: np.ndarray, w: int, f) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the k-grams that have the least hash in some string of ``length`` bytes of their row."""
+    """Positions and hashes of the k-grams that have the least hash in some string of ``length`` bytes of their row.
+
+    Least hashes are small ones, so they are mixed once more: else the first of the buckets by top bits would get most of them.
+    """
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     w = length - k + 1
@@ -93,7 +96,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = GR
     least = np.where(np.cumsum(start[:-1]) > 0, least, np.uint64(0))
     wide = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
     chosen = np.flatnonzero((_sliding(wide, w, np.maximum) == h) & (h > 0))
-    return chosen, h[chosen]
+    return chosen, arrays.mix(h[chosen])
 
 
 def refine(columns: np.ndarray, skip: int = 0) -> list[np.ndarray]:
@@ -358,6 +361,7 @@ def drop_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "
                     values[i] = without(values[i], bits[i].as_py())
                 text = pa.array(values, text.type)
             yield pa.RecordBatch.from_arrays([text if c == text_col else arrays.column(batch, c) for c in own], names=own)
+            arrays.trim()
 
     return joined.select(*own, hit, gone).mapInArrow(run, df.schema)
 

@@ -98,3 +98,14 @@ def test_copies_are_told_by_text_as_well_as_id(spark):
     assert got == brute([(last if d is None else d, t) for d, t in rows])
     kept = [(r["doc_id"], r["text"]) for r in drop_repeated_bytes(df).collect()]
     assert all(x in kept for x in [(5, ""), (5, b), (3, a), (None, ""), rows[4], (None, "short"), (None, None)])
+
+
+def test_anchors_fill_their_buckets_evenly():
+    """Anchors are k-grams of least hash; by the top bits of that hash, 7 of 10 fell into the first of 16 buckets, whose task then held most of the table."""
+    from lemmata.llm.suffixes import anchors
+
+    data = np.random.default_rng(5).integers(97, 123, 400_000).astype(np.uint8)
+    at, h = anchors(data, np.array([0, 150_000, len(data)]))
+    shares = np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=16) / len(h)
+    assert len(h) > 30_000 and shares.max() < 0.08
+    assert len(np.unique(h)) == len({data[p : p + 32].tobytes() for p in at.tolist()})
