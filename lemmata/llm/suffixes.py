@@ -20,6 +20,11 @@ so their strings spread over all buckets.  Texts equal to one of a smaller id
 (of at least ``length`` bytes) are covered throughout and are not compared at all; they are
 told by id and digest, as rows of one id (or none) may differ in text.
 
+Surroundings are written once, in the shuffle that deals them to buckets.  Where they lie goes through that
+same shuffle, beside the buckets, to meet the masks; texts are not sent again, as the last step reads
+the batches of the first.  Each step takes a batch's rows in the order of their ids and texts, so a batch
+made anew (after a lost executor, say) numbers them alike.
+
 Null text counts as empty.  Documents of equal id do not cover each other, and a
 null id counts as larger than any other; ids are integers (other types raise
 ``TypeError``), of which 2^63 - 1 stands for null.  Rows equal in id and text get equal results, an
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from lemmata.llm import arrays, sharing
-from lemmata.llm.storage import fresh, stored
+from lemmata.llm.storage import fresh
 
 #: Bytes of a repeated string and of an anchor; documents beyond which an anchor is hot; text bytes of a slice.
 LENGTH, GRAM, HOT, SLICE = 50, 32, 20_000, 512 << 10
@@ -169,7 +174,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_bytes, n_removed, n_spans, kept_sha256, gone, origin) of every row.
 
     ``gone`` has a bit per byte, set if it is removed, and is null for rows that lose none or all; ``origin`` is the digest of a text that loses bytes.
-    Without ``digests``, kept_sha256 is null unless nothing or all is kept, and no text is stored or dealt out a second time.
+    Without ``digests``, kept_sha256 is null unless nothing or all is kept.
     """
     if not isinstance(df.schema[id_col].dataType, IntegralType):
         raise TypeError(f"{id_col} must be an integer column, as smaller ids keep what larger ones lose")
@@ -196,9 +201,10 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot_class = int(sharing.share_class(np.array([hot]))[0])
 
     def entries(table: pa.Table, answers: pa.Table) -> pa.Table:
-        """A batch's surroundings by bucket (kind 0), where they lie (kind 1), and its rows (kind 2)."""
+        """A batch's surroundings by bucket (kind 0), and where they lie, with a bit per row that is a copy (kind 1)."""
         if not table.num_rows:
             return _rows([])
+        table = _in_order(table)
         batch = table.column("batch")[0].as_py()
         whole = {(d["doc"], d["sha"]) for c in answers.column("copies").to_pylist() if c for d in c}
         kept = answers.filter(pa.array([c is not None for c in answers.column("classes").to_pylist()], pa.bool_()))
@@ -280,65 +286,59 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         owner, place = owner[order], place[order]
         lie = np.lexsort((place, owner))
         places = sharing.put_planes(np.diff(owner[lie], prepend=0), np.diff(place[lie], prepend=0), entry[lie], first[lie], whole_mask[lie])
-        out.append((1, batch, 0, places, None))
-        touched = np.zeros(len(ids), bool)
-        touched[owner] = True
-        text = pa.concat_arrays([arrays.text_of(p, "text") for p in slices])
-        data, off = arrays.raw(text)
-        off_list = off.tolist()
-        lines = []
-        for i in range(len(ids)):
-            raw_ = data[off_list[i] : off_list[i + 1]]
-            if is_copy[i]:
-                lines.append((2, batch, i, hashlib.sha256(raw_).hexdigest().encode(), None, int(ids[i]), len(raw_), len(raw_), 1, hashlib.sha256(b"").hexdigest()))
-            elif touched[i]:
-                own = hashlib.sha256(raw_).hexdigest()
-                lines.append((3, batch, i, sharing.squeeze(raw_.tobytes(), 3) if digests else None, None, int(ids[i]), len(raw_), None, None, own))
-            else:
-                lines.append((2, batch, i, None, None, int(ids[i]), len(raw_), 0, 0, hashlib.sha256(raw_).hexdigest()))
-        return _rows([(*o, None, None, None, None, None) for o in out] + lines)
+        out.append((1, batch, batch, places, np.packbits(is_copy).tobytes()))
+        return _rows(out)
 
     answers = sharing.shared_classes(docs, keys_of, buckets).withColumn("copies", F.lit(None).cast("array<struct<doc: bigint, sha: binary>>"))
     answers = answers.unionByName(copies.select("batch", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("classes"), "copies"))
-    table = stored(docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sharing.lean(entries), _SCHEMA), "surroundings")
+    sent = docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sharing.lean(entries), _SCHEMA)
 
     def merge(group: pa.Table) -> pa.Table:
-        """Masks of a bucket's entries, per batch in the batch's order."""
+        """Masks of a bucket's entries, per batch in the batch's order; places pass as they are."""
+        if group.column("kind")[0].as_py():
+            return group
         batches = group.column("batch").to_pylist()
         blocks = [np.frombuffer(sharing.expand(b), np.uint8).reshape(-1, k + 2 * side) for b in group.column("body").to_pylist()]
         docs_ = np.concatenate([np.frombuffer(sharing.expand(d), np.int64) for d in group.column("docs").to_pylist()])
         mask = covered_windows(np.concatenate(blocks), docs_, length, k)
         ends = np.cumsum([len(b) for b in blocks])
         out = [sharing.squeeze(mask[e - len(b) : e].tobytes()) for b, e in zip(blocks, ends)]
-        return pa.table([pa.array(batches, pa.int32()), group.column("row"), pa.array(out, pa.binary())], names=["batch", "row", "body"])
-
-    masks = table.filter("kind = 0").select("batch", "row", "body", "docs").groupBy("row").applyInArrow(sharing.lean(merge), "batch int, row int, body binary")
-    sides = masks.select(F.lit(0).alias("kind"), "batch", "row", "body", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("sha"))
-    sides = sides.unionByName(table.filter("kind in (1, 3)").select(*sides.columns))
-
-    def apply(group: pa.Table) -> pa.Table:
-        kinds, rows, bodies, ids, sizes, shas = (group.column(c).to_pylist() for c in ("kind", "row", "body", "doc", "size", "sha"))
-        answers_ = sorted((r, i) for i, (kd, r) in enumerate(zip(kinds, rows)) if kd == 0)
-        mask = np.concatenate([np.frombuffer(sharing.expand(bodies[i]), np.uint32) for _, i in answers_] or [np.zeros(0, np.uint32)])
-        owner, place, entry, first, whole = sharing.get_planes(bodies[kinds.index(1)], 5)
-        owner, place = np.cumsum(owner), np.cumsum(place)
-        own = np.where(first == 0, whole.view("<u4"), mask[entry])
+        return _rows([(0, b, r, m, None) for b, r, m in zip(batches, group.column("row").to_pylist(), out)])
+
+    answered = sent.groupBy("kind", "row").applyInArrow(sharing.lean(merge), _SCHEMA)
+
+    def apply(table: pa.Table, sides: pa.Table) -> pa.Table:
+        """A batch's rows, by the masks of its entries and by where they lie."""
         out = []
-        texts = sorted((r, i) for i, (kd, r) in enumerate(zip(kinds, rows)) if kd == 3)
-        lo = np.searchsorted(owner, [r for r, _ in texts], "left").tolist()
-        hi = np.searchsorted(owner, [r for r, _ in texts], "right").tolist()
-        for (_, i), a, b in zip(texts, lo, hi):
-            gone = _cover(sizes[i], place[a:b], own[a:b], length, k)
-            lost, spans = int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
-            kept = shas[i] if not lost else None
-            if lost and digests:
-                kept = hashlib.sha256(np.frombuffer(sharing.expand(bodies[i]), np.uint8)[~gone].tobytes()).hexdigest()
-            out.append((ids[i], sizes[i], lost, spans, kept, np.packbits(gone).tobytes() if lost else None, shas[i] if lost else None))
+        if table.num_rows:
+            table = _in_order(table)
+            texts = [sharing.expand(t) if t is not None else b"" for t in table.column("packed").to_pylist()]
+            ids = table.column("doc").fill_null(_LAST_ID).to_pylist()
+            kinds, rows, bodies = (sides.column(c).to_pylist() for c in ("kind", "row", "body"))
+            masks = sorted((r, i) for i, (kd, r) in enumerate(zip(kinds, rows)) if kd == 0)
+            mask = np.concatenate([np.frombuffer(sharing.expand(bodies[i]), np.uint32) for _, i in masks] or [np.zeros(0, np.uint32)])
+            lies = kinds.index(1)
+            is_copy = np.unpackbits(np.frombuffer(sides.column("docs")[lies].as_py(), np.uint8), count=len(ids)).astype(bool).tolist()
+            owner, place, entry, first, whole = sharing.get_planes(bodies[lies], 5)
+            owner, place = np.cumsum(owner), np.cumsum(place)
+            own = np.where(first == 0, whole.view("<u4"), mask[entry])
+            ends = np.searchsorted(owner, np.arange(len(ids) + 1)).tolist()
+            for i, (doc, text) in enumerate(zip(ids, texts)):
+                n, sha = len(text), hashlib.sha256(text).hexdigest()
+                if is_copy[i]:
+                    out.append((doc, n, n, 1, hashlib.sha256(b"").hexdigest(), None, sha))
+                    continue
+                a, b = ends[i], ends[i + 1]
+                gone = _cover(n, place[a:b], own[a:b], length, k) if b > a else np.zeros(0, bool)
+                if not gone.any():
+                    out.append((doc, n, 0, 0, sha, None, None))
+                    continue
+                spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
+                kept = hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest() if digests else None
+                out.append((doc, n, int(gone.sum()), spans, kept, np.packbits(gone).tobytes(), sha))
         return pa.table([pa.array(c, kd) for c, kd in zip(zip(*out) if out else [()] * 7, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "gone", "origin"])
 
-    done = sides.groupBy("batch").applyInArrow(sharing.lean(apply), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, gone binary, origin string")
-    plain = table.filter("kind = 2").select("doc", F.col("size").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("gone"), F.col("body").cast("string").alias("origin"))
-    out = done.unionByName(plain)
+    out = docs.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(sharing.lean(apply), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, gone binary, origin string")
     return out.select(F.when(F.col("doc") != _LAST_ID, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "gone", "origin")
 
 
@@ -378,9 +378,14 @@ def without(text: str, gone: bytes | None) -> str:
     return data[~drop[char]].tobytes().decode()
 
 
-_SCHEMA = "kind int, batch int, row int, body binary, docs binary, doc long, size long, removed long, spans long, sha string"
-_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+_SCHEMA = "kind int, batch int, row int, body binary, docs binary"
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array(c, kd) for c, kd in zip(zip(*rows) if rows else [()] * 10, _KINDS)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
+    return pa.table([pa.array(c, kd) for c, kd in zip(zip(*rows) if rows else [()] * 5, _KINDS)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    """A batch's rows by id and text, as a shuffle gives them in any order; rows equal in both may change places."""
+    return table.sort_by([("doc", "ascending"), ("packed", "ascending")])

@@ -109,3 +109,18 @@ def test_anchors_fill_their_buckets_evenly():
     shares = np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=16) / len(h)
     assert len(h) > 30_000 and shares.max() < 0.08
     assert len(np.unique(h)) == len({data[p : p + 32].tobytes() for p in at.tolist()})
+
+
+def test_surroundings_and_texts_are_not_stored(spark):
+    """Surroundings and texts were stored and then shuffled again: in the check of op10_suffixes more than four times the input of disk."""
+    from pathlib import Path
+
+    from lemmata.llm.storage import shared_folder
+    from lemmata.llm.suffixes import repeated_bytes
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.rglob("*"))
+    rows = [(d, t) for d, t in corpus(6)]
+    got = repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()) == brute(rows)
+    assert set(folder.rglob("*")) == before
