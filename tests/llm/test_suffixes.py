@@ -124,3 +124,15 @@ def test_surroundings_and_texts_are_not_stored(spark):
     got = repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()) == brute(rows)
     assert set(folder.rglob("*")) == before
+
+
+def test_rows_of_a_batch_come_in_one_order():
+    """Entries are numbered in one step and looked up in another, to which a shuffle may give the rows in another order."""
+    import pyarrow as pa
+
+    from lemmata.llm.suffixes import _in_order
+
+    rows = [(3, b"b"), (3, b"a"), (None, None), (None, b"a"), (1, b""), (3, b"a"), (1, None)]
+    tables = [pa.table({"doc": pa.array([d for d, _ in r], pa.int64()), "packed": pa.array([t for _, t in r], pa.binary())}) for r in (rows, rows[::-1], rows[3:] + rows[:3])]
+    first, *others = [_in_order(t).to_pylist() for t in tables]
+    assert all(o == first for o in others) and len(first) == len(rows)
