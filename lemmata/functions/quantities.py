@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmata.functions import text
+from lemmata.operators import graph
 
 # Kind | dimension | further terms (the kind's own name is a term).
 KINDS = """
@@ -113,15 +114,21 @@ def unit_of(description: Column) -> Column:
     return F.coalesce(*(F.when(says(symbol, more), F.lit(unit)) for unit, symbol, _, more in rows))
 
 
-def described(df: DataFrame, id_col: str, description_col: str) -> DataFrame:
-    """(id, kind, unit, code) of each row: the kind of the longest term, null at a tie; code tells a unit of another dimension."""
-    spark = df.sparkSession
-    named = df.select(F.col(id_col), F.regexp_replace(description_col, r" (?:along|through|across|normal to) [\s\S]*", "").alias("said"))
+def said(df: DataFrame, description_col: str) -> DataFrame:
+    """(description, kind, unit, code) of each distinct description: the kind of the longest term, null at a tie; code tells a unit of another dimension."""
+    spark, d = df.sparkSession, description_col
+    each = df.select(d).distinct()
+    named = each.select(d, F.regexp_replace(d, r" (?:along|through|across|normal to) [\s\S]*", "").alias("_said"))
     terms = kind_terms(spark)
-    found = text.contained_terms(named, id_col, F.col("said"), terms.select("term").distinct(), "term").join(F.broadcast(terms), "term")
-    best = found.groupBy(id_col).agg(F.max(F.struct(F.length("term"), "kind")).alias("hi"), F.max(F.length("term")).alias("top"), F.collect_set(F.struct(F.length("term").alias("n"), "kind")).alias("all"))
+    found = text.contained_terms(named, d, F.col("_said"), terms.select("term").distinct(), "term").join(F.broadcast(terms), "term")
+    best = found.groupBy(d).agg(F.max(F.struct(F.length("term"), "kind")).alias("hi"), F.max(F.length("term")).alias("top"), F.collect_set(F.struct(F.length("term").alias("n"), "kind")).alias("all"))
     clear = F.size(F.filter("all", lambda e: e["n"] == F.col("top"))) == 1
-    best = best.select(id_col, F.when(clear, F.col("hi.kind")).alias("kind"))
-    out = df.select(id_col, unit_of(F.col(description_col)).alias("unit")).join(best, id_col, "left")
+    best = best.select(d, F.when(clear, F.col("hi.kind")).alias("kind"))
+    out = each.select(d, unit_of(F.col(d)).alias("unit")).join(graph.large(best), d, "left")
     out = out.join(F.broadcast(kinds(spark).withColumnRenamed("dimension", "_k")), "kind", "left").join(F.broadcast(units(spark).select("unit", F.col("dimension").alias("_u"))), "unit", "left")
-    return out.select(id_col, "kind", "unit", F.when(F.col("_k") != F.col("_u"), F.lit("quantity-unit-dimension-mismatch")).alias("code"))
+    return graph.small(graph.stored(out.select(d, "kind", "unit", F.when(F.col("_k") != F.col("_u"), F.lit("quantity-unit-dimension-mismatch")).alias("code"))))
+
+
+def described(df: DataFrame, id_col: str, description_col: str) -> DataFrame:
+    """(id, kind, unit, code) of each row, by its description."""
+    return df.select(id_col, description_col).join(said(df, description_col), description_col, "left").select(id_col, "kind", "unit", "code")

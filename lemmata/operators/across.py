@@ -29,9 +29,9 @@ def project_laws(docs: DataFrame | front.Parsed, mains: DataFrame, includes: Dat
     Rows: docs (file_id, content), mains (main), includes (file, offset, included).
     """
     docs, own = parsed.parsed(docs), laws.catalogue(docs, given)
-    found = graph.stored(laws.matches(docs.trees, own))
+    found = laws.matches(docs.trees, own)
     local = graph.stored(laws.agreed(laws.declared_roles(docs, own)))
-    uses = graph.stored(found.filter("plain").select("file_id", "at", "symbol").distinct())
+    uses = graph.stored(laws.role_symbols(docs.trees, found).select("file_id", "at", "symbol").distinct())
     parts = graph.stored(project.segments(mains, includes))
     spoken = docs.definitions.select("file_id", "symbol").distinct()
     outer = roles_across(docs, uses.join(spoken, ["file_id", "symbol"], "left_anti"), parts, own)
@@ -40,8 +40,8 @@ def project_laws(docs: DataFrame | front.Parsed, mains: DataFrame, includes: Dat
     # one project's view of a file is a file of its own here
     key = F.to_json(F.struct("main", F.col("file_id").alias("file")))
     both = graph.stored(near.unionByName(outer.select(*near.columns)))
-    whole = found.join(names, "file_id").withColumn("_key", key).withColumn("file_id", F.col("_key")).drop("_key", "main")
+    whole = docs.trees.join(names, "file_id").withColumn("_key", key).withColumn("file_id", F.col("_key")).drop("_key", "main")
     have = both.withColumn("_key", key).select(F.col("_key").alias("file_id"), "at", "symbol", "concept")
-    out = laws.supported(whole, have, own)
+    out = laws.supported(whole, found, have, own)
     back = F.from_json("file_id", f"main {dict(mains.dtypes)['main']}, file string")
     return out.withColumn("_p", back).select("_p.main", F.col("_p.file").alias("file_id"), *[c for c in out.columns if c != "file_id"])

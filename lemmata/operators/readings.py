@@ -27,11 +27,11 @@ def chained(docs: DataFrame | front.Parsed, hops: int = HOPS, given: packs.Catal
     ``inferable`` where one role is still open.  Formulas are matched once; a hop handles those with a symbol that got a role.
     """
     docs, own = parsed.parsed(docs), laws.catalogue(docs, given)
-    found = graph.stored(laws.matches(docs.trees, own))
+    found = laws.matches(docs.trees, own)
     declared = graph.stored(laws.agreed(laws.declared_roles(docs, own)))
-    done = graph.stored(laws.with_status(laws.supported(found, declared, own), docs, own).withColumn("hop", F.lit(0)))
-    uses = found.filter("plain").select("file_id", "at", "symbol").distinct()
-    open_uses = graph.stored(uses.join(declared, ["file_id", "symbol"], "left_anti"))
+    done = graph.stored(laws.with_status(laws.supported(docs.trees, found, declared, own), docs, own).withColumn("hop", F.lit(0)))
+    uses = laws.role_symbols(docs.trees, found).select("file_id", "at", "symbol").distinct()
+    open_uses = graph.large(graph.stored(uses.join(graph.large(declared), ["file_id", "symbol"], "left_anti")))
     concept = graph.small(own.roles.filter("not variadic").select("law", "role", "concept"))
     for hop in range(1, hops + 1):
         new = done.filter((F.col("hop") == hop - 1) & F.col("status").isin("recognized", "verified")) if hop > 1 else done.filter("status in ('recognized', 'verified')")
@@ -44,10 +44,11 @@ def chained(docs: DataFrame | front.Parsed, hops: int = HOPS, given: packs.Catal
         ranked = first.withColumn("_n", F.row_number().over(Window.partitionBy("file_id", "symbol").orderBy("since", "concept"))).filter("_n <= 2")
         span = ranked.groupBy("file_id", "symbol").agg(F.min_by("concept", "_n").alias("concept"), F.min("since").alias("since"), F.max(F.when(F.col("_n") == 2, F.col("since"))).alias("until"))
         later = open_uses.join(span, ["file_id", "symbol"]).filter((F.col("since") < F.col("at")) & (F.col("until").isNull() | (F.col("at") <= F.col("until")))).select("file_id", "at", "symbol", "concept")
-        later = graph.stored(relational.capped(later, ["file_id", "at"], [F.asc("symbol")], ROLES).select("file_id", "at", "symbol", "concept"))
-        again = found.join(later.select("file_id", "at").distinct(), ["file_id", "at"], "left_semi")
-        known = later.unionByName(again.select("file_id", "at", "symbol").distinct().join(declared, ["file_id", "symbol"]).select("file_id", "at", "symbol", "concept"))
-        more = laws.supported(again, known, own).withColumn("support", F.when(F.col("support") == "typed", "derived").otherwise(F.col("support")))
+        later = graph.large(graph.stored(relational.capped(later, ["file_id", "at"], [F.asc("symbol")], ROLES).select("file_id", "at", "symbol", "concept")))
+        places = later.select("file_id", "at").distinct()
+        again = docs.trees.join(places, ["file_id", "at"], "left_semi")
+        known = later.unionByName(uses.join(places, ["file_id", "at"], "left_semi").join(graph.large(declared), ["file_id", "symbol"]).select("file_id", "at", "symbol", "concept"))
+        more = laws.supported(again, found, known, own).withColumn("support", F.when(F.col("support") == "typed", "derived").otherwise(F.col("support")))
         both = done.unionByName(laws.with_status(graph.stored(more), docs, own).withColumn("hop", F.lit(hop)))
         better = F.array_position(F.array(F.lit("typed"), F.lit("derived"), F.lit("inferable")), F.col("support"))
         done = graph.stored(relational.keep_best(both, ["file_id", "at", "law"], [better, F.asc("hop")]))

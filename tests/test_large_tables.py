@@ -11,3 +11,34 @@ def plan(df) -> str:
 
 def test_intervals_are_not_broadcast_by_the_size_of_their_file(spark):
     assert "BroadcastHashJoin" not in plan(entry.queries()["interval_deepest"](spark, SF))
+
+
+def test_documents_of_one_small_file_are_parsed_by_several_tasks(spark):
+    from lemmata.operators import definitions, parsed
+    from lemmata.sources import syntax
+
+    docs = spark.createDataFrame([(f"f{k}", f"Let $x$ denote mass. Then $x = {k}$.") for k in range(64)], "file_id string, content string").coalesce(1)
+    for df in (syntax.syntax(docs), definitions.definitions(docs)):
+        assert df.rdd.getNumPartitions() > 1
+    assert len([f for f in parsed.parsed(docs).trees.inputFiles() if "part-" in f]) > 1
+
+
+def test_a_formula_is_matched_once_however_many_files_have_it(spark):
+    from lemmata.operators import laws, parsed
+
+    def bindings(n: int) -> int:
+        docs = parsed.parsed(spark.createDataFrame([(f"f{k}", "Then $F = m a$.") for k in range(n)], "file_id string, content string"))
+        return laws.matches(docs.trees, laws.catalogue(docs)).count()
+
+    assert bindings(12) == bindings(1) > 0
+
+
+def test_descriptions_shared_by_many_rows_are_read_once(spark):
+    from lemmata.functions import quantities
+
+    rows = [(k, ("the mass in seconds", "the force", "no such thing", None)[k % 4]) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, said string")
+    assert quantities.said(df, "said").count() == 4
+    got = {r["id"]: (r["kind"], r["unit"], r["code"]) for r in quantities.described(df, "id", "said").collect()}
+    want = [("mass", "second", "quantity-unit-dimension-mismatch"), ("force", None, None), (None, None, None), (None, None, None)]
+    assert got == {k: want[k % 4] for k in range(40)}
