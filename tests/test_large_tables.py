@@ -1,5 +1,7 @@
 """Plans that hold where tables are small as files and large in memory."""
 
+import pytest
+
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
@@ -9,8 +11,9 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_intervals_are_not_broadcast_by_the_size_of_their_file(spark):
-    assert "BroadcastHashJoin" not in plan(entry.queries()["interval_deepest"](spark, SF))
+@pytest.mark.parametrize("name", ["interval_deepest", "part_binders", "part_bound_uses"])
+def test_what_grows_is_not_broadcast_by_the_size_of_its_file(spark, name):
+    assert "BroadcastHashJoin" not in plan(entry.queries()[name](spark, SF))
 
 
 def test_documents_of_one_small_file_are_parsed_by_several_tasks(spark):
