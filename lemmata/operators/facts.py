@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmata.functions import dimensions
@@ -19,8 +19,21 @@ def facts_at(uses: DataFrame, facts: DataFrame, keys: list[str], use: str, at: s
 
     Facts of the document itself (an empty path) are visible before their declaration, those of scopes only after it.
     """
-    seen = relational.visible_bindings(uses, facts, keys, use_path, path).filter((F.size(path) == 0) | (F.col(since) <= F.col(at)))
-    return relational.capped(seen, [use], [F.desc(F.size(path)), F.desc(explicit), F.desc(since), F.asc(fact)], cap).select(use, "rank", fact, "truncated")
+    # of a scope's facts, explicit or not, only the last ones before a use can be listed: they are numbered, and looked up by number
+    group, size = [*keys, "_path", "_explicit"], F.size("_path")
+    own = facts.select(*keys, F.col(path).alias("_path"), F.coalesce(F.col(explicit).cast("int"), F.lit(-1)).alias("_explicit"), F.col(since).alias("_since"), F.col(fact).alias("_fact")).filter((size == 0) | F.col("_since").isNotNull())
+    own = graph.stored(own.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(F.asc("_since"), F.desc("_fact")))))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(use_path)), lambda k: F.slice(F.col(use_path), F.lit(1), k))
+    looks = uses.select(*keys, F.col(use).alias("_use"), F.col(at).alias("_since"), F.explode(prefixes).alias("_path"))
+    looks = looks.join(graph.small(own.groupBy(*group).agg(F.max("_n").alias("_last"))), [*keys, "_path"])
+    steps = own.filter(size > 0).groupBy(*group, "_since").agg(F.max("_n").alias("_last")).withColumn("_use", F.lit(None).cast(looks.schema["_use"].dataType)).withColumn("_is_use", F.lit(False))
+    line = steps.unionByName(looks.filter(size > 0).withColumns({"_last": F.lit(None).cast("int"), "_is_use": F.lit(True)}))
+    before = Window.partitionBy(*group).orderBy("_since", "_is_use").rowsBetween(Window.unboundedPreceding, 0)
+    later = line.withColumn("_last", F.max("_last").over(before)).filter("_is_use and _since is not null and _last is not null")
+    found = looks.filter(size == 0).select(*group, "_use", "_last").unionByName(later.select(*group, "_use", "_last"))
+    wanted = found.select(*group, "_use", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_last") - cap), F.col("_last"))).alias("_n"))
+    seen = wanted.join(graph.small(own), [*group, "_n"]).withColumnRenamed("_use", use)
+    return relational.capped(seen, [use], [F.desc(size), F.desc("_explicit"), F.desc("_since"), F.asc("_fact")], cap).select(use, "rank", F.col("_fact").alias(fact), "truncated")
 
 
 def claim_rows(claims: DataFrame, proofs: DataFrame, occurrences: DataFrame, proof: str, occurrence: str) -> DataFrame:

@@ -45,3 +45,22 @@ def test_descriptions_shared_by_many_rows_are_read_once(spark):
     got = {r["id"]: (r["kind"], r["unit"], r["code"]) for r in quantities.described(df, "id", "said").collect()}
     want = [("mass", "second", "quantity-unit-dimension-mismatch"), ("force", None, None), (None, None, None), (None, None, None)]
     assert got == {k: want[k % 4] for k in range(40)}
+
+
+def test_facts_at_a_use_do_not_multiply_by_the_facts_of_its_symbol(spark):
+    from lemmata.operators import facts
+
+    def rows(n: int):
+        f = [(k, k % 2, [[], [k % 3], [k % 3, k % 5]][k % 3 if k % 7 else 0], k * 7 % 50 if k % 11 else None, (k % 4 == 0, k % 4 == 1, None)[k % 3]) for k in range(n)]
+        u = [(k, k % 2, [k % 3, k % 5], k if k % 9 else None) for k in range(90)]
+        return f, u, facts.facts_at(spark.createDataFrame(u, "use long, one long, use_path array<int>, pos long"), spark.createDataFrame(f, "fact long, one long, path array<int>, since long, explicit boolean"), ["one"], "use", "pos", "use_path", "path", "since", "explicit", "fact")
+
+    for n in (20, 400):
+        f, u, out = rows(n)
+        want = []
+        for use, one, where, pos in u:
+            seen = [x for x in f if x[1] == one and where[: len(x[2])] == x[2] and (not x[2] or x[3] is not None and pos is not None and x[3] <= pos)]
+            seen.sort(key=lambda x: (-len(x[2]), {True: 0, False: 1, None: 2}[x[4]], x[3] is None, -(x[3] or 0), x[0]))
+            want += [(use, i + 1, x[0], len(seen) > 8) for i, x in enumerate(seen[:8])]
+        assert sorted((r["use"], r["rank"], r["fact"], r["truncated"]) for r in out.collect()) == want
+    assert "_last#" in plan(out)  # facts are looked up by number, not all of a symbol
