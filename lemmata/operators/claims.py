@@ -153,7 +153,7 @@ def claim_conflicts(docs: DataFrame | front.Parsed, rounds: int = solver.ROUNDS)
     docs = parsed.parsed(docs)
     claims = graph.stored(relation_claims(docs))
     sides = claims.filter("predicate in ('equals', 'sum')").select("file_id", "at", "predicate", _entity("result").alias("result"), _entity("left").alias("left"))
-    known = graph.stored(known_facts(docs, claims, rounds).filter("predicate in ('dimension', 'shape')").select("entity", F.col("predicate").alias("what"), "text", "shape"))
+    known = graph.large(graph.stored(known_facts(docs, claims, rounds).filter("predicate in ('dimension', 'shape')").select("entity", F.col("predicate").alias("what"), "text", "shape")))
 
     def met(what: str) -> DataFrame:
         some = known.filter(F.col("what") == what)

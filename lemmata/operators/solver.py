@@ -71,9 +71,9 @@ def solved(facts: DataFrame, relations: DataFrame, rounds: int = ROUNDS, work: i
     An entity is a struct with a ``file_id``; ``relation`` is one that orders relations.  A file is truncated if it would go on after
     ``rounds``, or if more than ``work`` of its relations and predicates have been looked at; what it has by then stands.
     """
-    relations = graph.stored(relations)
+    relations = graph.large(graph.stored(relations))
     columns = ["entity", "predicate", "text", "dim", "shape"]
-    sides = graph.stored(relations.select("relation", "kind", F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("entity")) for c in ("result", "left", "right")))).alias("s")).filter("s.entity is not null").select("relation", "kind", "s.side", "s.entity"))
+    sides = graph.large(graph.stored(relations.select("relation", "kind", F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("entity")) for c in ("result", "left", "right")))).alias("s")).filter("s.entity is not null").select("relation", "kind", "s.side", "s.entity")))
     latest = graph.stored(facts.groupBy("entity", "predicate").agg(*(F.min_by(c, "text").alias(c) for c in columns[2:])).withColumns({"round": F.lit(0), "proof": F.lit(None).cast(relations.schema["relation"].dataType)}))
     found, looked, over = [latest], [], None
     total = 0
@@ -81,6 +81,7 @@ def solved(facts: DataFrame, relations: DataFrame, rounds: int = ROUNDS, work: i
         known = found[0]
         for f in found[1:]:
             known = known.unionByName(f)
+        known = graph.large(known)
         touched = graph.stored(latest.select("entity", _channel().alias("channel")).join(sides.select("relation", "entity"), "entity").select("relation", "channel", F.col("entity.file_id").alias("file_id")).distinct())
         looked.append(touched)
         total += touched.count()
